@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqsieve.llm.exact_dedup import exact_owners
 from seqsieve.llm.line_dedup import line_report
 from seqsieve.llm.packing import pack
+from seqsieve.llm.ppm import score_documents
 from seqsieve.llm.quality import judge
 from seqsieve.llm.simhash_golay import near_duplicates
 
@@ -43,12 +44,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_ppm": op8_ppm,
 }
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
