@@ -39,7 +39,7 @@ def _class_table() -> np.ndarray:
 
 
 VOCABULARY = sorted({w.encode() for words in COMMON_WORDS.values() for w in words.split()})
-STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, words array<long>"
+STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<double>, words array<double>"
 
 
 def repeated(words: list[bytes], size: int = 3) -> int:
@@ -60,7 +60,7 @@ def repeated(words: list[bytes], size: int = 3) -> int:
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int, list, list]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms of a whole text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms (as shares; empty without a word) of a whole text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     seen: set[bytes] = set()
@@ -79,7 +79,12 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int, list, list]:
     trimmed = raw.lower().translate(None, b".,;:!?").split() if raw else []
     if trimmed:
         common = np.bincount(np.fromiter((index(w, other) for w in trimmed), np.intp, len(trimmed)), minlength=other + 1)
-    return (len(words), sum(map(len, words)) - int(counts[128:192].sum()), int(counts[list(SYMBOLS)].sum()), doubles, repeated(words), classes[:-1].tolist(), common.tolist())
+    return (len(words), sum(map(len, words)) - int(counts[128:192].sum()), int(counts[list(SYMBOLS)].sum()), doubles, repeated(words), _shares(classes[:-1]), _shares(common))
+
+
+def _shares(counts: np.ndarray) -> list[float]:
+    total = counts.sum()
+    return (counts / total).tolist() if total else []
 
 
 _TABLE = _class_table()
@@ -110,21 +115,19 @@ def references(stats: DataFrame) -> DataFrame:
     Each document adds its own shares, so no very long document stands for its language.
     """
     def shares(name: str, size: int) -> list[Column]:
-        total = F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
-        return [F.avg(F.when(total > 0, F.element_at(name, i + 1) / total)) for i in range(size)]
+        return [F.avg(F.get(name, i)) for i in range(size)]
 
     return stats.groupBy(known_language(F.col("lang")).alias("known")).agg(F.array(*shares("classes", len(CLASSES))).alias("class_ref"), F.array(*shares("words", len(VOCABULARY) + 1)).alias("word_ref"))
 
 
-def js_distance(counts: str, reference: str) -> Column:
-    """Jensen-Shannon distance, 0 to 1, of a histogram of counts to an array of shares; null if either is empty."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def js_distance(shares: str, reference: str) -> Column:
+    """Jensen-Shannon distance, 0 to 1, of two arrays of shares; null if either is empty or null."""
 
     def half(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(counts, reference, lambda c, q: half(c / total, (c / total + q) / 2) + half(q, (c / total + q) / 2))
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
+    terms = F.zip_with(shares, reference, lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
+    return F.when((F.size(shares) > 0) & F.get(reference, 0).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
 def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, guard_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

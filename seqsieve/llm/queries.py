@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsieve.llm.exact_dedup import exact_owners
+from seqsieve.llm.licenses import scan
 from seqsieve.llm.line_dedup import line_report
 from seqsieve.llm.packing import pack
 from seqsieve.llm.ppm import score_documents
 from seqsieve.llm.quality import judge
 from seqsieve.llm.simhash_golay import near_duplicates
+from seqsieve.llm.url_filter import fit, judge_urls, labelled_table
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +30,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), fit(labelled_table(spark)), URL_RULES)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
@@ -48,13 +57,19 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_ppm": op8_ppm,
+    "op10_licenses": op10_licenses,
 }
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
