@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsieve.llm.exact_dedup import exact_owners
+from seqsieve.llm.html_extract import extract_pages, train
+from seqsieve.llm.labelled_pages import labelled_pages
 from seqsieve.llm.licenses import scan
 from seqsieve.llm.line_dedup import line_report
 from seqsieve.llm.packing import pack
@@ -25,6 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_pages()))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -62,6 +68,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
