@@ -24,7 +24,7 @@ def document_lines(docs: DataFrame, *, id_col: str, text_col: str, site_col: str
     doc_key is a hash of id and text, so that rows which repeat an id with another text stay apart.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), digest_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    line = F.btrim("line", F.lit(" \t\n\u000b\f\r"))
     return rows.select("doc_key", "doc_id", "site", "pos", line.alias("line")).where("line <> ''").select("doc_key", "doc_id", "site", "pos", F.unhex(F.md5("line")).alias("line_key"))
 
 
@@ -67,7 +67,7 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, keep_first: bool
     columns of docs stay; n_lines and n_removed replace columns of these names. An empty table
     gives an empty result.
     """
-    lines = document_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col)
+    lines = materialise(document_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col))
     wide = materialise(spread(lines, min_sites))
     marked = keyed(lines.select("doc_key", "doc_id", "pos", "line_key"), wide, "line_key", "n")
     if keep_first:
@@ -76,7 +76,7 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, keep_first: bool
     rest = docs.drop("n_lines", "n_removed")
     key = digest_key(F.col(id_col), F.col(text_col))
     parts = F.split(text_col, "\n")
-    n = F.coalesce(F.size(parts), F.lit(0))
+    n = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1
     kept = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     joined = rest.join(gone, key == F.col("_key"), "left")
