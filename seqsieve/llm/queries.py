@@ -13,6 +13,7 @@ from seqsieve.llm.line_dedup import line_report
 from seqsieve.llm.packing import pack
 from seqsieve.llm.ppm import score_documents
 from seqsieve.llm.quality import judge
+from seqsieve.llm.sentencepiece_sa import digest
 from seqsieve.llm.simhash_golay import near_duplicates
 from seqsieve.llm.url_filter import fit, judge_urls, labelled_table
 
@@ -63,6 +64,10 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_ppm": op8_ppm,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_licenses": op10_licenses,
 }
 
