@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -28,14 +29,41 @@ from pyspark.sql import functions as F
 
 from seqsieve.plans.materialise import materialise
 
-#: Words that one worker's cache of encoded words holds before it is emptied.
-CACHE_WORDS = 400_000
+#: Encoded words that one worker keeps: two generations of so many.
+CACHE_WORDS = 350_000
+#: Odd multipliers of the two 64-bit word hashes.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _marked(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+BLANKS, MARKS, PLAIN = _marked(b" \t\n\v\f\r"), _marked(b".,"), _marked(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def word_spans(raw: np.ndarray, closing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words between ASCII blanks; with closing, a stop or comma that ends a word after a letter or digit is a word of its own."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = np.concatenate([[True], BLANKS[raw], [True]])
+    cut = np.zeros(len(raw) + 1, bool)
+    if closing:
+        cut[1:-1] = MARKS[raw[1:]] & PLAIN[raw[:-1]] & blank[3:]
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | cut[:-1]))
+    ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | cut[1:])) + 1
+    return starts, ends
 
 
 class WordEncoder:
     """Encodes texts by a tokenizers file whose pre-tokenizer never joins across ASCII white space.
 
-    So a text's ids are those of its words, and each different word is encoded once.
+    So a text's ids are those of its words, and each different word of a batch is looked up
+    once: words are told apart by two 64-bit hashes of all their bytes. Tokenizers that
+    lower-case letters and cut runs of marks from runs of letters have case and closing marks
+    taken off first, which leaves fewer different words.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,19 +72,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[bytes, bytes] = {}
+        self.plain = self._ids("Thing, x.") == self._ids("thing , x .")
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _grown(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Powers of each multiplier and of its inverse, up to n."""
+        if not self.powers or len(self.powers[0][0]) < n:
+            size = max(n, 1 << 20)
+            steps = [[np.full(size, x, np.uint64) for x in (m, pow(m, -1, 1 << 64))] for m in MULTIPLIERS]
+            for some in steps:
+                for x in some:
+                    x[0] = 1
+            self.powers = [tuple(np.multiply.accumulate(x) for x in some) for some in steps]
+        return self.powers
+
+    def _different(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of one word of each kind, kind of each word)."""
+        hashes = []
+        for power, inverse in self._grown(len(raw) + 1):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
+            hashes.append((sums[ends] - sums[starts]) * inverse[starts])
+        _, one, kind = np.unique(hashes[0], return_index=True, return_inverse=True)
+        if (hashes[1][one][kind] != hashes[1]).any():  # two words with the same first hash
+            _, one, kind = np.unique(np.stack(hashes, axis=1), axis=0, return_index=True, return_inverse=True)
+        return one, kind.reshape(-1)
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, from the cache or encoded anew."""
+        if len(self.new) > CACHE_WORDS:
+            self.new, self.old = {}, self.new
+        missing = [w for w in words if w not in self.new]
+        kept = {w: self.old[w] for w in missing if w in self.old}
+        self.new.update(kept)
+        missing = [w for w in missing if w not in kept]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.new.update((w, array(code, e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
+        return [self.new[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, coded, strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """The ids of each text as bytes of the encoder's kind."""
+        joined = b"\n".join(texts)
+        if self.plain:
+            joined = joined.lower()
+        raw = np.frombuffer(joined, np.uint8)
+        starts, ends = word_spans(raw, self.plain)
+        if not len(starts):
+            return [b""] * len(texts)
+        one, kind = self._different(raw, starts, ends)
+        coded = self._ids_of([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        every, heads = np.frombuffer(b"".join(coded), self.kind), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n = sizes[kind]
+        until = np.cumsum(n)
+        ids = every[np.repeat(heads[kind] - until + n, n) + np.arange(until[-1])]
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where each text starts in joined
+        bounds = np.concatenate([[0], until])[np.searchsorted(starts, first)]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
