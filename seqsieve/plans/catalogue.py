@@ -1,6 +1,8 @@
-"""Registered queries and their SQL counterparts."""
+"""All registered queries and their SQL counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from seqsieve.plans import sequence_queries  # noqa: F401
+from seqsieve.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
