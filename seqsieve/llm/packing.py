@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from seqsieve.plans.materialise import materialise
 
 #: Encoded words that one worker keeps: two generations of so many.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
+#: Bytes after which the powers of the word hashes begin anew; a word across such a place is only looked up once more.
+PERIOD = 1 << 20
 #: Odd multipliers of the two 64-bit word hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -80,11 +82,10 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _grown(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Powers of each multiplier and of its inverse, up to n."""
-        if not self.powers or len(self.powers[0][0]) < n:
-            size = max(n, 1 << 20)
-            steps = [[np.full(size, x, np.uint64) for x in (m, pow(m, -1, 1 << 64))] for m in MULTIPLIERS]
+    def _powers(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Powers of each multiplier and of its inverse, for PERIOD bytes."""
+        if not self.powers:
+            steps = [[np.full(PERIOD, x, np.uint64) for x in (m, pow(m, -1, 1 << 64))] for m in MULTIPLIERS]
             for some in steps:
                 for x in some:
                     x[0] = 1
@@ -94,9 +95,13 @@ class WordEncoder:
     def _different(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of one word of each kind, kind of each word)."""
         hashes = []
-        for power, inverse in self._grown(len(raw) + 1):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
-            hashes.append((sums[ends] - sums[starts]) * inverse[starts])
+        for power, inverse in self._powers():
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            for at in range(0, len(raw), PERIOD):
+                part = raw[at : at + PERIOD]
+                np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[at + 1 : at + 1 + len(part)])
+                sums[at + 1 : at + 1 + len(part)] += sums[at]
+            hashes.append((sums[ends] - sums[starts]) * inverse[starts % PERIOD])
         _, one, kind = np.unique(hashes[0], return_index=True, return_inverse=True)
         if (hashes[1][one][kind] != hashes[1]).any():  # two words with the same first hash
             _, one, kind = np.unique(np.stack(hashes, axis=1), axis=0, return_index=True, return_inverse=True)
@@ -146,7 +151,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _chunks(pdf: pd.DataFrame, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(pdf: pd.DataFrame, size: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Slices of a batch of at most about size characters, one row at least."""
     big = pdf["text"].str.len().fillna(0).cumsum() // size
     for _, part in pdf.groupby(big, sort=False):
