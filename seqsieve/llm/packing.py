@@ -111,16 +111,22 @@ class WordEncoder:
         """Ids of different words, from the cache or encoded anew."""
         if len(self.new) > CACHE_WORDS:
             self.new, self.old = {}, self.new
-        missing = [w for w in words if w not in self.new]
-        kept = {w: self.old[w] for w in missing if w in self.old}
-        self.new.update(kept)
-        missing = [w for w in missing if w not in kept]
+        found = list(map(self.new.get, words))
+        open_ = [i for i, ids in enumerate(found) if ids is None]
+        missing = []
+        for i in open_:
+            ids = self.old.get(words[i])
+            if ids is None:
+                missing.append(i)
+            else:
+                found[i] = self.new[words[i]] = ids
         code = "H" if self.kind.itemsize == 2 else "I"
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.new.update((w, array(code, e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
-        return [self.new[w] for w in words]
+            coded = self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in some], add_special_tokens=False)
+            for i, e in zip(some, coded, strict=True):
+                found[i] = self.new[words[i]] = array(code, e.ids).tobytes()
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of the encoder's kind."""
@@ -151,7 +157,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _chunks(pdf: pd.DataFrame, size: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(pdf: pd.DataFrame, size: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """Slices of a batch of at most about size characters, one row at least."""
     big = pdf["text"].str.len().fillna(0).cumsum() // size
     for _, part in pdf.groupby(big, sort=False):
