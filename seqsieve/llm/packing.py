@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from seqsieve.plans.materialise import materialise
 
 #: Encoded words that one worker keeps: two generations of so many.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Bytes after which the powers of the word hashes begin anew; a word across such a place is only looked up once more.
 PERIOD = 1 << 20
 #: Odd multipliers of the two 64-bit word hashes.
@@ -157,7 +157,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _chunks(pdf: pd.DataFrame, size: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(pdf: pd.DataFrame, size: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Slices of a batch of at most about size characters, one row at least."""
     big = pdf["text"].str.len().fillna(0).cumsum() // size
     for _, part in pdf.groupby(big, sort=False):
