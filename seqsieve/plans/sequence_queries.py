@@ -10,7 +10,7 @@ from seqsieve.functions import sequence as S
 from seqsieve.functions.constants import BASES, CLUSTERS, PAIRS, PROPERTIES, ROLES, SITES, STACKING, WILD_TYPE
 from seqsieve.plans.registry import query
 
-s = F.col("sequence")
+
 
 
 def _at(p: int) -> str:
@@ -54,7 +54,7 @@ def p10(v):
 
 @query("f1_pattern", "variants", oracle=f"SELECT cand_id, concat({', '.join(_at(p) for p in SITES)}) AS pattern FROM variants")
 def f1(v):
-    return v.select("cand_id", S.pattern(s).alias("pattern"))
+    return v.select("cand_id", S.pattern(F.col("sequence")).alias("pattern"))
 
 
 @query("f2_hamming", "labelled", "pool", oracle="""
@@ -69,12 +69,12 @@ def f2(a, b):
 SELECT cand_id, {' + '.join(_changed(p) for p in SITES)} AS n_changed,
  array_to_string(list_filter([{', '.join(f"CASE WHEN {_at(p)} <> '{WILD_TYPE[p - 1]}' THEN '{p}' END" for p in SITES)}], lambda x: x IS NOT NULL), ',') AS sites FROM variants""")
 def f3(v):
-    return v.select("cand_id", S.changed_count(s).alias("n_changed"), F.array_join(S.changed_sites(s).cast("array<string>"), ",").alias("sites"))
+    return v.select("cand_id", S.changed_count(F.col("sequence")).alias("n_changed"), F.array_join(S.changed_sites(F.col("sequence")).cast("array<string>"), ",").alias("sites"))
 
 
 @query("f4_one_hot", "variants", oracle=_named({f"mut_p{p}_{b}": f"CAST({_at(p)} = '{b}' AS INTEGER)" for p in SITES for b in BASES}))
 def f4(v):
-    return _select(v, S.one_hot(s))
+    return _select(v, S.one_hot(F.col("sequence")))
 
 
 def _dimer_sql() -> dict[str, str]:
@@ -88,7 +88,7 @@ def _dimer_sql() -> dict[str, str]:
 
 @query("f5_dimers", "variants", oracle=_named(_dimer_sql()))
 def f5(v):
-    return _select(v, {n: F.round(c, 6) for n, c in S.dimers_around(s).items()})
+    return _select(v, {n: F.round(c, 6) for n, c in S.dimers_around(F.col("sequence")).items()})
 
 
 def _structure_sql() -> dict[str, str]:
@@ -105,7 +105,7 @@ def _structure_sql() -> dict[str, str]:
 
 @query("f6_structure", "variants", oracle=_named(_structure_sql()))
 def f6(v):
-    return _select(v, S.structure(s))
+    return _select(v, S.structure(F.col("sequence")))
 
 
 def _stack_sql() -> dict[str, str]:
@@ -120,12 +120,12 @@ def _stack_sql() -> dict[str, str]:
 
 @query("f7_stacking", "variants", oracle=_named(_stack_sql()))
 def f7(v):
-    return _select(v, {n: F.round(c, 4) + 0.0 for n, c in S.stacking(s).items()})
+    return _select(v, {n: F.round(c, 4) + 0.0 for n, c in S.stacking(F.col("sequence")).items()})
 
 
 @query("f8_properties", "variants", oracle="SELECT cand_id, array_to_string(list_concat(" + ", ".join("CASE " + " ".join(f"WHEN {_at(p)} = '{b}' THEN {list(v)}" for b, v in PROPERTIES.items()) + " ELSE [0,0,0,0,0,0] END" for p in SITES) + "), '') AS properties FROM variants")
 def f8(v):
-    return v.select("cand_id", F.array_join(S.properties(s).cast("array<string>"), "").alias("properties"))
+    return v.select("cand_id", F.array_join(S.properties(F.col("sequence")).cast("array<string>"), "").alias("properties"))
 
 
 def _cluster_sql() -> dict[str, str]:
@@ -139,7 +139,7 @@ def _cluster_sql() -> dict[str, str]:
 
 @query("f9_clusters", "variants", oracle=_named(_cluster_sql()))
 def f9(v):
-    return _select(v, {n: F.round(c, 6) if n.endswith("gc") else c for n, c in S.cluster_composition(s).items()})
+    return _select(v, {n: F.round(c, 6) if n.endswith("gc") else c for n, c in S.cluster_composition(F.col("sequence")).items()})
 
 
 def _local_sql() -> dict[str, str]:
@@ -154,7 +154,7 @@ def _local_sql() -> dict[str, str]:
 
 @query("f10_local_windows", "variants", oracle=_named(_local_sql()))
 def f10(v):
-    return _select(v, {n: F.round(c, 6) for n, c in S.local_windows(s).items()})
+    return _select(v, {n: F.round(c, 6) for n, c in S.local_windows(F.col("sequence")).items()})
 
 
 def _kmer_sql() -> dict[str, str]:
@@ -177,12 +177,12 @@ def _mers(k: int) -> list[str]:
 
 @query("f11_kmer_deltas", "variants", oracle=_named(_kmer_sql()))
 def f11(v):
-    return _select(v, {n: F.round(c, 6) + 0.0 for n, c in S.kmer_deltas(s).items()})
+    return _select(v, {n: F.round(c, 6) + 0.0 for n, c in S.kmer_deltas(F.col("sequence")).items()})
 
 
 @query("f12_pairs", "variants", oracle="SELECT cand_id, array_to_string([" + ", ".join(f"{16 * i} + (strpos('ACGU', {_at(a)}) - 1) * 4 + strpos('ACGU', {_at(b)}) - 1" for i, (a, b) in enumerate(combinations(SITES, 2))) + "], ',') AS active FROM variants")
 def f12(v):
-    return v.select("cand_id", F.array_join(S.pair_indices(s).cast("array<string>"), ",").alias("active"))
+    return v.select("cand_id", F.array_join(S.pair_indices(F.col("sequence")).cast("array<string>"), ",").alias("active"))
 
 
 def _summary_sql() -> dict[str, str]:
@@ -206,17 +206,17 @@ def _summary_sql() -> dict[str, str]:
 
 @query("f13_summary", "variants", oracle=_named(_summary_sql()))
 def f13(v):
-    return _select(v, {n: F.round(c, 6) + 0.0 if n.startswith("gc") else c for n, c in S.summary(s).items()})
+    return _select(v, {n: F.round(c, 6) + 0.0 if n.startswith("gc") else c for n, c in S.summary(F.col("sequence")).items()})
 
 
 @query("f14_identity", "variants", oracle="SELECT cand_id, array_to_string([" + ", ".join(f"CAST({_at(a)} = {_at(b)} AS INTEGER)" for a in SITES for b in SITES) + "], '') AS same FROM variants")
 def f14(v):
-    return v.select("cand_id", F.array_join(S.identity_matrix(s).cast("array<string>"), "").alias("same"))
+    return v.select("cand_id", F.array_join(S.identity_matrix(F.col("sequence")).cast("array<string>"), "").alias("same"))
 
 
 @query("f16_tokens", "variants", oracle="SELECT cand_id, concat('1,', array_to_string(list_transform(range(1, length(sequence) - 1), lambda i: (strpos('ACGU', substr(sequence, i, 1)) - 1) * 16 + (strpos('ACGU', substr(sequence, i + 1, 1)) - 1) * 4 + strpos('ACGU', substr(sequence, i + 2, 1)) - 1 + 5), ','), ',2') AS tokens FROM variants")
 def f16(v):
-    return v.select("cand_id", F.array_join(S.tokens(s).cast("array<string>"), ",").alias("tokens"))
+    return v.select("cand_id", F.array_join(S.tokens(F.col("sequence")).cast("array<string>"), ",").alias("tokens"))
 
 
 WILD_GC = sum(b in "GC" for b in WILD_TYPE) / len(WILD_TYPE)
@@ -224,4 +224,4 @@ WILD_GC = sum(b in "GC" for b in WILD_TYPE) / len(WILD_TYPE)
 
 @query("f17_gc_shift", "variants", oracle=f"SELECT cand_id, round(len(list_filter(string_split(sequence, ''), lambda x: x IN ('G', 'C'))) / 141.0, 6) AS gc, round(abs(len(list_filter(string_split(sequence, ''), lambda x: x IN ('G', 'C'))) / 141.0 - {WILD_GC!r}), 6) AS shift FROM variants")
 def f17(v):
-    return v.select("cand_id", F.round(S.gc_share(s), 6).alias("gc"), F.round(S.gc_shift(s), 6).alias("shift"))
+    return v.select("cand_id", F.round(S.gc_share(F.col("sequence")), 6).alias("gc"), F.round(S.gc_shift(F.col("sequence")), 6).alias("shift"))
