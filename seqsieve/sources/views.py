@@ -44,7 +44,7 @@ VIEWS = {
         FROM (SELECT *, md5(concat('r', CAST(cand_id AS VARCHAR(20)))) AS h FROM variants) q""",
     "batches": "SELECT DISTINCT concat('b', CAST(cand_id % 7 AS VARCHAR(20))) AS batch_id, substr(md5(sequence), 1, 16) AS candidate_id, sequence FROM variants WHERE cand_id % 7 < 6 AND substr(md5(concat('k', CAST(cand_id AS VARCHAR(20)))), 1, 1) < 'e'",
     "scores": "SELECT l_suppkey % 10 AS seed, l_orderkey * 8 + l_linenumber AS id, min(CAST(l_quantity AS DOUBLE)) AS a, min(CAST(l_extendedprice AS DOUBLE)) AS b, min(CAST(l_discount AS DOUBLE)) AS c, min(CAST(l_tax AS DOUBLE)) AS d FROM lineitem GROUP BY l_suppkey % 10, l_orderkey * 8 + l_linenumber",
-    "features": "SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) AS f_quantity, CAST(l_discount AS DOUBLE) AS f_discount, CAST(l_tax AS DOUBLE) AS f_tax, CAST(l_linenumber AS DOUBLE) AS f_line, CAST(l_suppkey % 100 AS DOUBLE) AS f_supplier, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem",
+    "features": "SELECT l_orderkey * 8 + l_linenumber AS id, min(CAST(l_quantity AS DOUBLE)) AS f_quantity, min(CAST(l_discount AS DOUBLE)) AS f_discount, min(CAST(l_tax AS DOUBLE)) AS f_tax, min(CAST(l_linenumber AS DOUBLE)) AS f_line, min(CAST(l_suppkey % 100 AS DOUBLE)) AS f_supplier, min(2000 * CAST(l_quantity AS DOUBLE)) + min(CAST(l_extendedprice AS DOUBLE)) / 10 + min(CAST(l_linenumber AS DOUBLE)) * 300 AS y FROM lineitem GROUP BY l_orderkey * 8 + l_linenumber",
     "events_long": "SELECT event_id, user_id, event_type, ts, CAST(value AS DOUBLE) AS value FROM events",
     "ensemble": "SELECT l_orderkey AS id, l_linenumber AS member, min(CAST(l_extendedprice AS DOUBLE)) AS pred FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "measurements": "SELECT o_custkey AS key_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS replica_id, CAST(o_totalprice AS DOUBLE) AS value FROM orders",
@@ -81,5 +81,7 @@ def with_views(body: str) -> str:
     if not order:
         return body
     heads = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
-    rest = body.strip()
-    return f"WITH {heads}" + (f",\n{rest[5:]}" if rest.upper().startswith("WITH ") else f"\n{rest}")
+    rest, start = body.strip(), "WITH"
+    if rest.upper().startswith("WITH RECURSIVE"):
+        rest, start = f"WITH {rest[14:]}", "WITH RECURSIVE"
+    return f"{start} {heads}" + (f",\n{rest[5:]}" if rest.upper().startswith("WITH ") else f"\n{rest}")
