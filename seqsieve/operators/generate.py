@@ -150,13 +150,13 @@ def survive(scored: DataFrame, search: str, width: int, distance: int, factor: i
     """
     place = F.row_number().over(Window.partitionBy(search).orderBy("pred", "pattern"))
     head = scored.withColumn("_rn", place).where(F.col("_rn") <= factor * width)
-    packed = head.groupBy(search).agg(F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("rn"), "pred", "pattern"))).alias("h"))
-    empty = F.slice(F.col("h"), 1, 0)
+    packed = head.groupBy(search).agg(F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("rn"), "pred", "pattern"))).alias("_h"))
+    empty = F.slice(F.col("_h"), 1, 0)
     near = lambda kept, x: F.exists(kept, lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(len(SITES))), F.lit(0), lambda a, i: a + (F.substring(k["pattern"], i, F.lit(1)) != F.substring(x["pattern"], i, F.lit(1))).cast("int")) < distance)
-    spread = F.aggregate("h", empty, lambda kept, x: F.when((F.size(kept) < width) & ~near(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    kept = packed.withColumn("s", spread)
-    fill = F.slice(F.filter("h", lambda x: ~F.exists("s", lambda k: k["rn"] == x["rn"])), F.lit(1), F.greatest(F.lit(0), F.lit(width) - F.size("s")))
-    return kept.select(search, F.explode(F.concat("s", fill)).alias("r")).select(search, "r.pattern", "r.pred")
+    spread = F.aggregate("_h", empty, lambda kept, x: F.when((F.size(kept) < width) & ~near(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    kept = packed.withColumn("_s", spread)
+    fill = F.slice(F.filter("_h", lambda x: ~F.exists("_s", lambda k: k["rn"] == x["rn"])), F.lit(1), F.greatest(F.lit(0), F.lit(width) - F.size("_s")))
+    return kept.select(search, F.explode(F.concat("_s", fill)).alias("r")).select(search, "r.pattern", "r.pred")
 
 
 def best_neighbour(scored: DataFrame, walks: DataFrame, search: str) -> DataFrame:
