@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.plans.materialise import materialise
+from seqsieve.plans.workers import release_memory
 
 #: Words whose ids one worker remembers, in some 40 bytes each, before it forgets them all.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 #: Bytes after which the powers of the word hashes begin anew; a word across such a place is only looked up once more.
 PERIOD = 1 << 20
 #: Odd multipliers of the two 64-bit word hashes.
@@ -166,7 +167,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _chunks(pdf: pd.DataFrame, size: int = 3 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(pdf: pd.DataFrame, size: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Slices of a batch of at most about size characters, one row at least."""
     big = pdf["text"].str.len().fillna(0).cumsum() // size
     for _, part in pdf.groupby(big, sort=False):
@@ -192,6 +193,7 @@ def token_segments(docs: DataFrame, tokenizer: str, *, sequence: int, end_id: in
                         out.append((rid, i, source, start, len(part) // wide, n, packer.compress(part)))
                         rid += 1
                 yield pd.DataFrame(out, columns=["rid", "doc_id", "source", "start", "length", "doc_tokens", "ids"]).astype({"doc_id": "Int64"})
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     return rows.mapInPandas(run, "rid long, doc_id long, source string, start long, length long, doc_tokens long, ids binary")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.plans.materialise import materialise
+from seqsieve.plans.workers import release_memory
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -99,6 +100,7 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for pdf in batches:
             rows = [(i, lang, *text_stats(t)) for i, lang, t in zip(pdf["doc_id"].astype("Int64"), pdf["lang"], pdf["text"], strict=True)]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return rows.mapInPandas(run, STATS)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from seqsieve.operators.components import connected_components
 from seqsieve.plans.materialise import join_groups, materialise
+from seqsieve.plans.workers import release_memory
 
 #: Generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY_POLYNOMIAL = 0b101011100011
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
