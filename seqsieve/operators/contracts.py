@@ -73,8 +73,8 @@ def profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str] = ()) ->
         v = F.col(c).cast("double") if c in numeric else F.length(c).cast("double")
         counts = df.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_v", v)
         n, total = F.sum("_n"), F.sum(F.when(F.col(c).isNotNull(), F.col("_n")))
-        mean = F.sum(F.col("_v") * F.col("_n")) / total
-        one = counts.agg(F.lit(c).alias("column"), n.alias("n"), (n - F.coalesce(total, F.lit(0))).alias("missing"), F.count(c).alias("n_distinct"), F.min("_v").alias("low"), F.max("_v").alias("high"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), (F.sum(F.col("_v") * F.col("_v") * F.col("_n")) - mean * mean * total) / (total - 1))).alias("std"))
+        mean = F.try_divide(F.sum(F.col("_v") * F.col("_n")), total)
+        one = counts.agg(F.lit(c).alias("column"), n.alias("n"), (n - F.coalesce(total, F.lit(0))).alias("missing"), F.count(c).alias("n_distinct"), F.min("_v").alias("low"), F.max("_v").alias("high"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(F.col("_v") * F.col("_v") * F.col("_n")) - mean * mean * total, total - 1))).alias("std"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -13,14 +13,19 @@ from seqsieve.operators.ranking import average_rank, decile
 
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null without variance on either side, where corr would divide by zero."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def error_metrics(truth: str = "truth", pred: str = "pred") -> list[Column]:
     """Aggregates n, pearson, r2, mae, rmse; pearson and r2 are null without variance."""
     t, p = F.col(truth), F.col(pred)
     squares = F.sum((t - p) * (t - p))
     return [
         F.count("*").alias("n"),
-        F.when((F.stddev_pop(t) > 0) & (F.stddev_pop(p) > 0), F.corr(t, p)).alias("pearson"),
-        F.when(F.var_pop(t) > 0, 1 - squares / (F.count("*") * F.var_pop(t))).alias("r2"),
+        correlation(t, p).alias("pearson"),
+        (1 - F.try_divide(squares, F.count("*") * F.var_pop(t))).alias("r2"),
         F.avg(F.abs(t - p)).alias("mae"),
         F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"),
     ]
@@ -29,8 +34,7 @@ def error_metrics(truth: str = "truth", pred: str = "pred") -> list[Column]:
 def spearman(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", degenerate: float | None = None, name: str = "spearman") -> DataFrame:
     """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate."""
     ranked = df.withColumn("_t", average_rank(truth, groups)).withColumn("_p", average_rank(pred, groups))
-    fine = (F.stddev_pop("_t") > 0) & (F.stddev_pop("_p") > 0)
-    return ranked.groupBy(*groups).agg(F.when(fine, F.corr("_t", "_p")).otherwise(F.lit(degenerate).cast("double")).alias(name))
+    return ranked.groupBy(*groups).agg(F.coalesce(correlation("_t", "_p"), F.lit(degenerate).cast("double")).alias(name))
 
 
 def _tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -126,7 +130,7 @@ def tail_stats(deltas: DataFrame, groups: Sequence[str], key: str, share: float
     r = deltas.withColumn("_k", k).withColumn("_up", F.row_number().over(by.orderBy("delta", key))).withColumn("_down", F.row_number().over(by.orderBy(F.desc("delta"), F.desc(key))))
     best, worst = F.when(F.col("_up") <= F.col("_k"), F.col("delta")), F.when(F.col("_down") <= F.col("_k"), F.col("delta"))
     total = F.sum("delta")
-    return r.groupBy(*groups).agg(F.max("_k").cast("long").alias("k"), F.avg(best).alias("best_mean"), F.avg(worst).alias("worst_mean"), F.when(total != 0, F.sum(best) / total).alias("best_share"), F.when(total != 0, F.sum(worst) / total).alias("worst_share"))
+    return r.groupBy(*groups).agg(F.max("_k").cast("long").alias("k"), F.avg(best).alias("best_mean"), F.avg(worst).alias("worst_mean"), F.try_divide(F.sum(best), total).alias("best_share"), F.try_divide(F.sum(worst), total).alias("worst_share"))
 
 
 def completeness(observed: DataFrame, dimensions: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -153,7 +157,7 @@ def diversity(df: DataFrame, groups: Sequence[str], pattern: str, length: int) -
     places = df.select(*groups, F.posexplode(F.split(F.substring(pattern, 1, length), "")).alias("_i", "_b")).where("_b <> ''")
     counts = places.groupBy(*groups, "_i", "_b").agg(F.count("*").alias("_c"))
     same = counts.groupBy(*groups).agg(F.sum(F.col("_c") * F.col("_c")).alias("_same"))
-    return same.join(sizes, list(groups)).select(*groups, F.when(F.col("_n") > 1, (length * F.col("_n") * F.col("_n") - F.col("_same")) / (F.col("_n") * (F.col("_n") - 1))).alias("diversity"))
+    return same.join(sizes, list(groups)).select(*groups, F.try_divide(length * F.col("_n") * F.col("_n") - F.col("_same"), F.col("_n") * (F.col("_n") - 1)).alias("diversity"))
 
 
 def aligned_best(archive: DataFrame, group: Sequence[str], search: str, call: str, pred: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators.metrics import spearman
+from seqsieve.operators.metrics import correlation, spearman
 from seqsieve.operators.ranking import average_rank, seeded_order
 from seqsieve.plans.materialise import materialise
 
@@ -30,9 +30,9 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, score): F statistic of a simple regression, (n - 2) r^2 / (1 - r^2); its order is that of -log10 p."""
-    one = df.agg(F.count("*").alias("_n"), *[F.corr(c, target).alias(c) for c in features])
+    one = df.agg(F.count("*").alias("_n"), *[correlation(c, target).alias(c) for c in features])
     r2 = F.col("value") * F.col("value")
-    return unpivot(one, features, ["_n"]).select("feature", ((F.col("_n") - 2) * r2 / (1 - r2)).alias("score"))
+    return unpivot(one, features, ["_n"]).select("feature", F.try_divide((F.col("_n") - 2) * r2, 1 - r2).alias("score"))
 
 
 def spearman_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -5,6 +5,7 @@ Order is pseudo-random by md5 of 'seed:key', so any engine gives the same splits
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +80,7 @@ def winsorise(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975
 def denoised(df: DataFrame, value: str, second: str, shrink: float) -> DataFrame:
     """Three denoised targets: sum of z-scores, sum of ranks, and shrinkage toward the scaled second target; training rows set all statistics, and ranks are of training rows only (null else)."""
     stats = df.where("role = 'train'").groupBy("seed").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.avg(second).alias("_m2"), F.stddev_pop(second).alias("_s2"))
-    z, z2 = (F.col(value) - F.col("_m")) / F.col("_s"), (F.col(second) - F.col("_m2")) / F.col("_s2")
+    z, z2 = F.try_divide(F.col(value) - F.col("_m"), "_s"), F.try_divide(F.col(second) - F.col("_m2"), "_s2")
     out = df.join(F.broadcast(stats), "seed").withColumn("z_sum", z + z2).withColumn("shrunk", (1 - shrink) * F.col(value) + shrink * (z2 * F.col("_s") + F.col("_m")))
     ranks = F.when(F.col("role") == "train", average_rank(value, ["seed", "role"]) + average_rank(second, ["seed", "role"]))
     return out.withColumn("rank_sum", ranks).drop("_m", "_s", "_m2", "_s2")
@@ -93,7 +94,7 @@ def corrected(df: DataFrame, value: str, second: str, share: float = 0.15) -> Da
     ranked = train.withColumn("_gap", gap)
     stats = ranked.groupBy("seed").agg(F.percentile("_gap", 1 - share).alias("_cut"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.avg(second).alias("_m2"), F.stddev_pop(second).alias("_s2"))
     joined = ranked.join(F.broadcast(stats), "seed")
-    return joined.withColumn("target", F.when(F.col("_gap") > F.col("_cut") + 1e-12, (F.col(second) - F.col("_m2")) / F.col("_s2") * F.col("_s") + F.col("_m")).otherwise(F.col(value))).drop("_gap", "_cut", "_m", "_s", "_m2", "_s2")
+    return joined.withColumn("target", F.when(F.col("_gap") > F.col("_cut") + 1e-12, F.try_divide(F.col(second) - F.col("_m2"), "_s2") * F.col("_s") + F.col("_m")).otherwise(F.col(value))).drop("_gap", "_cut", "_m", "_s", "_m2", "_s2")
 
 
 def permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
@@ -111,8 +112,6 @@ def bagged(df: DataFrame, key: str, members: int, rate: float = 0.8) -> DataFram
     """(member, weight) of each row: a Poisson(rate) number of draws from the row's hash; rows without a draw are left out."""
     drawn = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
     u = F.conv(F.substring(seeded_order(F.concat_ws("-", F.col("seed").cast("string"), F.col("member").cast("string")), F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    import math
-
     upto, weight = 0.0, F.lit(0)
     for k in range(8):
         upto += math.exp(-rate) * rate**k / math.factorial(k)

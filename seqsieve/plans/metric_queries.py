@@ -325,7 +325,7 @@ SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r""")
 def a31(m):
     pair = m.where("replica_id = 1").select("key_id", F.col("value").alias("x")).join(m.where("replica_id = 2").select("key_id", F.col("value").alias("y")), "key_id")
     ranked = R.average_rank_of_table(R.average_rank_of_table(pair, "x", "rx"), "y", "ry")
-    return rounded(ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman")))
+    return rounded(ranked.agg(F.count("*").alias("n"), M.correlation("rx", "ry").alias("spearman")))
 
 
 @query("a32_running_mean", "measurements", oracle="""
@@ -349,7 +349,7 @@ def a35(p):
     keys = ["seed", "model"]
     g = p.withColumn("rt", R.average_rank("truth", keys)).withColumn("rp", R.average_rank("pred", keys)).withColumn("gap", F.abs(F.col("rt") - F.col("rp")) / F.count("*").over(Window.partitionBy(*keys)))
     cut = g.groupBy(*keys).agg(F.percentile("gap", 0.85).alias("cut"))
-    return rounded(g.join(cut, keys).where("gap <= cut + 1e-12").groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rt", "rp").alias("pearson_of_ranks")))
+    return rounded(g.join(cut, keys).where("gap <= cut + 1e-12").groupBy(*keys).agg(F.count("*").alias("n"), M.correlation("rt", "rp").alias("pearson_of_ranks")))
 
 
 @query("a36_gates", "metrics", oracle=f"WITH {DELTAS} SELECT method, model, avg(delta) >= -0.01 AS holds, avg(delta) + 2 * stddev_samp(delta) / sqrt(count(*)) < 0 AS better FROM deltas GROUP BY method, model")

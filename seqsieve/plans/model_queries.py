@@ -317,7 +317,7 @@ def m14(f):
         parts = p if parts is None else parts.unionByName(p)
     spread = parts.groupBy("id").agg(F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("sigma"))
     x = spread.join(d.select("id", "y"), "id")
-    return x.agg(((F.corr("mean", "y") > 0.8) & (F.min("sigma") >= 0)).alias("fine"))
+    return x.agg(((A.correlation("mean", "y") > 0.8) & (F.min("sigma") >= 0)).alias("fine"))
 
 
 @query("m15_mean_fusion", "features", oracle="SELECT true AS fine")
@@ -326,14 +326,14 @@ def m15(f):
     out = d
     for name in ("rf", "gbt", "linear"):
         out = M.predict(M.fit(d, FEATURES, "y", name), out, FEATURES, f"p_{name}")
-    return out.agg((F.corr((F.col("p_rf") + F.col("p_gbt") + F.col("p_linear")) / 3, F.col("y")) > 0.8).alias("fine"))
+    return out.agg((A.correlation((F.col("p_rf") + F.col("p_gbt") + F.col("p_linear")) / 3, F.col("y")) > 0.8).alias("fine"))
 
 
 @query("m16_out_of_fold", "features", oracle="SELECT true AS once, true AS fine")
 def m16(f):
     d = materialise(_folds(_small(f)))
     p = M.out_of_fold(d, FEATURES, "y", "linear", 3, ["id", "y"])
-    return p.agg((F.count("*") == F.countDistinct("id")).alias("once"), (F.corr("pred", "y") > 0.8).alias("fine"))
+    return p.agg((F.count("*") == F.countDistinct("id")).alias("once"), (A.correlation("pred", "y") > 0.8).alias("fine"))
 
 
 @query("m17_rank_fusion", "scores", oracle="""
@@ -403,7 +403,7 @@ def m25(f):
     d = materialise(d.join(K.group_folds(d, "grp", 3).select("grp", "fold"), "grp"))
     p = M.out_of_fold(d, FEATURES[:4], "y", "linear", 3, ["id", "y", "grp", "fold"])
     apart = p.groupBy("grp").agg(F.countDistinct("fold").alias("k")).agg((F.max("k") == 1).alias("apart"))
-    return p.agg((F.corr("pred", "y") > 0.8).alias("fine")).join(F.broadcast(apart)).select("apart", "fine")
+    return p.agg((A.correlation("pred", "y") > 0.8).alias("fine")).join(F.broadcast(apart)).select("apart", "fine")
 
 
 # sources and sinks: each writes rows of a given table and reads them again
