@@ -150,6 +150,6 @@ def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, gu
         .withColumn("class_distance", js_distance("classes", "class_ref")).withColumn("word_distance", js_distance("words", "word_ref"))
         .withColumn("base_failed", failed)
     )
-    far = F.col("class_distance") + F.col("word_distance") > max_distance + slack / F.sqrt(F.col("n_words"))
+    far = F.col("class_distance") + F.col("word_distance") > max_distance + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     odd = (F.col("n_words") >= guard_words) & F.coalesce(far, F.lit(False))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance")
