@@ -18,7 +18,6 @@ import math
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,17 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqsieve.llm.spans import SpanCache
 from seqsieve.plans.materialise import materialise
 from seqsieve.plans.workers import release_memory
 
-#: Words whose ids one worker remembers, in some 40 bytes each, before it forgets them all.
-CACHE_WORDS = 1_000_000
-#: Bytes after which the powers of the word hashes begin anew; a word across such a place is only looked up once more.
-PERIOD = 1 << 20
-#: Odd multipliers of the two 64-bit word hashes.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
 def _marked(chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(chars)] = True
@@ -76,68 +68,13 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.plain = self._ids("Thing, x.") == self._ids("thing , x .")
-        self._forget()
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self.cache = SpanCache(self.kind)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        """The cache: words by their hashes, sorted by the first, with the places of their ids in one pool."""
-        self.keys, self.proof = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def _powers(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Powers of each multiplier and of its inverse, for PERIOD bytes."""
-        if not self.powers:
-            steps = [[np.full(PERIOD, x, np.uint64) for x in (m, pow(m, -1, 1 << 64))] for m in MULTIPLIERS]
-            for some in steps:
-                for x in some:
-                    x[0] = 1
-            self.powers = [tuple(np.multiply.accumulate(x) for x in some) for some in steps]
-        return self.powers
-
-    def _different(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(index of one word of each kind, kind of each word, both hashes of each kind)."""
-        hashes = []
-        for power, inverse in self._powers():
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            for at in range(0, len(raw), PERIOD):
-                part = raw[at : at + PERIOD]
-                np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[at + 1 : at + 1 + len(part)])
-                sums[at + 1 : at + 1 + len(part)] += sums[at]
-            hashes.append((sums[ends] - sums[starts]) * inverse[starts % PERIOD])
-        _, one, kind = np.unique(hashes[0], return_index=True, return_inverse=True)
-        if (hashes[1][one][kind] != hashes[1]).any():  # two words with the same first hash
-            _, one, kind = np.unique(np.stack(hashes, axis=1), axis=0, return_index=True, return_inverse=True)
-        return one, kind.reshape(-1), hashes[0][one], hashes[1][one]
-
-    def _places(self, first: np.ndarray, second: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """(start in the pool, number of ids) of each different word; word(i) gives its bytes if it has to be encoded."""
-        if len(self.keys) > CACHE_WORDS:
-            self._forget()
-        near = np.minimum(np.searchsorted(self.keys, first), max(0, len(self.keys) - 1))
-        known = (self.keys[near] == first) & (self.proof[near] == second) if len(self.keys) else np.zeros(len(first), bool)
-        at, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int32)
-        at[known], size[known] = self.at[near[known]], self.size[near[known]]
-        new = np.flatnonzero(~known)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([word(k).decode("utf-8", "replace") for k in some.tolist()], add_special_tokens=False)]
-            size[some] = np.fromiter(map(len, coded), np.int32, len(coded))
-            ids = np.fromiter(chain.from_iterable(coded), self.kind, int(size[some].sum()))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.kind)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            at[some] = self.used + np.cumsum(size[some]) - size[some]
-            self.used += len(ids)
-        if len(new):
-            order = new[np.argsort(first[new], kind="stable")]
-            into = np.searchsorted(self.keys, first[order])
-            self.keys, self.proof = np.insert(self.keys, into, first[order]), np.insert(self.proof, into, second[order])
-            self.at, self.size = np.insert(self.at, into, at[order]), np.insert(self.size, into, size[order])
-        return at, size
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of the encoder's kind."""
@@ -148,14 +85,9 @@ class WordEncoder:
         starts, ends = word_spans(raw, self.plain)
         if not len(starts):
             return [b""] * len(texts)
-        one, kind, *hashes = self._different(raw, starts, ends)
-        from_, to = starts[one], ends[one]
-        at, size = self._places(*hashes, lambda i: joined[from_[i] : to[i]])
-        n = size[kind]
-        until = np.cumsum(n, dtype=np.int64)
-        ids = self.pool[np.repeat(at[kind] - until + n, n) + np.arange(until[-1])]
+        ids, n = self.cache.ids(raw, starts, ends, self._encode_words)
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where each text starts in joined
-        bounds = np.concatenate([[0], until])[np.searchsorted(starts, first)]
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, first)]
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 

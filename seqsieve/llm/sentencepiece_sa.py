@@ -10,7 +10,6 @@ model's merges. That is the BPE result itself, not the best sum of scores.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqsieve.llm.spans import SpanCache
+from seqsieve.plans.workers import release_memory
+
 BLANK = "▁"
-#: Characters of different units that are indexed at once.
-INDEX_CHARS = 3_000_000
-#: Units whose ids a worker remembers before it forgets them all.
-KNOWN_UNITS = 800_000
-SEPARATOR = 0
+#: Different units that are indexed at once.
+INDEX_UNITS = 200_000
+#: Pairs of pieces whose stability a worker remembers before it forgets them all.
+KNOWN_PAIRS = 800_000
 
 
 class Pieces:
@@ -189,39 +190,41 @@ def to_ids(parts: list[str], pieces: Pieces) -> list[int]:
     return ids
 
 
-def units_of(text: str) -> list[str]:
-    """The text with a leading blank, cut before each run of blanks; a NUL stands alone."""
-    return re.findall(rf"{BLANK}*[^{BLANK}\0]+|{BLANK}+|\0", BLANK + text.replace(" ", BLANK)) if text else []
+def unit_spans(raw: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the units of texts in UTF-8, joined, each with a leading blank: cut before each run of blanks, at each text's start, and around NULs."""
+    blank, nul = raw == 32, raw == 0
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[:-1] = blank & ~np.concatenate([[False], blank[:-1]]) | nul
+    cut[1:] |= nul
+    cut[firsts] = True
+    starts = np.flatnonzero(cut[: len(raw)])
+    return starts, np.append(starts[1:], len(raw)) if len(starts) else starts
 
 
 class Encoder:
     """Encodes batches of texts, remembering the ids of units."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
-        self.forget()
+        self.pieces, self.cache = pieces, SpanCache(np.dtype("<u4"))
 
-    def forget(self) -> None:
-        """Only NUL, which separates units in the index, keeps its ids."""
-        self.known = {"\0": np.array(to_ids(["\0"], self.pieces), "<u4").tobytes()}
+    def _encode_new(self, units: list[bytes]) -> list[list[int]]:
+        if len(self.pieces.stable) > KNOWN_PAIRS:
+            self.pieces.stable.clear()
+        texts = [u.decode("utf-8", "surrogatepass").replace(" ", BLANK) for u in units]
+        plain = encode_units([t for t in texts if t != "\0"], self.pieces)
+        found = iter(plain)
+        return [to_ids(["\0"], self.pieces) if t == "\0" else next(found) for t in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [units_of(t) for t in texts]
-        if len(self.known) > KNOWN_UNITS:
-            self.forget()
-        if len(self.pieces.stable) > 800_000:
-            self.pieces.stable.clear()
-        new = sorted({u for units in split for u in units if u not in self.known})
-        some, held = [], 0
-        for u in [*new, None]:
-            if u is None or held + len(u) > INDEX_CHARS:
-                self.known.update(zip(some, (np.array(x, "<u4").tobytes() for x in encode_units(some, self.pieces)), strict=True))
-                some, held = [], 0
-            if u is not None:
-                some.append(u)
-                held += len(u) + 1
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in split]
+        parts = [b" " + t.replace(BLANK, " ").encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        first = np.cumsum([0, *map(len, parts)])
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        starts, ends = unit_spans(raw, first)
+        if not len(starts):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        ids, n = self.cache.ids(raw, starts, ends, self._encode_new, INDEX_UNITS)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, first)]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def decode(ids: np.ndarray, pieces: Pieces) -> str:
@@ -241,7 +244,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(pieces_of(path))
 
 
-def encode_documents(docs: DataFrame, model: str, *, batch_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, *, batch_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids (array of int). A null text gives null, an empty text no ids. The text's own U+2581 is a blank to the model, as in its own encoder. Repeated rows get a row each; other columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,7 +269,7 @@ def decode_documents(coded: DataFrame, model: str, *, id_col: str = "doc_id", id
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, model: str, *, batch_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, model: str, *, batch_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, round_trip) per row: encodes and decodes again in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,6 +284,7 @@ def digest(docs: DataFrame, model: str, *, batch_chars: int = 8_000_000, id_col:
                     back = b"".join(map(table.__getitem__, ids.tolist()))[1:]
                     rows.append((i, len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back), back == raw.replace(BLANK.encode(), b" ")))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"]).astype({"doc_id": "Int64"})
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
