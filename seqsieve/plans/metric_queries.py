@@ -126,10 +126,10 @@ def a2(v):
 
 
 @query("a3_distribution", "preds", oracle="""
-SELECT seed, model, count(*) AS n, min(truth) AS low, round(quantile_cont(truth, 0.05), 4) AS p05, round(quantile_cont(truth, 0.5), 4) AS median, round(avg(truth), 4) AS mean, round(quantile_cont(truth, 0.95), 4) AS p95, max(truth) AS high FROM preds GROUP BY seed, model""")
+SELECT seed, model, count(*) AS n, min(truth) AS low, round(quantile_cont(truth, 0.05), 7) AS p05, round(quantile_cont(truth, 0.5), 7) AS median, round(avg(truth), 7) AS mean, round(quantile_cont(truth, 0.95), 7) AS p95, max(truth) AS high FROM preds GROUP BY seed, model""")
 def a3(p):
     cut = F.percentile("truth", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rounded(p.groupBy("seed", "model").agg(F.count("*").alias("n"), F.min("truth").alias("low"), F.get(cut, 0).alias("p05"), F.get(cut, 1).alias("median"), F.avg("truth").alias("mean"), F.get(cut, 2).alias("p95"), F.max("truth").alias("high")), 4, keep=("low", "high"))
+    return rounded(p.groupBy("seed", "model").agg(F.count("*").alias("n"), F.min("truth").alias("low"), F.get(cut, 0).alias("p05"), F.get(cut, 1).alias("median"), F.avg("truth").alias("mean"), F.get(cut, 2).alias("p95"), F.max("truth").alias("high")), 7, keep=("low", "high"))
 
 
 @query("a6_group_stats", "metrics", oracle="SELECT method, model, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM metrics GROUP BY method, model")
