@@ -188,6 +188,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     more = suppress(matches(gated, rules())).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("weight").alias("weight"))
     none = F.array().cast("array<string>")
     found = base.join(more, "key", "left").withColumn("more", F.coalesce("more", none)).withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.when(F.size("base") > 0, 0.8).otherwise(0.0)))
-    out = kept.drop("text").join(found, "key", "left")
+    bare = kept.where("key IS NULL").drop("text")  # most rows; they have nothing to meet, so they stay where they are
+    out = kept.where("key IS NOT NULL").drop("text").join(found, "key", "left").unionByName(bare, allowMissingColumns=True)
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", join(F.coalesce("base", none)).alias("base_labels"), join(F.concat(F.coalesce("base", none), F.coalesce("more", none))).alias("labels"), F.coalesce("weight", F.lit(0.0)).alias("score"))
