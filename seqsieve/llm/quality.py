@@ -92,18 +92,21 @@ _TABLE = _class_table()
 _INDEX = {w: i for i, w in enumerate(VOCABULARY)}
 
 
-def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row of counts and histograms per row of docs; no word and empty histograms for a null or empty text."""
+def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """One row of counts and histograms per row of docs, with its binary row_key if there is a key_col; no word and empty histograms for a null or empty text."""
+    keyed = key_col is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in STATS.split(", ")]
         for pdf in batches:
             rows = [(i, lang, *text_stats(t)) for i, lang, t in zip(pdf["doc_id"].astype("Int64"), pdf["lang"], pdf["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield out.assign(row_key=pdf["row_key"]) if keyed else out
         release_memory()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInPandas(run, STATS)
+    key = [F.col(key_col).alias("row_key")] if keyed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), *key)
+    return rows.mapInPandas(run, STATS + (", row_key binary" if keyed else ""))
 
 
 def known_language(lang: Column) -> Column:
@@ -132,8 +135,8 @@ def js_distance(shares: str, reference: str) -> Column:
     return F.when((F.size(shares) > 0) & F.get(reference, 0).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
-def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, guard_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: the base counts, base_failed, class_distance, word_distance, kept.
+def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, guard_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: the base counts, base_failed, class_distance, word_distance, kept; and row_key if there is a key_col.
 
     A document is rejected if the base rules fail it (fewer than 50 words, or over half its
     words in repeated 3-word windows), or if it has guard_words words and the sum of its two
@@ -142,7 +145,7 @@ def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, gu
     reject nothing. Languages without a word list, and null, share one reference. Repeated rows
     get a row each; other columns are ignored; an empty table gives an empty result.
     """
-    stats = materialise(document_stats(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    stats = materialise(document_stats(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, key_col=key_col))
     refs = references(stats)  # at most len(COMMON_WORDS) + 1 rows
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = (
@@ -152,4 +155,4 @@ def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, gu
     )
     far = F.col("class_distance") + F.col("word_distance") > max_distance + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     odd = (F.col("n_words") >= guard_words) & F.coalesce(far, F.lit(False))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance", *(["row_key"] if key_col else []))
