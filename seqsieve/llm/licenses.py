@@ -87,9 +87,9 @@ NOTICES = [
     ("no-warranty", "without warranty", r"(?:provided\s+)?[\"']?as\s+is[\"']?,?\s+without\s+warranty", 1, 0.4),
 ]
 
-# Plain strings of which each match of a family holds one; by default the label.
+# Plain strings of which each match of a family holds one, without the blanks that a rule takes as \s+; by default the label.
 KEYWORDS = {
-    "gpl": "general public|gnu|gpl", "lgpl": "lesser|library|lgpl", "agpl": "affero|agpl", "gfdl": "documentation|gfdl", "mit": "mit|expat", "mpl": "mozilla|mpl", "epl": "eclipse|epl", "cddl": "common development|cddl", "cpl": "common|cpl", "eupl": "european|eupl", "boost": "boost|bsl", "unlicense": "unlicen", "wtfpl": "do what|wtfpl", "psf": "python|psf", "ofl": "sil|ofl", "ms-pl": "microsoft|ms-pl", "odbl": "open data|odbl", "upl": "universal|upl", "ncsa": "university|ncsa", "osl": "open|osl", "afl": "academic|afl", "qpl": "public|qpl", "sspl": "server|sspl", "busl": "business|busl",
+    "gpl": "general public|gnu|gpl", "lgpl": "lesser|library|lgpl", "agpl": "affero|agpl", "gfdl": "documentation|gfdl", "mit": "mit|expat", "mpl": "mozilla|mpl", "epl": "eclipse|epl", "cddl": "distribution|cddl", "cpl": "common|cpl", "eupl": "european|eupl", "boost": "boost|bsl", "unlicense": "unlicen", "wtfpl": "what|wtfpl", "psf": "python|psf", "ofl": "sil|ofl", "ms-pl": "microsoft|ms-pl", "odbl": "open|odbl", "upl": "universal|upl", "ncsa": "university|ncsa", "osl": "open|osl", "afl": "academic|afl", "qpl": "public|qpl", "sspl": "server|sspl", "busl": "business|busl",
     "cc0": "cc0|creative", "cc-by": "cc by|cc-by|creative", "cc-by-sa": "cc by|cc-by|creative", "cc-by-nc": "cc by|cc-by|creative", "cc-by-nd": "cc by|cc-by|creative", "cc-by-nc-sa": "cc by|cc-by|creative", "cc-by-nc-nd": "cc by|cc-by|creative",
 }
 #: A text that matches no rule lacks all of these.
