@@ -6,8 +6,7 @@ A trie of this shape has at most 64^4 leaves, whatever the corpus, so it can be
 its counts come from every training text. Escapes follow method C (as many as symbols seen
 in the context), and symbols seen in a longer context are excluded from the shorter ones.
 
-The deepest context is the whole word: a word that training has seen is predicted as one
-path of the trie, by its count, and an unseen word escapes, again by method C, to the bytes.
+Every byte of every text is coded by the trie, whether training has seen its word or not.
 """
 
 from __future__ import annotations
@@ -212,9 +211,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for doc, held, text in zip(pdf["doc_id"].astype("Int64"), pdf["held"], texts, strict=True):
             own = np.fromiter((at[w] for w in [*text, b""]), np.int64, len(text) + 1)
             new = c[own] == 0
-            path = float(np.log10(np.maximum(c[own], 1)).sum())
-            spelt = float(model.per_token(text)[new].sum()) if new.any() else 0.0
-            out.append((doc, held, len(own), int((~new).sum()), float(gain[own].sum()), path + spelt, 0, 0))
+            out.append((doc, held, len(own), int((~new).sum()), float(gain[own].sum()), float(model.per_token(text).sum()), 0, 0))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in DONE.split(", ")]).astype({"doc_id": "Int64"})
         if len(frame):
             frame.loc[0, "n_part"] = sum(trained.values())
@@ -228,8 +225,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     done = materialise(dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, DONE))
     sums = done.agg(F.sum("n_part").alias("n"), F.sum("v_part").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    escape = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(float(max(v, 1)))) - F.col("n_tokens") * F.log10(F.lit(float(max(n + v, 1))))
-    return done.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), (F.col("score") + escape).alias("score"))
+    return done.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")
 
 
 DONE = "doc_id long, held boolean, n_tokens long, n_known long, gain double, score double, n_part long, v_part long"
