@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.operators.metrics import correlation, spearman
-from seqsieve.operators.ranking import average_rank, seeded_order
+from seqsieve.operators.ranking import average_rank, numbered, seeded_order
 from seqsieve.plans.materialise import materialise
 
 
@@ -105,14 +105,19 @@ def lasso_selection(df: DataFrame, features: Sequence[str], target: str, fallbac
     return df.sparkSession.createDataFrame(found, "feature string, score double") if found else top_features(f_scores(df, features, target), fallback)
 
 
+def _placed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """df with _at, its row number in the hash order of a tag, from a range shuffle."""
+    return numbered(df.withColumn("_order", seeded_order(F.lit(tag), F.col(key))), ["_order", key], "_at").drop("_order")
+
+
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, learner: str, repeats: int, key: str) -> DataFrame:
     """(feature, score): mean rise of the squared error when a column is permuted by pairing two hash orders."""
     model = fit(df, features, target, learner)
     error = lambda d: predict(model, d, features).agg(F.avg((F.col("pred") - F.col(target)) * (F.col("pred") - F.col(target))).alias("e"))
     base, out = error(df), []
     for f, r in product(features, range(repeats)):
-        a = df.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(seeded_order(F.lit(f"a{r}"), F.col(key)), key))).drop(f)
-        b = df.select(F.col(f), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(seeded_order(F.lit(f"b{r}"), F.col(key)), key)).alias("_at"))
+        a = _placed(df.drop(f) if f != key else df, f"a{r}", key).drop(f)
+        b = _placed(df.select(key, f) if f != key else df.select(f), f"b{r}", key).select(f, "_at")
         out.append(error(a.join(b, "_at").drop("_at")).select(F.lit(f).alias("feature"), "e"))
     return reduce(DataFrame.unionByName, out).join(F.broadcast(base.select(F.col("e").alias("_base")))).groupBy("feature").agg(F.avg(F.col("e") - F.col("_base")).alias("score"))
 
@@ -125,9 +130,8 @@ def shadow_selection(df: DataFrame, features: Sequence[str], target: str, key: s
     for r in range(rounds):
         d = df
         for f in features:
-            order = lambda tag, f=f, r=r: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(seeded_order(F.lit(f"{tag}{r}{f}"), F.col(key)), key))
-            values = df.select(F.col(f).alias(f"s_{f}"), order("b").alias("_at"))
-            d = d.withColumn("_at", order("a")).join(values, "_at").drop("_at")
+            values = _placed(df.select(key, F.col(f).alias(f"s_{f}")), f"b{r}{f}", key).select(f"s_{f}", "_at")
+            d = _placed(d, f"a{r}{f}", key).join(values, "_at").drop("_at")
         d = materialise(d)
         both = [*features, *[f"s_{f}" for f in features]]
         found = dict(zip(both, fit(d, both, target, "rf", seed=r).featureImportances.toArray().tolist(), strict=True))

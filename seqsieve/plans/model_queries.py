@@ -233,11 +233,6 @@ def m4(f):
     return rounded(M.information_scores(f, FEATURES, "y"))
 
 
-def _small(f):
-    """A table for model fits: rows whose id's md5 begins with 0 or 1 stand for a fold's training rows."""
-    return f.where(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 1) < "4")
-
-
 @query("m5_tree_screen", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
 def m5(f):
     return M.top_features(M.tree_importance(f, FEATURES, "y"), 1).select("feature")
@@ -245,7 +240,7 @@ def m5(f):
 
 @query("m6_permutation", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
 def m6(f):
-    found = M.permutation_importance(_small(f), FEATURES[:3], "y", "linear", 1, "id")
+    found = M.permutation_importance(f, FEATURES, "y", "linear", 1, "id")
     return M.top_features(found, 1).select("feature")
 
 
@@ -256,19 +251,19 @@ def m7(f):
 
 @query("m8_shadow", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
 def m8(f):
-    chosen = M.shadow_selection(_small(f), FEATURES[:3], "y", "id")
-    return f.limit(1).select(F.explode(F.array(*map(F.lit, chosen))).alias("feature")).where("feature = 'f_quantity'")
+    chosen = M.shadow_selection(f, FEATURES, "y", "id")
+    return f.sparkSession.createDataFrame([(c,) for c in chosen], "feature string")
 
 
 @query("m9_forward", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
 def m9(f):
-    d = materialise(_small(f))
+    d = materialise(f)
 
     def gain(names):
         return M.fit(d, names, "y", "linear").summary.r2
 
-    first = M.forward_selection(d, FEATURES[:3], "y", 1, gain)
-    return f.limit(1).select(F.explode(F.array(*map(F.lit, first))).alias("feature"))
+    first = M.forward_selection(d, FEATURES, "y", 1, gain)
+    return f.sparkSession.createDataFrame([(c,) for c in first], "feature string")
 
 
 @query("m10_force_keep", "features", oracle="SELECT * FROM (VALUES ('f_quantity'), ('f_tax')) v(feature)")
@@ -296,7 +291,7 @@ def _folds(f, k: int = 3):
 @query("m13_grid", "features", oracle="SELECT m.model, 2 + 0 * m.i AS n_seeds, true AS fine FROM (VALUES ('gbt', 0), ('linear', 0), ('rf', 0)) m(model, i)")
 def m13(f):
     """Seeds by models: fits run one after another, each on Spark; metrics in one aggregation."""
-    d = materialise(K.train_test(K.with_seeds(_small(f), [1, 2]), "id", 0.3))
+    d = materialise(K.train_test(K.with_seeds(f, [1, 2]), "id", 0.3))
     parts = None
     for seed in (1, 2):
         for name in ("rf", "gbt", "linear"):
@@ -309,7 +304,7 @@ def m13(f):
 
 @query("m14_bagged", "features", oracle="SELECT true AS fine")
 def m14(f):
-    d = materialise(_small(f).withColumn("seed", F.lit(1)))
+    d = materialise(f.withColumn("seed", F.lit(1)))
     bag = materialise(K.bagged(d, "id", 3))
     parts = None
     for m in range(3):
@@ -322,7 +317,7 @@ def m14(f):
 
 @query("m15_mean_fusion", "features", oracle="SELECT true AS fine")
 def m15(f):
-    d = materialise(_small(f))
+    d = materialise(f)
     out = d
     for name in ("rf", "gbt", "linear"):
         out = M.predict(M.fit(d, FEATURES, "y", name), out, FEATURES, f"p_{name}")
@@ -331,7 +326,7 @@ def m15(f):
 
 @query("m16_out_of_fold", "features", oracle="SELECT true AS once, true AS fine")
 def m16(f):
-    d = materialise(_folds(_small(f)))
+    d = materialise(_folds(f))
     p = M.out_of_fold(d, FEATURES, "y", "linear", 3, ["id", "y"])
     return p.agg((F.count("*") == F.countDistinct("id")).alias("once"), (A.correlation("pred", "y") > 0.8).alias("fine"))
 
@@ -368,7 +363,7 @@ def m20(s):
 
 @query("m21_block_gain", "features", oracle="SELECT true AS fine")
 def m21(f):
-    d = materialise(K.train_test(K.with_seeds(_small(f), [1, 2]), "id", 0.3))
+    d = materialise(K.train_test(K.with_seeds(f, [1, 2]), "id", 0.3))
     parts = None
     for seed in (1, 2):
         for name, cols in (("base", ["f_tax", "f_line"]), ("block", ["f_tax", "f_line", "f_quantity"])):
@@ -399,7 +394,7 @@ def m24(s):
 
 @query("m25_group_folds", "features", oracle="SELECT true AS apart, true AS fine")
 def m25(f):
-    d = _small(f).withColumn("grp", F.col("f_supplier"))
+    d = f.withColumn("grp", F.col("f_supplier"))
     d = materialise(d.join(K.group_folds(d, "grp", 3).select("grp", "fold"), "grp"))
     p = M.out_of_fold(d, FEATURES[:4], "y", "linear", 3, ["id", "y", "grp", "fold"])
     apart = p.groupBy("grp").agg(F.countDistinct("fold").alias("k")).agg((F.max("k") == 1).alias("apart"))
