@@ -87,7 +87,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     n = len(codes)
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
     width = 1
-    while width < depth:
+    while width < min(depth, n):
         shifted = np.full(n, -1, np.int64)
         shifted[: n - width] = rank[width:]
         rank = np.unique(rank * (n + 1) + shifted + 1, return_inverse=True)[1].astype(np.int64)
@@ -245,7 +245,13 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model: str, *, batch_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, ids (array of int). A null text gives null, an empty text no ids. The text's own U+2581 is a blank to the model, as in its own encoder. Repeated rows get a row each; other columns are ignored; an empty table gives an empty result."""
+    """One row per row of docs: doc_id, ids (array of int). A null text gives null, an empty text no ids.
+
+    The text's own U+2581 is a blank to the model, as in its own encoder. Texts are encoded
+    whole, however long; a batch ends after batch_chars characters or one text. Equal texts
+    get equal ids, repeated rows a row each, a null id stays null; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
@@ -259,7 +265,7 @@ def encode_documents(docs: DataFrame, model: str, *, batch_chars: int = 2_000_00
 
 
 def decode_documents(coded: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, ids); null ids give a null text, no ids an empty one, bytes that are no UTF-8 U+FFFD. Repeated rows get a row each; other columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model)
@@ -270,7 +276,10 @@ def decode_documents(coded: DataFrame, model: str, *, id_col: str = "doc_id", id
 
 
 def digest(docs: DataFrame, model: str, *, batch_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, decoded_crc32, round_trip) per row: encodes and decodes again in one pass."""
+    """(doc_id, n_ids, ids_crc32, decoded_crc32, round_trip) per row: encodes and decodes again in one pass.
+
+    As encode_documents, but that a null text has the ids of an empty one, namely none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)

@@ -1,4 +1,4 @@
-"""Ids of text spans, remembered by span hashes in flat arrays; each different span of a batch is looked up once."""
+"""Ids of text spans, remembered in flat arrays; each different span of a batch is looked up once."""
 
 from __future__ import annotations
 
@@ -6,52 +6,45 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
-#: Odd multipliers of the two 64-bit span hashes.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bytes after which the powers of the hashes begin anew; a span across such a place is only looked up once more.
-PERIOD = 1 << 20
 #: Spans whose ids are remembered, in some 40 bytes each, before all are forgotten.
 LIMIT = 1_500_000
 
 
+def different(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """(the different spans by their bytes, which of them each span is); spans are in order and don't overlap."""
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    if at[-1] < len(raw):
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[ends] = -1
+        step[starts] += 1  # a span may begin where another ends
+        raw = raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
 class SpanCache:
-    """Maps spans of bytes to arrays of ids. Spans are told apart by two 64-bit hashes of all their bytes."""
+    """Maps spans of bytes to arrays of ids. Within a batch spans are told apart by their bytes, between batches by XXH3 of 128 bits."""
 
     def __init__(self, kind: np.dtype, limit: int = LIMIT) -> None:
         self.kind, self.limit = kind, limit
-        self.powers: list[list[np.ndarray]] = []
-        for m in MULTIPLIERS:
-            some = [np.full(PERIOD, x, np.uint64) for x in (m, pow(m, -1, 1 << 64))]
-            for x in some:
-                x[0] = 1
-            self.powers.append([np.multiply.accumulate(x) for x in some])
         self.forget()
 
     def forget(self) -> None:
-        """Spans by their hashes, sorted by the first, with the places of their ids in one pool."""
+        """Spans by their hashes, sorted by the first half, with the places of their ids in one pool."""
         self.keys, self.proof = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def different(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(index of one span of each kind, kind of each span, both hashes of each kind)."""
-        hashes = []
-        for power, inverse in self.powers:
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            for at in range(0, len(raw), PERIOD):
-                part = raw[at : at + PERIOD]
-                np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[at + 1 : at + 1 + len(part)])
-                sums[at + 1 : at + 1 + len(part)] += sums[at]
-            hashes.append((sums[ends] - sums[starts]) * inverse[starts % PERIOD])
-        _, one, kind = np.unique(hashes[0], return_index=True, return_inverse=True)
-        if (hashes[1][one][kind] != hashes[1]).any():  # two spans with the same first hash
-            _, one, kind = np.unique(np.stack(hashes, axis=1), axis=0, return_index=True, return_inverse=True)
-        return one, kind.reshape(-1), hashes[0][one], hashes[1][one]
-
     def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], batch: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans in a row, number of ids of each span); encode gives the ids of spans met for the first time."""
-        one, kind, first, second = self.different(raw, starts, ends)
+        found, kind = different(raw, starts, ends)
+        spans = found.to_pylist()
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans)), np.uint64).reshape(-1, 2)
+        first, second = hashes[:, 0].copy(), hashes[:, 1].copy()
         if len(self.keys) > self.limit:
             self.forget()
         near = np.minimum(np.searchsorted(self.keys, first), max(0, len(self.keys) - 1))
@@ -59,10 +52,9 @@ class SpanCache:
         at, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int32)
         at[known], size[known] = self.at[near[known]], self.size[near[known]]
         new = np.flatnonzero(~known)
-        buffer = raw.tobytes() if len(new) else b""
         for i in range(0, len(new), batch):
             some = new[i : i + batch]
-            coded = encode([buffer[a:b] for a, b in zip(starts[one[some]].tolist(), ends[one[some]].tolist(), strict=True)])
+            coded = encode([spans[j] for j in some.tolist()])
             size[some] = np.fromiter(map(len, coded), np.int32, len(coded))
             ids = np.fromiter(chain.from_iterable(coded), self.kind, int(size[some].sum()))
             while self.used + len(ids) > len(self.pool):
