@@ -9,12 +9,16 @@ the next window, and for backlogged queues the round of a segment is simply
 
 which needs no loop over windows: queue positions come from two-level prefix sums, and the
 deficits hold across windows and partitions alike. Segments in order of (round, source,
-position) form one stream, which is cut into sequences.
+position) form one stream, which is cut into sequences. A source that has run dry is in no
+later round, so these are shorter and the stream holds the others' quanta in their old
+proportions: what it leaves is passed on by the order itself. Several rounds make a window of
+the written stream, so that each window, wherever it begins, holds the targets.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -56,16 +60,18 @@ class WordEncoder:
     """Encodes texts by a tokenizers file whose pre-tokenizer never joins across ASCII white space.
 
     So a text's ids are those of its words, and each different word of a batch is looked up
-    once: words are told apart by two 64-bit hashes of all their bytes. Tokenizers that
-    lower-case letters and cut runs of marks from runs of letters have case and closing marks
-    taken off first, which leaves fewer different words.
+    once. Tokenizers that lower-case letters and cut runs of marks from runs of letters have
+    case and closing marks taken off first, which leaves fewer different words. Added tokens
+    are found in the text as it stands, before any of that, so a text that holds one, in
+    whatever case, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or b"(?!)", re.I)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.plain = self._ids("Thing, x.") == self._ids("thing , x .")
         self.cache = SpanCache(self.kind)
@@ -78,17 +84,20 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of the encoder's kind."""
+        whole = {i: np.array(self._ids(t.decode("utf-8", "replace")), self.kind).tobytes() for i, t in enumerate(texts) if self.added.search(t)}
+        if whole:
+            texts = [b"" if i in whole else t for i, t in enumerate(texts)]
         joined = b"\n".join(texts)
         if self.plain:
             joined = joined.lower()
         raw = np.frombuffer(joined, np.uint8)
         starts, ends = word_spans(raw, self.plain)
         if not len(starts):
-            return [b""] * len(texts)
+            return [whole.get(i, b"") for i in range(len(texts))]
         ids, n = self.cache.ids(raw, starts, ends, self._encode_words)
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where each text starts in joined
         bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, first)]
-        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return [whole.get(i) or ids[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
 
 
 @lru_cache(maxsize=2)
@@ -147,64 +156,80 @@ def queue_ends(segments: DataFrame, rows: int) -> DataFrame:
     return own.join(heads, own["source"].eqNullSafe(heads["_s"]) & (own["bucket"] == heads["_b"])).withColumn("end", F.col("head") + F.col("part")).drop("_s", "_b", "head", "part", "bucket")
 
 
+def quanta(segments: DataFrame, round_tokens: int, targets: Mapping[str, float] | None, temperature: float) -> DataFrame:
+    """(_source, quantum): tokens that a round grants each source, null for a source that is to come after all others."""
+    given = {k: v for k, v in (targets or {}).items() if k is not None}
+    if any(v < 0 for v in given.values()) or sum(given.values()) > 1 + 1e-9:
+        raise ValueError("targets must be shares of 0 to 1 that add up to 1 at most")
+    named = F.coalesce(F.col("source").isin(*given), F.lit(False)) if given else F.lit(False)
+    queues = segments.groupBy("source").agg(F.pow(F.sum("length"), F.lit(float(temperature))).alias("weight")).withColumn("named", named)
+    rest = queues.where("NOT named").agg(F.sum("weight")).first()[0] or 1.0
+    share = F.col("weight") / rest * max(0.0, 1 - sum(given.values()))
+    if given:
+        share = F.when(F.col("named"), F.try_element_at(F.create_map(*(F.lit(x) for k, v in given.items() for x in (k, float(v)))), "source")).otherwise(share)
+    return queues.select(F.col("source").alias("_source"), F.when(share > 0, share * round_tokens).alias("quantum"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
     *,
     sequence: int = 4096,
-    window: int = 16 * 4096,
+    window: int = 16,
+    rounds: int = 16,
     end_id: int = 2,
     targets: Mapping[str, float] | None = None,
+    temperature: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (compressed), doc_tokens, sequence_id, offset, window, source.
 
-    targets gives each source's share of the tokens of a window of window tokens; sources
-    that it doesn't name, and all sources if it is None, get their share of the corpus. A
-    source that has run dry leaves its share to the others, as in any deficit round-robin. All
-    sequences but the last are full. A null text or one without tokens is the end id alone; a
-    null source is a queue of its own; repeated rows are packed each; other columns are
-    ignored; an empty table gives no pieces.
+    targets gives sources their shares of the tokens of each window of window sequences; what
+    they leave of 1 goes to the other sources, in proportion to their tokens to the power of
+    temperature (1: as the corpus, 0: all alike). A share of 0, given or left, means after all
+    others. A window is filled by rounds rounds. A source that has run dry leaves its share to
+    the others in their proportions. All sequences but the last are full. A null text or one
+    without tokens is the end id alone; a null source is a queue of its own, which targets
+    can't name; null ids stay null; repeated rows are packed each; texts are packed whole,
+    however long; other columns are ignored, whatever their names; an empty table gives no
+    pieces.
     """
     segments = materialise(token_segments(docs, tokenizer, sequence=sequence, end_id=end_id, id_col=id_col, text_col=text_col, source_col=source_col))
     narrow = segments.select("rid", "source", "length")
     rows = segments.count()
-    shares = narrow.groupBy("source").agg(F.sum("length").alias("_tokens"))
-    shares = shares.withColumn("_share", F.col("_tokens") / F.sum("_tokens").over(Window.partitionBy(F.lit(1))))
-    if targets:
-        given = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))
-        shares = shares.withColumn("_share", F.coalesce(F.when(F.col("source").isNotNull(), F.try_element_at(given, "source")), "_share"))
-    shares = shares.select(F.col("source").alias("_source"), F.greatest(F.col("_share") * window, F.lit(1e-9)).alias("quantum"))
+    shares = quanta(narrow, max(1, sequence * window // rounds), targets, temperature)
     ended = queue_ends(narrow, rows)
-    turn = ended.join(shares, ended["source"].eqNullSafe(shares["_source"])).select("rid", "source", "length", "end", F.ceil(F.col("end") / F.col("quantum")).alias("window"))
+    turn = ended.join(shares, ended["source"].eqNullSafe(shares["_source"])).select("rid", "source", "length", "end", F.coalesce(F.ceil(F.col("end") / F.col("quantum")), F.lit(LAST)).alias("round"))
     turn = materialise(turn)
-    ordered = turn.repartitionByRange("window", "source", "end").sortWithinPartitions("window", "source", "end")
-    ordered = materialise(ordered.select("*", F.spark_partition_id().alias("part")).withColumn("inside", F.sum("length").over(Window.partitionBy("part").orderBy("window", "source", "end").rowsBetween(Window.unboundedPreceding, -1))))
+    ordered = turn.repartitionByRange("round", "source", "end").sortWithinPartitions("round", "source", "end")
+    ordered = materialise(ordered.select("*", F.spark_partition_id().alias("part")).withColumn("inside", F.sum("length").over(Window.partitionBy("part").orderBy("round", "source", "end").rowsBetween(Window.unboundedPreceding, -1))))
     sums = ordered.groupBy("part").agg(F.sum("length").alias("tokens"))  # one row per partition of the range shuffle
     firsts = sums.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    placed = ordered.join(F.broadcast(firsts), "part").select("rid", "window", (F.col("first") + F.coalesce("inside", F.lit(0))).alias("at"))
+    placed = ordered.join(F.broadcast(firsts), "part").select("rid", (F.col("first") + F.coalesce("inside", F.lit(0))).alias("at"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         packer = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             out = []
-            for doc, source, start, length, total, ids, window_, at in zip(*(pdf[c] for c in ("doc_id", "source", "start", "length", "doc_tokens", "ids", "window", "at")), strict=True):
+            for doc, source, start, length, total, ids, at in zip(*(pdf[c] for c in ("doc_id", "source", "start", "length", "doc_tokens", "ids", "at")), strict=True):
                 plain = unpack.decompress(ids)
                 wide, done = len(plain) // length, 0
                 while done < length:
                     n = min(length - done, sequence - (at + done) % sequence)
                     part = plain[done * wide : (done + n) * wide]
                     crc = zlib.crc32(np.frombuffer(part, f"<u{wide}").astype("<u4").tobytes())
-                    out.append((doc, source, start + done, n, crc, total, (at + done) // sequence, (at + done) % sequence, window_, wide, packer.compress(part)))
+                    out.append((doc, source, start + done, n, crc, total, (at + done) // sequence, (at + done) % sequence, (at + done) // (sequence * window), wide, packer.compress(part)))
                     done += n
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return segments.join(placed, "rid").select("doc_id", "source", "start", "length", "doc_tokens", "ids", "window", "at").mapInPandas(cut, PIECES)
+    return segments.join(placed, "rid").select("doc_id", "source", "start", "length", "doc_tokens", "ids", "at").mapInPandas(cut, PIECES)
 
 
+#: The round of sources without a share.
+LAST = 1 << 62
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, id_bytes int, ids binary"
 
 

@@ -33,7 +33,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    packed = pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), temperature=0.5)  # small sources get more than the corpus's share while they last
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
 
 
