@@ -7,7 +7,7 @@ distinct count; then lines on enough sites are taken out of the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.plans.materialise import HOT_SHARE, digest_key, materialise
@@ -64,26 +64,32 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, keep_first: bool
     With keep_first the first occurrence (smallest id, then position) of each such line stays,
     so that no passage is lost from the corpus. A null site is a site of its own, named ''; a
     null text stays null and has no lines. Rows that repeat id and text are treated alike. All
-    columns of docs stay; n_lines and n_removed replace columns of these names. An empty table
-    gives an empty result.
+    columns of docs stay; n_lines and n_removed replace columns of these names. Whole texts are
+    read, and the cost of a text is in proportion to its lines. An empty table gives an empty
+    result.
     """
     lines = materialise(document_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col))
     wide = materialise(spread(lines, min_sites))
     marked = keyed(lines.select("doc_key", "doc_id", "pos", "line_key"), wide, "line_key", "n")
     if keep_first:
         marked = marked.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    gone = marked.groupBy("doc_key").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_key", "_key")
+    gone = marked.groupBy("doc_key").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).select(F.col("doc_key").alias("_key"), F.size("_gone").alias("_n"), gone_flags(F.col("_gone")).alias("_flags"))
     rest = docs.drop("n_lines", "n_removed")
     key = digest_key(F.col(id_col), F.col(text_col))
-    parts = F.split(text_col, "\n")
     n = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1
-    kept = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    kept = F.zip_with(F.split(text_col, "\n"), F.col("_flags"), lambda line, out: F.when(F.coalesce(out, F.lit(False)), F.lit(None)).otherwise(line))
+    text = F.when(F.col("_n").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))  # which skips nulls
     joined = rest.join(gone, key == F.col("_key"), "left")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest.columns], F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest.columns], F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def gone_flags(gone: Column) -> Column:
+    """A boolean for each line up to the last in gone (sorted positions): whether it is gone. Built from the gaps between them, so its cost is that of its length."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, 1, F.size(gone) - 1))
+    return F.flatten(F.zip_with(before, gone, lambda a, b: F.array_append(F.array_repeat(F.lit(False), b - a - 1), F.lit(True))))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_chars, text_md5) per row of docs after remove_boilerplate."""
+    """(doc_id, n_lines, n_removed, n_chars, text_md5) per row of docs after remove_boilerplate, which tells what becomes of nulls and repeated rows; here a null text counts as empty."""
     done = remove_boilerplate(docs.select("doc_id", "text", "source"), **options)
     return done.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
