@@ -1,9 +1,10 @@
 """Quality rules: Jensen-Shannon distance of a document's histograms to language references.
 
 Two histograms describe a document: one of character classes, one of common (function)
-words against all others. Each language's references are the sums of its documents'
-histograms, so every document counts; a document far from the references of its language is
-rejected, unless it is so short that its histogram says little.
+words against all others. A language's references are the means over its documents that pass
+the base rules, taken twice: the second time without the documents that the first ones would
+reject, so junk doesn't shift them. A document far from the references of its language is
+rejected, unless it is so short that its histograms say little.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def known_language(lang: Column) -> Column:
 
 
 def references(stats: DataFrame) -> DataFrame:
-    """One row per language (at most one more than word lists): class_ref and word_ref, shares over all its documents.
+    """One row per language (at most one more than word lists): class_ref and word_ref, shares over the documents of stats.
 
     Each document adds its own shares, so no very long document stands for its language.
     """
@@ -125,6 +126,17 @@ def references(stats: DataFrame) -> DataFrame:
     return stats.groupBy(known_language(F.col("lang")).alias("known")).agg(F.array(*shares("classes", len(CLASSES))).alias("class_ref"), F.array(*shares("words", len(VOCABULARY) + 1)).alias("word_ref"))
 
 
+def distances(stats: DataFrame, refs: DataFrame) -> DataFrame:
+    """stats with known, class_distance and word_distance to refs, which are one row per language."""
+    known = stats.withColumn("known", known_language(F.col("lang"))).join(F.broadcast(refs), "known", "left")
+    return known.withColumn("class_distance", js_distance("classes", "class_ref")).withColumn("word_distance", js_distance("words", "word_ref")).drop("class_ref", "word_ref")
+
+
+def is_far(max_distance: float, slack: float) -> Column:
+    """Whether the sum of the distances passes the limit for the number of words; false for null distances."""
+    return F.coalesce(F.col("class_distance") + F.col("word_distance") > max_distance + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))), F.lit(False))
+
+
 def js_distance(shares: str, reference: str) -> Column:
     """Jensen-Shannon distance, 0 to 1, of two arrays of shares; null if either is empty or null."""
 
@@ -135,24 +147,23 @@ def js_distance(shares: str, reference: str) -> Column:
     return F.when((F.size(shares) > 0) & F.get(reference, 0).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
-def judge(docs: DataFrame, *, max_distance: float = 0.38, slack: float = 1.0, guard_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+def judge(docs: DataFrame, *, min_words: int = BASE_MIN_WORDS, max_distance: float = 0.38, slack: float = 1.0, guard_words: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
     """One row per row of docs: the base counts, base_failed, class_distance, word_distance, kept; and row_key if there is a key_col.
 
-    A document is rejected if the base rules fail it (fewer than 50 words, or over half its
-    words in repeated 3-word windows), or if it has guard_words words and the sum of its two
+    A document is rejected if the base rules fail it (fewer than min_words words, or over half
+    its words in repeated 3-word windows), or if it has guard_words words and the sum of its two
     distances passes max_distance + slack / sqrt(n_words): histograms of few words are noisy, so
-    short documents need clearer evidence. The distances of a text without words are null and
-    reject nothing. Languages without a word list, and null, share one reference. Repeated rows
-    get a row each; other columns are ignored; an empty table gives an empty result.
+    short documents need clearer evidence, and those below the guard are left to the base rules.
+    The guard decides only for a min_words below it. The distances of a text without words are
+    null and reject nothing; a language of which no document passes the base rules is not held
+    against references. Languages without a word list, and null, share one reference. Whole
+    texts count, however long; null ids stay null; repeated rows get a row each; other columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     stats = materialise(document_stats(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, key_col=key_col))
-    refs = references(stats)  # at most len(COMMON_WORDS) + 1 rows
-    failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = (
-        stats.withColumn("known", known_language(F.col("lang"))).join(F.broadcast(refs), "known", "left")
-        .withColumn("class_distance", js_distance("classes", "class_ref")).withColumn("word_distance", js_distance("words", "word_ref"))
-        .withColumn("base_failed", failed)
-    )
-    far = F.col("class_distance") + F.col("word_distance") > max_distance + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    odd = (F.col("n_words") >= guard_words) & F.coalesce(far, F.lit(False))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    good, far = stats.where(~failed & (F.col("n_words") >= guard_words)), is_far(max_distance, slack)
+    refs = references(distances(good, references(good)).where(~far))  # at most len(COMMON_WORDS) + 1 rows
+    scored = distances(stats, refs).withColumn("base_failed", failed)
+    odd = (F.col("n_words") >= guard_words) & far
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance", *(["row_key"] if key_col else []))
