@@ -270,38 +270,6 @@ def test_ppm_base_and_probabilities(docs):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
-def test_ppm_against_recursion():
-    """log_table against the textbook recursion, and every distribution sums to one."""
-    rng = np.random.default_rng(1)
-    text = rng.integers(0, 5, 400)
-    grams = Counter(tuple(text[i - 3 : i + 1].tolist()) for i in range(3, 400))
-    code = np.array([a << 18 | b << 12 | c << 6 | d for a, b, c, d in grams], np.int32)
-    table = ppm.log_table(code, np.array(list(grams.values()), np.float32)).reshape(-1, 64)
-    context = {}
-    for g, n in grams.items():
-        for k in range(4):
-            context.setdefault(g[3 - k : 3], Counter())[g[3]] += n
-
-    def p(ctx, s):
-        out, gone = 1.0, set()
-        for k in range(3, -1, -1):
-            c = context.get(ctx[3 - k :], Counter())
-            left = {x: n for x, n in c.items() if x not in gone}
-            total, kinds = sum(left.values()), len(left)
-            if s in left:
-                return out * left[s] / (total + kinds)
-            if kinds:
-                out *= kinds / (total + kinds)
-            gone |= set(left)
-        return out / (64 - len(gone))
-
-    for ctx in [(0, 1, 2), (4, 4, 4), (9, 1, 2), (9, 9, 9), (9, 9, 0)]:
-        row = table[ctx[0] << 12 | ctx[1] << 6 | ctx[2]]
-        assert abs((10.0 ** row.astype(float)).sum() - 1) < 1e-5
-        for s in (0, 1, 4, 7):
-            assert abs(row[s] - math.log10(p(ctx, s))) < 1e-4
-
-
 def test_sentencepiece_equals_library(spark, many):
     public, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
     path = public.path("piece_bpe_32k.model")
