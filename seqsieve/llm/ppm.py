@@ -31,7 +31,7 @@ from seqsieve.plans.workers import release_memory
 ORDER = 5
 END = b"\n"
 #: Bytes of text that share one list of runs and words, and that are laid out in memory at once.
-BLOCK_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 32 << 20, 2 << 20
 #: The part of the documents that is held out of training.
 FOLDS, HELD_OUT = 7, 2
 #: Cells of a table of runs by next byte, beyond which runs are sorted instead.
@@ -125,19 +125,27 @@ class Block:
     def add(self, part: Slice, trained: np.ndarray) -> None:
         n = part.run_counts(trained)
         self.runs.append((part.code[n >= 0], n[n >= 0]))
-        if sum(len(c) for c, _ in self.runs) > 3_000_000:
+        if sum(len(c) for c, _ in self.runs) > 1_000_000:
             self.runs = [merged(self.runs)]
         self.words.append(part.words)
         self.word_n.append(part.word_counts(trained))
+        if len(self.words) >= 8:
+            self.words, self.word_n = ([x] for x in self.all_words())
         self.ends += int(trained.sum())
         self.held += int(part.size.sum())
 
+    def all_words(self) -> tuple[pa.Array, np.ndarray]:
+        """The different words so far and their counts."""
+        found = pa.concat_arrays(self.words).dictionary_encode()
+        return found.dictionary, np.bincount(found.indices.to_numpy(), np.concatenate(self.word_n), len(found.dictionary)).astype(np.int64)
+
     def vocabulary(self) -> Iterator[pa.RecordBatch]:
         code, n = merged(self.runs)
         for at in range(0, len(code), 200_000):
             yield _rows(self.name, key=code[at : at + 200_000], n=n[at : at + 200_000])
-        found = pa.concat_arrays(self.words).dictionary_encode()
-        words, counts = [b"", *found.dictionary.to_pylist()], np.bincount(found.indices.to_numpy(), np.concatenate(self.word_n), len(found.dictionary)).astype(np.int64)
+        self.runs = []
+        found, counts = self.all_words()
+        self.words, words = [], [b"", *found.to_pylist()]
         key = word_keys(words, self.seed)
         while len(np.unique(key)) < len(key):  # two words of a block share a number: all get new ones
             self.seed += 1
@@ -155,7 +163,8 @@ DONE = "doc_id long, held boolean, n_tokens long, n_known long, gain double, sco
 
 def _rows(block: int, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array([block] * n if f.name == "block" else columns.get(f.name, [None] * n), f.type) for f in OWN], schema=OWN)
+    columns["block"] = np.full(n, block)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in OWN], schema=OWN)
 
 
 def read_blocks(rows: DataFrame, order: int, block_bytes: int, slice_bytes: int) -> DataFrame:
@@ -192,6 +201,7 @@ def read_blocks(rows: DataFrame, order: int, block_bytes: int, slice_bytes: int)
                         yield from close(packed)
                         blocks, packed = blocks + 1, []
                         block = Block(partition + blocks)
+                        release_memory()
         if wait:
             packed.append(take())
         if packed:
