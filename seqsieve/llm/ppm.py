@@ -31,7 +31,7 @@ from seqsieve.plans.workers import release_memory
 ORDER = 5
 END = b"\n"
 #: Bytes of text that share one list of runs and words, and that are laid out in memory at once.
-BLOCK_BYTES, SLICE_BYTES = 32 << 20, 2 << 20
+BLOCK_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
 #: The part of the documents that is held out of training.
 FOLDS, HELD_OUT = 7, 2
 #: Cells of a table of runs by next byte, beyond which runs are sorted instead.
