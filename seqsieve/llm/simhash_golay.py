@@ -43,8 +43,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
     else:
         hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(shingle)))), repeat(42))
-    n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
-    h = np.fromiter(hashes, np.uint64, n)
+    return majority(np.fromiter(hashes, np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
+    n, ones = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
@@ -64,7 +68,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 @lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(remainder of each 23-bit word as two tables' xor is avoided: per word), made by rule: syndrome of every 23-bit word's halves and the error of each syndrome."""
+    """(syndrome of each low half of 12 bits and then of each high half of 11 bits of a word, error of up to 3 bits of each syndrome); a word's syndrome is the exclusive or of its halves'."""
 
     def remainder(word: int) -> int:
         for bit in range(22, 10, -1):
@@ -118,20 +122,30 @@ def _ball_udf(fp: pd.Series) -> pd.Series:
     return pd.Series(list((fp.to_numpy(np.int64).view(np.uint64)[:, None] ^ ball).view(np.int64)))
 
 
+def shared_keys(distinct: DataFrame) -> DataFrame:
+    """(key, fp, n): the keys that n > 1 of the distinct fingerprints have."""
+    keys = distinct.select("fp", F.explode(_keys_udf("fp")).alias("key"))
+    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return materialise(keys.join(sizes, "key"))
+
+
+def small_links(shared: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """All pairs (a, b) at 2 or fewer differing bits that meet in a key of at most bucket fingerprints."""
+    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return small.select(F.inline(pairs))
+
+
 def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp with the same components as all pairs at 2 or fewer differing bits.
+    """Edges (a, b) between distinct fingerprints fp (no nulls; an empty table gives none) with the same components as all pairs at 2 or fewer differing bits.
 
     Keys of up to bucket fingerprints compare all their pairs. The fingerprints of larger keys
     instead meet in their one-bit neighbours: two lie within 2 bits exactly if they share one
     (or are each other's), no neighbour has more than 65 of them, and a chain through each
     neighbour's members gives the same components in linear space.
     """
-    keys = distinct.select("fp", F.explode(_keys_udf("fp")).alias("key"))
-    sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = materialise(keys.join(sizes, "key"))
-    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    links = small.select(F.inline(pairs))
+    shared = shared_keys(distinct)
+    links = small_links(shared, bucket)
     large = shared.where(F.col("n") > bucket).select("fp").distinct()
     balls = large.select("fp", F.explode(_ball_udf("fp")).alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
     chain = balls.select(F.inline(F.transform(F.expr("slice(m, 2, size(m) - 1)"), lambda x: F.struct(F.element_at("m", 1).alias("a"), x.alias("b")))))

@@ -9,7 +9,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
 from seqsieve.llm.quality import judge  # noqa: E402
-from tests.llm.test_documents import brute_fingerprint, brute_lines, components  # noqa: E402
+from tests.llm.test_documents import brute_lines  # noqa: E402
+from tests.llm.test_shingle_similarity import brute_pairs, brute_sets, groups  # noqa: E402
 
 
 def test_stages(spark, tmp_path):
@@ -24,7 +25,7 @@ def test_stages(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     a = stages["quality_rules"](spark, docs, str(tmp_path))
     assert a.columns == docs.columns
-    assert {r["doc_id"] for r in a.collect()} == {r["doc_id"] for r in judge(docs).where("kept").collect()} and not {300, 301, 302, 303} & {r["doc_id"] for r in a.collect()}
+    assert {r["doc_id"] for r in a.collect()} == {r["doc_id"] for r in judge(docs, min_words=1).where("kept").collect()} and 300 in {r["doc_id"] for r in a.collect()} and not {301, 302, 303} & {r["doc_id"] for r in a.collect()}
     held = [(r["doc_id"], r["text"], r["source"]) for r in a.collect()]
     b = stages["line_dedup"](spark, a, str(tmp_path))
     assert b.columns == docs.columns
@@ -34,10 +35,14 @@ def test_stages(spark, tmp_path):
     c = stages["simhash_dedup"](spark, b, str(tmp_path))
     assert c.columns == docs.columns
     ids = sorted(int(i) for i in got)
-    comp = components(ids, [brute_fingerprint(got[str(i)]) for i in ids])
-    assert {r["doc_id"] for r in c.collect()} == set(comp)
+    comp = {ids[k] for k in groups(len(ids), brute_pairs(brute_sets([got[str(i)] for i in ids])))}
+    assert {r["doc_id"] for r in c.collect()} == comp and len(comp) < len(ids)
     d = stages["packing"](spark, c, str(tmp_path))
-    assert {r["doc_id"] for r in d.collect()} == set(comp)
+    assert {r["doc_id"] for r in d.collect()} == comp
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert run.select("doc_id", "start", "length", "ids_crc32").exceptAll(d.select("doc_id", "start", "length", "ids_crc32")).count() == 0
-    assert docs.where(F.lit(False)).count() == stages["quality_rules"](spark, docs.where(F.lit(False)), "").count()
+    none = docs.where(F.lit(False))
+    assert all(stage(spark, none, "").count() == 0 for stage in stages.values())
+    more = docs.withColumns({c: F.lit("clash") for c in ("key", "kept", "row_key", "window", "round", "fp", "n_lines", "lang_", "band", "n_words")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, more, "").select(docs.columns).exceptAll(stage(spark, docs, "")).count() == 0, name
