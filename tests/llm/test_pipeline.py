@@ -45,4 +45,5 @@ def test_stages(spark, tmp_path):
     assert all(stage(spark, none, "").count() == 0 for stage in stages.values())
     more = docs.withColumns({c: F.lit("clash") for c in ("key", "kept", "row_key", "window", "round", "fp", "n_lines", "lang_", "band", "n_words")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, more, "").select(docs.columns).exceptAll(stage(spark, docs, "")).count() == 0, name
+        plain = lambda d: sorted(map(str, d.select(docs.columns).collect()))
+        assert plain(stage(spark, more, "")) == plain(stage(spark, docs, "")), name
