@@ -3,90 +3,113 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.functions.constants import SITES
+from seqsieve.functions.constants import BASES, SITES
 from seqsieve.functions.sequence import hamming
 from seqsieve.operators.components import connected_components
 from seqsieve.plans.materialise import materialise
 
 LENGTH = len(SITES)
+#: Last letters by which the distance transform is dealt out, and a distance beyond any.
+TILE, FAR = 3, 100
 
 
-def blocks(pattern: str, count: int, length: int = LENGTH) -> Column:
-    """count parts of the pattern with their numbers: two patterns at a distance below count agree in one of them."""
-    cuts = [i * length // count for i in range(count + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.substring(pattern, a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+def masked(patterns: DataFrame, column: str, distance: int, length: int = LENGTH) -> DataFrame:
+    """patterns with key: the pattern with each choice of distance positions hidden in turn. Two patterns within the distance share a key, and a key has at most 4 ** distance patterns, however the data are spread."""
+    places = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(1, length + 1), distance)])
+    key, hidden = F.col(column), patterns.withColumn("_hide", F.explode(places))
+    for i in range(distance):
+        key = F.overlay(key, F.lit("*"), F.get("_hide", i))
+    return hidden.withColumn("key", key).drop("_hide")
 
 
-def masked(pattern: str, length: int = LENGTH) -> Column:
-    """The pattern with each position hidden in turn: patterns at a distance of 1 share exactly one."""
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.concat(F.substring(pattern, 1, i), F.lit("*"), F.substring(pattern, i + 2, length)).alias("part")) for i in range(length)])
-
-
-def similar_patterns(left: DataFrame, right: DataFrame, distance: int, length: int = LENGTH) -> DataFrame:
-    """(a, b, distance) of distinct patterns of left.pattern and right.pattern within a distance.
-
-    For distance 1 they meet in masked keys, beyond in one of distance + 1 blocks; candidates
-    are verified and each pair stands once. At a distance of all positions every pair fits
-    and blocks can't help, so radii should stay below some 6.
-    """
-    keys = masked if distance == 1 else lambda p: blocks(p, distance + 1, length)
-    a = left.select(F.col("pattern").alias("a")).distinct().select("a", F.explode(keys("a")).alias("k")).select("a", "k.*")
-    b = right.select(F.col("pattern").alias("b")).distinct().select("b", F.explode(keys("b")).alias("k")).select("b", "k.*")
-    d = hamming(F.col("a"), F.col("b"), length)
-    return a.join(b, ["block", "part"]).withColumn("distance", d).where(F.col("distance") <= distance).select("a", "b", "distance").distinct()
+def similar_patterns(left: DataFrame, right: DataFrame, distance: int, length: int = LENGTH, once: bool = False) -> DataFrame:
+    """(a, b, distance) of distinct patterns of left.pattern and right.pattern within a distance, which should be small: rows meet in masked keys, of which each has length over distance. Candidates are verified and each pair stands once; with once, only with a < b."""
+    a = masked(left.select(F.col("pattern").alias("a")).distinct(), "a", distance, length)
+    b = masked(right.select(F.col("pattern").alias("b")).distinct(), "b", distance, length)
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) if once else a["key"] == b["key"]).select("a", "b").distinct()
+    return met.withColumn("distance", hamming(F.col("a"), F.col("b"), length))
 
 
 def similar_pairs(df: DataFrame, distance: int, length: int = LENGTH) -> DataFrame:
     """(a, b, distance) with a < b of the distinct patterns of one table."""
-    return similar_patterns(df, df, distance, length).where("a < b")
+    return similar_patterns(df, df, distance, length, once=True)
 
 
-def nearest_distance(df: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(pattern, distance) of each distinct pattern of df to its nearest of reference.pattern; null if reference is empty.
+def _code(pattern: str, first: int, n: int) -> Column:
+    """n letters of a pattern from first (from 1) on as a number in base 4."""
+    return F.conv(F.translate(F.substring(pattern, first, n), "".join(BASES), "0123"), 4, 10).cast("int")
+
 
-    Radii grow: 0 is an equi-join, 1 uses masked keys, then blocks; patterns whose neighbour
-    is found leave. What still stands at half the length has no near neighbour, which is
-    resolved against the base counts that bound it: in practice few rows, compared directly.
+def _relax(near: np.ndarray, axes: range) -> np.ndarray:
+    """Distances to the two nearest points, near[2, ...], after each of the axes of length 4 may be changed at a cost of 1.
+
+    Points that have reached a cell agree with it on all axes to come, so those of the four
+    cells along an axis differ, and the two least of their distances are exact.
+    """
+    for axis in axes:
+        one, two = near
+        first, second = one, two
+        for turn in (1, 2, 3):
+            other, third = np.roll(one, turn, axis) + 1, np.roll(two, turn, axis) + 1
+            first, second = np.minimum(first, other), np.minimum(np.maximum(first, other), np.minimum(second, third))
+        near = np.stack([first, second])
+    return np.minimum(near, FAR)
+
+
+def two_nearest(queries: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(pattern, nearest, second): distances of each distinct pattern of queries to the nearest and second nearest distinct pattern of reference (null for none).
+
+    An exact distance transform over all 4 ** length patterns. The first pass relaxes the last
+    letters, within each beginning that reference has; its results are dealt out anew by those
+    last letters, and the second pass relaxes the beginnings. So the cost of the middle is
+    bounded by the number of possible patterns, not by pairs of rows, and no cell of the deal
+    is larger than 4 ** (length - TILE) or depends on how the data are spread.
     """
-    rest = df.select("pattern").distinct()
-    known = materialise(reference.select("pattern").distinct())
-    done = rest.join(known, "pattern", "left_semi").select("pattern", F.lit(0).alias("distance"))
-    found = [materialise(done)]
-    rest = materialise(rest.join(known, "pattern", "left_anti"))
-    if known.isEmpty():
-        return rest.select("pattern", F.lit(None).cast("int").alias("distance"))
-    for radius in (*range(1, length // 2), length):
-        if rest.isEmpty():
-            break
-        near = similar_patterns(rest, known, radius, length).groupBy(F.col("a").alias("pattern")).agg(F.min("distance").alias("distance"))
-        found.append(materialise(near))
-        rest = materialise(rest.join(found[-1], "pattern", "left_anti"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    head, tail = length // 2, length - length // 2
+    tile = min(TILE, tail)
+    cells, inner = 4**tile, 4 ** (tail - tile)
+    known = reference.select("pattern").distinct().select(_code("pattern", 1, head).alias("head"), _code("pattern", head + 1, tail).alias("tail"))
+    asked = queries.select("pattern").distinct().select("pattern", _code("pattern", 1, head).alias("head"), _code("pattern", head + 1, tail).alias("tail"))
+
+    def tails(key: tuple, rows: pa.Table) -> pa.Table:
+        near = np.full((2, 4**tail), FAR, np.int8)
+        near[0, rows["tail"].to_numpy()] = 0
+        near = _relax(near.reshape(2, *[4] * tail), range(tail)).reshape(2, cells, inner)
+        return pa.table({"tile": pa.array(np.arange(cells), pa.int32()), "head": pa.array([key[0].as_py()] * cells, pa.int32()), "near": [near[:, i].tobytes() for i in range(cells)]})
+
+    def heads(left: pa.Table, right: pa.Table) -> pa.Table:
+        near = np.full((2, 4**head, inner), FAR, np.int8)
+        for at, raw in zip(right["head"].to_pylist(), right["near"].to_pylist(), strict=True):
+            near[:, at] = np.frombuffer(raw, np.int8).reshape(2, inner)
+        if len(left):
+            near = _relax(near.reshape(2, *[4] * head, inner), range(head)).reshape(2, 4**head, inner)
+        found = near[:, left["head"].to_numpy(), left["tail"].to_numpy() % inner].astype(np.int32)
+        return pa.table({"pattern": left["pattern"], "nearest": found[0], "second": found[1]})
+
+    first = known.groupBy("head").applyInArrow(tails, "tile int, head int, near binary")
+    asked = asked.withColumn("tile", F.floor(F.col("tail") / inner).cast("int"))
+    done = asked.groupBy("tile").cogroup(first.groupBy("tile")).applyInArrow(heads, "pattern string, nearest int, second int")
+    return done.select("pattern", *[F.when(F.col(c) < FAR, F.col(c)).alias(c) for c in ("nearest", "second")])
+
+
+def nearest_distance(df: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(pattern, distance) of each distinct pattern of df to its nearest of reference.pattern; null if reference is empty."""
+    return two_nearest(df, reference, length).select("pattern", F.col("nearest").alias("distance"))
 
 
 def leave_one_out(df: DataFrame, key: str = "cand_id", length: int = LENGTH) -> DataFrame:
     """(key, distance) to the nearest other row: 0 for a pattern that occurs twice, null for a table of one row."""
     sizes = df.groupBy("pattern").agg(F.count("*").alias("_n"))
-    lone = materialise(sizes.where("_n = 1").select("pattern"))
-    rest, found = lone, []
-    everyone = materialise(sizes.select("pattern"))
-    for radius in (*range(1, length // 2), length):
-        if rest.isEmpty():
-            break
-        near = similar_patterns(rest, everyone, radius, length).where("a <> b").groupBy(F.col("a").alias("pattern")).agg(F.min("distance").alias("distance"))
-        found.append(materialise(near))
-        rest = materialise(rest.join(found[-1], "pattern", "left_anti"))
-    out = sizes.where("_n > 1").select("pattern", F.lit(0).alias("distance"))
-    for f in found:
-        out = out.unionByName(f)
-    return df.select(key, "pattern").join(out, "pattern", "left").select(key, "distance")
+    found = sizes.join(two_nearest(df, df, length), "pattern").select("pattern", F.when(F.col("_n") > 1, 0).otherwise(F.col("second")).alias("distance"))
+    return df.select(key, "pattern").join(found, "pattern", "left").select(key, "distance")
 
 
 def outliers(pool: DataFrame, train: DataFrame, n_changed: Column, quantile: float = 0.95, key: str = "cand_id") -> DataFrame:
@@ -131,18 +154,42 @@ def nearest_prototype(df: DataFrame, prototypes: Sequence[str], length: int = LE
     return at
 
 
-def nearest_in_space(left: DataFrame, right: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """(key, distance): Euclidean distance to the nearest row of right, after both are standardised by their joint mean and deviation (ddof 0). right is the labelled side, which a batch budget bounds."""
+def nearest_in_space(left: DataFrame, right: DataFrame, columns: Sequence[str], key: str, points_per_cell: int = 16) -> DataFrame:
+    """(key, distance): Euclidean distance of each row of left to the nearest row of right, after both are standardised by their joint mean and deviation (ddof 0); null if right is empty.
+
+    Distinct points meet in the cells of a grid of growing width: a point and its candidates lie
+    in the same or a neighbouring cell, and what is found nearer than the width is final. Each
+    round doubles the width for the points that are still open, which are ever fewer: only
+    those without a point of right within the last width. Null coordinates count as the mean.
+    """
     both = left.select(*columns).unionByName(right.select(*columns))
     stats = both.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-
-    def scaled(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(stats)).withColumns({f"_z_{c}": F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0)) for c in columns})
-
-    points = scaled(right).select(*[F.col(f"_z_{c}").alias(f"_r_{c}") for c in columns]).distinct()
-    held = points.agg(F.collect_list(F.struct(*points.columns)).alias("_all"))
-    d = lambda p: sum((F.col(f"_z_{c}") - p[f"_r_{c}"]) * (F.col(f"_z_{c}") - p[f"_r_{c}"]) for c in columns)
-    return scaled(left).join(F.broadcast(held)).select(key, F.sqrt(F.array_min(F.transform("_all", d))).alias("distance"))
+    names = [f"z{i}" for i in range(len(columns))]
+
+    def scaled(df: DataFrame, *keep: str) -> DataFrame:
+        z = [F.coalesce(F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")), F.lit(0.0)).alias(n) for c, n in zip(columns, names, strict=True)]
+        return df.join(F.broadcast(stats)).select(*keep, *z)
+
+    rows = materialise(scaled(left, key))
+    points = materialise(scaled(right).distinct())
+    rest = materialise(rows.select(*names).distinct())
+    n = points.count()
+    ranges = points.agg(*[(F.max(z) - F.min(z)).alias(z) for z in names]).first()
+    if not n:
+        return rows.select(key, F.lit(None).cast("double").alias("distance"))
+    found, width = [], max(1e-6, max(ranges)) / max(1.0, (n / points_per_cell) ** (1 / len(columns)))
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=len(columns))])
+    while not rest.isEmpty():
+        cell = lambda z, shift=0: F.floor(F.col(z) / width).cast("long") + shift  # noqa: B023,E731
+        near = points.withColumn("_s", F.explode(steps)).select(*[F.col(z).alias(f"r_{z}") for z in names], *[cell(z, F.get("_s", i)).alias(f"c_{z}") for i, z in enumerate(names)])
+        asked = rest.select(*names, *[cell(z).alias(f"c_{z}") for z in names])
+        d = F.sqrt(sum((F.col(z) - F.col(f"r_{z}")) * (F.col(z) - F.col(f"r_{z}")) for z in names))
+        best = materialise(asked.join(near, [f"c_{z}" for z in names]).groupBy(*names).agg(F.min(d).alias("distance")).where(F.col("distance") <= width))
+        found.append(best)
+        rest = materialise(rest.join(best, names, "left_anti"))
+        width *= 2
+    done = reduce(DataFrame.unionByName, found) if found else rest.withColumn("distance", F.lit(None).cast("double"))
+    return rows.join(done, names).select(key, "distance")
 
 
 def pair_histogram(df: DataFrame, distance: int) -> DataFrame:
