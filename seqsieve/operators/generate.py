@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions.constants import BASES, RUNS, SITES, WILD_TYPE
 from seqsieve.functions.sequence import WILD_PATTERN, gc_shift, hamming
-from seqsieve.operators.ranking import seeded_order
+from seqsieve.operators.ranking import numbered, seeded_order
 from seqsieve.plans.materialise import materialise
 
 
@@ -98,25 +98,29 @@ def local_mutants(parents: DataFrame, n_sites: int, per_parent: int, seed: int,
 def one_hop(frontier: DataFrame, low: int = 0, high: int = len(SITES), carry: Sequence[str] = ()) -> DataFrame:
     """All patterns at one change from each row of frontier.pattern (parent, pattern and carried columns), with low to high changes from the wild type."""
     place = F.explode(F.sequence(F.lit(1), F.lit(len(SITES)))).alias("i")
-    rows = frontier.select(*carry, F.col("pattern").alias("parent"), place).withColumn("b", F.explode(F.split(F.lit(",".join(BASES)), ",")))
+    rows = materialise(frontier.select(*carry, F.col("pattern").alias("parent"))).select(*carry, "parent", place).withColumn("b", F.explode(F.split(F.lit(",".join(BASES)), ",")))
     rows = rows.where(F.substring(F.col("parent"), F.col("i"), F.lit(1)) != F.col("b"))
     new = rows.withColumn("pattern", F.overlay("parent", "b", "i", F.lit(1)))
-    n = hamming(F.col("pattern"), F.lit(WILD_PATTERN))
-    return new.where((n >= low) & (n <= high)).select(*carry, "parent", "pattern")
+    if low > 0 or high < len(SITES):
+        n = hamming(F.col("pattern"), F.lit(WILD_PATTERN))
+        new = new.where((n >= low) & (n <= high))
+    return new.select(*carry, "parent", "pattern")
 
 
 def two_hop(frontier: DataFrame, limit: int, seed: int, low: int = 0, high: int = len(SITES), carry: Sequence[str] = ()) -> DataFrame:
     """Up to limit of the 702 patterns at two changes from each parent, by hash order."""
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j")) for i, j in combinations(range(len(SITES)), 2)])
     bases = F.split(F.lit(",".join(BASES)), ",")
-    rows = frontier.select(*carry, F.col("pattern").alias("parent"), F.explode(pairs).alias("p")).select(*carry, "parent", "p.i", "p.j")
+    rows = materialise(frontier.select(*carry, F.col("pattern").alias("parent"))).select(*carry, "parent", F.explode(pairs).alias("p")).select(*carry, "parent", "p.i", "p.j")
     rows = rows.withColumn("b", F.explode(bases)).withColumn("c", F.explode(bases))
     at = lambda x: F.substring(F.col("parent"), F.col(x), F.lit(1))
     rows = rows.where((at("i") != F.col("b")) & (at("j") != F.col("c")))
     new = rows.withColumn("pattern", F.overlay(F.overlay("parent", "b", "i", F.lit(1)), F.col("c"), F.col("j"), F.lit(1)))
-    n = hamming(F.col("pattern"), F.lit(WILD_PATTERN))
+    if low > 0 or high < len(SITES):
+        n = hamming(F.col("pattern"), F.lit(WILD_PATTERN))
+        new = new.where((n >= low) & (n <= high))
     place = F.row_number().over(Window.partitionBy(*carry, "parent").orderBy(seeded_order(F.lit(seed), F.col("pattern")), "pattern"))
-    return new.where((n >= low) & (n <= high)).withColumn("_p", place).where(F.col("_p") <= limit).select(*carry, "parent", "pattern")
+    return new.withColumn("_p", place).where(F.col("_p") <= limit).select(*carry, "parent", "pattern")
 
 
 def spread_best(df: DataFrame, score: str, n: int, distance: int, head: int, key: str = "cand_id") -> DataFrame:
@@ -184,16 +188,27 @@ def prototype_groups(ranked: DataFrame, search: str, top: int, separation: int)
     return x.select(search, "pattern", "pred", F.when(F.coalesce(F.col("d2") < F.col("d1"), F.lit(False)), 2).otherwise(1).alias("group"))
 
 
-def variant_corpus(parents: DataFrame, known: DataFrame, n: int, seed: int, oversample: int = 3) -> DataFrame:
-    """(pattern, sequence): n different new variants: a parent by hash, each site changed with probability one half, known ones excluded. Fewer if the space has fewer."""
+def variant_corpus(parents: DataFrame, known: DataFrame, n: int, seed: int, oversample: int = 3, rounds: int = 6) -> DataFrame:
+    """(pattern, sequence): n different new variants: a parent by hash, each site changed with probability one half, known ones excluded.
+
+    What a round of draws leaves open the next one draws, twice as many; after the rounds fewer
+    than n stand only if new variants are rarer than some one in sixty draws.
+    """
     spark = parents.sparkSession
-    numbered = materialise(parents.select("pattern").distinct().withColumn("_p", F.row_number().over(Window.orderBy(seeded_order(F.lit(seed), F.col("pattern"))))))
-    size = numbered.count()
-    h = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string")).cast("binary"))
-    drawn = spark.range(n * oversample).withColumn("h", h).withColumn("_p", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(max(1, size))) + 1).join(numbered, "_p")
-    new = F.concat(*[F.when(hex_number(F.col("h"), i + 9, 1) < 8, F.substring(F.lit(BASES), F.floor(hex_number(F.col("h"), i + 9, 1) / 2).cast("int") + 1, F.lit(1))).otherwise(F.substring("pattern", i + 1, 1)) for i in range(len(SITES))])
-    fresh = drawn.select("id", new.alias("pattern")).groupBy("pattern").agg(F.min("id").alias("id")).join(known.select("pattern"), "pattern", "left_anti")
-    return fresh.orderBy("id").limit(n).select("pattern", sequence_of(F.col("pattern")).alias("sequence"))
+    ordered = numbered(parents.select("pattern").distinct().withColumn("_o", seeded_order(F.lit(seed), F.col("pattern"))), ["_o", "pattern"], "_p").drop("_o")
+    size, kept, first = ordered.count(), None, 0
+    for _ in range(rounds if size else 0):
+        h = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string")).cast("binary"))
+        drawn = spark.range(first, first + n * oversample).withColumn("h", h).withColumn("_p", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(size)) + 1).join(ordered, "_p")
+        new = F.concat(*[F.when(hex_number(F.col("h"), i + 9, 1) < 8, F.substring(F.lit(BASES), F.floor(hex_number(F.col("h"), i + 9, 1) / 2).cast("int") + 1, F.lit(1))).otherwise(F.substring("pattern", i + 1, 1)) for i in range(len(SITES))])
+        fresh = drawn.select("id", new.alias("pattern")).join(known.select("pattern"), "pattern", "left_anti")
+        kept = materialise((fresh if kept is None else fresh.unionByName(kept)).groupBy("pattern").agg(F.min("id").alias("id")))
+        if kept.count() >= n:
+            break
+        first, oversample = first + n * oversample, 2 * oversample
+    if kept is None:
+        return parents.select("pattern", sequence_of(F.col("pattern")).alias("sequence")).limit(0)
+    return kept.orderBy("id").limit(n).select("pattern", sequence_of(F.col("pattern")).alias("sequence"))
 
 
 def masked_tokens(df: DataFrame, tokens: str, key: str, seed: int, vocabulary: int, mask_id: int, first_plain: int) -> DataFrame:

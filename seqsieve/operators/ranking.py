@@ -24,17 +24,23 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str]
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(name) <= k)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
-    """df with its row number in the table, from 1, by ascending order columns.
+def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequence[str] = ()) -> DataFrame:
+    """df with its row number from 1, by ascending order columns, in the table or in each group.
 
-    A range shuffle sorts the table; the counts of its partitions, one row each, give every
-    partition's offset. Nothing is sorted in one task.
+    A range shuffle sorts the table; the counts of its partitions, one row each (and group that
+    they hold), give every partition's offset. Nothing is sorted in one task, nor is a group.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = materialise(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    heads = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_head"))
-    return ranged.join(F.broadcast(heads), "_part").withColumn(name, F.col("_head") + F.col("_in")).drop("_part", "_in", "_head")
+    by = [*groups, *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order))))
+    counts = ranged.groupBy("_part", *groups).agg(F.count("*").alias("_n"))
+    over = (Window.partitionBy(*groups) if groups else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select(F.col("_part").alias("_nth"), *[F.col(g).alias(f"_nth{i}") for i, g in enumerate(groups)], F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_head"))
+    same = F.col("_part") == F.col("_nth")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_nth{i}"))
+    joined = ranged.join(heads if groups else F.broadcast(heads), same)
+    return joined.withColumn(name, F.col("_head") + F.col("_in")).drop("_part", "_in", "_head", "_nth", *[f"_nth{i}" for i in range(len(groups))])
 
 
 def average_rank_of_table(df: DataFrame, value: str, name: str = "rank") -> DataFrame:

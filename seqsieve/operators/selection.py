@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.functions.sequence import hamming
-from seqsieve.operators.ranking import seeded_order
+from seqsieve.operators.ranking import numbered, seeded_order
 from seqsieve.plans.materialise import materialise
 
 
@@ -134,9 +134,9 @@ def grouped_batch(pool: DataFrame, group: str, budget: int, score: str, key: str
 
 def replica_allocation(df: DataFrame, score: str, variance: str, budget: int, key: str = "cand_id") -> DataFrame:
     """(key, top, weighted): replicas by two plans: one each for the budget best, and the budget shared in proportion to variance with remainders to the largest."""
-    top = (F.row_number().over(Window.orderBy(score, key)) <= budget).cast("int")
-    part = F.col(variance) / F.sum(variance).over(Window.partitionBy(F.lit(1))) * budget
-    rows = df.withColumn("top", top).withColumn("_w", F.floor(part)).withColumn("_f", part - F.floor(part))
-    rest = budget - F.sum("_w").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.orderBy(F.desc("_f"), key))
-    return rows.withColumn("weighted", F.col("_w") + (place <= rest).cast("int")).select(key, "top", "weighted")
+    total = df.agg(F.sum(variance).cast("double")).first()[0] or 1.0
+    part = F.col(variance) / F.lit(total) * budget
+    rows = df.withColumn("_w", F.floor(part)).withColumn("_f", F.floor(part) - part)
+    rest = budget - (rows.agg(F.sum("_w")).first()[0] or 0)
+    placed = numbered(numbered(rows, [score, key], "_top"), ["_f", key], "_place")
+    return placed.select(key, (F.col("_top") <= budget).cast("int").alias("top"), (F.col("_w") + (F.col("_place") <= rest).cast("int")).alias("weighted"))

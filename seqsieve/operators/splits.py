@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators.ranking import average_rank, seeded_order
+from seqsieve.operators.ranking import average_rank, numbered, seeded_order
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
@@ -19,9 +19,10 @@ def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
 
 
 def by_order(df: DataFrame, key: str) -> DataFrame:
-    """df (with seed) with rn, its number in its seed's order, and n."""
-    by = Window.partitionBy("seed")
-    return df.withColumn("rn", F.row_number().over(by.orderBy(seeded_order(F.col("seed"), F.col(key)), key))).withColumn("n", F.count("*").over(by))
+    """df (with seed) with rn, its number in its seed's order, and n, the rows of the seed."""
+    sizes = df.groupBy(F.col("seed").alias("_seed")).agg(F.count("*").alias("n"))
+    placed = numbered(df.withColumn("_order", seeded_order(F.col("seed"), F.col(key))), ["_order", key], "rn", ["seed"]).drop("_order")
+    return placed.join(F.broadcast(sizes), F.col("seed").eqNullSafe(F.col("_seed"))).drop("_seed")  # one row a seed
 
 
 def train_test(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -52,9 +53,10 @@ def k_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
 def group_folds(groups: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, size, fold): groups by size, dealt out in serpentine order, so that no group straddles folds and fold sizes stay within one group's size."""
     sizes = groups.groupBy(group).agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), group)) - 1
+    place = F.col("_place") - 1
     lap, at = F.floor(place / folds), F.pmod(place, F.lit(folds))
-    return sizes.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(folds - 1 - at).cast("int"))
+    placed = numbered(sizes.withColumn("_down", -F.col("size")), ["_down", group], "_place")
+    return placed.select(group, "size", F.when(lap % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"))
 
 
 def stratified_subset(df: DataFrame, value: str, key: str, seed: int, per_bin: int, edges: DataFrame, bin_of: Column) -> DataFrame:
@@ -101,10 +103,9 @@ def permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> Data
     """Negative control: each column independently permuted among training rows of its seed, by pairing two hash orders of the same rows."""
     train, rest = df.where("role = 'train'"), df.where("role <> 'train'")
     for i, c in enumerate(columns):
-        a = F.row_number().over(Window.partitionBy("seed").orderBy(seeded_order(F.lit(f"{seed}a{i}"), F.col(key)), key))
-        b = F.row_number().over(Window.partitionBy("seed").orderBy(seeded_order(F.lit(f"{seed}b{i}"), F.col(key)), key))
-        values = train.select("seed", F.col(c).alias("_v"), b.alias("_at"))
-        train = train.withColumn("_at", a).drop(c).join(values, ["seed", "_at"]).withColumnRenamed("_v", c).drop("_at")
+        placed = lambda d, tag: numbered(d.withColumn("_order", seeded_order(F.lit(f"{seed}{tag}{i}"), F.col(key))), ["_order", key], "_at", ["seed"])  # noqa: B023,E731
+        values = placed(train.select("seed", key, F.col(c).alias("_v")), "b").select("seed", "_at", "_v")
+        train = placed(train.drop(c), "a").drop("_order").join(values, ["seed", "_at"]).withColumnRenamed("_v", c).drop("_at")
     return train.select(df.columns).unionByName(rest)
 
 
