@@ -68,7 +68,7 @@ def estimator(name: str, seed: int = 0):
     return {
         "rf": lambda: RandomForestRegressor(**common, numTrees=30, maxDepth=6, seed=seed),
         "gbt": lambda: GBTRegressor(**common, maxIter=15, maxDepth=3, stepSize=0.2, seed=seed),
-        "linear": lambda: LinearRegression(**common, regParam=1e-3),
+        "linear": lambda: LinearRegression(**common, regParam=0.0, solver="normal"),
         "lasso": lambda: LinearRegression(**common, regParam=0.02, elasticNetParam=1.0),
     }[name]()
 
@@ -143,14 +143,47 @@ def shadow_selection(df: DataFrame, features: Sequence[str], target: str, key: s
     return chosen or sorted(features, key=lambda f: (-hits[f], f))[:3]
 
 
-def forward_selection(df: DataFrame, features: Sequence[str], target: str, k: int, score: Callable[[list[str]], float]) -> list[str]:
-    """k features, each round the one whose addition scores best; a bounded loop of fits that run on Spark."""
+def held_out_score(df: DataFrame, features: Sequence[str], target: str, learner: str, fold: str = "fold", held: int = 0) -> float:
+    """1 - mean squared error / variance on the held fold, of a model of the other folds; minus infinity without rows on a side."""
+    model = fit(df.where(F.col(fold) != held), features, target, learner)
+    rest = predict(model, df.where(F.col(fold) == held), features)
+    found = rest.agg((1 - F.try_divide(F.avg((F.col("pred") - F.col(target)) * (F.col("pred") - F.col(target))), F.var_pop(target))).alias("r2")).first()["r2"]
+    return float("-inf") if found is None else found
+
+
+def forward_selection(features: Sequence[str], k: int, score: Callable[[list[str]], float]) -> list[str]:
+    """k features in the order of their choice: each round the one whose addition scores best, ties to the smaller name. A bounded loop of fits that run on Spark."""
     chosen: list[str] = []
     while len(chosen) < min(k, len(features)):
         chosen.append(max(sorted(set(features) - set(chosen)), key=lambda f: score([*chosen, f])))
     return chosen
 
 
+def backward_selection(features: Sequence[str], k: int, score: Callable[[list[str]], float]) -> list[str]:
+    """k features, sorted: each round the one goes without which the others score best, ties to the smaller name."""
+    left = sorted(features)
+    while len(left) > max(1, k):
+        left.remove(max(left, key=lambda f: score([x for x in left if x != f])))
+    return left
+
+
+def recursive_elimination(df: DataFrame, features: Sequence[str], target: str, k: int, learner: str = "linear") -> list[str]:
+    """k features, sorted: each round a model of those left is fitted and the least important goes, by the forest's importance or the standardised coefficient; ties to the larger name."""
+    spread = df.agg(*[F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f) for f in features]).first()
+    left = sorted(features)
+    while len(left) > max(1, k):
+        model = fit(df, left, target, learner)
+        weights = model.coefficients.toArray() if learner in ("linear", "lasso") else model.featureImportances.toArray()
+        size = {f: abs(w) * (spread[f] if learner in ("linear", "lasso") else 1.0) for f, w in zip(left, weights, strict=True)}
+        left.remove(min(reversed(left), key=lambda f: size[f]))
+    return left
+
+
+def mean_fusion(predictions: Sequence[str]) -> Column:
+    """Mean of several models' predictions; null if any is."""
+    return sum(map(F.col, predictions)) / F.lit(float(len(predictions)))
+
+
 def rank_fusion(df: DataFrame, groups: Sequence[str], scores: Sequence[str], weights: Sequence[float] | None = None) -> Column:
     """Mean (or weighted mean) of the average ranks of several scores in a group."""
     w = weights or [1.0] * len(scores)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import combinations, product
+from math import exp, factorial
 
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions import sequence as S
@@ -38,27 +42,27 @@ def c1(p):
 
 @query("c2_stratified", "patterned", oracle="SELECT * FROM (VALUES (2, 200::BIGINT, 200::BIGINT, true), (3, 300, 300, true), (4, 300, 300, true)) v(n_changed, n, n_distinct, fine)")
 def c2(v):
-    made = C.stratified_candidates(v.sparkSession, {2: 200, 3: 300, 4: 300}, v.where("cand_id % 4 = 0").select("pattern").distinct(), 11)
-    excluded = v.where("cand_id % 4 = 0").select("pattern").distinct().withColumn("bad", F.lit(True))
+    made = C.stratified_candidates(v.sparkSession, {2: 200, 3: 300, 4: 300}, v.select("pattern").distinct(), 11)
+    excluded = v.select("pattern").distinct().withColumn("bad", F.lit(True))
     x = made.join(excluded, "pattern", "left")
     fine = F.bool_and(F.col("bad").isNull() & (S.changed_count(F.col("sequence")) == F.col("n_changed")) & S.contract_reason(F.col("sequence")).isNull())
     return x.groupBy("n_changed").agg(F.count("*").alias("n"), F.countDistinct("pattern").alias("n_distinct"), fine.alias("fine"))
 
 
-@query("c3_local_mutants", "labelled", oracle="SELECT cand_id, 5::BIGINT AS n, true AS fine FROM labelled WHERE cand_id % 10 = 0")
+@query("c3_local_mutants", "labelled", oracle="SELECT cand_id, 5::BIGINT AS n, true AS fine FROM labelled")
 def c3(known):
-    parents = known.where("cand_id % 10 = 0").select("cand_id", "pattern")
+    parents = known.select("cand_id", "pattern")
     made = C.local_mutants(parents, 2, 5, 3)
     x = made.join(parents.select("cand_id", F.col("pattern").alias("parent")), "cand_id")
     return x.groupBy("cand_id").agg(F.count("*").alias("n"), F.bool_and(S.hamming(F.col("pattern"), F.col("parent")) == 2).alias("fine"))
 
 
-HOPS = f"""f AS (SELECT DISTINCT pattern AS parent FROM labelled WHERE cand_id % 20 = 0), h AS (SELECT parent, concat(substr(parent, 1, i - 1), b, substr(parent, i + 1, 13)) AS pattern FROM f, range(1, 14) r(i), (VALUES ('A'), ('C'), ('G'), ('U')) x(b) WHERE substr(parent, i, 1) <> b),
+HOPS = f"""f AS (SELECT DISTINCT pattern AS parent FROM labelled), h AS (SELECT parent, concat(substr(parent, 1, i - 1), b, substr(parent, i + 1, 13)) AS pattern FROM f, range(1, 14) r(i), (VALUES ('A'), ('C'), ('G'), ('U')) x(b) WHERE substr(parent, i, 1) <> b),
 hops AS (SELECT * FROM h WHERE hamming(pattern, '{S.WILD_PATTERN}') BETWEEN 1 AND 5)"""
 
 
 def _frontier(known):
-    return known.where("cand_id % 20 = 0").select("pattern").distinct()
+    return known.select("pattern").distinct()
 
 
 @query("c4_one_hop", "labelled", oracle=f"WITH {HOPS} SELECT parent, pattern FROM hops")
@@ -67,11 +71,11 @@ def c4(known):
 
 
 @query("c5_two_hop", "labelled", oracle="""
-WITH f AS (SELECT DISTINCT pattern AS parent FROM labelled WHERE cand_id % 40 = 0), b AS (SELECT unnest(['A', 'C', 'G', 'U']) AS b),
+WITH f AS (SELECT DISTINCT pattern AS parent FROM labelled), b AS (SELECT unnest(['A', 'C', 'G', 'U']) AS b),
 h AS (SELECT parent, concat(substr(parent, 1, i - 1), x.b, substr(parent, i + 1, j - i - 1), y.b, substr(parent, j + 1, 13)) AS pattern FROM f, range(1, 14) r(i), range(1, 14) q(j), b x, b y WHERE i < j AND substr(parent, i, 1) <> x.b AND substr(parent, j, 1) <> y.b),
 n AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY md5(concat('4:', pattern)), pattern) AS rn FROM h) SELECT parent, pattern FROM n WHERE rn <= 40""")
 def c5(known):
-    return C.two_hop(known.where("cand_id % 40 = 0").select("pattern").distinct(), 40, 4)
+    return C.two_hop(known.select("pattern").distinct(), 40, 4)
 
 
 @query("c6_initial_seeds", "labelled")
@@ -89,7 +93,7 @@ def c7(p, known):
 
 
 def _searches(known):
-    return known.where("cand_id % 20 = 0").select((F.col("cand_id") % 3).alias("search_id"), "pattern").distinct()
+    return known.select((F.col("cand_id") % 3).alias("search_id"), "pattern").distinct()
 
 
 SEARCH_HOPS = HOPS.replace("SELECT DISTINCT pattern AS parent FROM labelled", "SELECT DISTINCT cand_id % 3 AS search_id, pattern AS parent FROM labelled").replace("SELECT parent, concat", "SELECT search_id, parent, concat")
@@ -102,7 +106,7 @@ def c9(known):
     return C.survive(scored, "search_id", 8, 3)
 
 
-@query("c10_generation", "labelled", oracle=f"WITH {SEARCH_HOPS.replace('BETWEEN 1 AND 5', 'BETWEEN 0 AND 13')}, v AS (SELECT DISTINCT cand_id % 3 AS search_id, pattern FROM labelled WHERE cand_id % 20 = 0) SELECT search_id, pattern, min(parent) AS parent, {PREFERENCE.format('pattern')} AS pred FROM hops ANTI JOIN v USING (search_id, pattern) GROUP BY 1, 2")
+@query("c10_generation", "labelled", oracle=f"WITH {SEARCH_HOPS.replace('BETWEEN 1 AND 5', 'BETWEEN 0 AND 13')}, v AS (SELECT DISTINCT cand_id % 3 AS search_id, pattern FROM labelled) SELECT search_id, pattern, min(parent) AS parent, {PREFERENCE.format('pattern')} AS pred FROM hops ANTI JOIN v USING (search_id, pattern) GROUP BY 1, 2")
 def c10(known):
     f = _searches(known)
     scored, _ = C.generation(f, f, "search_id", score(), 8, 2)
@@ -233,40 +237,95 @@ def m4(f):
     return rounded(M.information_scores(f, FEATURES, "y"))
 
 
-@query("m5_tree_screen", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+F_SCORES = "fs AS (SELECT feature, score FROM (UNPIVOT (SELECT " + ", ".join(f"(count(*) - 2) * corr({c}, y) * corr({c}, y) / (1 - corr({c}, y) * corr({c}, y)) AS {c}" for c in FEATURES) + " FROM features) ON COLUMNS(*) INTO NAME feature VALUE score))"
+#: The feature that explains most by itself. It explains nearly all of y, so any sound screen must put it first.
+STRONGEST = f"WITH {F_SCORES} SELECT feature FROM fs ORDER BY score DESC, feature LIMIT 1"
+
+
+def residuals(source: str, features, name: str = "res") -> str:
+    """CTEs that end with name(g, id, w, y, r, ...): least squares with weights w in each group g of source(g, id, w, y, features), as r = y - prediction for all rows, w = 0 included.
+
+    Columns are centred by the weighted means and then made orthogonal one after another; what is left of y at last is its residual.
+    """
+    features = list(features)
+    mean = lambda c: f"{c} - sum(w * {c}) OVER (PARTITION BY g) / sum(w) OVER (PARTITION BY g) AS {c}"
+    ctes = [f"{name}0 AS (SELECT g, id, w, y, y AS r, {', '.join(features)} FROM {source})", f"{name}00 AS (SELECT g, id, w, y, {', '.join(map(mean, ['r', *features]))} FROM {name}0)"]
+    last = f"{name}00"
+    for i, f in enumerate(features):
+        rest = features[i + 1 :]
+        less = lambda c: f"{c} - {f} * sum(w * {f} * {c}) OVER (PARTITION BY g) / sum(w * {f} * {f}) OVER (PARTITION BY g) AS {c}"  # noqa: B023,E731
+        now = name if not rest else f"{name}{i + 1}"
+        ctes.append(f"{now} AS (SELECT g, id, w, y, {', '.join(map(less, ['r', *rest]))} FROM {last})")
+        last = now
+    return ", ".join(ctes)
+
+
+R2 = "round(1 - avg(r * r) / var_pop(y), 6) AS r2"
+FOLDED = "fo AS (SELECT *, ((row_number() OVER (ORDER BY md5(concat('1:', id)), id) - 1) % 3)::INTEGER AS fold FROM features)"
+OTHER_FOLDS = f"{FOLDED}, src AS (SELECT k.g, (fold <> k.g)::INTEGER AS w, fo.* FROM fo, (VALUES (0), (1), (2)) k(g))"
+SPLIT = "o AS (SELECT v.*, s.g, row_number() OVER (PARTITION BY s.g ORDER BY md5(concat(s.g, ':', v.id)), v.id) AS rn, count(*) OVER (PARTITION BY s.g) AS n FROM features v, (VALUES (1), (2)) s(g)), src AS (SELECT *, (rn > ceil(n * 0.3))::INTEGER AS w FROM o)"
+
+
+@query("m5_tree_screen", "features", oracle=STRONGEST)
 def m5(f):
     return M.top_features(M.tree_importance(f, FEATURES, "y"), 1).select("feature")
 
 
-@query("m6_permutation", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+@query("m6_permutation", "features", oracle=STRONGEST)
 def m6(f):
     found = M.permutation_importance(f, FEATURES, "y", "linear", 1, "id")
     return M.top_features(found, 1).select("feature")
 
 
-@query("m7_lasso", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+@query("m7_lasso", "features", oracle=STRONGEST)
 def m7(f):
     return M.top_features(M.lasso_selection(f, FEATURES, "y"), 1).select("feature")
 
 
-@query("m8_shadow", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+@query("m8_shadow", "features")
 def m8(f):
+    """All features that the shadows leave; tests hold it on a table with two planted features."""
     chosen = M.shadow_selection(f, FEATURES, "y", "id")
     return f.sparkSession.createDataFrame([(c,) for c in chosen], "feature string")
 
 
-@query("m9_forward", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+def _subset_scores(sizes) -> str:
+    """CTEs that end with sc(names, r2): the held-out score on fold 0 of least squares of the other folds, for every subset of FEATURES of the given sizes."""
+    subsets = [c for n in sizes for c in combinations(sorted(FEATURES), n)]
+    parts = [f"SELECT '{'|'.join(c)}' AS names, (WITH {residuals('one', c, 'q')} SELECT 1 - avg(r * r) / var_pop(y) FROM q WHERE w = 0) AS r2" for c in subsets]
+    return f"{FOLDED}, one AS (SELECT 0 AS g, (fold <> 0)::INTEGER AS w, * FROM fo), sc AS ({' UNION ALL '.join(parts)})"
+
+
+def _scored(f):
+    d = materialise(_folds(f))
+    return lambda names: M.held_out_score(d, names, "y", "linear")
+
+
+def _listed(f, names):
+    return f.sparkSession.createDataFrame(list(enumerate(names, 1)), "place int, feature string")
+
+
+@query("m9_forward", "features", oracle=f"""
+WITH {_subset_scores((1, 2))}, a AS (SELECT names FROM sc WHERE NOT contains(names, '|') ORDER BY r2 DESC, names LIMIT 1), b AS (SELECT string_split(sc.names, '|') AS x FROM sc, a WHERE contains(sc.names, '|') AND list_contains(string_split(sc.names, '|'), a.names) ORDER BY r2 DESC, sc.names LIMIT 1)
+SELECT 1 AS place, names AS feature FROM a UNION ALL SELECT 2, CASE WHEN x[1] = names THEN x[2] ELSE x[1] END FROM a, b""")
 def m9(f):
-    d = materialise(f)
+    return _listed(f, M.forward_selection(FEATURES, 2, _scored(f)))
 
-    def gain(names):
-        return M.fit(d, names, "y", "linear").summary.r2
 
-    first = M.forward_selection(d, FEATURES, "y", 1, gain)
-    return f.sparkSession.createDataFrame([(c,) for c in first], "feature string")
+@query("m9_backward", "features", oracle=f"""
+WITH {_subset_scores((4, 3))}, a AS (SELECT string_split(names, '|') AS x FROM sc WHERE len(string_split(names, '|')) = 4 ORDER BY r2 DESC, names DESC LIMIT 1), b AS (SELECT string_split(names, '|') AS z FROM sc, a WHERE len(string_split(names, '|')) = 3 AND list_has_all(x, string_split(names, '|')) ORDER BY r2 DESC, names DESC LIMIT 1)
+SELECT i::INTEGER AS place, z[i] AS feature FROM b, range(1, 4) t(i)""")
+def m9_backward(f):
+    return _listed(f, M.backward_selection(FEATURES, 3, _scored(f)))
 
 
-@query("m10_force_keep", "features", oracle="SELECT * FROM (VALUES ('f_quantity'), ('f_tax')) v(feature)")
+@query("m9_rfe", "features", oracle=STRONGEST)
+def m9_rfe(f):
+    d = materialise(f)
+    return _listed(f, M.recursive_elimination(d, FEATURES, "y", 1)).select("feature")
+
+
+@query("m10_force_keep", "features", oracle=f"WITH {F_SCORES} SELECT 'f_tax' AS feature UNION ALL (SELECT feature FROM fs WHERE feature <> 'f_tax' ORDER BY score DESC, feature LIMIT 1)")
 def m10(f):
     return M.top_features(M.f_scores(f, FEATURES, "y"), 2, forced=["f_tax"]).select("feature")
 
@@ -277,7 +336,7 @@ def m11(s):
     return M.stable_features(folded, 5, 0.6, ["method"])
 
 
-@query("m12_refine", "features", oracle="SELECT * FROM (VALUES ('f_quantity')) v(feature)")
+@query("m12_refine", "features", oracle=STRONGEST)
 def m12(f):
     """Screen by trees, refine what is left by F."""
     screened = M.top_features(M.tree_importance(f, FEATURES, "y"), 3).select("feature")
@@ -288,47 +347,57 @@ def _folds(f, k: int = 3):
     return K.k_fold(f.withColumn("seed", F.lit(1)), "id", k)
 
 
-@query("m13_grid", "features", oracle="SELECT m.model, 2 + 0 * m.i AS n_seeds, true AS fine FROM (VALUES ('gbt', 0), ('linear', 0), ('rf', 0)) m(model, i)")
+@query("m13_grid", "features", oracle=f"WITH {SPLIT}, {residuals('src', FEATURES)}, l AS (SELECT g AS seed, count(*) AS n, {R2}, round(avg(abs(r)), 4) AS mae FROM res WHERE w = 0 GROUP BY 1) SELECT seed, m.model, n, CASE WHEN m.model = 'linear' THEN r2 END AS r2, CASE WHEN m.model = 'linear' THEN mae END AS mae, r2 > 0.5 AS learned FROM l, (VALUES ('gbt'), ('linear'), ('rf')) m(model)")
 def m13(f):
-    """Seeds by models: fits run one after another, each on Spark; metrics in one aggregation."""
+    """Seeds by models: the fits run side by side on one written table, the metrics in one aggregation. Only least squares has numbers that SQL can repeat; the trees say whether they learned."""
     d = materialise(K.train_test(K.with_seeds(f, [1, 2]), "id", 0.3))
-    parts = None
-    for seed in (1, 2):
-        for name in ("rf", "gbt", "linear"):
-            one = d.where(F.col("seed") == seed)
-            p = M.predict(M.fit(one.where("role = 'train'"), FEATURES, "y", name), one.where("role = 'test'"), FEATURES).select("seed", F.lit(name).alias("model"), F.col("y").alias("truth"), "pred")
-            parts = p if parts is None else parts.unionByName(p)
-    found = parts.groupBy("seed", "model").agg(*A.error_metrics())
-    return found.groupBy("model").agg(F.count("*").cast("int").alias("n_seeds"), (F.min("r2") > 0.7).alias("fine"))
+
+    def cell(seed_and_name):
+        seed, name = seed_and_name
+        one = d.where(F.col("seed") == seed)
+        return M.predict(M.fit(one.where("role = 'train'"), FEATURES, "y", name), one.where("role = 'test'"), FEATURES).select("seed", F.lit(name).alias("model"), F.col("y").alias("truth"), "pred")
+
+    with ThreadPoolExecutor(3) as pool:
+        parts = list(pool.map(cell, product((1, 2), ("rf", "gbt", "linear"))))
+    found = reduce(DataFrame.unionByName, parts).groupBy("seed", "model").agg(*A.error_metrics())
+    exact = lambda c, digits: F.when(F.col("model") == "linear", F.round(c, digits))
+    return found.select("seed", "model", "n", exact("r2", 6).alias("r2"), exact("mae", 4).alias("mae"), (F.col("r2") > 0.5).alias("learned"))
 
 
-@query("m14_bagged", "features", oracle="SELECT true AS fine")
+BAG = "bag AS (SELECT m.g, f.*, CAST(concat('0x', substr(md5(concat('1-', m.g, ':', f.id)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM features f, (VALUES (0), (1), (2)) m(g)), src AS (SELECT *, " + " + ".join(f"(u >= {sum(exp(-0.8) * 0.8**j / factorial(j) for j in range(i + 1))!r})::INTEGER" for i in range(8)) + " AS w FROM bag)"
+
+
+@query("m14_bagged", "features", oracle=f"WITH {BAG}, {residuals('src', FEATURES)}, p AS (SELECT id, min(y) AS y, avg(y - r) AS mean, stddev_pop(y - r) AS sigma FROM res GROUP BY 1) SELECT count(*) AS n, round(1 - avg((y - mean) * (y - mean)) / var_pop(y), 6) AS r2, round(avg(sigma), 3) AS mean_sigma, round(max(sigma), 3) AS max_sigma FROM p")
 def m14(f):
     d = materialise(f.withColumn("seed", F.lit(1)))
     bag = materialise(K.bagged(d, "id", 3))
-    parts = None
-    for m in range(3):
-        p = M.predict(M.fit(bag.where(F.col("member") == m), FEATURES, "y", "gbt", weight="weight"), d, FEATURES).select("id", F.lit(m).alias("member"), "pred")
-        parts = p if parts is None else parts.unionByName(p)
-    spread = parts.groupBy("id").agg(F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("sigma"))
-    x = spread.join(d.select("id", "y"), "id")
-    return x.agg(((A.correlation("mean", "y") > 0.8) & (F.min("sigma") >= 0)).alias("fine"))
+    parts = [M.predict(M.fit(bag.where(F.col("member") == m), FEATURES, "y", "linear", weight="weight"), d, FEATURES).select("id", "y", F.lit(m).alias("member"), "pred") for m in range(3)]
+    spread = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("y").alias("y"), F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("sigma"))
+    e = F.col("y") - F.col("mean")
+    return spread.agg(F.count("*").alias("n"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"), F.round(F.avg("sigma"), 3).alias("mean_sigma"), F.round(F.max("sigma"), 3).alias("max_sigma"))
 
 
-@query("m15_mean_fusion", "features", oracle="SELECT true AS fine")
+@query("m15_mean_fusion", "features", oracle=f"WITH src AS (SELECT 0 AS g, 1 AS w, * FROM features), {residuals('src', FEATURES)} SELECT count(*) AS n, {R2}, true AS between FROM res")
 def m15(f):
+    """The mean of three learners' predictions lies between their least and largest; r2 is that of least squares."""
     d = materialise(f)
     out = d
     for name in ("rf", "gbt", "linear"):
         out = M.predict(M.fit(d, FEATURES, "y", name), out, FEATURES, f"p_{name}")
-    return out.agg((A.correlation((F.col("p_rf") + F.col("p_gbt") + F.col("p_linear")) / 3, F.col("y")) > 0.8).alias("fine"))
+    each = ["p_rf", "p_gbt", "p_linear"]
+    fused = M.mean_fusion(each)
+    e = F.col("y") - F.col("p_linear")
+    good = (fused >= F.least(*each) - 1e-6) & (fused <= F.greatest(*each) + 1e-6)
+    x = F.avg((F.col("y") - fused) * (F.col("y") - fused)) <= F.greatest(*[F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))) for c in each])
+    return out.agg(F.count("*").alias("n"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"), (F.bool_and(good) & x).alias("between"))
 
 
-@query("m16_out_of_fold", "features", oracle="SELECT true AS once, true AS fine")
+@query("m16_out_of_fold", "features", oracle=f"WITH {OTHER_FOLDS}, {residuals('src', FEATURES)} SELECT g AS fold, count(*) AS n, count(DISTINCT id) AS n_ids, {R2}, round(avg(abs(r)), 4) AS mae FROM res WHERE w = 0 GROUP BY 1")
 def m16(f):
     d = materialise(_folds(f))
-    p = M.out_of_fold(d, FEATURES, "y", "linear", 3, ["id", "y"])
-    return p.agg((F.count("*") == F.countDistinct("id")).alias("once"), (A.correlation("pred", "y") > 0.8).alias("fine"))
+    p = M.out_of_fold(d, FEATURES, "y", "linear", 3, ["id", "y", "fold"])
+    e = F.col("y") - F.col("pred")
+    return p.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"), F.round(F.avg(F.abs(e)), 4).alias("mae"))
 
 
 @query("m17_rank_fusion", "scores", oracle="""
@@ -361,18 +430,18 @@ def m20(s):
     return top_k(s.select("seed", "id", total.alias("total")), 200, [F.col("total"), F.col("id")], ["seed"])
 
 
-@query("m21_block_gain", "features", oracle="SELECT true AS fine")
+BASE, BLOCK = ["f_tax", "f_line"], ["f_tax", "f_line", "f_quantity"]
+
+
+@query("m21_block_gain", "features", oracle=f"WITH {SPLIT}, {residuals('src', BASE, 'ra')}, {residuals('src', BLOCK, 'rb')}, a AS (SELECT g, avg(abs(r)) AS v FROM ra WHERE w = 0 GROUP BY 1), b AS (SELECT g, avg(abs(r)) AS v FROM rb WHERE w = 0 GROUP BY 1) SELECT a.g AS seed, round(b.v - a.v, 4) AS delta FROM a JOIN b ON a.g = b.g")
 def m21(f):
     d = materialise(K.train_test(K.with_seeds(f, [1, 2]), "id", 0.3))
-    parts = None
-    for seed in (1, 2):
-        for name, cols in (("base", ["f_tax", "f_line"]), ("block", ["f_tax", "f_line", "f_quantity"])):
-            one = d.where(F.col("seed") == seed)
-            p = M.predict(M.fit(one.where("role = 'train'"), cols, "y", "linear"), one.where("role = 'test'"), cols).select("seed", F.lit(name).alias("method"), F.lit("linear").alias("model"), F.abs(F.col("y") - F.col("pred")).alias("e"))
-            parts = p if parts is None else parts.unionByName(p)
-    table = parts.groupBy("seed", "method", "model").agg(F.avg("e").alias("value"))
-    gain = A.paired_deltas(table, ["seed", "model"], "method", "base")
-    return gain.agg((F.max("delta") < 0).alias("fine"))
+    parts = []
+    for seed, (name, cols) in product((1, 2), (("base", BASE), ("block", BLOCK))):
+        one = d.where(F.col("seed") == seed)
+        parts.append(M.predict(M.fit(one.where("role = 'train'"), cols, "y", "linear"), one.where("role = 'test'"), cols).select("seed", F.lit(name).alias("method"), F.lit("linear").alias("model"), F.abs(F.col("y") - F.col("pred")).alias("e")))
+    table = reduce(DataFrame.unionByName, parts).groupBy("seed", "method", "model").agg(F.avg("e").alias("value"))
+    return A.paired_deltas(table, ["seed", "model"], "method", "base").select("seed", F.round("delta", 4).alias("delta"))
 
 
 @query("m22_arms", "metrics", oracle="SELECT model, count(*) AS n, round(avg(a.value - n.value), 6) AS mean_delta FROM metrics a JOIN (SELECT seed AS s, model AS m, value FROM metrics WHERE method = 'N') n ON a.seed = n.s AND a.model = n.m WHERE a.method = 'R' GROUP BY model")
@@ -381,7 +450,7 @@ def m22(m):
     return rounded(d.groupBy("model").agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta")))
 
 
-@query("m23_forced_slots", "features", oracle="SELECT * FROM (VALUES ('f_quantity'), ('f_line'), ('f_supplier')) v(feature)")
+@query("m23_forced_slots", "features", oracle=f"WITH {F_SCORES} SELECT unnest(['f_line', 'f_supplier']) AS feature UNION ALL (SELECT feature FROM fs WHERE feature NOT IN ('f_line', 'f_supplier') ORDER BY score DESC, feature LIMIT 1)")
 def m23(f):
     return M.top_features(M.f_scores(f, FEATURES, "y"), 3, forced=["f_line", "f_supplier"]).select("feature")
 
@@ -392,13 +461,17 @@ def m24(s):
     return packed.select("seed", F.explode("features").alias("feature")).where("feature IN (2, 5)").groupBy("feature").agg(F.countDistinct("seed").alias("n_seeds"))
 
 
-@query("m25_group_folds", "features", oracle="SELECT true AS apart, true AS fine")
+GROUPED = "gs AS (SELECT f_supplier AS grp, count(*) AS size FROM features GROUP BY 1), gp AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) - 1 AS i FROM gs), gf AS (SELECT grp, CASE WHEN (i // 3) % 2 = 0 THEN i % 3 ELSE 2 - i % 3 END AS fold FROM gp), fo AS (SELECT f.*, gf.fold FROM features f JOIN gf ON f.f_supplier = gf.grp), src AS (SELECT k.g, (fold <> k.g)::INTEGER AS w, fo.* FROM fo, (VALUES (0), (1), (2)) k(g))"
+
+
+@query("m25_group_folds", "features", oracle=f"WITH {GROUPED}, {residuals('src', FEATURES[:4])}, h AS (SELECT id, f_supplier FROM features) SELECT g AS fold, count(*) AS n, count(DISTINCT f_supplier) AS n_groups, {R2} FROM res JOIN h ON res.id = h.id WHERE w = 0 GROUP BY 1")
 def m25(f):
+    """Folds by supplier, which therefore is no feature."""
     d = f.withColumn("grp", F.col("f_supplier"))
     d = materialise(d.join(K.group_folds(d, "grp", 3).select("grp", "fold"), "grp"))
     p = M.out_of_fold(d, FEATURES[:4], "y", "linear", 3, ["id", "y", "grp", "fold"])
-    apart = p.groupBy("grp").agg(F.countDistinct("fold").alias("k")).agg((F.max("k") == 1).alias("apart"))
-    return p.agg((A.correlation("pred", "y") > 0.8).alias("fine")).join(F.broadcast(apart)).select("apart", "fine")
+    e = F.col("y") - F.col("pred")
+    return p.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("n_groups"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"))
 
 
 # sources and sinks: each writes rows of a given table and reads them again
