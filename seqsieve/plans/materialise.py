@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,43 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only if that is unset, a new temporary one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local session, whose executors are the driver itself, may leave it unset: a temporary
+    folder takes its place. On a cluster that is an error, as each machine would write to its own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="seqsieve-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Folders of tables written inside the innermost scopes.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise writes inside are deleted on exit, so results must be written or collected before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for at in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and return the written table: its lineage ends there."""
+    """Write df as a table in the shared folder and return the written table: its lineage ends there. Within a scope the table goes with it; else it stays until the folder is cleared."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/seqsieve/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    if _scopes:
+        _scopes[-1].append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

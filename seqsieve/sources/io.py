@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,15 +42,16 @@ def flatten_results(spark: SparkSession, at: str, schema: str, field: str) -> Da
 
 
 def publish(df: DataFrame, at: str, version: int) -> None:
-    """Write a version of a table and commit it by a row written last; readers never see half a version."""
-    df.write.mode("overwrite").parquet(f"{at}/data/version={version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{at}/commits")
+    """Write a version of a table and commit it by a row written last, which names its folder. Each call has a folder of its own, so readers never see half a version, not even of one that is published again."""
+    name = f"{at}/data/version={version}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(name).alias("name"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{at}/commits")
 
 
 def read_published(spark: SparkSession, at: str) -> DataFrame:
-    """The latest committed version."""
-    last = spark.read.parquet(f"{at}/commits").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{at}/data/version={last}")
+    """The latest committed version, as last published."""
+    name = spark.read.parquet(f"{at}/commits").agg(F.max_by("name", F.struct("version", "at"))).first()[0]
+    return spark.read.parquet(name)
 
 
 def file_manifest(spark: SparkSession, at: str, category: Column) -> DataFrame:
