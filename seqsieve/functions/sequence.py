@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions.constants import BASES, CLUSTERS, PAIRS, PROPERTIES, ROLES, RUNS, SITES, STACKING, WILD_TYPE
@@ -74,6 +74,17 @@ def one_hot(s: Column) -> dict[str, Column]:
     return {f"mut_p{p}_{b}": (base_at(s, p) == b).cast("int") for p in SITES for b in BASES}
 
 
+def first_order_names(s: Column) -> Column:
+    """Names of the one-hot columns of the changed sites, in order of sites."""
+    return F.array_compact(F.array(*[F.when(base_at(s, p) != WILD_TYPE[p - 1], F.concat(F.lit(f"mut_p{p}_"), base_at(s, p))) for p in SITES]))
+
+
+def site_coverage(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """(site, n): rows whose sequence is changed at each of the 13 sites, sites without any included."""
+    counts = df.agg(*[F.count_if(base_at(F.col(sequence), p) != WILD_TYPE[p - 1]).alias(str(p)) for p in SITES])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(p).alias("site"), F.col(f"`{p}`").alias("n")) for p in SITES])))
+
+
 def window_at(s: Column, site: int, reach: int) -> tuple[Column, int]:
     """The substring from reach before to reach after a site, cut at the sequence's ends, and its length for a full sequence."""
     first, last = max(1, site - reach), min(len(WILD_TYPE), site + reach)

@@ -31,6 +31,11 @@ def error_metrics(truth: str = "truth", pred: str = "pred") -> list[Column]:
     ]
 
 
+def histogram(df: DataFrame, value: str) -> DataFrame:
+    """(value, n): rows of each value of a column of few different values; nulls are a value."""
+    return df.groupBy(value).agg(F.count("*").alias("n"))
+
+
 def spearman(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", degenerate: float | None = None, name: str = "spearman") -> DataFrame:
     """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate."""
     ranked = df.withColumn("_t", average_rank(truth, groups)).withColumn("_p", average_rank(pred, groups))

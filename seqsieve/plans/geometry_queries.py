@@ -86,11 +86,11 @@ def j12(v):
 
 
 @query("j13_space", "scores", oracle="""
-WITH l AS (SELECT * FROM scores WHERE seed = 0 AND id % 97 = 0), p AS (SELECT * FROM scores WHERE seed = 1), u AS (SELECT a, c FROM l UNION ALL SELECT a, c FROM p),
+WITH l AS (SELECT * FROM scores WHERE seed <> 1), p AS (SELECT * FROM scores WHERE seed = 1), u AS (SELECT a, c FROM l UNION ALL SELECT a, c FROM p),
 m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(c) AS mc, stddev_pop(c) AS sc FROM u)
 SELECT p.id, round(min(sqrt(((p.a - l.a) / sa) * ((p.a - l.a) / sa) + ((p.c - l.c) / sc) * ((p.c - l.c) / sc))), 6) AS distance FROM p, l, m GROUP BY p.id""")
 def j13(s):
-    return rounded(G.nearest_in_space(s.where("seed = 1"), s.where("seed = 0 AND id % 97 = 0"), ["a", "c"], "id"))
+    return rounded(G.nearest_in_space(s.where("seed = 1"), s.where("seed <> 1"), ["a", "c"], "id"))
 
 
 COMPONENTS = f"""RECURSIVE {DISTINCT}, e AS (SELECT a.pattern AS a, b.pattern AS b FROM d a JOIN d b ON a.pattern <> b.pattern WHERE hamming(a.pattern, b.pattern) <= 1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seqsieve.functions import sequence as S
+from seqsieve.functions.constants import SITES, WILD_TYPE
 from seqsieve.operators import contracts as C
 from seqsieve.operators import metrics as M
 from seqsieve.operators import ranking as R
@@ -132,6 +134,16 @@ def a3(p):
     return rounded(p.groupBy("seed", "model").agg(F.count("*").alias("n"), F.min("truth").alias("low"), F.get(cut, 0).alias("p05"), F.get(cut, 1).alias("median"), F.avg("truth").alias("mean"), F.get(cut, 2).alias("p95"), F.max("truth").alias("high")), 7, keep=("low", "high"))
 
 
+@query("a4_histogram", "patterned", oracle=f"SELECT ({' + '.join(f"CAST(substr(sequence, {p}, 1) <> '{WILD_TYPE[p - 1]}' AS INTEGER)" for p in SITES)}) AS n_changed, count(*) AS n FROM patterned GROUP BY 1")
+def a4(v):
+    return M.histogram(v.withColumn("n_changed", S.changed_count(F.col("sequence"))), "n_changed")
+
+
+@query("a5_coverage", "patterned", oracle=" UNION ALL ".join(f"SELECT {p} AS site, count(*) FILTER (substr(sequence, {p}, 1) <> '{WILD_TYPE[p - 1]}') AS n FROM patterned" for p in SITES))
+def a5(v):
+    return S.site_coverage(v)
+
+
 @query("a6_group_stats", "metrics", oracle="SELECT method, model, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM metrics GROUP BY method, model")
 def a6(m):
     return rounded(m.groupBy("method", "model").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n")))
@@ -149,10 +161,10 @@ def a8(m):
 
 
 @query("a9_errors", "preds", oracle="""
-SELECT seed, model, count(*) AS n, round(corr(truth, pred), 6) AS pearson, round(1 - sum((truth - pred) * (truth - pred)) / (count(*) * var_pop(truth)), 6) AS r2, round(avg(abs(truth - pred)), 4) AS mae, round(sqrt(avg((truth - pred) * (truth - pred))), 4) AS rmse FROM preds GROUP BY seed, model""")
+SELECT seed, model, count(*) AS n, round(corr(truth, pred), 6) AS pearson, round(1 - sum((truth - pred) * (truth - pred)) / (count(*) * var_pop(truth)), 6) AS r2, round(avg(abs(truth - pred)), 7) AS mae, round(sqrt(avg((truth - pred) * (truth - pred))), 7) AS rmse FROM preds GROUP BY seed, model""")
 def a9(p):
     out = p.groupBy("seed", "model").agg(*M.error_metrics())
-    return out.select("seed", "model", "n", F.round("pearson", 6).alias("pearson"), F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+    return out.select("seed", "model", "n", F.round("pearson", 6).alias("pearson"), F.round("r2", 6).alias("r2"), F.round("mae", 7).alias("mae"), F.round("rmse", 7).alias("rmse"))  # seven digits, as means of prices meet exact ties at four
 
 
 @query("a10_spearman", "preds", oracle=f"WITH {RANKS} SELECT seed, model, round(corr(rt, rp), 6) AS spearman FROM ranked GROUP BY seed, model")
@@ -211,10 +223,10 @@ def a15(sc):
 
 @query("a16_deciles", "preds", oracle="""
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pred, id, model) AS rn, count(*) OVER (PARTITION BY seed) AS n FROM preds)
-SELECT seed, floor((10 * rn - 1) / n::DOUBLE)::INTEGER AS decile, count(*) AS n, round(avg(abs(truth - pred)), 4) AS error FROM x GROUP BY 1, 2""")
+SELECT seed, floor((10 * rn - 1) / n::DOUBLE)::INTEGER AS decile, count(*) AS n, round(avg(abs(truth - pred)), 7) AS error FROM x GROUP BY 1, 2""")
 def a16(p):
     keyed = p.withColumn("key", F.struct("id", "model"))
-    return rounded(M.error_by_decile(keyed, ["seed"], "pred", F.abs(F.col("truth") - F.col("pred")), "key"), 4)
+    return rounded(M.error_by_decile(keyed, ["seed"], "pred", F.abs(F.col("truth") - F.col("pred")), "key"), 7)
 
 
 @query("a17_bootstrap", "metrics")

@@ -63,14 +63,14 @@ def b5(p, known):
 
 
 @query("b6_space_batch", "scores", oracle="""
-WITH l AS (SELECT * FROM scores WHERE seed = 0 AND id % 97 = 0), p AS (SELECT * FROM scores WHERE seed = 1), u AS (SELECT a, c FROM l UNION ALL SELECT a, c FROM p),
+WITH l AS (SELECT * FROM scores WHERE seed <> 1), p AS (SELECT * FROM scores WHERE seed = 1), u AS (SELECT a, c FROM l UNION ALL SELECT a, c FROM p),
 m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(c) AS mc, stddev_pop(c) AS sc FROM u),
 d AS (SELECT p.id, round(min(sqrt(((p.a - l.a) / sa) * ((p.a - l.a) / sa) + ((p.c - l.c) / sc) * ((p.c - l.c) / sc))), 6) AS novelty FROM p, l, m GROUP BY p.id)
 SELECT id, novelty FROM d ORDER BY novelty DESC, id LIMIT 30""")
 def b6(s):
     from seqsieve.operators.geometry import nearest_in_space
 
-    near = rounded(nearest_in_space(s.where("seed = 1"), s.where("seed = 0 AND id % 97 = 0"), ["a", "c"], "id"))
+    near = rounded(nearest_in_space(s.where("seed = 1"), s.where("seed <> 1"), ["a", "c"], "id"))
     return near.withColumnRenamed("distance", "novelty").orderBy(F.desc("novelty"), "id").limit(30)
 
 
@@ -94,12 +94,11 @@ def b9(p):
 
 
 @query("b10_replicas", "labelled", oracle=f"""
-WITH h AS (SELECT cand_id, y, {SIGMA} AS v FROM labelled ORDER BY y, cand_id LIMIT 200), p AS (SELECT *, v / sum(v) OVER () * 500 AS part FROM h), w AS (SELECT *, floor(part) AS w, part - floor(part) AS f FROM p),
+WITH h AS (SELECT cand_id, y, {SIGMA} AS v FROM labelled), p AS (SELECT *, v / sum(v) OVER () * 500 AS part FROM h), w AS (SELECT *, floor(part) AS w, part - floor(part) AS f FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY f DESC, cand_id) AS i, 500 - sum(w) OVER () AS rest, row_number() OVER (ORDER BY y, cand_id) AS t FROM w)
 SELECT cand_id, (t <= 500)::INTEGER AS top, (w + (i <= rest)::INTEGER)::BIGINT AS weighted FROM r""")
 def b10(known):
-    head = known.orderBy("y", "cand_id").limit(200)
-    return B.replica_allocation(_sigma(head), "y", "sigma", 500).select("cand_id", "top", "weighted")
+    return B.replica_allocation(_sigma(known), "y", "sigma", 500).select("cand_id", "top", "weighted")
 
 
 # label hand-off
@@ -147,13 +146,13 @@ def l3_stream(spark, sf_dir):
     at = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
     r, b = view(spark, sf_dir, "returns"), materialise(view(spark, sf_dir, "batches"))
     r = materialise(r.select(F.col("ord").cast("long").alias("ord"), "batch_id", "candidate_id", "sequence", F.col("measured").cast("double").alias("measured"), "status", "protocol_id"))
-    for i in (0, 1):
-        part = r.where(F.col("ord") <= 900) if i == 0 else r.where(F.col("ord") > 900)
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    run = ingest(spark, f"{at}/in", b, f"{at}/out", f"{at}/checkpoint", "p1")
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
+    cut = r.agg(F.percentile_approx("ord", 0.5)).first()[0] or 0
+    for part in (r.where(F.col("ord") <= cut), r.where(F.col("ord") > cut)):
+        part.write.mode("append").parquet(f"{at}/in")
+        run = ingest(spark, f"{at}/in", b, f"{at}/out", f"{at}/checkpoint", "p1")
+        run.awaitTermination()
+        if run.exception():
+            raise run.exception()
     return read_judged(spark, f"{at}/out").where("outcome = 'accepted'").select("candidate_id").distinct()
 
 

@@ -77,6 +77,12 @@ def f4(v):
     return _select(v, S.one_hot(F.col("sequence")))
 
 
+@query("f15_first_order", "variants", oracle=f"SELECT cand_id, concat_ws(' ', {', '.join(f"CASE WHEN {_at(p)} <> '{WILD_TYPE[p - 1]}' THEN concat('mut_p{p}_', {_at(p)}) END" for p in SITES)}) AS names FROM variants")
+def f15(v):
+    """Names of the first-order features that a row has, those of its changed sites."""
+    return v.select("cand_id", F.array_join(S.first_order_names(F.col("sequence")), " ").alias("names"))
+
+
 def _dimer_sql() -> dict[str, str]:
     out = {}
     for p in SITES:

@@ -94,6 +94,51 @@ def test_nearest_and_leave_one_out(spark):
     assert geometry.nearest_distance(df, ref.limit(0)).first()["distance"] is None
 
 
+def test_two_nearest_against_loop(spark):
+    df, ref = patterns(spark, 40, 5), patterns(spark, 30, 9)
+    known = {x["pattern"] for x in ref.collect()}
+    for x in geometry.two_nearest(df, ref).collect():
+        assert [x["nearest"], x["second"]] == sorted(distance(x["pattern"], k) for k in known)[:2]
+    far = spark.createDataFrame([("ACGUACGUACGUA",), ("UGCAUGCAUGCAU",)], "pattern string")
+    assert [tuple(x) for x in geometry.two_nearest(far, far.limit(1)).orderBy("pattern").collect()] == [("ACGUACGUACGUA", 0, None), ("UGCAUGCAUGCAU", 13, None)]
+
+
+def test_numbers_in_groups(spark):
+    df = spark.range(200).selectExpr("id", "nullif(id % 3, 2) AS g", "id % 7 AS v").repartition(9)
+    got = {}
+    for x in ranking.numbered(df, ["v", "id"], "rn", ["g"]).collect():
+        got.setdefault(x["g"], []).append((x["rn"], x["v"], x["id"]))
+    for rows in got.values():
+        assert [r[0] for r in sorted(rows)] == list(range(1, len(rows) + 1)) and [r[1:] for r in sorted(rows)] == sorted(r[1:] for r in rows)
+    assert len(got) == 3
+
+
+def test_nearest_in_space_against_loop(spark):
+    import random
+
+    r = random.Random(4)
+    left = [(i, r.choice([0.0, r.gauss(0, 1), 50.0]), r.random()) for i in range(80)]
+    right = [(i, r.gauss(0, 1), r.random()) for i in range(60)] + [(99, 0.0, 0.0)] * 5
+    table = lambda rows: spark.createDataFrame(rows, "id long, a double, b double")
+    got = {x["id"]: x["distance"] for x in geometry.nearest_in_space(table(left), table(right), ["a", "b"], "id").collect()}
+    both = left + right
+    mean = [sum(x[i] for x in both) / len(both) for i in (1, 2)]
+    dev = [(sum((x[i] - mean[i - 1]) ** 2 for x in both) / len(both)) ** 0.5 for i in (1, 2)]
+    for i, a, b in left:
+        assert abs(got[i] - min((((a - x) / dev[0]) ** 2 + ((b - y) / dev[1]) ** 2) ** 0.5 for _, x, y in right)) < 1e-9
+    assert geometry.nearest_in_space(table(left), table(right).limit(0), ["a", "b"], "id").where("distance IS NOT NULL").count() == 0
+
+
+def test_written_tables_go_with_their_scope(spark):
+    from seqsieve.plans.materialise import materialise, scope
+
+    with scope(spark):
+        at = materialise(spark.range(3)).inputFiles()[0]
+        assert spark.read.parquet(at).count() > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(at)
+
+
 def test_mixed_batch_quotas_and_fill(spark):
     df = patterns(spark).withColumn("sigma", F.col("cand_id") % 7)
     got = selection.mixed_batch(df, patterns(spark, 5, 2), 20, {"uncertainty": 0.45, "coverage": 0.25, "promising": 0.2, "random": 0.1, "none": 0.0}, "y", "sigma", 1).collect()
