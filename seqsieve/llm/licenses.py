@@ -1,7 +1,8 @@
 """License scan by ordered signature rules. DataFrame and SQL functions only.
 
-A rule is a regex with a keyword, a label, a priority and a weight. Texts are gated twice:
-by one regex of all keywords, then rule by rule by the rule's keyword. Matches become
+A rule is a regex with a keyword, a label, a priority and a weight: names of licenses in the
+forms in which texts refer to them, and phrases of license texts and notices. Texts are gated
+twice: by one regex of all keywords, then rule by rule by the rule's keyword. Matches become
 intervals, and a match that lies inside one of higher priority, or of equal priority and
 greater length, is suppressed.
 """
@@ -9,6 +10,7 @@ greater length, is suppressed.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,25 +77,243 @@ FORMS = [
 ]
 IDENTIFIER = (r"spdx-licen[cs]e-identifier\s*:\s*(?:{ids})(?:-[0-9][0-9a-z.-]*)?(?![a-z])", 4, 1.0)
 
-# Notices that name no license family: label, keyword, regex, priority, weight.
-NOTICES = [
-    ("public-domain", "public domain", r"(?:dedicated\s+to|released\s+into|placed\s+in|in)\s+the\s+public\s+domain", 2, 0.8),
-    ("all-rights-reserved", "rights reserved", r"all\s+rights\s+reserved", 2, 0.9),
-    ("copyright", "copyright", r"copyright\s+(?:\(c\)\s*|©\s*)?(?:19|20)[0-9]{2}", 1, 0.6),
-    ("mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge", 3, 0.9),
-    ("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 3, 0.9),
-    ("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 3, 0.9),
-    ("proprietary", "proprietary", r"proprietary\s+and\s+confidential|confidential\s+and\s+proprietary", 2, 0.8),
-    ("no-warranty", "without warranty", r"(?:provided\s+)?[\"']?as\s+is[\"']?,?\s+without\s+warranty", 1, 0.4),
-]
+# Phrases of license texts and notices, written in lower case with single blanks: label, then "phrase" or
+# "priority weight phrase" lines; | parts alternatives, which hold no blank. A blank matches any white space, and a comma may be missing.
+SIGNATURES = r"""
+public-domain
+2 0.8 dedicated to the public domain
+2 0.8 released into the public domain
+2 0.8 placed in the public domain
+2 0.8 in the public domain
+2 0.8 public domain dedication
+3 0.9 no copyright protection is claimed
+all-rights-reserved
+2 0.9 all rights reserved
+2 0.9 may not be reproduced without (?:the )?(?:prior )?written permission
+copyright
+1 0.6 copyright (?:\(c\) |© )?(?:19|20)[0-9]{2}
+1 0.6 (?:\(c\)|©) copyright
+proprietary
+2 0.8 proprietary and confidential
+2 0.8 confidential and proprietary
+2 0.8 strictly confidential
+mit
+3 0.9 permission is hereby granted, free of charge, to any person obtaining a copy
+3 0.9 permission is hereby granted, free of charge
+3 0.9 to deal in the software without restriction
+3 0.9 the above copyright notice and this permission notice shall be included in all copies
+2 0.8 or substantial portions of the software
+2 0.7 in no event shall the authors or copyright holders be liable
+bsd
+3 0.9 redistribution and use in source and binary forms, with or without modification, are permitted
+3 0.9 redistribution and use in source and binary forms
+3 0.9 redistributions of source code must retain the above copyright notice
+3 0.9 redistributions in binary form must reproduce the above copyright notice
+2 0.8 this software is provided by the (?:copyright holders|regents|author) and contributors
+3 0.9 all advertising materials mentioning features or use of this software
+2 0.8 in no event shall the copyright (?:owner|holder) or contributors be liable
+isc
+3 0.9 permission to use, copy, modify, and(?:/or)? distribute this software for any purpose
+3 0.9 permission to use, copy, modify, and(?:/or)? distribute this software
+2 0.8 the author disclaims all warranties with regard to this software
+apache
+4 1.0 licensed under the apache license, version 2\.0
+3 0.9 you may not use this file except in compliance with the license
+3 0.9 you may obtain a copy of the license at http://www\.apache\.org
+3 0.9 apache\.org/licenses/license-[0-9.]+
+2 0.8 see the license for the specific language governing permissions
+2 0.8 unless required by applicable law or agreed to in writing, software distributed under the license
+2 0.8 redistribution and use in source and binary forms of the apache
+gpl
+3 0.9 this program is free software[:;,] you can redistribute it and/or modify
+3 0.9 under the terms of the gnu general public license as published by the free software foundation
+2 0.8 either version [0-9] of the license, or \(at your option\) any later version
+3 0.9 you should have received a copy of the gnu general public license
+3 0.9 everyone is permitted to copy and distribute verbatim copies of this license document
+2 0.8 the licenses for most software are designed to take away your freedom
+2 0.8 gnu\.org/licenses/(?:gpl|old-licenses/gpl)
+3 0.9 this program is distributed in the hope that it will be useful
+lgpl
+3 0.9 under the terms of the gnu lesser general public license as published
+3 0.9 under the terms of the gnu library general public license as published
+3 0.9 you should have received a copy of the gnu lesser general public license
+3 0.9 gnu\.org/licenses/lgpl
+3 0.9 this library is free software[:;,] you can redistribute it and/or modify
+agpl
+3 0.9 under the terms of the gnu affero general public license
+3 0.9 you should have received a copy of the gnu affero general public license
+3 0.9 gnu\.org/licenses/agpl
+gfdl
+3 0.9 permission is granted to copy, distribute and/or modify this document
+3 0.9 gnu\.org/licenses/fdl
+mpl
+4 1.0 this source code form is subject to the terms of the mozilla public license
+3 0.9 if a copy of the mpl was not distributed with this file
+2 0.8 incompatible with secondary licenses
+epl
+3 0.9 this program and the accompanying materials are made available under the terms of the eclipse public license
+2 0.8 eclipse distribution license
+cddl
+3 0.9 the contents of this file are subject to the terms of the common development and distribution license
+3 0.9 when distributing the software, include this license header notice in each file
+artistic
+3 0.9 you may redistribute it and/or modify it under the same terms as perl itself
+2 0.8 original license for this package
+zlib
+3 0.9 this software is provided .?as-is.?, without any express or implied warranty
+3 0.9 this notice may not be removed or altered from any source distribution
+3 0.9 the origin of this software must not be misrepresented
+boost
+3 0.9 distributed under the boost software license
+3 0.9 boost\.org/license
+3 0.9 obtaining a copy of the software and accompanying documentation covered by this license
+unlicense
+3 0.9 this is free and unencumbered software released into the public domain
+3 0.9 anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+2 0.8 unlicense\.org
+psf
+3 0.9 psf license agreement for python
+3 0.9 this license agreement is between the python software foundation
+2 0.8 python\.org/psf/license
+php
+3 0.9 this product includes php software
+3 0.9 php\.net/license
+2 0.8 products derived from this software may not be called .?php
+ruby
+3 0.9 you may make and give away verbatim copies of the source form of the software without restriction
+2 0.8 you can redistribute it and/or modify it under either the terms of the 2-clause bsdl
+postgresql
+3 0.9 permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee
+openssl
+3 0.9 this product includes software developed by the openssl project
+3 0.9 this product includes cryptographic software written by eric young
+ofl
+3 0.9 this font software is licensed under the sil open font license
+2 0.8 the font software may not be sold by itself
+ms-pl
+3 0.9 if you use the software, you accept this license
+2 0.8 microsoft reciprocal license
+odbl
+3 0.9 made available under the open database license
+3 0.9 opendatacommons\.org/licenses/odbl
+3 0.9 any rights in individual contents of the database are licensed
+upl
+3 0.9 the universal permissive license \(upl\)
+3 0.9 oss\.oracle\.com/licenses/upl
+ncsa
+3 0.9 to deal with the software without restriction
+3 0.9 nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+osl
+3 0.9 licensed under the open software license version [0-9.]+
+afl
+3 0.9 licensed under the academic free license version [0-9.]+
+qpl
+3 0.9 you may use the original version of the software to generate binary
+3 0.9 the q public license version
+sspl
+3 0.9 mongodb\.com/licensing/server-side-public-license
+busl
+3 0.9 the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use
+elastic
+3 0.9 you may not provide the software to third parties as a hosted or managed service
+3 0.9 elastic\.co/licensing/elastic-license
+commons-clause
+3 0.9 commons clause license condition
+3 0.9 the grant of rights under the license will not include, and the license does not grant to you, the right to sell the software
+w3c
+3 0.9 w3c software notice and license
+vim
+3 0.9 you can distribute unmodified copies of vim
+cc0
+3 0.9 creativecommons\.org/publicdomain/zero
+3 0.9 the person who associated a work with this deed has dedicated the work to the public domain
+3 0.9 waives? all (?:of )?(?:his|her|their|its) rights to the work worldwide
+cc-by
+4 0.95 creativecommons\.org/licenses/by/[0-9.]+
+3 0.9 you must give appropriate credit, provide a link to the license, and indicate if changes were made
+2 0.8 creative commons attribution [0-9.]+ (?:international|unported|generic)
+cc-by-sa
+4 0.95 creativecommons\.org/licenses/by-sa/[0-9.]+
+3 0.9 you must distribute your contributions under the same license as the original
+cc-by-nc
+4 0.95 creativecommons\.org/licenses/by-nc/[0-9.]+
+cc-by-nd
+4 0.95 creativecommons\.org/licenses/by-nd/[0-9.]+
+3 0.9 you may not distribute the modified material
+cc-by-nc-sa
+4 0.95 creativecommons\.org/licenses/by-nc-sa/[0-9.]+
+cc-by-nc-nd
+4 0.95 creativecommons\.org/licenses/by-nc-nd/[0-9.]+
+no-warranty
+1 0.4 (?:provided )?["']?as is["']?, without warranty
+1 0.4 without warranty of any kind
+1 0.4 without any warranty
+1 0.4 the implied warranties of merchantability
+1 0.4 warranties or conditions of any kind
+beerware
+3 0.9 the beer-?ware license
+json
+3 0.9 the software shall be used for good, not evil
+curl
+3 0.9 except as contained in this notice, the name of a copyright holder shall not be used in advertising
+hpnd
+3 0.9 permission to use, copy, modify, distribute and sell this software and its documentation for any purpose is hereby granted without fee
+tcl
+3 0.9 the authors hereby grant permission to use, copy, modify, distribute, and license this software and its documentation
+ijg
+3 0.9 this software is based in part on the work of the independent jpeg group
+unicode
+3 0.9 unicode, inc\. license agreement
+3 0.9 permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files
+eupl
+3 0.9 licensed under the eupl
+3 0.9 joinup\.ec\.europa\.eu/software/page/eupl
+cecill
+3 0.9 governed by the cecill(?:-[abc])? license
+open-government
+3 0.9 contains public sector information licensed under the open government licence
+3 0.9 open government licence
+llama
+3 0.9 llama [0-9.]+ community license
+"""
+
+
+def signatures() -> list[tuple[str, int, float, str]]:
+    """(label, priority, weight, regex) of each line of SIGNATURES."""
+    out, label = [], ""
+    for line in SIGNATURES.strip().splitlines():
+        if not line[0].isdigit() or len(line.split(" ")) < 3:
+            label = line
+            continue
+        priority, weight, phrase = line.split(" ", 2)
+        out.append((label, int(priority), float(weight), phrase.replace(", ", ",?\\s+").replace(" ", "\\s+")))
+    return out
+
+
+def keyword_of(phrase: str) -> str:
+    """The longest run of letters that every match of a signature holds: outside of groups, alternatives and letters that a quantifier makes optional."""
+    plain, depth = "", 0
+    for part in re.split(r"(\\.|\(\?:|[()|])", phrase):
+        if part in ("(", "(?:"):
+            depth += 1
+        elif part == ")":
+            depth -= 1
+            plain += "?"
+        elif part == "|" and not depth:
+            return ""
+        elif not depth:
+            plain += " " if part.startswith("\\") else part
+    plain = re.sub(r"\[[^\]]*\][^a-z]*|[^?*{]\?|[a-z]?[*{][^}]*\}?|\?", " ", plain)
+    return max(re.findall(r"[a-z0-9]+", plain), key=len, default="")
+
 
 # Plain strings of which each match of a family holds one, without the blanks that a rule takes as \s+; by default the label.
 KEYWORDS = {
     "gpl": "general public|gnu|gpl", "lgpl": "lesser|library|lgpl", "agpl": "affero|agpl", "gfdl": "documentation|gfdl", "mit": "mit|expat", "mpl": "mozilla|mpl", "epl": "eclipse|epl", "cddl": "distribution|cddl", "cpl": "common|cpl", "eupl": "european|eupl", "boost": "boost|bsl", "unlicense": "unlicen", "wtfpl": "what|wtfpl", "psf": "python|psf", "ofl": "sil|ofl", "ms-pl": "microsoft|ms-pl", "odbl": "open|odbl", "upl": "universal|upl", "ncsa": "university|ncsa", "osl": "open|osl", "afl": "academic|afl", "qpl": "public|qpl", "sspl": "server|sspl", "busl": "business|busl",
     "cc0": "cc0|creative", "cc-by": "cc by|cc-by|creative", "cc-by-sa": "cc by|cc-by|creative", "cc-by-nc": "cc by|cc-by|creative", "cc-by-nd": "cc by|cc-by|creative", "cc-by-nc-sa": "cc by|cc-by|creative", "cc-by-nc-nd": "cc by|cc-by|creative",
 }
-#: A text that matches no rule lacks all of these.
-GATE = r"licen[cs]e|gpl|cc0|cc[^0-9a-z\x{80}-\x{10FFFF}]+by|creative\s+commons|public\s+domain|rights\s+reserved|copyright|permission\s+(?:is\s+hereby|to\s+use)|redistribution\s+and\s+use|proprietary|without\s+warranty"
+#: A text that matches no rule or base phrase lacks all of these; every family and signature has one of them.
+GATE = r"licen[cs]|gpl|cc0|cc[^0-9a-z\x{80}-\x{10FFFF}]+by|creative\s*commons|public\s*domain|rights|copyright|permission|distribut|warrant|software|proprietary|confidential"
 #: A character of a word.
 LETTER = r"[0-9a-z\x{80}-\x{10FFFF}]"
 FAMILY = "array<struct<label:string,keywords:array<string>,name:string,rules:array<struct<regex:string,priority:int,weight:double>>>>"
@@ -107,7 +327,7 @@ def rules() -> list[tuple[str, list[str], str, list[tuple[str, int, float]]]]:
         forms = [(form.format(name=name), priority, weight) for form, priority, weight in FORMS]
         forms.append((IDENTIFIER[0].format(ids=ids), *IDENTIFIER[1:]))
         out.append((label, [*KEYWORDS.get(label, label).split("|"), "spdx"], rf"(?:{name})|spdx-licen", forms))
-    return out + [(label, [keyword.split()[0]], regex, [(regex, priority, weight)]) for label, keyword, regex, priority, weight in NOTICES]
+    return out + [(label, [keyword_of(regex)], regex, [(regex, priority, weight)]) for label, priority, weight, regex in signatures()]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -154,12 +374,12 @@ def matches(gated: DataFrame, table: list) -> DataFrame:
 
 
 def suppress(found: DataFrame) -> DataFrame:
-    """found without the matches inside another of the same text that has a higher priority, or the same and is longer; of equal spans of equal priority the smaller label stays.
+    """found without the matches inside another of the same text that has a higher priority, or the same and is longer; of equal spans of equal priority the smaller label, with its largest weight, stays.
 
     In order of (start, longest first) a container stands before what it contains, so running
     maxima of the end, one for each priority, tell it without comparing pairs.
     """
-    order = Window.partitionBy("key").orderBy("start", F.desc("stop"), F.desc("priority"), "label").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key").orderBy("start", F.desc("stop"), F.desc("priority"), "label", F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("key", "start", "stop")
     found = found.distinct().withColumn("top", F.max("priority").over(same))
     inside = F.lit(False)

@@ -22,7 +22,7 @@ NOTICES = [("mit", "permission is hereby granted free of charge"), ("bsd", "redi
 
 def test_every_rule_passes_its_own_keywords(spark):
     table = {(label, name): keywords for label, keywords, name, _ in licenses.rules()}
-    assert {label for label, _ in table} == set(NAMES)
+    assert {label for label, _ in table} >= set(NAMES)
     hard = {"cc by", "cc by sa", "cc by nc", "cc by nd", "cc by nc sa", "cc by nc nd"}  # their rules take one blank or a hyphen
     cases = [(label, n) for label, names in NAMES.items() for n in names.split("|")] + NOTICES
     rows = [(label, n.replace(" ", gap)) for label, n in cases for gap in (" ", "\n", "  ", "\t") if gap == " " or n not in hard]
