@@ -15,9 +15,24 @@ NGRAMS = (3, 4, 5)
 #: Labelled rows that a fit takes at most; the first by url, so the choice doesn't depend on partitions.
 MAX_LABELLED = 10_000
 
-# Words of hosts and paths that a crawl blocks, and of ordinary ones.
-BLOCKED_WORDS = "casino poker bets betting slots jackpot lottery win-cash pills viagra cialis pharma-cheap cheap-meds adult xxx porn escort sex-cams nude hot-dates ads ads-server ads-network ad-track adserver tracker click-track popunder banner-ads spam link-farm spam-farm seo-links free-money free-bets get-rich payday-loans quick-loan replica-watches fake-bags warez cracks keygen torrent-free malware phish-login".split()
-ORDINARY_WORDS = "news blog docs wiki library museum university school science garden kitchen travel history music weather sports city council bank hospital research journal forum photos maps books recipes support community archive tutorial review market theatre energy nature health parents winter letter water pattern station nation motion theory reader anthem tension other father mother north thing inner shelter tissue".split()
+# Words of hosts and paths that a crawl blocks, and of ordinary ones, among them ordinary words that resemble blocked ones.
+BLOCKED_WORDS = """
+casino casinos online-casino poker pokerstars bet bets betting sportsbet sportsbook bookmaker slot slots jackpot roulette blackjack bingo lottery lotto gamble gambling win-cash spin-win
+pill pills viagra cialis levitra pharma-cheap cheap-meds cheap-pills meds-online no-prescription rx-pharmacy steroids weight-loss-pills
+adult adult-cam adult-video adult-chat adult-toys adultfriends xxx porn porno pornhub escort escorts sex sex-cams sexshop sexy nude nudes naked-girls webcam-girls hot-dates hookup milf hentai erotic
+ads ads-server ads-network ad-track adserver adclick banner-ads tracker click-track pixel-track popunder popads
+spam spam-farm link-farm seo-links buy-backlinks free-money free-bets get-rich make-money-fast payday-loans quick-loan instant-credit bitcoin-doubler crypto-giveaway
+replica-watches fake-bags buy-rolex cheap-rolex replica-shoes warez cracks crack-keygen keygen serials torrent-free malware phish-login verify-account-login free-iphone
+""".split()
+ORDINARY_WORDS = """
+news blog docs wiki library museum university school science garden kitchen travel history music weather sports city council bank hospital research journal forum photos maps books recipes support
+community archive tutorial review market theatre energy nature health parents winter letter water pattern station nation motion theory reader anthem tension other father mother north thing inner shelter tissue
+download downloads betty better alphabet crocker betty-crocker adults-literacy adulthood essex sussex middlesex sexton unisex-clothing scunthorpe analysis assets class classes cocktail therapist grape grapes
+pillow pillows pillar caterpillar slotted timeslots loader address adapter advice advent adventure headset gradient roads loads leads tracks tracking-parcel racetrack backpack cracker crackers crackle nudge nuden spamalot
+medicine pharmacy-school pharmacology escortion porncic poke pokemon potter pottery lotion allotment bingley gamble-family gamma rolexander replicate replica-museum torrential moneybox credit-union loan-library watches clockmaker
+about contact product products category article articles event events gallery video videos shop store help faq status api developer user users profile project projects issue release theme design art film radio magazine
+hotel restaurant coffee bakery farm forest mountain lake island ocean harbour bridge castle church temple market-hall railway airport bicycle football tennis chess rowing sailing yoga dance choir orchestra opera
+""".split()
 PREFIXES = ("", "www.", "m.", "blog.")
 ENDINGS = ("example.com", "example.org", "example.net")
 PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}?page=2&ref=x", "/{}", "")
@@ -76,7 +91,7 @@ def features(host: str, path: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, *, max_rows: int = MAX_LABELLED, rounds: int = 200, rate: float = 10.0, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (one per bucket, and a constant that is 0 but for useless tables) from (url, label 0 or 1). Rows with nulls are left out; without rows of both labels the weights allow everything."""
+    """Weights (one per bucket, and a constant that is 0 but for useless tables) from (url, label 0 or 1). Rows with nulls are left out; without rows of both labels the weights allow everything. Of more than max_rows rows the first by url and label are taken; repeated rows count as often as they stand; other columns are ignored."""
     host, path = split_url(F.col("url"))
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(host.alias("host"), path.alias("path"), F.col("label").cast("int"), "url").orderBy("url", "label").limit(max_rows).collect()
     w = np.zeros(BUCKETS + 1)
@@ -84,16 +99,15 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_LABELLED, rounds: int = 200,
     if len(set(y)) < 2:
         w[-1] = -1.0
         return w
-    x = np.zeros((len(rows), BUCKETS + 1), np.float32)
-    for row, r in zip(x, rows, strict=True):
-        at = features(r["host"], r["path"])
-        row[at] = 1 / np.sqrt(max(1, len(at)))
+    found = [features(r["host"], r["path"]) for r in rows]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    row, at = np.repeat(np.arange(len(rows)), size), np.concatenate(found)  # the matrix by its entries, each 1 / sqrt(row's entries)
+    value = (1 / np.sqrt(np.maximum(1, size)))[row]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     speed = np.zeros_like(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        grad = x.T @ (weight * (p - y)).astype(np.float32) + penalty * w
-        speed = 0.9 * speed - rate * grad
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[at], len(rows)), -30, 30)))
+        speed = 0.9 * speed - rate * (np.bincount(at, value * (weight * (p - y))[row], len(w)) + penalty * w)
         w = w + speed
     return w
 
