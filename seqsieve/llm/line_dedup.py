@@ -23,7 +23,8 @@ def document_lines(docs: DataFrame, *, id_col: str, text_col: str, site_col: str
 
     doc_key is a hash of id and text, so that rows which repeat an id with another text stay apart.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), digest_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
+    rows = keyed.select("doc_id", "doc_key", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))  # the key is made before, once a text
     line = F.btrim("line", F.lit(" \t\n\u000b\f\r"))
     return rows.select("doc_key", "doc_id", "site", "pos", line.alias("line")).where("line <> ''").select("doc_key", "doc_id", "site", "pos", F.unhex(F.md5("line")).alias("line_key"))
 
