@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: elements without content, of raw text, without readable text, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-SILENT = frozenset("head script style title textarea template noscript noembed noframes iframe object svg math canvas audio video select option button input datalist map xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("head script style title textarea template noscript noembed noframes iframe svg canvas audio video select option button input datalist map xmp".split())
+INLINE = frozenset("math mi mn mo mrow msup msub mfrac mtext msqrt object a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -154,7 +154,7 @@ def node_features(nodes: Sequence[Node]) -> list[list[int]]:
         share = n.linked / n.chars if n.chars else 0
         tree = below_linked[i] / below[i] if below[i] else 0
         names = ["bias", f"tag={n.tag}", f"in={nodes[n.parent].tag if n.parent >= 0 else ''}", f"link={int(share * 3.99)}", f"tree={int(tree * 3.99)}", f"chars={min(6, len(bin(n.chars // 10)) - 2)}"]
-        names += [f"own={n.tag}{n.chars > 0}{n.parent < 0}", f"pair={n.tag},{nodes[n.parent].tag if n.parent >= 0 else ''}"]
+        names += [f"big={min(8, len(bin(below[i] // 50)) - 2)}", f"kids={min(4, kids[i])}", f"prose={n.chars >= 60 and share < 0.75}", f"own={n.tag}{n.chars > 0}{n.parent < 0}", f"pair={n.tag},{nodes[n.parent].tag if n.parent >= 0 else ''}"]
         names += [f"word={w}" for w in set(n.words)]
         if n.hidden:
             names.append("hidden")
@@ -237,7 +237,7 @@ def kind_of(tag: str) -> int:
     return 3 if tag in ("header", "footer", "nav", "aside", "form", "section") else 4
 
 
-def train(pages: Sequence[str], *, rounds: int = 400, rate: float = 20.0, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: Sequence[str], *, rounds: int = 220, rate: float = 20.0, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ties) from labelled pages, whose elements carry data-label="1" or "0" or inherit it from their parent.
 
     At most MAX_LABELLED_NODES nodes are used, the first ones; pages beyond are left out whole.

@@ -55,6 +55,43 @@ def _part(r: random.Random, kind: str) -> str:
     return f'<{tag}{how} data-label="0">{body}</{tag}>'
 
 
+def _odd_name(r: random.Random) -> str:
+    """A name that says nothing, as style tools and templates make them."""
+    return r.choice(["c{}", "css-{}x", "sc-{}", "x{}f", "block-{}", "col-md-{}", "m-{}", "_{}q", "row{}", "view-{}"]).format(r.randint(1, 99))
+
+
+def _linked(r: random.Random) -> str:
+    return f'<a href="/{r.randint(1, 99)}">{_sentence(r, 2, 9, "")}</a>'
+
+
+def _odd_block(r: random.Random) -> str:
+    """Content in rarer shapes: paragraphs of links, lists of links, plain nested blocks, details, formulas, definitions."""
+    words = lambda a, b: _sentence(r, a, b)
+    return r.choice([
+        lambda: f"<p>{words(2, 6)} {_linked(r)} {_linked(r)} {words(1, 4)} {_linked(r)}</p>",
+        lambda: f"<p>{_linked(r)}, {_linked(r)} {words(3, 8)}</p>",
+        lambda: "<ul>" + "".join(f"<li>{_linked(r)}</li>" for _ in range(r.randint(2, 6))) + "</ul>",
+        lambda: "<ol>" + "".join(f"<li>{_linked(r)} {words(3, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ol>",
+        lambda: f'<div class="{_odd_name(r)}"><div><div>{words(12, 50)}</div><div>{words(8, 40)}</div></div></div>',
+        lambda: f"<details><summary>{words(2, 6)}</summary><p>{words(10, 40)}</p></details>",
+        lambda: f"<p>{words(6, 15)} <math><mi>x</mi><mo>+</mo><mn>1</mn></math> {words(6, 20)}</p>",
+        lambda: f"<dl><dt>{words(1, 3)}</dt><dd>{words(5, 20)}</dd><dt>{words(1, 3)}</dt><dd>{words(5, 20)}</dd></dl>",
+        lambda: f'<section class="{_odd_name(r)}"><h2>{words(2, 5)}</h2><p>{words(15, 60)}</p><p>{words(15, 60)}</p></section>',
+    ])()
+
+
+def _odd_page(r: random.Random) -> str:
+    """A page whose content has no telling names or elements, only its text and place."""
+    blocks = [f"<p>{_sentence(r, 30, 90)}</p>" if r.random() < 0.6 else _odd_block(r) for _ in range(r.randint(1, 7))] + [f"<p>{_sentence(r, 25, 70)}</p>"]
+    r.shuffle(blocks)
+    body = "".join(blocks)
+    for _ in range(r.randint(0, 3)):
+        body = f'<div{r.choice(["", f" class={chr(34)}{_odd_name(r)}{chr(34)}", f" id={chr(34)}{_odd_name(r)}{chr(34)}"])}>{body}</div>'
+    around = [_part(r, k) for k in r.sample(["nav", "header", "footer", "aside", "ad", "notice", "form", "comments", "share"], r.randint(0, 3))]
+    cut = r.randint(0, len(around))
+    return f'<html><body>{"".join(around[:cut])}<div class="{_odd_name(r)}" data-label="1">{body}</div>{"".join(around[cut:])}</body></html>'
+
+
 def _content(r: random.Random) -> str:
     blocks = [f"<h1>{_sentence(r, 2, 9, r.choice(['', '.']))}</h1>"] if r.random() < 0.8 else []
     for _ in range(r.randint(1, 10)):
@@ -63,6 +100,8 @@ def _content(r: random.Random) -> str:
             f"<ul><li>{_sentence(r, 3, 12)}</li><li>{_sentence(r, 3, 12)}</li></ul>", f"<blockquote>{_sentence(r, 8, 30)}</blockquote>", f"<p>{_sentence(r, 6, 20)} <a href='/z'>{_sentence(r, 1, 3, '')}</a> {_sentence(r, 6, 20)}</p>",
             f"<table><tr><td>{_sentence(r, 1, 4, '')}</td><td>{_sentence(r, 1, 6, '')}</td></tr></table>", f"<pre>{_sentence(r, 5, 15)}</pre>", f"<div>{_sentence(r, 10, 40)}</div>", f"<figure><figcaption>{_sentence(r, 4, 12)}</figcaption></figure>",
         ], [10, 5, 3, 2, 1.5, 1, 2, 1, 0.5, 1, 0.5])[0])
+        if r.random() < 0.15:
+            blocks.append(_odd_block(r))
         if r.random() < 0.08:
             blocks.append(_part(r, r.choice(["ad", "share", "aside", "notice"])))
     name = r.choice(CONTENT)
@@ -77,11 +116,14 @@ def _content(r: random.Random) -> str:
     return f'<main data-label="{r.choice("01")}">{inner}</main>' if tag == "article" and r.random() < 0.2 else inner
 
 
-def labelled_pages(n: int = 700, seed: int = 7) -> list[str]:
-    """n pages whose parts carry data-label; the parts around the content come in random choice and order."""
+def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
+    """n pages whose parts carry data-label; the parts around the content come in random choice and order, and a quarter of the pages name nothing."""
     out = []
     for i in range(n):
         r = random.Random(seed * 100_003 + i)
+        if i % 4 == 3:
+            out.append(_odd_page(r))
+            continue
         before = [_part(r, k) for k in r.sample(["nav", "header", "ad", "notice", "form", "nav", "share"], r.randint(0, 4))]
         after = [_part(r, k) for k in r.sample(["footer", "aside", "comments", "ad", "share", "notice", "form", "nav"], r.randint(0, 4))]
         middle = _content(r)
@@ -91,8 +133,8 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[str]:
             middle = middle[start : middle.rindex("</")]
             out.append(f'<html><head><title>{_sentence(r, 2, 6)}</title></head><body data-label="1">{"".join(before[:1])}{middle}{"".join(after[:1])}</body></html>')
             continue
-        if bare < 0.10:  # a fragment, or text alone
-            out.append(f'<body data-label="1">{r.choice([_sentence(r, 3, 40), f"<p>{_sentence(r, 2, 30)}<p>{_sentence(r, 2, 30)}", f"<div><p>{_sentence(r, 3, 30)}</p></div>"])}</body>')
+        if bare < 0.30:  # a fragment, or text alone
+            out.append(f'<body data-label="1">{r.choice([_sentence(r, 3, 40), f"<p>{_sentence(r, 2, 30)}<p>{_sentence(r, 2, 30)}", f"<p>{_sentence(r, 1, 6)}</p>", f"<div><p>{_sentence(r, 3, 30)}</p></div>", f"<div><p>{_sentence(r, 2, 6, '')}</p></div>"])}</body>')
             continue
         page = "".join(before) + middle + "".join(after)
         if r.random() < 0.3:

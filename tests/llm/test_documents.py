@@ -239,17 +239,105 @@ def test_packing(docs, sequence):
     check_pieces(pieces, ids, sequence)
 
 
-def test_packing_holds_targets(spark):
+def test_packing_holds_targets_in_written_sequences(spark):
     public = pytest.importorskip("public_tokenizers")
-    data = [(i, f"word{i} " * (20 + i % 60), "a" if i % 3 else "b") for i in range(900)]
-    got = packing.pack(spark.createDataFrame(data, SCHEMA), public.path("word_bpe_49k.json"), sequence=256, window=2048, targets={"a": 0.5, "b": 0.5})
+    data = [(i, f"word{i} " * (20 + i % 60), "abc"[i % 7 // 3]) for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(data, SCHEMA), public.path("word_bpe_49k.json"), sequence=256, window=16, targets={"a": 0.2, "b": 0.3})
     share = {}
-    for r in got.groupBy("window", "source").agg(F.sum("length").alias("n")).collect():
-        share.setdefault(r["window"], {})[r["source"]] = r["n"]
-    both = [w for w in sorted(share) if len(share[w]) == 2][:-1]
-    total = {s: sum(share[w][s] for w in both) for s in "ab"}
-    assert len(both) > 5 and abs(total["a"] / (total["a"] + total["b"]) - 0.5) < 0.02
-    assert all(abs(share[w]["a"] / sum(share[w].values()) - 0.5) < 0.2 for w in both)
+    for r in got.groupBy(F.floor(F.col("sequence_id") / 16).alias("w"), "source").agg(F.sum("length").alias("n")).collect():
+        share.setdefault(r["w"], {})[r["source"]] = r["n"]
+    live = lambda w: {s for s in "abc" if any(share[v].get(s) for v in share if v > w)}
+    kinds = set()
+    for w in sorted(share):
+        if len(share[w]) == len(live(w)) > 1:
+            target = {s: {"a": 0.2, "b": 0.3, "c": 0.5}[s] for s in live(w)}
+            kinds.add(len(target))
+            for s in target:
+                assert abs(share[w].get(s, 0) / sum(share[w].values()) - target[s] / sum(target.values())) < 0.12, (w, share[w])
+    assert kinds == {2, 3}  # with all sources, and after one has run dry
+    with pytest.raises(ValueError, match="shares"):
+        packing.pack(spark.createDataFrame(data[:3], SCHEMA), public.path("word_bpe_49k.json"), targets={"a": 0.8, "b": 0.3})
+
+
+def test_packing_repeated_rows_and_added_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["hello <|endoftext|> world", "<|StartOfText|>x", "a<|startoftext|><|endoftext|>B. C,", thue_morse(4096, "a", "b") + " " + thue_morse(4096, "b", "a")]
+    data = [(i, t, "s") for i, t in enumerate(odd)] + [(9, "same row, twice", "s")] * 3 + [(10, None, None)] * 2
+    got = packing.pack(spark.createDataFrame(data, SCHEMA), path, sequence=64)
+    want = sorted((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in data)
+    assert sorted((r["doc_id"], r["n"]) for r in got.groupBy("doc_id").agg((F.sum("length")).alias("n")).collect()) == sorted({i: n * sum(x[0] == i for x in data) for i, n in want}.items())
+    for r in got.where("doc_id < 4").collect():
+        ids = np.array(tokenizer.encode(odd[r["doc_id"]], add_special_tokens=False).ids + [2])
+        assert (packing.piece_ids(r["ids"], r["id_bytes"]) == ids[r["start"] : r["start"] + r["length"]]).all()
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("texts", [["a"], ["one"], ["q"], [None], [""], ["x", "x", "x"], [thue_morse(4096, "a", "b") + " " + thue_morse(4096, "b", "a")]])
+def test_sentencepiece_on_small_tables(spark, texts):
+    public, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = public.path("piece_bpe_32k.model")
+    model = library.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("n_ids", F.lit("clash"))
+    got = [r["ids"] for r in sentencepiece_sa.encode_documents(df, path).collect()]
+    assert got == [None if t is None else model.encode(t) for t in texts]
+    assert [r["n_ids"] for r in sentencepiece_sa.digest(df, path).collect()] == [len(model.encode(t or "")) for t in texts]
+
+
+def test_a_second_batch_with_one_new_unit():
+    public, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = public.path("piece_bpe_32k.model")
+    encoder, model = sentencepiece_sa.Encoder(sentencepiece_sa.pieces_of(path)), library.SentencePieceProcessor(model_file=path)
+    for t in ("the river and the town", "the q", "q", "the river zq"):
+        assert encoder.encode([t])[0].tolist() == model.encode(t)
+
+
+def test_line_removal_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rows = [(i, "\n".join(["shared line"] + [f"line {i} {k} of its own" if k % 3 else f"wide line {k}" for k in range(n)]), f"s{i}") for i in range(12)]
+        df = spark.createDataFrame(rows, SCHEMA).cache()
+        df.count()
+        line_dedup.remove_boilerplate(df).write.format("noop").mode("overwrite").save()
+        began = time.time()
+        line_dedup.remove_boilerplate(df).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    assert seconds(16_000) < 2.5 * seconds(8_000) + 1
+
+
+def test_quality_distances_against_loop(spark):
+    import random
+
+    words = "the of and to in a river market garden window".split()
+    rows = [(i, " ".join(random.Random(i).choices(words, k=80)) + ".", "en") for i in range(40)] + [(50 + i, " ".join(f"{w}%%% $$$" for w in random.Random(i).choices(words, k=60)), "en") for i in range(3)] + [(60, "in of", "en"), (61, None, None), (62, "", "xx"), (63, " ".join(random.Random(3).choices(words, k=90)), None)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    stats = {i: quality.text_stats(t) for i, t, _ in rows}
+    lang = {i: x if x in quality.COMMON_WORDS else "other" for i, _, x in rows}
+
+    def distance(p, q):
+        half = lambda x, m: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (half(p, m) + half(q, m)) / 2))
+
+    base = {i: s[0] < 50 or 100 * s[4] > 50 * s[0] for i, s in stats.items()}
+    refs, members = {}, {i for i in stats if not base[i]}
+    for _ in range(2):
+        refs = {k: [np.mean([stats[i][at] for i in members if lang[i] == k], axis=0) for at in (5, 6)] for k in {lang[i] for i in members}}
+        dist = {i: tuple(distance(stats[i][at], refs[lang[i]][at - 5]) for at in (5, 6)) for i in stats if stats[i][5] and lang[i] in refs}
+        far = {i: i in dist and sum(dist[i]) > 0.38 + 1 / math.sqrt(max(1, stats[i][0])) for i in stats}
+        members = {i for i in members if not far[i]}
+    for i in stats:
+        assert got[i]["base_failed"] == base[i] and got[i]["kept"] == (not base[i] and not (stats[i][0] >= 20 and far[i])), i
+        assert (got[i]["class_distance"] is None) == (i not in dist) and (i not in dist or abs(got[i]["class_distance"] + got[i]["word_distance"] - sum(dist[i])) < 1e-9)
+    assert not any(got[50 + i]["kept"] for i in range(3)) and all(got[i]["kept"] for i in range(40))
 
 
 def test_ppm_base_and_probabilities(docs):

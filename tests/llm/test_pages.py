@@ -54,6 +54,23 @@ def test_pages_with_one_article(spark, data, model):
     assert bad <= len(got) * 0.01
 
 
+LINE = "The river runs past the old mill and through the town, where people meet each morning to talk about the weather and trade. "
+RARE = {
+    "paragraphs in a block with a name that says nothing": (f'<body><div class="c2"><p>{LINE * 2}</p><p>{LINE * 2}</p></div></body>', LINE * 4),
+    "plain nested blocks": (f"<body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav><div><div><div>{LINE * 2}</div><div>{LINE}</div></div></div><footer>Copyright 2020</footer></body>", LINE * 3),
+    "a paragraph of links": (f"<body><article><p>{LINE}</p><p><a href=/x>One long linked phrase here</a> and <a href=/y>another linked phrase</a>.</p></article></body>", LINE + "One long linked phrase here and another linked phrase."),
+    "a list of links": (f"<body><article><h1>Sources</h1><p>{LINE}</p><ul><li><a href=/x>First source of the text</a></li><li><a href=/y>Second source</a></li></ul></article></body>", "Sources " + LINE + "First source of the text Second source"),
+    "details": (f"<body><main><p>{LINE}</p><details><summary>More</summary><p>{LINE}</p></details></main></body>", LINE + "More " + LINE),
+    "a formula": (f"<body><article><p>{LINE}<math><mi>x</mi></math> is small.</p></article></body>", LINE + "x is small."),
+}
+
+
+@pytest.mark.parametrize("name", RARE)
+def test_pages_that_the_training_pages_do_not_hold(model, name):
+    page, want = RARE[name]
+    assert html_extract.extract([page], model)[0].split() == want.split()
+
+
 def test_odd_pages(spark, model):
     odd = [(1, None), (2, ""), (3, "<p>cut off &am"), (4, "<script>var a='<p>x</p>'"), (5, "<div><p>A short text. &lt;x&gt; &eacute;</p></div>"), (6, "<" * 5000), (7, "<p>" * 3000 + "deep"), (7, "<p>again</p>"), (None, "<!-- never closed <p>x"), (8, "<p>" + "long text. " * 20_000 + "</p>")]
     df = spark.createDataFrame(odd, "page_id long, html string").withColumn("url", F.lit(None).cast("string")).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
