@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_null_and_repeated_ids_in_quality(spark):
     words = "the river and a garden of old paper in the village was for music that people with water from this window".split()
     text = [" ".join(random.Random(k).choices(words, k=90)) for k in range(4)]
-    rows = [(1, text[0], "en", "s", 0), (1, "short", "en", "s", 0), (None, text[1], "en", "s", 0), (None, "also short", "en", "s", 0), (2, text[2], None, "s", 0), (2, text[2], None, "s", 0), (3, None, None, None, None), (3, text[3], None, None, None)]
+    rows = [(1, text[0], "en", "s", 0), (1, "x y z " * 60, "en", "s", 0), (None, text[1], "en", "s", 0), (None, "", "en", "s", 0), (2, text[2], None, "s", 0), (2, text[2], None, "s", 0), (3, None, None, None, None), (3, text[3], None, None, None)]
     kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", text[0]), ("None", text[1]), ("2", text[2]), ("2", text[2]), ("3", text[3])])
 
