@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators.ranking import average_rank, decile
-
+from seqsieve.operators.ranking import decile, join_null_safe, numbered, value_ranks
+from seqsieve.plans.materialise import materialise
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -37,47 +37,89 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", degenerate: float | None = None, name: str = "spearman") -> DataFrame:
-    """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate."""
-    ranked = df.withColumn("_t", average_rank(truth, groups)).withColumn("_p", average_rank(pred, groups))
-    return ranked.groupBy(*groups).agg(F.coalesce(correlation("_t", "_p"), F.lit(degenerate).cast("double")).alias(name))
-
-
-def _tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b in n log n: ties by runs, inversions by merge counts."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-
-    def pairs(*columns: np.ndarray) -> int:
-        if n == 0:
-            return 0
-        change = np.zeros(n - 1, bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        runs = np.diff(np.concatenate([[0], np.flatnonzero(change) + 1, [n]])).astype(np.int64)
-        return int((runs * (runs - 1) // 2).sum())
-
-    total, tied_x, both = n * (n - 1) // 2, pairs(x), pairs(x, y)
-    tied_y = pairs(np.sort(y))
-    swaps, width, a = 0, 1, np.unique(y, return_inverse=True)[1].astype(np.int64)
+    """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate.
+
+    Ranks are of distinct values, so a group may be larger than a task and a value may be most of it.
+    """
+    cells = materialise(df.select(*groups, F.col(truth).alias("_x"), F.col(pred).alias("_y")).groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w")))
+    ranked = cells
+    for value, rank in (("_x", "_t"), ("_y", "_p")):
+        sizes = cells.groupBy(*groups, value).agg(F.sum("_w").alias("_size"))
+        ranked = join_null_safe(ranked, value_ranks(sizes, value, groups, name=rank), [*groups, value])
+    w, t, p = F.col("_w"), F.col("_t"), F.col("_p")
+
+    def product(a: Column, b: Column) -> Column:
+        return F.sum(w * a * b) / F.sum(w) - (F.sum(w * a) / F.sum(w)) * (F.sum(w * b) / F.sum(w))
+
+    varied = (F.min(t) < F.max(t)) & (F.min(p) < F.max(p))
+    found = F.when(varied, F.try_divide(product(t, p), F.sqrt(product(t, t)) * F.sqrt(product(p, p))))
+    return ranked.groupBy(*groups).agg(F.coalesce(found, F.lit(degenerate).cast("double")).alias(name))
+
+
+def weighted_inversions(values: np.ndarray, weights: np.ndarray) -> float:
+    """Sum of the products of weights over the pairs of places in which a larger value stands before a smaller one; n log² n, by merging sorted runs."""
+    found, width, n = 0.0, 1, len(values)
+    values, weights = values.copy(), weights.astype(float)
     while width < n:
         for at in range(0, n - width, 2 * width):
-            left, right = a[at : at + width], a[at + width : at + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            a[at : at + 2 * width] = np.sort(a[at : at + 2 * width], kind="stable")
+            both = slice(at, at + 2 * width)
+            left, right = values[at : at + width], values[at + width : at + 2 * width]
+            upto = np.concatenate([[0.0], np.cumsum(weights[at : at + width])])
+            found += float(((upto[-1] - upto[np.searchsorted(left, right, side="right")]) * weights[at + width : at + 2 * width]).sum())
+            order = np.argsort(values[both], kind="stable")
+            values[both], weights[both] = values[both][order], weights[both][order]
         width *= 2
-    below = (total - tied_x) * (total - tied_y)
-    return (total - tied_x - tied_y + both - 2 * swaps) / below**0.5 if below > 0 else None
+    return found
+
+
+def _discordant(rows: DataFrame, by: Sequence[str], groups: Sequence[str], first: str, second: str) -> DataFrame:
+    """(groups, _bad): the weighted inversions of second, in order of first and second, within each set of rows with equal by."""
+    kinds = dict(rows.dtypes)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf.sort_values([first, second])
+        return pdf[list(groups)].head(1).assign(_bad=weighted_inversions(at[second].to_numpy(), at["_w"].to_numpy()))
 
-def kendall(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """Kendall's tau-b per group; null without variance."""
-    kinds = dict(df.dtypes)
+    used = list(dict.fromkeys([*groups, *by, first, second, "_w"]))
+    return rows.select(*used).groupBy(*groups, *by).applyInPandas(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "_bad double"]))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, _tau_b(pdf[truth].to_numpy(), pdf[pred].to_numpy())]], columns=[*groups, "kendall"])
 
-    return df.select(*groups, truth, pred).groupBy(*groups).applyInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in groups) + ", kendall double")
+def kendall(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", block: int = 1 << 17, blocks: int = 1024) -> DataFrame:
+    """Kendall's tau-b per group; null without variance. Rows with a null on either side are left out.
+
+    Discordant pairs are counted in pieces, as a group may be larger than a task. Distinct
+    (truth, pred) have a place by either side, and places are cut into blocks. A pair lies in one
+    block by truth, or else in one block by pred, or differs in both: then the counts of the
+    blocks' crossings, at most blocks² a group, tell it. A piece holds block places, or a
+    blocks-th of the largest group.
+    """
+    known = df.select(*groups, F.col(truth).alias("_x"), F.col(pred).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    cells = materialise(known.groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w")))
+    largest = cells.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    size = max(block, -(-largest // blocks))
+    placed = numbered(numbered(cells, ["_x", "_y"], "_i", groups), ["_y", "_x"], "_j", groups)
+    placed = materialise(placed.withColumn("_a", F.expr(f"(_i - 1) div {size}")).withColumn("_b", F.expr(f"(_j - 1) div {size}")))
+    crossings = placed.groupBy(*groups, "_a", "_b").agg(F.sum("_w").alias("_w"))
+    bad = [_discordant(placed, ["_a"], groups, "_i", "_j"), _discordant(placed, ["_b"], groups, "_a", "_j"), _discordant(crossings, [], groups, "_a", "_b")]
+
+    def pairs(count: str) -> Column:
+        c = F.col(count).cast("double")
+        return c * (c - 1) / 2
+
+    nothing = {k: F.lit(0.0) for k in ("_all", "_tx", "_ty", "_txy", "_bad")}
+
+    def part(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select(*groups, *[v.alias(k) for k, v in {**nothing, **given}.items()])
+
+    sums = part(df.groupBy(*groups).agg(F.count(F.when(F.col(truth).isNotNull() & F.col(pred).isNotNull(), 1)).alias("_n")), _all=pairs("_n"))
+    sums = sums.unionByName(part(cells, _txy=pairs("_w")))
+    for value, tied in (("_x", "_tx"), ("_y", "_ty")):
+        sums = sums.unionByName(part(cells.groupBy(*groups, value).agg(F.sum("_w").alias("_n")), **{tied: pairs("_n")}))
+    for rows in bad:
+        sums = sums.unionByName(part(rows, _bad=F.col("_bad")))
+    s = {k: F.sum(k) for k in nothing}
+    below = F.sqrt(s["_all"] - s["_tx"]) * F.sqrt(s["_all"] - s["_ty"])
+    return sums.groupBy(*groups).agg(F.try_divide(s["_all"] - s["_tx"] - s["_ty"] + s["_txy"] - 2 * s["_bad"], below).alias("kendall"))
 
 
 def top_k_recall(df: DataFrame, groups: Sequence[str], fraction: float, truth: str = "truth", pred: str = "pred", key: str = "id") -> DataFrame:
@@ -95,19 +137,32 @@ def error_by_decile(df: DataFrame, groups: Sequence[str], spread: str, error: Co
     return cut.groupBy(*groups, "decile").agg(F.count("*").alias("n"), F.avg(error).alias("error"))
 
 
-def bootstrap_ci(df: DataFrame, groups: Sequence[str], value: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_ci(df: DataFrame, groups: Sequence[str], value: str, resamples: int = 1000, seed: int = 0, packed: int = 10_000) -> DataFrame:
     """Mean and 95 % bootstrap interval of the mean per group; null and non-finite values are left out.
 
-    Draw b of place i takes value number hash(seed, b, i) mod n, so runs repeat. The resamples
-    are rows: groups of a metric table are small, their resamples are dealt out.
+    Draw b of place i takes value number hash(seed, b, i) mod n in ascending order, so runs
+    repeat. A group of at most packed rows is one array, from which each resample draws. For a
+    larger one each draw is a row that joins the value with its number: the same draws, and no
+    group in one row or task, at n * resamples shuffled numbers.
     """
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf"))))
-    packed = fine.groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.count("*").alias("n"), F.avg(value).alias("mean"))
-    drawn = packed.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition(*groups, "_b")
-    pick = lambda i: F.get(F.col("_v"), F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), F.col("n")).cast("int"))
-    means = drawn.withColumn("_m", F.aggregate(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), pick), F.lit(0.0), lambda a, x: a + x) / F.col("n"))
+    rows = fine.select(*groups, F.col(value).alias("_v"), F.xxhash64(*df.columns).alias("_salt"))  # equal values lie in many ranges
+    ranked = materialise(numbered(rows, ["_v", "_salt"], "_i", groups, total="_n").select(*groups, "_i", "_n", "_v"))
+    draws = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")
+
+    def number(place: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), place.cast("long")), F.col("_n"))
+
+    small = ranked.where(F.col("_n") <= packed).groupBy(*groups, "_n").agg(F.array_sort(F.collect_list("_v")).alias("_all")).select(*groups, "_n", "_all", draws).repartition(*groups, "_b")
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda i: F.get("_all", number(i).cast("int")))
+    means = small.select(*groups, "_b", "_n", (F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.col("_n")).alias("_m"))
+    large = ranked.where(F.col("_n") > packed)
+    places = large.select(*groups, "_i", "_n", draws).select(*groups, "_b", (number(F.col("_i")) + 1).alias("_i"))
+    joined = join_null_safe(places, large.drop("_n"), [*groups, "_i"]).groupBy(*groups, "_b").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
     cut = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*groups).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.get(cut, 0).alias("ci_low"), F.get(cut, 1).alias("ci_high"))
+    bounds = means.unionByName(joined).groupBy(*groups).agg(F.first("_n").alias("n"), F.get(cut, 0).alias("ci_low"), F.get(cut, 1).alias("ci_high"))
+    centre = fine.groupBy(*groups).agg(F.avg(value).alias("mean"))
+    return join_null_safe(bounds, centre, groups).select(*groups, "n", "mean", "ci_low", "ci_high")
 
 
 def paired_deltas(df: DataFrame, keys: Sequence[str], variant: str, control: str, value: str = "value") -> DataFrame:

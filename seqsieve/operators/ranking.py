@@ -24,8 +24,20 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str]
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(name) <= k)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequence[str] = ()) -> DataFrame:
-    """df with its row number from 1, by ascending order columns, in the table or in each group.
+def _with_heads(ranged: DataFrame, groups: Sequence[str], size: Column) -> DataFrame:
+    """ranged, whose _part orders it, with _head (the size of its group in earlier parts) and _total (in all parts). Nulls are a group."""
+    counts = ranged.groupBy("_part", *groups).agg(F.sum(size).alias("_n"))
+    by = Window.partitionBy(*groups)
+    before = by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select(F.col("_part").alias("_nth"), *[F.col(g).alias(f"_nth{i}") for i, g in enumerate(groups)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_head"), F.sum("_n").over(by).alias("_total"))
+    same = F.col("_part") == F.col("_nth")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_nth{i}"))
+    return ranged.join(heads if groups else F.broadcast(heads), same).drop("_part", "_nth", *[f"_nth{i}" for i in range(len(groups))])
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """df with its row number from 1, by ascending order columns, in the table or in each group; total names a column for the number of rows there.
 
     A range shuffle sorts the table; the counts of its partitions, one row each (and group that
     they hold), give every partition's offset. Nothing is sorted in one task, nor is a group.
@@ -33,25 +45,32 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequ
     by = [*groups, *order]
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
     ranged = materialise(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order))))
-    counts = ranged.groupBy("_part", *groups).agg(F.count("*").alias("_n"))
-    over = (Window.partitionBy(*groups) if groups else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = counts.select(F.col("_part").alias("_nth"), *[F.col(g).alias(f"_nth{i}") for i, g in enumerate(groups)], F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_head"))
-    same = F.col("_part") == F.col("_nth")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_nth{i}"))
-    joined = ranged.join(heads if groups else F.broadcast(heads), same)
-    return joined.withColumn(name, F.col("_head") + F.col("_in")).drop("_part", "_in", "_head", "_nth", *[f"_nth{i}" for i in range(len(groups))])
-
-
-def average_rank_of_table(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """df with the average rank of value over the whole table: distinct values are numbered by a range shuffle, and the ranks join back."""
-    sizes = df.groupBy(value).agg(F.count("*").alias("_size"))
-    ranged = sizes.repartitionByRange(value).sortWithinPartitions(value).withColumn("_part", F.spark_partition_id())
-    ranged = materialise(ranged.withColumn("_upto", F.sum("_size").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))))
-    totals = ranged.groupBy("_part").agg(F.sum("_size").alias("_n"))
-    heads = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_head"))
-    ranks = ranged.join(F.broadcast(heads), "_part").select(F.col(value).alias("_value"), (F.col("_head") + F.col("_upto") - (F.col("_size") - 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")
+    placed = _with_heads(ranged, groups, F.lit(1)).withColumn(name, F.col("_head") + F.col("_in")).drop("_in", "_head")
+    return placed.withColumnRenamed("_total", total) if total else placed.drop("_total")
+
+
+def value_ranks(sizes: DataFrame, value: str, groups: Sequence[str] = (), size: str = "_size", name: str = "rank") -> DataFrame:
+    """(groups, value, rank): average ranks of distinct values, of which sizes has one row with the number of its rows. No group is sorted in one task; nulls come first."""
+    by = [*groups, value]
+    ranged = sizes.select(*by, F.col(size).alias("_size")).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    upto = F.sum("_size").over(Window.partitionBy("_part", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = _with_heads(materialise(ranged.withColumn("_upto", upto)), groups, F.col("_size"))
+    return placed.select(*by, (F.col("_head") + F.col("_upto") - (F.col("_size") - 1) / F.lit(2.0)).alias(name))
+
+
+def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """df with the average rank of value in the table or in each group, however large: value_ranks joined back."""
+    ranks = value_ranks(df.groupBy(*groups, value).agg(F.count("*").alias("_size")), value, groups, name=name)
+    return join_null_safe(df, ranks, [*groups, value])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that both sides have, where null meets null; the keys stay once."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def seeded_order(seed: Column, key: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import floor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,29 +35,55 @@ def uncertainty_batch(pool: DataFrame, budget: int, sigma: str, key: str = "cand
     return first_rows(pool, [F.desc(sigma), F.col(key)], budget, "uncertainty")
 
 
-def farthest_first(pool: DataFrame, known: DataFrame, budget: int, order: Sequence[Column], key: str = "cand_id", role: str = "coverage", cut_every: int = 8) -> DataFrame:
-    """Max-min selection: each round takes the row farthest from known and from the picks so far, ties by order.
+def _picks_of_head(head: list[tuple], whole: bool, budget: int) -> list[tuple]:
+    """The picks that a head of a table, (key, pattern, distance, place by order) by falling distance and rising order, is sure of.
 
-    budget rounds of one narrow pass: a column holds each row's distance to the nearest
-    chosen pattern, and a round only lowers it by the new pick. Only the pick itself, one row,
-    comes to the driver; every few rounds the column is written, which cuts the plan.
+    Rows beyond the head come after its last row, and their distances only fall. So a pick is
+    sure while it stands farther than the last row did, or as far and before it in order.
+    """
+    letters = np.array([list(r[1].encode()) for r in head], np.uint8)
+    distance, place = np.array([r[2] for r in head], np.int64), np.array([r[3] for r in head], np.int64)
+    last, last_place = distance[-1], place[-1]
+    picks: list[tuple] = []
+    left = np.ones(len(head), bool)
+    while len(picks) < budget and left.any():
+        far = distance[left].max()
+        among = np.flatnonzero(left & (distance == far))
+        at = among[place[among].argmin()]
+        if not whole and (far < last or (far == last and place[at] > last_place)):
+            break
+        picks.append(head[at])
+        left[at] = False
+        distance = np.minimum(distance, (letters != letters[at]).sum(axis=1))
+    return picks
+
+
+def farthest_first(pool: DataFrame, known: DataFrame, budget: int, order: Sequence[Column], key: str = "cand_id", role: str = "coverage", head_rows: int = 4096) -> DataFrame:
+    """Max-min selection: each pick is the row farthest from known and from the picks before it, ties by order, then key.
+
+    A column holds each row's distance to the nearest chosen pattern. A round brings the
+    head_rows first rows to the driver, takes all picks that these rows alone decide (one at
+    least), and lowers the distances by them in one narrow pass, so most batches need a round or two.
     """
     from seqsieve.operators.geometry import nearest_distance
 
     start = nearest_distance(pool, known).withColumnRenamed("distance", "_d")
     rows = materialise(pool.join(start, "pattern").withColumn("_d", F.coalesce("_d", F.lit(10**6))))
-    picks = []
-    for i in range(1, budget + 1):
-        best = rows.orderBy(F.desc("_d"), *order, F.col(key)).select(key, "pattern").head(1)
-        if not best:
+    picks: list[tuple] = []
+    while len(picks) < budget:
+        first = rows.orderBy(F.desc("_d"), *order, F.col(key)).limit(head_rows)
+        placed = first.withColumn("_place", F.row_number().over(Window.orderBy(*order, F.col(key))))  # of head_rows rows
+        head = placed.orderBy(F.desc("_d"), "_place").select(key, "pattern", "_d", "_place").collect()
+        if not head:
             break
-        picks.append(best[0])
-        rows = rows.where(F.col(key) != best[0][key]).withColumn("_d", F.least("_d", hamming(F.col("pattern"), F.lit(best[0]["pattern"]))))
-        if i % cut_every == 0:
-            rows = materialise(rows)
-    spark = pool.sparkSession
+        found = _picks_of_head([tuple(r) for r in head], len(head) < head_rows, budget - len(picks))
+        picks += found
+        if len(picks) < budget:
+            chosen_patterns = F.array(*[F.lit(p[1]) for p in found])
+            nearest = F.aggregate(chosen_patterns, F.col("_d").cast("int"), lambda d, p: F.least(d, hamming(F.col("pattern"), p)))
+            rows = materialise(rows.where(~F.col(key).isin([p[0] for p in found])).withColumn("_d", nearest))
     kind = dict(pool.dtypes)[key]
-    chosen = spark.createDataFrame([(p[key], i, role) for i, p in enumerate(picks, 1)], f"{key} {kind}, pick int, role string")
+    chosen = pool.sparkSession.createDataFrame([(p[0], i, role) for i, p in enumerate(picks, 1)], f"{key} {kind}, pick int, role string")
     return pool.join(F.broadcast(chosen), key)  # at most budget rows
 
 

@@ -336,7 +336,7 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
 SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r""")
 def a31(m):
     pair = m.where("replica_id = 1").select("key_id", F.col("value").alias("x")).join(m.where("replica_id = 2").select("key_id", F.col("value").alias("y")), "key_id")
-    ranked = R.average_rank_of_table(R.average_rank_of_table(pair, "x", "rx"), "y", "ry")
+    ranked = R.average_ranks(R.average_ranks(pair, "x", name="rx"), "y", name="ry")
     return rounded(ranked.agg(F.count("*").alias("n"), M.correlation("rx", "ry").alias("spearman")))
 
 
@@ -398,12 +398,12 @@ def a39(m):
 
 @query("w1_average_rank", "preds", oracle=f"WITH {RANKS} SELECT seed, model, id, rp AS rank FROM ranked")
 def w1(p):
-    return p.select("seed", "model", "id", R.average_rank("pred", ["seed", "model"]).alias("rank"))
+    return R.average_ranks(p, "pred", ["seed", "model"]).select("seed", "model", "id", "rank")
 
 
 @query("w1_rank_of_table", "scores", oracle="SELECT seed, id, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rank FROM scores")
 def w1b(s):
-    return R.average_rank_of_table(s, "b").select("seed", "id", "rank")
+    return R.average_ranks(s, "b").select("seed", "id", "rank")
 
 
 @query("w2_rank_normal", "preds", oracle=f"WITH {RANKS} SELECT seed, model, count(*) AS n, round(min((rp - 0.5) / n2), 6) AS low_p, round(sum(CASE WHEN (rp - 0.5) / n2 < 0.5 THEN 1 ELSE 0 END), 0)::BIGINT AS n_negative FROM (SELECT *, count(*) OVER (PARTITION BY seed, model) AS n2 FROM ranked) GROUP BY seed, model")

@@ -239,3 +239,66 @@ def test_inverse_normal():
     for p in (1e-4, 0.01, 0.3, 0.5, 0.9, 0.9999):
         got = s.range(1).select(ranking.inverse_normal(F.lit(p))).first()[0]
         assert abs(got - statistics.NormalDist().inv_cdf(p)) < 1e-6
+
+
+def rank_rows(spark, n=400, seed=5):
+    """Groups of different sizes, one of them null, many ties and nulls."""
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, *map(float, range(12))]), r.choice([None, 1.0, 1.0, 1.0, 2.0, 3.0, 7.0])) for _ in range(n)]
+    return rows, spark.createDataFrame(rows, "g string, truth double, pred double")
+
+
+@pytest.mark.parametrize("block,blocks", [(1 << 17, 1024), (4, 1024), (4, 3), (1, 1024)])
+def test_kendall_in_blocks_equals_pairs(spark, block, blocks):
+    rows, df = rank_rows(spark)
+    got = {x["g"]: x["kendall"] for x in metrics.kendall(df, ["g"], block=block, blocks=blocks).collect()}
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        points = [(t, p) for h, t, p in rows if h == g and t is not None and p is not None]
+        sign = lambda x: (x > 0) - (x < 0)
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(points) for b in points[:i]]
+        want = sum(x * y for x, y in pairs) / (sum(x * x for x, _ in pairs) * sum(y * y for _, y in pairs)) ** 0.5
+        assert got[g] == pytest.approx(want, abs=1e-12)
+
+
+def test_kendall_and_ranks_of_empty_tables(spark):
+    df = spark.createDataFrame([], "g string, truth double, pred double")
+    assert metrics.kendall(df, ["g"]).count() == metrics.spearman(df, ["g"]).count() == metrics.bootstrap_ci(df, ["g"], "truth", 10).count() == ranking.average_ranks(df, "truth", ["g"]).count() == 0
+
+
+def test_average_ranks_equal_windows(spark):
+    _, df = rank_rows(spark)
+    want = df.select("g", "truth", ranking.average_rank("truth", ["g"]).alias("rank"))
+    got = ranking.average_ranks(df, "truth", ["g"]).select("g", "truth", "rank")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    both = df.where("truth IS NOT NULL AND pred IS NOT NULL")
+    pdf = both.toPandas()
+    found = {x["g"]: x["spearman"] for x in metrics.spearman(both, ["g"]).collect()}
+    for g, part in pdf.groupby(pdf["g"].fillna("none")):
+        assert found[None if g == "none" else g] == pytest.approx(part["truth"].rank().corr(part["pred"].rank()), abs=1e-12)
+
+
+def test_bootstrap_keeps_null_groups(spark):
+    rows, df = rank_rows(spark)
+    got = {x["g"]: x for x in metrics.bootstrap_ci(df, ["g"], "truth", 400).collect()}
+    for x in metrics.bootstrap_ci(df, ["g"], "truth", 400, packed=100).collect():  # the larger group by its draws' rows
+        assert tuple(x)[:2] == tuple(got[x["g"]])[:2] and tuple(x)[2:] == pytest.approx(tuple(got[x["g"]])[2:])
+    for g in ("a", "b", None):
+        values = [t for h, t, _ in rows if h == g and t is not None]
+        mean = sum(values) / len(values)
+        error = (sum((v - mean) ** 2 for v in values) / len(values) ** 2) ** 0.5
+        assert got[g]["n"] == len(values) and got[g]["mean"] == pytest.approx(mean)
+        assert got[g]["ci_low"] == pytest.approx(mean - 1.96 * error, abs=error / 2) and got[g]["ci_high"] == pytest.approx(mean + 1.96 * error, abs=error / 2)
+
+
+@pytest.mark.parametrize("head_rows", [1, 3, 17, 4096])
+def test_farthest_first_of_any_head_equals_a_loop(spark, head_rows):
+    pool, known = patterns(spark, 70, 3), patterns(spark, 4, 9)
+    got = [r["cand_id"] for r in selection.farthest_first(pool, known, 12, [F.col("y")], head_rows=head_rows).orderBy("pick").collect()]
+    left, chosen, want = pool.collect(), [r["pattern"] for r in known.collect()], []
+    for _ in range(12):
+        best = min(left, key=lambda r: (-min(distance(r["pattern"], p) for p in chosen), r["y"], r["cand_id"]))
+        left.remove(best)
+        chosen.append(best["pattern"])
+        want.append(best["cand_id"])
+    assert got == want
