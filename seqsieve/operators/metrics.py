@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.operators.ranking import decile, join_null_safe, numbered, value_ranks
+from seqsieve.operators.ranking import decile, join_null_safe, numbered, quantiles, value_ranks
 from seqsieve.plans.materialise import materialise
 
 
@@ -36,6 +36,12 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("n"))
 
 
+def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, n, low, p05, median, mean, p95, high) of the table or of each group, however large; all but n are null without a value."""
+    sums = df.groupBy(*groups).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
+    return join_null_safe(sums, quantiles(df, value, {"p05": 0.05, "median": 0.5, "p95": 0.95}, groups), groups, "left")
+
+
 def spearman(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", degenerate: float | None = None, name: str = "spearman") -> DataFrame:
     """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate.
 
@@ -124,16 +130,15 @@ def kendall(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: st
 
 def top_k_recall(df: DataFrame, groups: Sequence[str], fraction: float, truth: str = "truth", pred: str = "pred", key: str = "id") -> DataFrame:
     """Share of the truly best k (smallest) among the k predicted best, k = max(1, half-even rounded fraction of n)."""
-    by = Window.partitionBy(*groups)
-    k = F.greatest(F.lit(1), F.bround(F.count("*").over(by) * F.lit(float(fraction)), 0)).cast("long")
-    ranked = df.withColumn("_k", k).withColumn("_t", F.row_number().over(by.orderBy(truth, key))).withColumn("_p", F.row_number().over(by.orderBy(pred, key)))
+    by_truth = numbered(df.select(*groups, truth, pred, key), [truth, key], "_t", groups, total="_n")
+    k = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction)), 0)).cast("long")
+    ranked = numbered(by_truth, [pred, key], "_p", groups).withColumn("_k", k)
     return ranked.groupBy(*groups).agg(F.max("_k").alias("k"), (F.sum(((F.col("_t") <= F.col("_k")) & (F.col("_p") <= F.col("_k"))).cast("int")) / F.max("_k")).alias("recall"))
 
 
 def error_by_decile(df: DataFrame, groups: Sequence[str], spread: str, error: Column, key: str) -> DataFrame:
     """Mean error and count in each decile of a group by spread."""
-    by = Window.partitionBy(*groups)
-    cut = df.withColumn("decile", decile(F.row_number().over(by.orderBy(spread, key)), F.count("*").over(by)))
+    cut = numbered(df, [spread, key], "_at", groups, total="_n").withColumn("decile", decile(F.col("_at"), F.col("_n")))
     return cut.groupBy(*groups, "decile").agg(F.count("*").alias("n"), F.avg(error).alias("error"))
 
 
@@ -176,18 +181,17 @@ def paired_summary(deltas: DataFrame, groups: Sequence[str], tolerance: float =
     d = F.col("delta")
     tie = F.abs(d) <= tolerance
     one = lambda c: F.sum(c.cast("int"))
-    cut = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return deltas.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.get(cut, 1).alias("median_delta"), F.get(cut, 0).alias("q25"), F.get(cut, 2).alias("q75"),
+    sums = deltas.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.avg(d).alias("mean_delta"),
         one((d < 0) & ~tie if exclusive else d < 0).alias("wins"), one(tie).alias("ties"), one((d > 0) & ~tie if exclusive else d > 0).alias("losses"),
     )
+    return join_null_safe(sums, quantiles(deltas, "delta", {"median_delta": 0.5, "q25": 0.25, "q75": 0.75}, groups), groups, "left")
 
 
 def tail_stats(deltas: DataFrame, groups: Sequence[str], key: str, share: float = 0.1) -> DataFrame:
     """Means of the best (smallest) and worst deltas, max(1, round(share n)) of each, and their parts of the total."""
-    by = Window.partitionBy(*groups)
-    k = F.greatest(F.lit(1), F.bround(F.count("*").over(by) * F.lit(share), 0))
-    r = deltas.withColumn("_k", k).withColumn("_up", F.row_number().over(by.orderBy("delta", key))).withColumn("_down", F.row_number().over(by.orderBy(F.desc("delta"), F.desc(key))))
+    placed = numbered(deltas, ["delta", key], "_up", groups, total="_n")
+    r = placed.withColumn("_k", F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0))).withColumn("_down", F.col("_n") + 1 - F.col("_up"))
     best, worst = F.when(F.col("_up") <= F.col("_k"), F.col("delta")), F.when(F.col("_down") <= F.col("_k"), F.col("delta"))
     total = F.sum("delta")
     return r.groupBy(*groups).agg(F.max("_k").cast("long").alias("k"), F.avg(best).alias("best_mean"), F.avg(worst).alias("worst_mean"), F.try_divide(F.sum(best), total).alias("best_share"), F.try_divide(F.sum(worst), total).alias("worst_share"))

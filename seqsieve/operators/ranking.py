@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from seqsieve.plans.materialise import materialise
 
 
-def average_rank(value: str, groups: Sequence[str]) -> Column:
-    """Rank from 1 in a group; equal values share the mean of their ranks."""
-    first = F.rank().over(Window.partitionBy(*groups).orderBy(value))
-    return first + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / F.lit(2.0)
-
-
 def top_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """The first k rows in order, of each group or of the table, with their rank from 1. The order should end with a unique column."""
     if not groups:
@@ -49,19 +43,54 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequ
     return placed.withColumnRenamed("_total", total) if total else placed.drop("_total")
 
 
-def value_ranks(sizes: DataFrame, value: str, groups: Sequence[str] = (), size: str = "_size", name: str = "rank") -> DataFrame:
-    """(groups, value, rank): average ranks of distinct values, of which sizes has one row with the number of its rows. No group is sorted in one task; nulls come first."""
+def value_ranks(sizes: DataFrame, value: str, groups: Sequence[str] = (), size: str = "_size", name: str = "rank", first: str | None = None, total: str | None = None) -> DataFrame:
+    """(groups, value, rank): average ranks of distinct values, of which sizes has one row with the number of its rows. No group is sorted in one task; nulls come first.
+
+    first names a column for the least rank of the value's rows, total one for the rows of the group.
+    """
     by = [*groups, value]
     ranged = sizes.select(*by, F.col(size).alias("_size")).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
     upto = F.sum("_size").over(Window.partitionBy("_part", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     placed = _with_heads(materialise(ranged.withColumn("_upto", upto)), groups, F.col("_size"))
-    return placed.select(*by, (F.col("_head") + F.col("_upto") - (F.col("_size") - 1) / F.lit(2.0)).alias(name))
+    last = F.col("_head") + F.col("_upto")
+    more = [(last - F.col("_size") + 1).alias(first)] if first else []
+    return placed.select(*by, (last - (F.col("_size") - 1) / F.lit(2.0)).alias(name), *more, *([F.col("_total").alias(total)] if total else []))
+
 
+def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "rank", first: str | None = None, total: str | None = None) -> DataFrame:
+    """df with the average rank of value in the table or in each group, however large: value_ranks joined back. Equal values share the mean of their ranks from 1."""
+    return with_ranks(df, {name: value}, groups, first, total)
 
-def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """df with the average rank of value in the table or in each group, however large: value_ranks joined back."""
-    ranks = value_ranks(df.groupBy(*groups, value).agg(F.count("*").alias("_size")), value, groups, name=name)
-    return join_null_safe(df, ranks, [*groups, value])
+
+def with_ranks(df: DataFrame, ranks: Mapping[str, str], groups: Sequence[str] = (), first: str | None = None, total: str | None = None) -> DataFrame:
+    """df with several average ranks, as {rank: value}, whose names df doesn't have; first is a prefix for the names of the least ranks, total names a column for the rows of the group."""
+    out = df
+    for i, (name, value) in enumerate(ranks.items()):
+        sizes = df.groupBy(*groups, value).agg(F.count("*").alias("_size"))
+        least = first and (first + name if len(ranks) > 1 else first)
+        out = join_null_safe(out, value_ranks(sizes, value, groups, name=name, first=least, total=None if i else total), [*groups, value])
+    return out
+
+
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, a column per share): exact quantiles of the table or of each group, between two rows in proportion. Nulls don't count; a group without a value has no row, a table without one has nulls.
+
+    A group's distinct values are ranked by a range shuffle, never held in one aggregate's buffer.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_size"))
+    placed = value_ranks(sizes, value, groups, name="_mid", first="_first", total="_n")
+    last = 2 * F.col("_mid") - F.col("_first")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= place + 1) & (place + 1 <= last), F.col(value).cast("double")))
+
+    cuts = []
+    for name, share in shares.items():
+        exact = F.lit(float(share)) * (F.col("_n") - 1)
+        low, part = F.floor(exact), F.max(exact - F.floor(exact))
+        below, above = at(low), at(F.ceil(exact))
+        cuts.append(F.when(below == above, below).otherwise(below + (above - below) * part).alias(name))
+    return placed.groupBy(*groups).agg(*cuts)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

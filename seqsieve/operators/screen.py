@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.operators.metrics import correlation, spearman
-from seqsieve.operators.ranking import average_rank, numbered, seeded_order
+from seqsieve.operators.ranking import numbered, seeded_order, with_ranks
 from seqsieve.plans.materialise import materialise
 
 
@@ -43,9 +43,9 @@ def spearman_scores(df: DataFrame, features: Sequence[str], target: str) -> Data
 
 def information_scores(df: DataFrame, features: Sequence[str], target: str, bins: int = 8) -> DataFrame:
     """(feature, score): mutual information in nats of equal-frequency bins of feature and target. The estimator is by bins, not by neighbours."""
-    n = F.count("*").over(Window.partitionBy("feature"))
-    cut = lambda c: F.floor((F.rank().over(Window.partitionBy("feature").orderBy(c)) - 1) * bins / n)
-    cells = unpivot(df, features, [target]).select("feature", cut("value").alias("x"), cut(target).alias("y")).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+    ranked = with_ranks(unpivot(df, features, [target]), {"_x": "value", "_y": target}, ["feature"], first="_least", total="_n")
+    cut = lambda c: F.floor((F.col(c) - 1) * bins / F.col("_n"))
+    cells = ranked.select("feature", cut("_least_x").alias("x"), cut("_least_y").alias("y")).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     over = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
     p = cells.withColumn("t", F.col("n") / over() * F.log(F.col("n") * over() / (over("x") * over("y"))))
     return p.groupBy("feature").agg(F.sum("t").alias("score"))
@@ -184,17 +184,19 @@ def mean_fusion(predictions: Sequence[str]) -> Column:
     return sum(map(F.col, predictions)) / F.lit(float(len(predictions)))
 
 
-def rank_fusion(df: DataFrame, groups: Sequence[str], scores: Sequence[str], weights: Sequence[float] | None = None) -> Column:
-    """Mean (or weighted mean) of the average ranks of several scores in a group."""
+def rank_fusion(df: DataFrame, groups: Sequence[str], scores: Sequence[str], weights: Sequence[float] | None = None, name: str = "fused") -> DataFrame:
+    """df with the mean (or weighted mean) of the average ranks of several scores in a group, however large."""
     w = weights or [1.0] * len(scores)
-    return sum(average_rank(c, groups) * F.lit(float(x)) for c, x in zip(scores, w, strict=True)) / F.lit(float(sum(w)))
+    ranks = {f"_rank{i}": c for i, c in enumerate(scores)}
+    total = sum(F.col(r) * F.lit(float(x)) for r, x in zip(ranks, w, strict=True))
+    return with_ranks(df, ranks, groups).withColumn(name, total / F.lit(float(sum(w)))).drop(*ranks)
 
 
 def fusion_weights(df: DataFrame, groups: Sequence[str], scores: Sequence[str], truth: str, steps: int = 4, penalty: float = 0.05) -> DataFrame:
     """Per group the weights on a grid of the simplex that minimise -Spearman + penalty |w|^2. All grid points are scored at once: the Spearman of a weighted rank sum needs its ranks, so each grid point is a row group."""
     grid = [w for w in product(range(steps + 1), repeat=len(scores)) if sum(w) == steps]
     points = F.array(*[F.struct(F.lit(i).alias("point"), F.array(*[F.lit(x / steps) for x in w]).alias("w")) for i, w in enumerate(grid)])
-    ranked = df.select(*groups, truth, *[average_rank(c, groups).alias(f"_r{i}") for i, c in enumerate(scores)])
+    ranked = with_ranks(df.select(*groups, truth, *scores), {f"_r{i}": c for i, c in enumerate(scores)}, groups)
     each = ranked.withColumn("g", F.explode(points)).select(*groups, truth, "g.point", "g.w", sum(F.get("g.w", i) * F.col(f"_r{i}") for i in range(len(scores))).alias("fused"))
     found = spearman(each, [*groups, "point"], truth, "fused", degenerate=0.0)
     named = F.broadcast(df.sparkSession.createDataFrame([(i, [x / steps for x in w]) for i, w in enumerate(grid)], "point int, weights array<double>"))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators.ranking import average_rank, numbered, seeded_order
+from seqsieve.operators.ranking import join_null_safe, numbered, quantiles, seeded_order, value_ranks, with_ranks
+from seqsieve.plans.materialise import materialise
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
@@ -74,8 +75,7 @@ def leave_stratum_out(df: DataFrame, stratum: str, least_train: int, least_test:
 
 def winsorise(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """clipped: value within its seed's percentiles, which only training rows (role = 'train') set."""
-    cut = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    bounds = df.where("role = 'train'").groupBy("seed").agg(F.get(cut, 0).alias("_low"), F.get(cut, 1).alias("_high"))
+    bounds = quantiles(df.where("role = 'train'"), value, {"_low": low, "_high": high}, ["seed"])
     return df.join(F.broadcast(bounds), "seed").withColumn("clipped", F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high"))).drop("_low", "_high")
 
 
@@ -84,17 +84,19 @@ def denoised(df: DataFrame, value: str, second: str, shrink: float) -> DataFrame
     stats = df.where("role = 'train'").groupBy("seed").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.avg(second).alias("_m2"), F.stddev_pop(second).alias("_s2"))
     z, z2 = F.try_divide(F.col(value) - F.col("_m"), "_s"), F.try_divide(F.col(second) - F.col("_m2"), "_s2")
     out = df.join(F.broadcast(stats), "seed").withColumn("z_sum", z + z2).withColumn("shrunk", (1 - shrink) * F.col(value) + shrink * (z2 * F.col("_s") + F.col("_m")))
-    ranks = F.when(F.col("role") == "train", average_rank(value, ["seed", "role"]) + average_rank(second, ["seed", "role"]))
-    return out.withColumn("rank_sum", ranks).drop("_m", "_s", "_m2", "_s2")
+    for name, c in (("_rank1", value), ("_rank2", second)):
+        sizes = df.where("role = 'train'").groupBy("seed", c).agg(F.count("*").alias("_size"))
+        out = join_null_safe(out, value_ranks(sizes, c, ["seed"], name=name), ["seed", c], "left")
+    ranks = F.when(F.col("role") == "train", F.col("_rank1") + F.col("_rank2"))
+    return out.withColumn("rank_sum", ranks).drop("_m", "_s", "_m2", "_s2", "_rank1", "_rank2")
 
 
 def corrected(df: DataFrame, value: str, second: str, share: float = 0.15) -> DataFrame:
     """target: value, but for the share of training rows whose ranks disagree most, the scaled second target."""
     train = df.where("role = 'train'")
-    n = F.count("*").over(Window.partitionBy("seed"))
-    gap = F.abs(average_rank(value, ["seed"]) - average_rank(second, ["seed"])) / n
-    ranked = train.withColumn("_gap", gap)
-    stats = ranked.groupBy("seed").agg(F.percentile("_gap", 1 - share).alias("_cut"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.avg(second).alias("_m2"), F.stddev_pop(second).alias("_s2"))
+    placed = with_ranks(train, {"_rank1": value, "_rank2": second}, ["seed"], total="_n")
+    ranked = materialise(placed.withColumn("_gap", F.abs(F.col("_rank1") - F.col("_rank2")) / F.col("_n")).drop("_rank1", "_rank2", "_n"))
+    stats = quantiles(ranked, "_gap", {"_cut": 1 - share}, ["seed"]).join(train.groupBy("seed").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.avg(second).alias("_m2"), F.stddev_pop(second).alias("_s2")), "seed")
     joined = ranked.join(F.broadcast(stats), "seed")
     return joined.withColumn("target", F.when(F.col("_gap") > F.col("_cut") + 1e-12, F.try_divide(F.col(second) - F.col("_m2"), "_s2") * F.col("_s") + F.col("_m")).otherwise(F.col(value))).drop("_gap", "_cut", "_m", "_s", "_m2", "_s2")
 
@@ -124,6 +126,8 @@ def target_statistics(df: DataFrame, pattern: str, value: str, least: int = 3) -
     """(seed, site, allele, n, diff, std, median_diff): statistics of training rows by allele, against the seed's training mean; null below least rows."""
     train = df.where("role = 'train'").select("seed", value, F.posexplode(F.split(pattern, "")).alias("site", "allele")).where("allele <> ''")
     overall = df.where("role = 'train'").groupBy("seed").agg(F.avg(value).alias("_all"))
-    grouped = train.groupBy("seed", "site", "allele").agg(F.count("*").alias("n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"), F.percentile(value, 0.5).alias("_median"))
+    by = ["seed", "site", "allele"]
+    middle = quantiles(train, value, {"_median": 0.5}, by)  # of few groups, each a share of the seed's rows
+    grouped = train.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")).join(middle, by, "left")
     enough = F.col("n") >= least
     return grouped.join(F.broadcast(overall), "seed").select("seed", "site", "allele", "n", F.when(enough, F.col("_mean") - F.col("_all")).alias("diff"), F.when(enough, F.col("_std")).alias("std"), F.when(enough, F.col("_median") - F.col("_all")).alias("median_diff"))

@@ -8,7 +8,7 @@ from seqsieve.functions import sequence as S
 from seqsieve.functions.constants import SITES, WILD_TYPE
 from seqsieve.operators import geometry as G
 from seqsieve.operators import splits as K
-from seqsieve.operators.ranking import quantile_bin
+from seqsieve.operators.ranking import quantile_bin, quantiles
 from seqsieve.plans.metric_queries import rounded
 from seqsieve.plans.registry import query
 
@@ -160,7 +160,7 @@ b AS (SELECT p.cand_id, count(q.v) AS bin FROM patterned p LEFT JOIN q ON q.v <
 SELECT cand_id, bin FROM r WHERE rn <= 20""")
 def k7(v):
     d = v.select("cand_id", F.col("y").cast("double").alias("y"))
-    edges = d.agg(F.percentile("y", F.array(*[F.lit(q / 5) for q in range(6)])).alias("edges"))
+    edges = quantiles(d, "y", {f"q{q}": q / 5 for q in range(6)}).select(F.array(*[f"q{q}" for q in range(6)]).alias("edges"))
     return K.stratified_subset(d, "y", "cand_id", 7, 20, edges, quantile_bin(F.col("y"), F.col("edges"))).select("cand_id", "bin")
 
 

@@ -10,6 +10,7 @@ from seqsieve.functions.constants import SITES, WILD_TYPE
 from seqsieve.operators import contracts as C
 from seqsieve.operators import metrics as M
 from seqsieve.operators import ranking as R
+from seqsieve.plans.materialise import materialise
 from seqsieve.plans.registry import query
 
 
@@ -93,9 +94,9 @@ WITH p AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY cand_id) A
 SELECT CASE WHEN p.cand_id % 11 = 0 THEN 'forbidden' WHEN k.pattern IS NOT NULL OR seen > 1 THEN 'duplicate' WHEN substr(p.pattern, 1, 1) = 'A' THEN 'constraint' ELSE 'kept' END AS reason, count(*) AS n
 FROM p LEFT JOIN known k ON p.pattern = k.pattern GROUP BY 1""")
 def p13(pool, labelled):
-    seen = F.row_number().over(Window.partitionBy("pattern").orderBy("cand_id"))
-    p = pool.withColumn("seen", seen).join(labelled.select("pattern").distinct().withColumn("known", F.lit(True)), "pattern", "left")
-    reason = C.first_match([(F.col("cand_id") % 11 == 0, "forbidden"), (F.col("known").isNotNull() | (F.col("seen") > 1), "duplicate"), (F.col("pattern").startswith("A"), "constraint")], "kept")
+    first = pool.groupBy("pattern").agg(F.min("cand_id").alias("first_id"))  # a pattern may hold most rows, so its rows aren't brought together
+    p = R.join_null_safe(pool, first, ["pattern"]).join(labelled.select("pattern").distinct().withColumn("known", F.lit(True)), "pattern", "left")
+    reason = C.first_match([(F.col("cand_id") % 11 == 0, "forbidden"), (F.col("known").isNotNull() | (F.col("cand_id") > F.col("first_id")), "duplicate"), (F.col("pattern").startswith("A"), "constraint")], "kept")
     return p.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -130,8 +131,7 @@ def a2(v):
 @query("a3_distribution", "preds", oracle="""
 SELECT seed, model, count(*) AS n, min(truth) AS low, round(quantile_cont(truth, 0.05), 7) AS p05, round(quantile_cont(truth, 0.5), 7) AS median, round(avg(truth), 7) AS mean, round(quantile_cont(truth, 0.95), 7) AS p95, max(truth) AS high FROM preds GROUP BY seed, model""")
 def a3(p):
-    cut = F.percentile("truth", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rounded(p.groupBy("seed", "model").agg(F.count("*").alias("n"), F.min("truth").alias("low"), F.get(cut, 0).alias("p05"), F.get(cut, 1).alias("median"), F.avg("truth").alias("mean"), F.get(cut, 2).alias("p95"), F.max("truth").alias("high")), 7, keep=("low", "high"))
+    return rounded(M.distribution(p, ["seed", "model"], "truth"), 7, keep=("low", "high"))
 
 
 @query("a4_histogram", "patterned", oracle=f"SELECT ({' + '.join(f"CAST(substr(sequence, {p}, 1) <> '{WILD_TYPE[p - 1]}' AS INTEGER)" for p in SITES)}) AS n_changed, count(*) AS n FROM patterned GROUP BY 1")
@@ -315,9 +315,9 @@ KEEP = "CASE WHEN lang = 'en' THEN 0 ELSE 1 END"
 WITH r AS (SELECT *, count(*) OVER (PARTITION BY digest) AS copies, row_number() OVER (PARTITION BY digest ORDER BY {KEEP}, length(path), path) AS rn, first_value(path) OVER (PARTITION BY digest ORDER BY {KEEP}, length(path), path) AS kept FROM manifest)
 SELECT path, kept, CASE WHEN rn = 1 THEN 'keep' ELSE 'move' END AS action FROM r WHERE copies > 1""")
 def a28(m):
-    order = Window.partitionBy("digest").orderBy(F.expr(KEEP), F.length("path"), "path")
-    r = m.withColumn("copies", F.count("*").over(Window.partitionBy("digest"))).withColumn("rn", F.row_number().over(order)).withColumn("kept", F.first("path").over(order))
-    return r.where("copies > 1").select("path", "kept", F.when(F.col("rn") == 1, "keep").otherwise("move").alias("action"))
+    best = F.min_by("path", F.struct(F.expr(KEEP), F.length("path"), "path"))
+    groups = m.groupBy("digest").agg(F.count("*").alias("copies"), best.alias("kept")).where("copies > 1")
+    return R.join_null_safe(m, groups, ["digest"]).select("path", "kept", F.when(F.col("path") == F.col("kept"), "keep").otherwise("move").alias("action"))
 
 
 @query("a29_categories", "manifest", oracle="SELECT root_name, count(*) AS n, sum(size_bytes)::BIGINT AS n_bytes FROM manifest GROUP BY root_name")
@@ -359,9 +359,9 @@ WITH {RANKS}, g AS (SELECT *, abs(rt - rp) / count(*) OVER (PARTITION BY seed, m
 SELECT g.seed, g.model, count(*) AS n, round(corr(rt, rp), 6) AS pearson_of_ranks FROM g JOIN c ON g.seed = c.seed AND g.model = c.model WHERE gap <= cut + 1e-12 GROUP BY 1, 2""")
 def a35(p):
     keys = ["seed", "model"]
-    g = p.withColumn("rt", R.average_rank("truth", keys)).withColumn("rp", R.average_rank("pred", keys)).withColumn("gap", F.abs(F.col("rt") - F.col("rp")) / F.count("*").over(Window.partitionBy(*keys)))
-    cut = g.groupBy(*keys).agg(F.percentile("gap", 0.85).alias("cut"))
-    return rounded(g.join(cut, keys).where("gap <= cut + 1e-12").groupBy(*keys).agg(F.count("*").alias("n"), M.correlation("rt", "rp").alias("pearson_of_ranks")))
+    ranked = R.with_ranks(p, {"rt": "truth", "rp": "pred"}, keys, total="n")
+    g = materialise(ranked.select(*keys, "rt", "rp", (F.abs(F.col("rt") - F.col("rp")) / F.col("n")).alias("gap")))
+    return rounded(g.join(R.quantiles(g, "gap", {"cut": 0.85}, keys), keys).where("gap <= cut + 1e-12").groupBy(*keys).agg(F.count("*").alias("n"), M.correlation("rt", "rp").alias("pearson_of_ranks")))
 
 
 @query("a36_gates", "metrics", oracle=f"WITH {DELTAS} SELECT method, model, avg(delta) >= -0.01 AS holds, avg(delta) + 2 * stddev_samp(delta) / sqrt(count(*)) < 0 AS better FROM deltas GROUP BY method, model")
@@ -409,15 +409,15 @@ def w1b(s):
 @query("w2_rank_normal", "preds", oracle=f"WITH {RANKS} SELECT seed, model, count(*) AS n, round(min((rp - 0.5) / n2), 6) AS low_p, round(sum(CASE WHEN (rp - 0.5) / n2 < 0.5 THEN 1 ELSE 0 END), 0)::BIGINT AS n_negative FROM (SELECT *, count(*) OVER (PARTITION BY seed, model) AS n2 FROM ranked) GROUP BY seed, model")
 def w2(p):
     keys = ["seed", "model"]
-    share = (R.average_rank("pred", keys) - 0.5) / F.count("*").over(Window.partitionBy(*keys))
-    z = p.withColumn("p", share).withColumn("z", R.inverse_normal(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("p")))))
+    ranked = R.average_ranks(p, "pred", keys, total="_n")
+    z = ranked.withColumn("p", (F.col("rank") - 0.5) / F.col("_n")).withColumn("z", R.inverse_normal(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("p")))))
     return z.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.min("p"), 6).alias("low_p"), F.sum((F.col("z") < -1e-9).cast("int")).alias("n_negative"))
 
 
 @query("w3_relevance", "preds", oracle=f"WITH {RANKS} SELECT seed, model, id, floor(rt * 30 / count(*) OVER (PARTITION BY seed, model))::BIGINT AS grade FROM ranked")
 def w3(p):
     keys = ["seed", "model"]
-    return p.select(*keys, "id", F.floor(R.average_rank("truth", keys) * 30 / F.count("*").over(Window.partitionBy(*keys))).alias("grade"))
+    return R.average_ranks(p, "truth", keys, total="_n").select(*keys, "id", F.floor(F.col("rank") * 30 / F.col("_n")).alias("grade"))
 
 
 @query("w4_top_k", "preds", oracle="SELECT seed, model, id, pred, row_number() OVER (ORDER BY pred DESC, id, model, seed) AS rank FROM preds ORDER BY pred DESC, id, model, seed LIMIT 50")
@@ -446,15 +446,15 @@ WITH q AS (SELECT seed, unnest([quantile_cont(a, 0.1), quantile_cont(a, 0.2), qu
 e AS (SELECT DISTINCT seed, v FROM q WHERE v > low AND v < high),
 x AS (SELECT s.seed, s.id, count(e.v) AS bin FROM scores s LEFT JOIN e ON s.seed = e.seed AND e.v < s.a GROUP BY 1, 2) SELECT seed, bin, count(*) AS n FROM x GROUP BY 1, 2""")
 def w7(s):
-    edges = s.groupBy("seed").agg(F.percentile("a", F.array(*[F.lit(q / 10) for q in range(11)])).alias("edges"))
-    return s.join(edges, "seed").groupBy("seed", R.quantile_bin(F.col("a"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))
+    cuts = R.quantiles(s, "a", {f"q{q}": q / 10 for q in range(11)}, ["seed"])
+    return s.join(cuts.select("seed", F.array(*[f"q{q}" for q in range(11)]).alias("edges")), "seed").groupBy("seed", R.quantile_bin(F.col("a"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("w8_tertiles", "runs", oracle="""
 WITH c AS (SELECT quantile_cont(best, 1 / 3.0::DOUBLE) AS a, quantile_cont(best, 2 / 3.0::DOUBLE) AS b FROM runs) SELECT CASE WHEN best <= a THEN 0 WHEN best <= b THEN 1 ELSE 2 END AS stratum, count(*) AS n FROM runs, c GROUP BY 1""")
 def w8(r):
-    cut = r.agg(F.percentile("best", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    label = F.when(F.col("best") <= F.get("q", 0), 0).when(F.col("best") <= F.get("q", 1), 1).otherwise(2)
+    cut = R.quantiles(r, "best", {"low": 1 / 3, "high": 2 / 3})
+    label = F.when(F.col("best") <= F.col("low"), 0).when(F.col("best") <= F.col("high"), 1).otherwise(2)
     return r.join(F.broadcast(cut)).groupBy(label.alias("stratum")).agg(F.count("*").alias("n"))
 
 
@@ -465,8 +465,7 @@ def w9(m):
 
 @query("w10_first_seen", "variants", oracle="SELECT min(cand_id) AS cand_id, sequence FROM variants GROUP BY sequence")
 def w10(v):
-    first = F.row_number().over(Window.partitionBy("sequence").orderBy("cand_id"))
-    return v.withColumn("rn", first).where("rn = 1").select("cand_id", "sequence")
+    return v.groupBy("sequence").agg(F.min("cand_id").alias("cand_id")).select("cand_id", "sequence")
 
 
 @query("o1_union", "labelled", "pool", oracle="SELECT cand_id, pattern FROM patterned")

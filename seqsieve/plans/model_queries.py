@@ -17,7 +17,7 @@ from seqsieve.operators import generate as C
 from seqsieve.operators import metrics as A
 from seqsieve.operators import screen as M
 from seqsieve.operators import splits as K
-from seqsieve.operators.ranking import average_rank, top_k
+from seqsieve.operators.ranking import top_k, with_ranks
 from seqsieve.plans.materialise import materialise, shared_dir
 from seqsieve.plans.metric_queries import rounded
 from seqsieve.plans.registry import query
@@ -403,7 +403,7 @@ def m16(f):
 @query("m17_rank_fusion", "scores", oracle="""
 SELECT seed, id, (rank() OVER (PARTITION BY seed ORDER BY a) + (count(*) OVER (PARTITION BY seed, a) - 1) / 2.0 + rank() OVER (PARTITION BY seed ORDER BY b) + (count(*) OVER (PARTITION BY seed, b) - 1) / 2.0) / 2 AS fused FROM scores""")
 def m17(s):
-    return s.select("seed", "id", M.rank_fusion(s, ["seed"], ["a", "b"]).alias("fused"))
+    return M.rank_fusion(s, ["seed"], ["a", "b"]).select("seed", "id", "fused")
 
 
 @query("m18_fusion_weights", "scores", oracle="""
@@ -426,8 +426,8 @@ def m19(s):
 WITH r AS (SELECT seed, id, rank() OVER (PARTITION BY seed ORDER BY a) + (count(*) OVER (PARTITION BY seed, a) - 1) / 2.0 + rank() OVER (PARTITION BY seed ORDER BY b) + (count(*) OVER (PARTITION BY seed, b) - 1) / 2.0 + rank() OVER (PARTITION BY seed ORDER BY c) + (count(*) OVER (PARTITION BY seed, c) - 1) / 2.0 AS total FROM scores), t AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY total, id) AS rank FROM r)
 SELECT seed, id, total, rank::INTEGER AS rank FROM t WHERE rank <= 200""")
 def m20(s):
-    total = average_rank("a", ["seed"]) + average_rank("b", ["seed"]) + average_rank("c", ["seed"])
-    return top_k(s.select("seed", "id", total.alias("total")), 200, [F.col("total"), F.col("id")], ["seed"])
+    ranked = with_ranks(s, {"_a": "a", "_b": "b", "_c": "c"}, ["seed"])
+    return top_k(ranked.select("seed", "id", F.expr("_a + _b + _c").alias("total")), 200, [F.col("total"), F.col("id")], ["seed"])
 
 
 BASE, BLOCK = ["f_tax", "f_line"], ["f_tax", "f_line", "f_quantity"]

@@ -249,17 +249,16 @@ def l12(p):
 
 @query("l13_recompute_summary", "metrics", oracle="SELECT method, round(avg(value), 6) AS mean, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM metrics GROUP BY method")
 def l13(m):
-    return rounded(m.groupBy("method").agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.percentile("value", 0.5).alias("median")))
+    return rounded(M.distribution(m, ["method"], "value").select("method", "mean", "n", "median"))
 
 
 @query("l14_artefact", "scores", oracle="""
 WITH r AS (SELECT seed, id, a, b, c, rank() OVER (PARTITION BY seed ORDER BY a) + (count(*) OVER (PARTITION BY seed, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY seed ORDER BY b) + (count(*) OVER (PARTITION BY seed, b) - 1) / 2.0 AS rb FROM scores)
 SELECT seed, id, a, b, c AS truth, (ra + rb) / 2 AS fused FROM r""")
 def l14(s):
-    from seqsieve.operators.ranking import average_rank
+    from seqsieve.operators.screen import rank_fusion
 
-    fused = (average_rank("a", ["seed"]) + average_rank("b", ["seed"])) / 2
-    return s.select("seed", "id", "a", "b", F.col("c").alias("truth"), fused.alias("fused"))
+    return rank_fusion(s, ["seed"], ["a", "b"]).select("seed", "id", "a", "b", F.col("c").alias("truth"), "fused")
 
 
 @query("l15_pin_protocol", "returns", "batches", oracle=f"""

@@ -268,7 +268,7 @@ def test_kendall_and_ranks_of_empty_tables(spark):
 
 def test_average_ranks_equal_windows(spark):
     _, df = rank_rows(spark)
-    want = df.select("g", "truth", ranking.average_rank("truth", ["g"]).alias("rank"))
+    want = df.selectExpr("g", "truth", "rank() OVER (PARTITION BY g ORDER BY truth) + (count(*) OVER (PARTITION BY g, truth) - 1) / 2D AS rank")
     got = ranking.average_ranks(df, "truth", ["g"]).select("g", "truth", "rank")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     both = df.where("truth IS NOT NULL AND pred IS NOT NULL")
@@ -278,6 +278,44 @@ def test_average_ranks_equal_windows(spark):
         assert found[None if g == "none" else g] == pytest.approx(part["truth"].rank().corr(part["pred"].rank()), abs=1e-12)
 
 
+def test_ranks_with_firsts_and_totals_equal_windows(spark):
+    _, df = rank_rows(spark)
+    got = ranking.with_ranks(df, {"_t": "truth", "_p": "pred"}, ["g"], first="_least", total="_n").select("g", "truth", "pred", "_t", "_least_t", "_least_p", "_n")
+    want = df.selectExpr("g", "truth", "pred", "rank() OVER (PARTITION BY g ORDER BY truth) + (count(*) OVER (PARTITION BY g, truth) - 1) / 2D", "rank() OVER (PARTITION BY g ORDER BY truth)", "rank() OVER (PARTITION BY g ORDER BY pred)", "count(*) OVER (PARTITION BY g)")
+    assert sorted(str(tuple(x)) for x in got.collect()) == sorted(str(tuple(x)) for x in want.collect())
+
+
+def test_quantiles_equal_percentiles(spark):
+    _, df = rank_rows(spark)
+    shares = {"low": 0.0, "a": 0.05, "third": 1 / 3, "middle": 0.5, "high": 0.95, "top": 1.0}
+    for groups in ([], ["g"]):
+        want = df.where("truth IS NOT NULL").groupBy(*groups).agg(*[F.percentile("truth", s).alias(n) for n, s in shares.items()])
+        got = {x["g"] if groups else 0: x for x in ranking.quantiles(df, "truth", shares, groups).collect()}
+        for x in want.collect():
+            assert tuple(got[x["g"] if groups else 0][n] for n in shares) == pytest.approx(tuple(x[n] for n in shares), abs=1e-12)
+    same = spark.createDataFrame([("a", 3)] * 5 + [("b", None)], "g string, truth int")
+    assert [tuple(x) for x in ranking.quantiles(same, "truth", shares, ["g"]).collect()] == [("a",) + (3.0,) * 6]
+    assert ranking.quantiles(same.limit(0), "truth", shares).collect()[0]["middle"] is None
+    assert {x["g"]: (x["n"], x["median"]) for x in metrics.distribution(same, ["g"], "truth").collect()} == {"a": (5, 3.0), "b": (1, None)}
+
+
+def test_metrics_of_groups_equal_loops(spark):
+    rows = [(g, i, (i * 7919) % 31 / 3, (i * 104729) % 37 / 5, (i * 31) % 11 / 2) for g, size in (("a", 41), ("b", 7), (None, 1)) for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, id long, truth double, pred double, delta double")
+    recall = {x["g"]: (x["k"], x["recall"]) for x in metrics.top_k_recall(df, ["g"], 0.3).collect()}
+    tails = {x["g"]: x for x in metrics.tail_stats(df, ["g"], "id", 0.2).collect()}
+    bins = {(x["g"], x["decile"]): x["n"] for x in metrics.error_by_decile(df, ["g"], "pred", F.abs("delta"), "id").collect()}
+    for g in ("a", "b", None):
+        part = [r for r in rows if r[0] == g]
+        k = max(1, round(0.3 * len(part)))
+        best = [{r[1] for r in sorted(part, key=lambda r: (r[c], r[1]))[:k]} for c in (2, 3)]  # noqa: B023
+        assert recall[g] == (k, pytest.approx(len(best[0] & best[1]) / k))
+        k, by = max(1, round(0.2 * len(part))), [r[4] for r in sorted(part, key=lambda r: (r[4], r[1]))]
+        assert tails[g]["k"] == k and tails[g]["best_mean"] == pytest.approx(sum(by[:k]) / k) and tails[g]["worst_mean"] == pytest.approx(sum(by[-k:]) / k)
+        for d in range(10):
+            assert bins.get((g, d), 0) == (d + 1) * len(part) // 10 - d * len(part) // 10
+
+
 def test_bootstrap_keeps_null_groups(spark):
     rows, df = rank_rows(spark)
     got = {x["g"]: x for x in metrics.bootstrap_ci(df, ["g"], "truth", 400).collect()}
