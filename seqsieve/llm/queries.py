@@ -10,6 +10,7 @@ from seqsieve.llm.html_extract import extract_pages, train
 from seqsieve.llm.labelled_pages import labelled_pages
 from seqsieve.llm.licenses import scan
 from seqsieve.llm.line_dedup import line_report
+from seqsieve.llm.merkle import verified
 from seqsieve.llm.packing import pack
 from seqsieve.llm.ppm import score_documents
 from seqsieve.llm.quality import judge
@@ -72,6 +73,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest held against documents of which those with an even CRC-32 of their id have lost their line breaks."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return verified(documents(spark, sf_dir), altered={"text": tampered})
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
@@ -83,10 +90,24 @@ QUERIES = {
     "op8_ppm": op8_ppm,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
 }
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Unsigned CRC-32 of a decimal doc_id: a step for each bit, at whose start a byte is mixed in.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+#: What the leaf of a document hashes, with a place for its text.
+LEAF = " || ".join([*(_field(f"d.{c}") for c in ("doc_id", "source", "lang", "n_chars")), _field("{0}")])
+
 ORACLES = {
     "op4_line_dedup": r"""
 WITH lines AS (
@@ -109,4 +130,44 @@ FROM documents d LEFT JOIN done o USING (doc_id)""",
 WITH t AS (SELECT doc_id, {ASCII_LOWER.format("coalesce(text, '')")} AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)""",
+    "op11_merkle": f"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, {CRC32} AS crc FROM documents),
+base AS (
+  SELECT d.doc_id, d.source AS grp, sha256({LEAF.format("d.text")}) AS leaf,
+         sha256({LEAF.format("replace(d.text, chr(10), '')")}) AS changed, crc % 2 = 0 AS tampered
+  FROM documents d JOIN crc USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM base),
+up AS (
+  SELECT grp, 0 AS lvl, idx, n, leaf AS h FROM ranked
+  UNION ALL
+  SELECT grp, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY grp, lvl, idx // 3, (n + 2) // 3),
+subroots AS (
+  SELECT grp, lvl AS height, h AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos AS idx, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 3, (n + 2) // 3),
+others AS (
+  SELECT r.doc_id, u.lvl AS step, u.idx < r.idx // (3 ** u.lvl)::BIGINT AS before, u.idx, u.h
+  FROM ranked r JOIN up u ON r.grp IS NOT DISTINCT FROM u.grp AND u.n > 1 AND u.idx // 3 = r.idx // (3 ** (u.lvl + 1))::BIGINT AND u.idx <> r.idx // (3 ** u.lvl)::BIGINT
+  UNION ALL
+  SELECT r.doc_id, s.height + t.lvl, t.idx < s.pos // (3 ** t.lvl)::BIGINT, t.idx, t.h
+  FROM ranked r JOIN subroots s ON r.grp IS NOT DISTINCT FROM s.grp
+  JOIN top t ON t.n > 1 AND t.idx // 3 = s.pos // (3 ** (t.lvl + 1))::BIGINT AND t.idx <> s.pos // (3 ** t.lvl)::BIGINT),
+heights AS (
+  SELECT r.doc_id, s.subroot, s.height + (SELECT max(lvl) FROM top) AS steps, coalesce(if(r.tampered, r.changed, r.leaf)) AS start
+  FROM ranked r JOIN subroots s ON r.grp IS NOT DISTINCT FROM s.grp),
+sides AS (
+  SELECT h.doc_id, k.step, coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.before), '') AS l, coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (NOT o.before), '') AS r
+  FROM heights h, LATERAL (SELECT unnest(range(h.steps)) AS step) k LEFT JOIN others o ON o.doc_id = h.doc_id AND o.step = k.step GROUP BY h.doc_id, k.step),
+folding AS (
+  SELECT doc_id, 0::BIGINT AS step, start AS h FROM heights
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(s.l || f.h || s.r) FROM folding f JOIN sides s ON s.doc_id = f.doc_id AND s.step = f.step),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS siblings FROM sides GROUP BY doc_id),
+roots AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT r.doc_id, r.leaf, h.subroot, roots.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = roots.root AS verified
+FROM ranked r JOIN heights h USING (doc_id) CROSS JOIN roots LEFT JOIN proofs p USING (doc_id) JOIN folding f ON f.doc_id = r.doc_id AND f.step = h.steps""",
 }
