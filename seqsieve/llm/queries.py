@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqsieve.llm import line_quality
 from seqsieve.llm.alignment import align_documents
 from seqsieve.llm.exact_dedup import exact_owners
 from seqsieve.llm.html_extract import extract_pages, train
@@ -80,6 +81,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(documents(spark, sf_dir), altered={"text": tampered})
 
 
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_licenses": op10_licenses,
     "op11_merkle": op11_merkle,
+    "op12_line_quality": op12_line_quality,
     "op13_alignment": op13_alignment,
 }
 
