@@ -203,7 +203,7 @@ def quality(good: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def fit_field(chains: Chains, y: np.ndarray, weight: np.ndarray, weights: np.ndarray, ties: np.ndarray, rounds: int, rate: float, penalty: float, tied: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, ties) that raise the labels' likelihood, by momentum over the gradient: observed minus expected statistics, a line counted by its weight. The ties stay as they are unless tied."""
+    """(weights, ties) that raise the labels' likelihood, by momentum over the gradient: observed minus expected statistics, a line counted by its weight. Unless tied, a line counts by itself: only the weights of its own features move."""
     inner = np.flatnonzero(~chains.begins)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[inner - 1], y[inner]), weight[inner])
@@ -214,6 +214,8 @@ def fit_field(chains: Chains, y: np.ndarray, weight: np.ndarray, weights: np.nda
         good, joint = chains.marginals(weights, ties)
         push = (y - good) * weight / total
         slope_w = np.bincount(chains.places.ravel(), np.repeat(push, columns), len(weights)) - penalty * weights
+        if not tied:
+            slope_w[SIZE:] = 0
         slope_t = (seen - (joint * weight[:, None, None]).sum(axis=0)) / total - penalty * ties
         first_w, first_t = 0.9 * first_w + 0.1 * slope_w, 0.9 * first_t + 0.1 * slope_t
         second_w, second_t = 0.99 * second_w + 0.01 * slope_w**2, 0.99 * second_t + 0.01 * slope_t**2

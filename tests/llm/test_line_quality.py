@@ -55,14 +55,23 @@ def test_long_chain_needs_few_rounds():
 
 
 def test_good_lines_of_bad_documents_are_found(spark):
-    """A third of the documents end in junk; labels say so only for the whole."""
-    clean, junk = "The quick brown fox ran over the hill and was gone.", "BUY!! NOW!! CHEAP!! PILLS!!"
-    rows = [(i, "\n".join([clean] * 6 + ([junk] * 3 if i % 3 == 0 else [])), "en") for i in range(300)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    model = lq.fit(docs, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int"))
-    lines = [clean.encode()] * 6 + [junk.encode()] * 3
-    good, _ = lq.Chains(lq.line_features([lines]), np.array([9])).marginals(model.weights, model.ties)
-    assert good[:5].min() > 0.5 > good[6:].max()  # line 5 meets the junk
+    """A third of the documents hold two lines of junk somewhere; labels say so only for the whole."""
+    rnd = np.random.default_rng(2)
+    words = ["fox", "hill", "the", "over", "brown", "was", "quick", "gone", "rain", "and", "stone", "river"]
+    clean = lambda: " ".join(rnd.choice(words, rnd.integers(4, 14))).capitalize() + "."
+    junk = lambda: " ".join(w.upper() + "!!" for w in rnd.choice(words, rnd.integers(4, 14)))
+    made = []
+    for i in range(400):
+        lines = [clean() for _ in range(rnd.integers(4, 12))]
+        for at in rnd.integers(0, len(lines), 2) if i % 3 == 0 else []:
+            lines[at] = junk()
+        made.append(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines), "en") for i, lines in enumerate(made)], SCHEMA)
+    model = lq.fit(docs, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(len(made))], "doc_id long, quality int"))
+    lines = [[x.encode() for x in made[i]] for i in range(0, 400, 3)]
+    good, _ = lq.Chains(lq.line_features(lines), np.array(list(map(len, lines)))).marginals(model.weights, model.ties)
+    is_junk = np.array([b"!!" in x for some in lines for x in some])
+    assert good[is_junk].max() < 0.5 and (good[~is_junk] > 0.5).mean() > 0.6
 
 
 def test_rare_rows(spark):
