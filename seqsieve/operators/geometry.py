@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations, product
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -154,44 +154,69 @@ def nearest_prototype(df: DataFrame, prototypes: Sequence[str], length: int = LE
     return at
 
 
-def nearest_in_space(left: DataFrame, right: DataFrame, columns: Sequence[str], key: str, points_per_cell: int = 16) -> DataFrame:
-    """(key, distance): Euclidean distance of each row of left to the nearest row of right, after both are standardised by their joint mean and deviation (ddof 0); null if right is empty.
+def _characters(values: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform along the first axis, whose length is a power of 2: sums over the letters' characters, as a letter is two bits."""
+    step = 1
+    while step < len(values):
+        pairs = values.reshape(-1, 2, step, *values.shape[1:])
+        values = np.stack([pairs[:, 0] + pairs[:, 1], pairs[:, 0] - pairs[:, 1]], axis=1).reshape(values.shape)
+        step *= 2
+    return values
 
-    Distinct points meet in the cells of a grid of growing width: a point and its candidates lie
-    in the same or a neighbouring cell, and what is found nearer than the width is final. Each
-    round doubles the width for the points that are still open, which are ever fewer: only
-    those without a point of right within the last width. Null coordinates count as the mean.
+
+def _weights(n: int) -> np.ndarray:
+    """Letters other than the first in each of the 4 ** n words."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = (out[:, None] + np.array([0, 1, 1, 1])).ravel()
+    return out
+
+
+def power_by_weight(patterns: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(weight, power): squares of the characters of the set of distinct patterns, summed over those that depend on weight letters.
+
+    The transform goes in two passes, dealt out like two_nearest: over the last letters within
+    each beginning that occurs, then over the beginnings within each part of the last letters'
+    characters. All sums are whole numbers of at most 16 ** length.
+    """
+    head, tail = length // 2, length - length // 2
+    tile = min(TILE, tail)
+    cells, inner = 4**tile, 4 ** (tail - tile)
+    known = patterns.select("pattern").distinct().select(_code("pattern", 1, head).alias("head"), _code("pattern", head + 1, tail).alias("tail"))
+
+    def tails(key: tuple, rows: pa.Table) -> pa.Table:
+        found = np.zeros(4**tail, np.int32)
+        found[rows["tail"].to_numpy()] = 1
+        found = _characters(found).reshape(cells, inner)
+        return pa.table({"tile": pa.array(np.arange(cells), pa.int32()), "head": pa.array([key[0].as_py()] * cells, pa.int32()), "part": [x.tobytes() for x in found]})
+
+    def heads(key: tuple, rows: pa.Table) -> pa.Table:
+        found = np.zeros((4**head, inner), np.int32)
+        for at, raw in zip(rows["head"].to_pylist(), rows["part"].to_pylist(), strict=True):
+            found[at] = np.frombuffer(raw, np.int32)
+        found = _characters(found)
+        last = _weights(tail)[key[0].as_py() * inner :][:inner]
+        weight = (_weights(head)[:, None] + last).ravel()
+        power = np.zeros(length + 1, np.int64)
+        power += np.bincount(weight, np.square(found.ravel(), dtype=np.float64), length + 1).astype(np.int64)  # exact: all add up to 2 ** 52 at most
+        return pa.table({"weight": pa.array(np.arange(length + 1), pa.int32()), "power": power})
+
+    first = known.groupBy("head").applyInArrow(tails, "tile int, head int, part binary")
+    return first.groupBy("tile").applyInArrow(heads, "weight int, power long").groupBy("weight").agg(F.sum("power").alias("power"))
+
+
+def pair_histogram(df: DataFrame, distance: int = LENGTH, length: int = LENGTH) -> DataFrame:
+    """(distance, n): pairs of distinct patterns at each distance from 1 to the given one, those without a pair left out.
+
+    Pairs are counted from the spectrum of the set (length + 1 numbers, which come to the
+    driver), by Krawtchouk polynomials; no pair is ever made. So the cost is that of the
+    transform, whatever the number of pairs. Repeated patterns count once; an empty table gives
+    an empty result.
     """
-    both = left.select(*columns).unionByName(right.select(*columns))
-    stats = both.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    names = [f"z{i}" for i in range(len(columns))]
-
-    def scaled(df: DataFrame, *keep: str) -> DataFrame:
-        z = [F.coalesce(F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")), F.lit(0.0)).alias(n) for c, n in zip(columns, names, strict=True)]
-        return df.join(F.broadcast(stats)).select(*keep, *z)
-
-    rows = materialise(scaled(left, key))
-    points = materialise(scaled(right).distinct())
-    rest = materialise(rows.select(*names).distinct())
-    n = points.count()
-    ranges = points.agg(*[(F.max(z) - F.min(z)).alias(z) for z in names]).first()
-    if not n:
-        return rows.select(key, F.lit(None).cast("double").alias("distance"))
-    found, width = [], max(1e-6, max(ranges)) / max(1.0, (n / points_per_cell) ** (1 / len(columns)))
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=len(columns))])
-    while not rest.isEmpty():
-        cell = lambda z, shift=0: F.floor(F.col(z) / width).cast("long") + shift  # noqa: B023,E731
-        near = points.withColumn("_s", F.explode(steps)).select(*[F.col(z).alias(f"r_{z}") for z in names], *[cell(z, F.get("_s", i)).alias(f"c_{z}") for i, z in enumerate(names)])
-        asked = rest.select(*names, *[cell(z).alias(f"c_{z}") for z in names])
-        d = F.sqrt(sum((F.col(z) - F.col(f"r_{z}")) * (F.col(z) - F.col(f"r_{z}")) for z in names))
-        best = materialise(asked.join(near, [f"c_{z}" for z in names]).groupBy(*names).agg(F.min(d).alias("distance")).where(F.col("distance") <= width))
-        found.append(best)
-        rest = materialise(rest.join(best, names, "left_anti"))
-        width *= 2
-    done = reduce(DataFrame.unionByName, found) if found else rest.withColumn("distance", F.lit(None).cast("double"))
-    return rows.join(done, names).select(key, "distance")
-
-
-def pair_histogram(df: DataFrame, distance: int) -> DataFrame:
-    """(distance, n): pairs of distinct patterns at each distance up to the given one."""
-    return similar_pairs(df, distance).groupBy("distance").agg(F.count("*").alias("n"))
+    power = {r["weight"]: r["power"] for r in power_by_weight(df, length).collect()}
+
+    def krawtchouk(d: int, k: int) -> int:
+        return sum((-1) ** j * 3 ** (d - j) * comb(k, j) * comb(length - k, d - j) for j in range(d + 1))
+
+    counts = [(d, sum(p * krawtchouk(d, k) for k, p in power.items()) // (2 * 4**length)) for d in range(1, min(distance, length) + 1)]
+    return df.sparkSession.createDataFrame([c for c in counts if c[1]], "distance int, n long")

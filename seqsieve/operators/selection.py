@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions.sequence import hamming
 from seqsieve.operators.ranking import numbered, seeded_order
+from seqsieve.operators.space import nearest_in_space
 from seqsieve.plans.materialise import materialise
 
 
@@ -137,6 +138,49 @@ def mixed_batch(pool: DataFrame, known: DataFrame, budget: int, ratios: Mapping[
     return chosen
 
 
+def rounded_quotas(parts: Mapping[str, float], budget: int, rest: str) -> dict[str, int]:
+    """The parts as they are if they sum to budget, else rounded shares of it (halves to even), and what is left for the part named rest."""
+    total = sum(parts.values())
+    if total == budget:
+        return {k: int(v) for k, v in parts.items()}
+    out = {k: round(budget * v / total) for k, v in parts.items() if k != rest}
+    return out | {rest: max(0, budget - sum(out.values()))}
+
+
+#: Shares of the roles in a batch by novelty in space.
+SPACE_PARTS = {"uncertainty": 45, "coverage": 25, "promising": 20, "random": 10}
+
+
+def space_batch(
+    pool: DataFrame, known: DataFrame, budget: int, columns: Sequence[str], score: str, sigma: str, seed: int, *, parts: Mapping[str, float] = SPACE_PARTS, key: str = "cand_id", maximise: bool = False
+) -> DataFrame:
+    """(key, role, pick, novelty): rows of pool with the greatest sigma, then those farthest from known in the standardised columns, then the best by score, then random ones, by rounded quotas, each role on what the ones before have left; a shortfall is filled by sigma.
+
+    Novelty is compared with nine digits, as distances that should be equal may differ by
+    rounding; without rows of known it is 0 for all. A pool smaller than the budget is taken whole.
+    """
+    near = nearest_in_space(pool, known, columns, key).select(key, F.round(F.coalesce("distance", F.lit(0.0)), 9).alias("novelty"))
+    rest = materialise(pool.join(near, key).select(key, "novelty", F.col(score).alias("_score"), F.col(sigma).alias("_sigma")))
+    quotas = rounded_quotas(parts, budget, "random")
+    orders = {
+        "uncertainty": [F.desc("_sigma"), F.col(key)],
+        "coverage": [F.desc("novelty"), F.col(key)],
+        "promising": [direction("_score", maximise), F.col(key)],
+        "random": [seeded_order(F.lit(seed), F.col(key)), F.col(key)],
+        "fill": [F.desc("_sigma"), F.col(key)],
+    }
+    chosen, taken = None, 0
+    for role, order in orders.items():
+        n = min(quotas.get(role, 0), budget - taken) if role != "fill" else budget - taken
+        if n <= 0:
+            continue
+        part = materialise(first_rows(rest, order, n, role).select(key, "role", "pick", "novelty"))
+        taken += part.count()
+        chosen = part if chosen is None else chosen.unionByName(part)
+        rest = rest.join(F.broadcast(part.select(key)), key, "left_anti")  # at most budget rows
+    return chosen if chosen is not None else first_rows(rest, orders["fill"], 0, "fill").select(key, "role", "pick", "novelty")
+
+
 def even_quotas(sizes: Mapping[str, int], budget: int) -> dict[str, int]:
     """Near-even quotas over groups, in order of their names; what a small group can't use goes to the others."""
     out, left = dict.fromkeys(sizes, 0), min(budget, sum(sizes.values()))

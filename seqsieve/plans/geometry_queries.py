@@ -9,6 +9,7 @@ from seqsieve.functions.constants import SITES, WILD_TYPE
 from seqsieve.operators import geometry as G
 from seqsieve.operators import splits as K
 from seqsieve.operators.ranking import quantile_bin, quantiles
+from seqsieve.operators.space import nearest_in_space
 from seqsieve.plans.metric_queries import rounded
 from seqsieve.plans.registry import query
 
@@ -74,9 +75,9 @@ def a26(p, known):
     return rounded(flags.groupBy((F.col("cand_id") % 3).alias("run"), "n_changed").agg(F.count("*").alias("n"), F.avg(F.col("ood").cast("int")).alias("ood_share")))
 
 
-@query("a34_pair_histogram", "patterned", oracle=f"WITH {DISTINCT} SELECT hamming(a.pattern, b.pattern) AS distance, count(*) AS n FROM d a JOIN d b ON a.pattern < b.pattern WHERE hamming(a.pattern, b.pattern) <= 4 GROUP BY 1")
+@query("a34_pair_histogram", "patterned", oracle=f"WITH {DISTINCT} SELECT hamming(a.pattern, b.pattern) AS distance, count(*) AS n FROM d a JOIN d b ON a.pattern < b.pattern GROUP BY 1")
 def a34(v):
-    return G.pair_histogram(v, 4)
+    return G.pair_histogram(v)
 
 
 @query("j12_prototypes", "patterned", oracle=f"""
@@ -90,7 +91,7 @@ WITH l AS (SELECT * FROM scores WHERE seed <> 1), p AS (SELECT * FROM scores WHE
 m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(c) AS mc, stddev_pop(c) AS sc FROM u)
 SELECT p.id, round(min(sqrt(((p.a - l.a) / sa) * ((p.a - l.a) / sa) + ((p.c - l.c) / sc) * ((p.c - l.c) / sc))), 6) AS distance FROM p, l, m GROUP BY p.id""")
 def j13(s):
-    return rounded(G.nearest_in_space(s.where("seed = 1"), s.where("seed <> 1"), ["a", "c"], "id"))
+    return rounded(nearest_in_space(s.where("seed = 1"), s.where("seed <> 1"), ["a", "c"], "id"))
 
 
 COMPONENTS = f"""RECURSIVE {DISTINCT}, e AS (SELECT a.pattern AS a, b.pattern AS b FROM d a JOIN d b ON a.pattern <> b.pattern WHERE hamming(a.pattern, b.pattern) <= 1),

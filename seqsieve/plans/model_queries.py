@@ -18,6 +18,7 @@ from seqsieve.operators import metrics as A
 from seqsieve.operators import screen as M
 from seqsieve.operators import splits as K
 from seqsieve.operators.ranking import top_k, with_ranks
+from seqsieve.operators.space import neighbour_information
 from seqsieve.plans.materialise import materialise, shared_dir
 from seqsieve.plans.metric_queries import rounded
 from seqsieve.plans.registry import query
@@ -237,6 +238,13 @@ def m4(f):
     return rounded(M.information_scores(f, FEATURES, "y"))
 
 
+@query("m4_neighbours", "features")
+def m4_neighbours(f):
+    """Distances of all pairs have no SQL that ends on the whole table; tests hold the score against a loop."""
+    long = M.unpivot(f, FEATURES, ["y"])
+    return rounded(neighbour_information(long.select("feature", "value", "y"), axes=("value", "y")))
+
+
 F_SCORES = "fs AS (SELECT feature, score FROM (UNPIVOT (SELECT " + ", ".join(f"(count(*) - 2) * corr({c}, y) * corr({c}, y) / (1 - corr({c}, y) * corr({c}, y)) AS {c}" for c in FEATURES) + " FROM features) ON COLUMNS(*) INTO NAME feature VALUE score))"
 #: The feature that explains most by itself. It explains nearly all of y, so any sound screen must put it first.
 STRONGEST = f"WITH {F_SCORES} SELECT feature FROM fs ORDER BY score DESC, feature LIMIT 1"

@@ -68,12 +68,26 @@ m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(c) AS mc, stddev_pop(c) AS s
 d AS (SELECT p.id, round(min(sqrt(((p.a - l.a) / sa) * ((p.a - l.a) / sa) + ((p.c - l.c) / sc) * ((p.c - l.c) / sc))), 6) AS novelty FROM p, l, m GROUP BY p.id)
 SELECT id, novelty FROM d ORDER BY novelty DESC, id LIMIT 30""")
 def b6(s):
-    from seqsieve.operators.geometry import nearest_in_space
+    from seqsieve.operators.space import nearest_in_space
 
     near = rounded(nearest_in_space(s.where("seed = 1"), s.where("seed <> 1"), ["a", "c"], "id"))
     return near.withColumnRenamed("distance", "novelty").orderBy(F.desc("novelty"), "id").limit(30)
 
 
+@query("b6_mixed_space_batch", "scores", oracle="""
+WITH l AS (SELECT * FROM scores WHERE seed <> 1), p AS (SELECT * FROM scores WHERE seed = 1), t AS (SELECT a, c FROM l UNION ALL SELECT a, c FROM p),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(c) AS mc, stddev_pop(c) AS sc FROM t),
+n AS (SELECT p.id, p.b, p.d, round(min(sqrt(((p.a - l.a) / sa) * ((p.a - l.a) / sa) + ((p.c - l.c) / sc) * ((p.c - l.c) / sc))), 9) AS novelty FROM p, l, m GROUP BY p.id, p.b, p.d),
+r1 AS (SELECT id, novelty, 'uncertainty' AS role, row_number() OVER (ORDER BY d DESC, id) AS pick FROM n ORDER BY pick LIMIT 67),
+r2 AS (SELECT id, novelty, 'coverage' AS role, row_number() OVER (ORDER BY novelty DESC, id) AS pick FROM n WHERE id NOT IN (SELECT id FROM r1) ORDER BY pick LIMIT 37),
+r3 AS (SELECT id, novelty, 'promising' AS role, row_number() OVER (ORDER BY b, id) AS pick FROM n WHERE id NOT IN (SELECT id FROM r1 UNION ALL SELECT id FROM r2) ORDER BY pick LIMIT 30),
+r4 AS (SELECT id, novelty, 'random' AS role, row_number() OVER (ORDER BY md5(concat('7:', id)), id) AS pick FROM n WHERE id NOT IN (SELECT id FROM r1 UNION ALL SELECT id FROM r2 UNION ALL SELECT id FROM r3) ORDER BY pick LIMIT 15),
+r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)
+SELECT id, role, pick::INTEGER AS pick, round(novelty, 6) AS novelty FROM r""")
+def b6_mixed(s):
+    return rounded(B.space_batch(s.where("seed = 1"), s.where("seed <> 1"), 149, ["a", "c"], "b", "d", 7, key="id"))
+
+
 @query("b7_grouped", "pool", oracle="""
 WITH g AS (SELECT cand_id, y, CASE WHEN cand_id % 10 = 0 THEN 'g1' ELSE 'g2' END AS grp FROM pool), n AS (SELECT count(*) FILTER (grp = 'g1') AS a, count(*) FILTER (grp = 'g2') AS b FROM g),
 q AS (SELECT least(a, greatest(200, 400 - b)) AS qa, least(b, greatest(200, 400 - a)) AS qb FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY y, cand_id) AS pick FROM g)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions import sequence as S
 from seqsieve.functions.constants import SITES, WILD_TYPE
-from seqsieve.operators import contracts, generate, geometry, ledger, metrics, ranking, selection, splits
+from seqsieve.operators import contracts, generate, geometry, ledger, metrics, ranking, selection, space, splits
 from seqsieve.operators.components import connected_components
 
 
@@ -120,13 +120,35 @@ def test_nearest_in_space_against_loop(spark):
     left = [(i, r.choice([0.0, r.gauss(0, 1), 50.0]), r.random()) for i in range(80)]
     right = [(i, r.gauss(0, 1), r.random()) for i in range(60)] + [(99, 0.0, 0.0)] * 5
     table = lambda rows: spark.createDataFrame(rows, "id long, a double, b double")
-    got = {x["id"]: x["distance"] for x in geometry.nearest_in_space(table(left), table(right), ["a", "b"], "id").collect()}
+    got = {x["id"]: x["distance"] for x in space.nearest_in_space(table(left), table(right), ["a", "b"], "id").collect()}
     both = left + right
     mean = [sum(x[i] for x in both) / len(both) for i in (1, 2)]
     dev = [(sum((x[i] - mean[i - 1]) ** 2 for x in both) / len(both)) ** 0.5 for i in (1, 2)]
     for i, a, b in left:
         assert abs(got[i] - min((((a - x) / dev[0]) ** 2 + ((b - y) / dev[1]) ** 2) ** 0.5 for _, x, y in right)) < 1e-9
-    assert geometry.nearest_in_space(table(left), table(right).limit(0), ["a", "b"], "id").where("distance IS NOT NULL").count() == 0
+    assert space.nearest_in_space(table(left), table(right).limit(0), ["a", "b"], "id").where("distance IS NOT NULL").count() == 0
+
+
+def test_space_batch_equals_a_loop(spark):
+    r = random.Random(9)
+    rows = [(i, r.gauss(0, 1), r.choice([0.0, r.random(), 1e6]), r.random(), r.choice([1.0, 2.0, r.random()])) for i in range(120)]
+    pool = spark.createDataFrame(rows, "cand_id long, a double, b double, mu double, sigma double")
+    known = pool.where("cand_id % 4 = 0")
+    rest = pool.where("cand_id % 4 <> 0")
+    novelty = {x["cand_id"]: round(x["distance"], 9) for x in space.nearest_in_space(rest, known, ["a", "b"], "cand_id").collect()}
+    left = [x for x in rows if x[0] % 4]
+    want = []
+    assert selection.rounded_quotas(selection.SPACE_PARTS, 33, "random") == {"uncertainty": 15, "coverage": 8, "promising": 7, "random": 3}
+    for role, n, order in (("uncertainty", 15, lambda x: (-x[4], x[0])), ("coverage", 8, lambda x: (-novelty[x[0]], x[0])), ("promising", 7, lambda x: (x[3], x[0]))):
+        got = sorted(left, key=order)[:n]
+        want += [(x[0], role, i) for i, x in enumerate(got, 1)]
+        left = [x for x in left if x not in got]
+    batch = {(x["cand_id"], x["role"], x["pick"]) for x in selection.space_batch(rest, known, 33, ["a", "b"], "mu", "sigma", 1).collect()}
+    assert len(batch) == 33 and set(want) <= batch and sum(x[1] == "random" for x in batch) == 3
+    short = selection.space_batch(rest.limit(20), known, 33, ["a", "b"], "mu", "sigma", 1, parts={"uncertainty": 4, "random": 1}).collect()
+    assert len({x["cand_id"] for x in short}) == 20
+    filled = selection.space_batch(rest, known, 10, ["a", "b"], "mu", "sigma", 1, parts={"coverage": 4, "promising": 6, "random": 0}, maximise=True).collect()
+    assert [x["cand_id"] for x in sorted(filled, key=lambda x: x["pick"]) if x["role"] == "coverage"] == [x for x in sorted(novelty, key=lambda i: (-novelty[i], i))][:4]
 
 
 def test_written_tables_go_with_their_scope(spark):
