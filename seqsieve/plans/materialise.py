@@ -75,3 +75,11 @@ def digest_key(*cols: Column) -> Column:
     """A 128-bit key of the columns' values; nulls differ from any text."""
     parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in cols]
     return F.unhex(F.md5(F.concat_ws("\u0001", *parts)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name, led by underscores, that df doesn't have in any case."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known or not name.startswith("_"):
+        name = f"_{name}"
+    return name
