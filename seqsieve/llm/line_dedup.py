@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.plans.materialise import HOT_SHARE, digest_key, materialise
+from seqsieve.plans.materialise import HOT_SHARE, digest_key, free_name, materialise
 
 #: log2 of the sketches' registers: a standard error of about 1.04 / sqrt(4096), 1.6 %.
 SKETCH_BITS = 12
@@ -30,16 +30,16 @@ def document_lines(docs: DataFrame, *, id_col: str, text_col: str, site_col: str
 
 
 def spread(lines: DataFrame, min_sites: int, near: float = NEAR) -> DataFrame:
-    """(line_key, n, first_doc, first_pos, sites, exact) of lines on min_sites or more distinct sites.
+    """(line_key, n, first_key, first_pos, sites, exact) of lines on min_sites or more distinct sites.
 
     A line seen fewer than min_sites times can't reach them and leaves after the first
     aggregation. sites is the sketch's estimate, or the exact count where exact is true.
     """
     found = materialise(
         lines.groupBy("line_key")
-        .agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+        .agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc_id", "doc_key", "pos")).alias("first"))
         .where(F.col("n") >= min_sites)
-        .select("line_key", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"), F.hll_sketch_estimate("sketch").alias("sites"))
+        .select("line_key", "n", F.col("first.doc_key").alias("first_key"), F.col("first.pos").alias("first_pos"), F.hll_sketch_estimate("sketch").alias("sites"))
         .where(F.col("sites") >= min_sites * (1 - near) - 2)
     )
     unsure = F.abs(F.col("sites") - min_sites) <= F.greatest(F.lit(2.0), F.lit(min_sites * near))
@@ -47,7 +47,7 @@ def spread(lines: DataFrame, min_sites: int, near: float = NEAR) -> DataFrame:
     close = materialise(found.where(unsure))
     some = keyed(lines.select("line_key", "site"), close, "line_key", "n").select("line_key", "site").distinct()
     counts = some.groupBy("line_key").agg(F.count("*").alias("exact_sites"))
-    exact = close.join(counts, "line_key").where(F.col("exact_sites") >= min_sites).select("line_key", "n", "first_doc", "first_pos", F.col("exact_sites").alias("sites"), F.lit(True).alias("exact"))
+    exact = close.join(counts, "line_key").where(F.col("exact_sites") >= min_sites).select("line_key", "n", "first_key", "first_pos", F.col("exact_sites").alias("sites"), F.lit(True).alias("exact"))
     return sure.unionByName(exact)
 
 
@@ -62,10 +62,10 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, keep_first: bool
     """docs with text_col stripped of lines that stand on min_sites or more sites, and n_lines, n_removed.
 
     Lines count as equal when identical without outer ASCII white space; blank lines stay.
-    With keep_first the first occurrence (smallest id, then position) of each such line stays,
+    With keep_first the first occurrence (smallest id, then text's key, then position) of each such line stays,
     so that no passage is lost from the corpus. A null site is a site of its own, named ''; a
     null text stays null and has no lines. Rows that repeat id and text are treated alike. All
-    columns of docs stay; n_lines and n_removed replace columns of these names. Whole texts are
+    columns of docs stay, whatever their names; n_lines and n_removed replace columns of these names. Whole texts are
     read, and the cost of a text is in proportion to its lines. An empty table gives an empty
     result.
     """
@@ -73,15 +73,15 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 8, keep_first: bool
     wide = materialise(spread(lines, min_sites))
     marked = keyed(lines.select("doc_key", "doc_id", "pos", "line_key"), wide, "line_key", "n")
     if keep_first:
-        marked = marked.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    gone = marked.groupBy("doc_key").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).select(F.col("doc_key").alias("_key"), F.size("_gone").alias("_n"), gone_flags(F.col("_gone")).alias("_flags"))
+        marked = marked.where(~(F.col("doc_key").eqNullSafe(F.col("first_key")) & (F.col("pos") == F.col("first_pos"))))
     rest = docs.drop("n_lines", "n_removed")
-    key = digest_key(F.col(id_col), F.col(text_col))
-    n = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1
-    kept = F.zip_with(F.split(text_col, "\n"), F.col("_flags"), lambda line, out: F.when(F.coalesce(out, F.lit(False)), F.lit(None)).otherwise(line))
-    text = F.when(F.col("_n").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))  # which skips nulls
-    joined = rest.join(gone, key == F.col("_key"), "left")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest.columns], F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+    key, n, flags = (free_name(rest, c) for c in ("key", "n", "flags"))
+    gone = marked.groupBy("doc_key").agg(F.sort_array(F.collect_set("pos")).alias("gone")).select(F.col("doc_key").alias(key), F.size("gone").alias(n), gone_flags(F.col("gone")).alias(flags))
+    lines_in = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1
+    kept = F.zip_with(F.split(text_col, "\n"), F.col(flags), lambda line, out: F.when(F.coalesce(out, F.lit(False)), F.lit(None)).otherwise(line))
+    text = F.when(F.col(n).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))  # which skips nulls
+    joined = rest.join(gone, digest_key(F.col(id_col), F.col(text_col)) == F.col(key), "left")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest.columns], F.when(F.col(text_col).isNull(), 0).otherwise(lines_in).cast("long").alias("n_lines"), F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def gone_flags(gone: Column) -> Column:

@@ -136,6 +136,18 @@ def small_links(shared: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return small.select(F.inline(pairs))
 
 
+def _balls(shared: DataFrame, bucket: int) -> DataFrame:
+    """(m): of the fingerprints of larger keys, in order, those that share a one-bit neighbour or are it; 65 at most."""
+    large = shared.where(F.col("n") > bucket).select("fp").distinct()
+    return large.select("fp", F.explode(_ball_udf("fp")).alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
+
+
+def ball_pairs(shared: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """All pairs (a, b) at 2 or fewer differing bits of the fingerprints of keys of over bucket, some of them repeatedly."""
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return _balls(shared, bucket).select(F.inline(pairs))
+
+
 def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp (no nulls; an empty table gives none) with the same components as all pairs at 2 or fewer differing bits.
 
@@ -146,9 +158,7 @@ def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     shared = shared_keys(distinct)
     links = small_links(shared, bucket)
-    large = shared.where(F.col("n") > bucket).select("fp").distinct()
-    balls = large.select("fp", F.explode(_ball_udf("fp")).alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    chain = balls.select(F.inline(F.transform(F.expr("slice(m, 2, size(m) - 1)"), lambda x: F.struct(F.element_at("m", 1).alias("a"), x.alias("b")))))
+    chain = _balls(shared, bucket).select(F.inline(F.transform(F.expr("slice(m, 2, size(m) - 1)"), lambda x: F.struct(F.element_at("m", 1).alias("a"), x.alias("b")))))
     return links.unionByName(chain).distinct()
 
 

@@ -43,7 +43,7 @@ def test_stages(spark, tmp_path):
     assert run.select("doc_id", "start", "length", "ids_crc32").exceptAll(d.select("doc_id", "start", "length", "ids_crc32")).count() == 0
     none = docs.where(F.lit(False))
     assert all(stage(spark, none, "").count() == 0 for stage in stages.values())
-    more = docs.withColumns({c: F.lit("clash") for c in ("key", "kept", "row_key", "window", "round", "fp", "n_lines", "lang_", "band", "n_words")})
+    more = docs.withColumns({c: F.lit("clash") for c in ("key", "kept", "row_key", "window", "round", "fp", "n_lines", "lang_", "band", "n_words", "_key", "_n", "_flags", "__key", "KEY_", "n_removed", "doc_key", "gone", "line_key", "set_key", "first", "_rn", "rid")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         plain = lambda d: sorted(map(str, d.select(docs.columns).collect()))
         assert plain(stage(spark, more, "")) == plain(stage(spark, docs, "")), name

@@ -3,12 +3,14 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("seqsieve.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from seqsieve.llm import shingle_similarity as S  # noqa: E402
+from seqsieve.llm.simhash_golay import fuzzy_keys  # noqa: E402
 from tests.llm.test_documents import brute_fingerprint  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,6 +71,42 @@ def test_stage_takes_edited_copies(spark, monkeypatch, bucket):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups(len(texts), pairs)))
 
 
+def test_many_near_copies_in_few_keys(spark, monkeypatch):
+    """1,000 distinct near-copies of a template that share most bands, in blocks far smaller than they are."""
+    monkeypatch.setattr(S.block_links, "__defaults__", (32,))
+    base = " ".join(f"w{random.Random(i).randrange(5000)}" for i in range(200))
+    texts = [edited(17 * e, base, 1 + e % 4) for e in range(1000)] + [edited(5 * e, base, 60) for e in range(30)]
+    sets = brute_sets(texts)
+    want = set(groups(len(texts), brute_pairs(sets)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert len(want) < 40 and kept == want
+
+
+def test_golay_pairs_of_a_dense_key(spark):
+    """A fingerprint, all its one-bit neighbours, and others far away: all pairs within 2 bits are candidates, though most share no key of 16 or fewer."""
+    one = 0x123456789ABCDEF
+    fps = [one, *(one ^ (1 << i) for i in range(63)), one ^ 0b111, 0x7FFF0000FFFF0000 & (2**63 - 1)]
+    rows = [(bytes([i]) * 16, 1, f) for i, f in enumerate(fps)] + [(bytes([250 + i]) * 16, 1, one) for i in range(3)]
+    got = {(r["a"], r["b"]) for r in S.golay_pairs(spark.createDataFrame(rows, "set_key binary, size int, fp long")).collect()}
+    want = {(bytes([a]) * 16, bytes([b]) * 16) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert got == want | {(bytes(16), bytes([250 + i]) * 16) for i in range(3)}
+
+
+def test_recall_of_golay_keys_and_bands():
+    """Of pairs at a similarity of 0.8 to 0.85 bands find nearly all; Golay keys those at 2 or fewer bits, all of them, which is another set."""
+    base = [f"w{random.Random(i).randrange(5000)}" for i in range(300)]
+    kept, near, both = 0, 0, 0
+    for k in range(200):
+        a, b = S.shingle_set(" ".join(base)), S.shingle_set(edited(k, " ".join(base), 6))
+        assert 0.78 < len(set(a) & set(b)) / len(set(a) | set(b)) < 0.88
+        kept += bool((S.band_keys(a) == S.band_keys(b)).any())
+        close = (S.majority(a) ^ S.majority(b)).bit_count() <= 2
+        near += close
+        both += close and any(set(x) & set(y) for x, y in [[fuzzy_keys(np.array([S.majority(v)], np.uint64))[0].tolist() for v in (a, b)]])
+    assert kept >= 198 and both == near
+
+
 def test_recall_on_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
