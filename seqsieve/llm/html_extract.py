@@ -31,7 +31,10 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[\s\x00]+")
-BUCKETS = 4096
+BUCKETS = 8192
+#: Ancestors whose names are features of a node, and elements that count as names.
+ANCESTORS = 5
+TELLING = frozenset("article aside footer form header main nav".split())
 MAX_LABELLED_NODES = 200_000
 
 
@@ -64,6 +67,7 @@ def parse(page: str) -> list[Node]:
     nodes = [Node(-1, "body", {})]
     stack: list[tuple[str, int]] = [("body", 0)]  # open tags with the block node that holds their text
     silent = links = order = at = 0
+    held: dict[str, int] = {}  # open tags by name
 
     def text(raw: str) -> None:
         nonlocal order
@@ -82,10 +86,13 @@ def parse(page: str) -> list[Node]:
         nonlocal silent, links
         while len(stack) > depth:
             tag, _ = stack.pop()
+            held[tag] -= 1
             silent -= tag in SILENT
             links -= tag == "a"
 
     def close(names: set[str], stops: set[str] | frozenset[str]) -> None:
+        if not any(map(held.get, names)):
+            return  # so tags without a partner cost nothing, however many are open
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 pop_to(i)
@@ -130,6 +137,7 @@ def parse(page: str) -> list[Node]:
                     nodes.append(probe)
                     holder = len(nodes) - 1
         stack.append((tag, holder))
+        held[tag] = held.get(tag, 0) + 1
         silent += tag in SILENT
         links += tag == "a"
         if tag in RAW:
@@ -149,6 +157,7 @@ def node_features(nodes: Sequence[Node]) -> list[list[int]]:
         kids[p] += 1
         below[p] += below[i]
         below_linked[p] += below_linked[i]
+    named = [{*n.words, *([f"<{n.tag}>"] if n.tag in TELLING else [])} for n in nodes]
     out = []
     for i, n in enumerate(nodes):
         share = n.linked / n.chars if n.chars else 0
@@ -156,6 +165,13 @@ def node_features(nodes: Sequence[Node]) -> list[list[int]]:
         names = ["bias", f"tag={n.tag}", f"in={nodes[n.parent].tag if n.parent >= 0 else ''}", f"link={int(share * 3.99)}", f"tree={int(tree * 3.99)}", f"chars={min(6, len(bin(n.chars // 10)) - 2)}"]
         names += [f"big={min(8, len(bin(below[i] // 50)) - 2)}", f"kids={min(4, kids[i])}", f"prose={n.chars >= 60 and share < 0.75}", f"own={n.tag}{n.chars > 0}{n.parent < 0}", f"pair={n.tag},{nodes[n.parent].tag if n.parent >= 0 else ''}"]
         names += [f"word={w}" for w in set(n.words)]
+        up, above = n.parent, set()
+        for _ in range(ANCESTORS):
+            if up < 0:
+                break
+            above |= named[up]
+            up = nodes[up].parent
+        names += [f"under={w}" for w in above]
         if n.hidden:
             names.append("hidden")
         if n.pieces and n.chars:
@@ -237,7 +253,7 @@ def kind_of(tag: str) -> int:
     return 3 if tag in ("header", "footer", "nav", "aside", "form", "section") else 4
 
 
-def train(pages: Sequence[str], *, rounds: int = 220, rate: float = 20.0, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: Sequence[str], *, rounds: int = 200, rate: float = 0.05, penalty: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ties) from labelled pages, whose elements carry data-label="1" or "0" or inherit it from their parent.
 
     At most MAX_LABELLED_NODES nodes are used, the first ones; pages beyond are left out whole.
@@ -259,14 +275,18 @@ def train(pages: Sequence[str], *, rounds: int = 220, rate: float = 20.0, penalt
     seen = np.zeros((len(KINDS), 2, 2))
     np.add.at(seen, (forest.tie[child], y[forest.parent[child]], y[child]), 1)
     w, ties = np.zeros(BUCKETS), np.zeros((len(KINDS), 2, 2))
-    speed_w, speed_t, n = np.zeros_like(w), np.zeros_like(ties), len(y)
-    for _ in range(rounds):
+    first, second, n = [np.zeros_like(w), np.zeros_like(ties)], [np.zeros_like(w), np.zeros_like(ties)], len(y)
+    for k in range(1, rounds + 1):
         one, joint = forest.marginals(w, ties)
         expected = np.zeros_like(ties)
         np.add.at(expected, forest.tie[child], joint[child])
-        speed_w = 0.9 * speed_w + rate * (np.bincount(forest.cols, (y - one)[forest.rows], BUCKETS) / n - penalty * w)
-        speed_t = 0.9 * speed_t + rate * ((seen - expected) / n - penalty * ties)
-        w, ties = w + speed_w, ties + speed_t
+        slopes = [np.bincount(forest.cols, (y - one)[forest.rows], BUCKETS) / n - penalty * w, (seen - expected) / n - penalty * ties]
+        moves = []
+        for i, slope in enumerate(slopes):  # steps scaled by each weight's own slopes, so rare names move too
+            first[i] = 0.9 * first[i] + 0.1 * slope
+            second[i] = 0.99 * second[i] + 0.01 * slope**2
+            moves.append(rate / (1 - 0.9**k) * first[i] / (np.sqrt(second[i] / (1 - 0.99**k)) + 1e-7))
+        w, ties = w + moves[0], ties + moves[1]
     return w, ties
 
 
@@ -290,7 +310,7 @@ def extract(pages: Sequence[str], model: tuple[np.ndarray, np.ndarray], threshol
 
 
 def extract_pages(pages: DataFrame, model: tuple[np.ndarray, np.ndarray], *, threshold: float = 0.5, batch_chars: int = 2_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars. A null or empty page, or one without content, gives an empty text; repeated rows get a row each; other columns are ignored."""
+    """One row per row of pages: page_id, url, text, n_chars. A null or empty page, or one without content, gives an empty text; repeated rows get a row each; pages count whole, in time in proportion to their length, however long; other columns are ignored, whatever their names; an empty table gives an empty result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@lru_cache(maxsize=1)
+def page_model() -> tuple:
+    """The extraction model, fitted once in a driver's life."""
+    return train(labelled_pages())
+
+
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_pages()))
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_model())
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,35 @@ def test_pages_that_the_training_pages_do_not_hold(model, name):
     assert html_extract.extract([page], model)[0].split() == want.split()
 
 
+SAID = "I must say that I did not agree with what was written about the river, as my own village has seen quite another story in the years since."
+BESIDE = {
+    "comments in a section": f'<section class="user-comments"><p>{SAID}</p></section>',
+    "a thread of comments": f'<div id="disqus_thread"><p>{SAID}</p></div>',
+    "comments": f'<div class="comments"><p>{SAID}</p><p>{SAID}</p></div>',
+    "a footer": '<div class="footer">&copy; 2020 Some Company Limited, all rights reserved in every country</div>',
+    "an advert": f'<div class="sponsored"><p>{SAID}</p></div>',
+    "an advert without a paragraph": f'<div class="sponsored">{SAID}</div>',
+    "a privacy notice": '<div id="gdpr"><p>We use cookies to give you the best experience on our site and to measure what readers like, please accept them all.</p></div>',
+    "a notice": '<div class="alert" role="alert">Our office is closed on Monday because of the public holiday, and we open again on Tuesday morning.</div>',
+}
+STORY = "".join(f"<p>This is paragraph {i} of the article, and it tells a story about the mill and the people in some detail.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("name", BESIDE)
+@pytest.mark.parametrize("page", ["<article><h1>A title</h1>{0}</article>{1}", "<article><h1>A title</h1>{0}{1}</article>", '<div class="content"><h1>A title</h1>{0}</div>{1}'])
+def test_parts_that_read_like_content_go(model, name, page):
+    got = html_extract.extract([f"<html><body>{page.format(STORY, BESIDE[name])}</body></html>"], model)[0]
+    assert got.split() == html_extract.re.sub("<[^>]*>", " ", f"A title {STORY}").split()
+
+
+def test_tags_without_partner_take_linear_time():
+    import time
+
+    began = time.process_time()
+    html_extract.parse("<b>" * 100_000 + "</i>" * 100_000 + "</section>" * 100_000)
+    assert time.process_time() - began < 5
+
+
 def test_odd_pages(spark, model):
     odd = [(1, None), (2, ""), (3, "<p>cut off &am"), (4, "<script>var a='<p>x</p>'"), (5, "<div><p>A short text. &lt;x&gt; &eacute;</p></div>"), (6, "<" * 5000), (7, "<p>" * 3000 + "deep"), (7, "<p>again</p>"), (None, "<!-- never closed <p>x"), (8, "<p>" + "long text. " * 20_000 + "</p>")]
     df = spark.createDataFrame(odd, "page_id long, html string").withColumn("url", F.lit(None).cast("string")).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
