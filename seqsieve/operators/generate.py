@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions.constants import BASES, RUNS, SITES, WILD_TYPE
 from seqsieve.functions.sequence import WILD_PATTERN, gc_shift, hamming
-from seqsieve.operators.ranking import numbered, seeded_order
-from seqsieve.plans.materialise import materialise
+from seqsieve.operators.ranking import numbered, seeded_order, top_k
+from seqsieve.plans.materialise import join_groups, materialise
 
 
 def stratum_capacity(k: int) -> int:
@@ -107,8 +107,8 @@ def one_hop(frontier: DataFrame, low: int = 0, high: int = len(SITES), carry: Se
     return new.select(*carry, "parent", "pattern")
 
 
-def two_hop(frontier: DataFrame, limit: int, seed: int, low: int = 0, high: int = len(SITES), carry: Sequence[str] = ()) -> DataFrame:
-    """Up to limit of the 702 patterns at two changes from each parent, by hash order."""
+def two_hops(frontier: DataFrame, low: int = 0, high: int = len(SITES), carry: Sequence[str] = ()) -> DataFrame:
+    """The 702 patterns at two changes from each row of frontier.pattern, with low to high changes from the wild type."""
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j")) for i, j in combinations(range(len(SITES)), 2)])
     bases = F.split(F.lit(",".join(BASES)), ",")
     rows = materialise(frontier.select(*carry, F.col("pattern").alias("parent"))).select(*carry, "parent", F.explode(pairs).alias("p")).select(*carry, "parent", "p.i", "p.j")
@@ -119,8 +119,13 @@ def two_hop(frontier: DataFrame, limit: int, seed: int, low: int = 0, high: int
     if low > 0 or high < len(SITES):
         n = hamming(F.col("pattern"), F.lit(WILD_PATTERN))
         new = new.where((n >= low) & (n <= high))
+    return new.select(*carry, "parent", "pattern")
+
+
+def two_hop(frontier: DataFrame, limit: int, seed: int, low: int = 0, high: int = len(SITES), carry: Sequence[str] = ()) -> DataFrame:
+    """Up to limit of the 702 patterns at two changes from each parent, by hash order."""
     place = F.row_number().over(Window.partitionBy(*carry, "parent").orderBy(seeded_order(F.lit(seed), F.col("pattern")), "pattern"))
-    return new.withColumn("_p", place).where(F.col("_p") <= limit).select(*carry, "parent", "pattern")
+    return two_hops(frontier, low, high, carry).withColumn("_p", place).where(F.col("_p") <= limit).select(*carry, "parent", "pattern")
 
 
 def spread_best(df: DataFrame, score: str, n: int, distance: int, head: int, key: str = "cand_id") -> DataFrame:
@@ -138,29 +143,51 @@ def spread_best(df: DataFrame, score: str, n: int, distance: int, head: int, key
     return df.join(F.broadcast(order), key)  # at most n rows
 
 
+def initial_seeds(measured: DataFrame, score: str, n_measured: int, distance: int, n_random: int, seed: int, head: int = 200, key: str = "cand_id") -> DataFrame:
+    """(pattern, evidence, pick): the best measured patterns at a distance from each other, as spread_best takes them, then n_random different random ones that aren't measured, drawn by hash."""
+    from seqsieve.operators.search import random_patterns
+
+    best = spread_best(measured, score, n_measured, distance, head, key).select("pattern", F.lit("measured").alias("evidence"), "pick")
+    one = measured.sparkSession.createDataFrame([(n_random,)], "n int")
+    drawn = random_patterns(one, "n", F.lit(str(seed))).groupBy("pattern").agg(F.min("draw").alias("draw")).join(measured.select("pattern"), "pattern", "left_anti")
+    random = top_k(drawn, n_random, [F.col("draw")], name="pick").select("pattern", F.lit("none").alias("evidence"), (F.col("pick") + n_measured).alias("pick"))
+    return best.unionByName(random)
+
+
 def score_new(proposals: DataFrame, cache: DataFrame, budget: int, scorer: Column, snapshot: str, key: str = "pattern") -> DataFrame:
-    """(key, pred, snapshot, cached): scores of proposals; those in the cache are reused, and only the first budget new ones, in order of key, are scored. More new ones than the budget are left out and show in the count."""
+    """(key, pred, snapshot, cached): scores of the different proposals; those in the cache under the snapshot are reused. More new ones than the budget are an error, and nothing is scored."""
     wanted = proposals.select(key).distinct()
     held = cache.where(F.col("snapshot") == snapshot).select(key, "pred", "snapshot").dropDuplicates([key])
     old = wanted.join(held, key).withColumn("cached", F.lit(True))
-    new = wanted.join(held, key, "left_anti").orderBy(key).limit(budget)
+    new = materialise(wanted.join(held, key, "left_anti"))
+    n = new.count()
+    if n > budget:
+        raise ValueError(f"{n} new proposals pass the budget of {budget}")
     return old.unionByName(new.select(key, scorer.alias("pred"), F.lit(snapshot).alias("snapshot"), F.lit(False).alias("cached")))
 
 
-def survive(scored: DataFrame, search: str, width: int, distance: int, factor: int = 4) -> DataFrame:
-    """Of each search the width that survive: the best factor * width are looked at, kept greedily at a distance, and filled up by rank.
+def survive(scored: DataFrame, search: str, width: int, distance: int, factor: int = 4, elites: int = 0) -> DataFrame:
+    """Of each search the width that survive: the elites best always, then those of the best factor * width that are kept greedily at a distance, filled up by rank."""
+    return survivors(scored, search, width, distance, factor, elites).drop("place")
+
+
+def survivors(scored: DataFrame, search: str, width: int, distance: int, factor: int = 4, elites: int = 0) -> DataFrame:
+    """(search, place, pattern, pred): what survive keeps, in order, places from 0 on.
 
     The head of each search is at most factor * width rows, so the greedy part is a fold over one small array per search.
     """
     place = F.row_number().over(Window.partitionBy(search).orderBy("pred", "pattern"))
-    head = scored.withColumn("_rn", place).where(F.col("_rn") <= factor * width)
+    head = scored.select(search, "pattern", "pred").withColumn("_rn", place).where(F.col("_rn") <= factor * width)
     packed = head.groupBy(search).agg(F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("rn"), "pred", "pattern"))).alias("_h"))
     empty = F.slice(F.col("_h"), 1, 0)
     near = lambda kept, x: F.exists(kept, lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(len(SITES))), F.lit(0), lambda a, i: a + (F.substring(k["pattern"], i, F.lit(1)) != F.substring(x["pattern"], i, F.lit(1))).cast("int")) < distance)
     spread = F.aggregate("_h", empty, lambda kept, x: F.when((F.size(kept) < width) & ~near(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
     kept = packed.withColumn("_s", spread)
     fill = F.slice(F.filter("_h", lambda x: ~F.exists("_s", lambda k: k["rn"] == x["rn"])), F.lit(1), F.greatest(F.lit(0), F.lit(width) - F.size("_s")))
-    return kept.select(search, F.explode(F.concat("_s", fill)).alias("r")).select(search, "r.pattern", "r.pred")
+    chosen = F.concat("_s", fill)
+    if elites:
+        chosen = F.slice(F.concat(F.slice("_h", 1, elites), F.filter(chosen, lambda x: x["rn"] > elites)), 1, width)
+    return kept.select(search, F.posexplode(chosen).alias("place", "r")).select(search, "place", "r.pattern", "r.pred")
 
 
 def best_neighbour(scored: DataFrame, walks: DataFrame, search: str) -> DataFrame:
@@ -179,20 +206,34 @@ def generation(frontier: DataFrame, visited: DataFrame, search: str, scorer: Col
 
 
 def prototype_groups(ranked: DataFrame, search: str, top: int, separation: int) -> DataFrame:
-    """(search, pattern, pred, group): prototype 1 is the best, prototype 2 the first of the top at the separation from it; the others go to the nearer, ties to 1."""
+    """(search, pattern, pred, group, distance): prototype 1 is the best, prototype 2 the first of the top at the separation from it; the others go to the nearer, ties to 1. distance is that to the group's prototype.
+
+    Only the top rows of a search are ranked; the prototypes, one row per search, meet all rows by join_groups, so a search may hold most of them.
+    """
+    rows = materialise(ranked.select(search, "pattern", "pred"))
     place = F.row_number().over(Window.partitionBy(search).orderBy("pred", "pattern"))
-    first = ranked.groupBy(search).agg(F.min(F.struct("pred", "pattern"))["pattern"].alias("p1"))
-    x = ranked.withColumn("_rn", place).join(first, search).withColumn("d1", hamming(F.col("pattern"), F.col("p1")))
-    second = x.where((F.col("_rn") <= top) & (F.col("d1") >= separation)).groupBy(search).agg(F.min(F.struct("pred", "pattern"))["pattern"].alias("p2"))
-    x = x.join(second, search, "left").withColumn("d2", hamming(F.col("pattern"), F.col("p2")))
-    return x.select(search, "pattern", "pred", F.when(F.coalesce(F.col("d2") < F.col("d1"), F.lit(False)), 2).otherwise(1).alias("group"))
+    head = materialise(rows.withColumn("_rn", place).where(F.col("_rn") <= top))  # cut before the shuffle too
+    first = head.where("_rn = 1").select(search, F.col("pattern").alias("p1"))
+    far = head.join(first, search).where(hamming(F.col("pattern"), F.col("p1")) >= separation)
+    second = far.groupBy(search).agg(F.min(F.struct("pred", "pattern"))["pattern"].alias("p2"))
+    sizes = rows.groupBy(search).agg(F.count("*").alias("_n"))
+    x = join_groups(rows, materialise(sizes.join(first, search).join(second, search, "left")), search, "_n", rows.count())
+    x = x.withColumn("d1", hamming(F.col("pattern"), F.col("p1"))).withColumn("d2", hamming(F.col("pattern"), F.col("p2")))
+    nearer = F.coalesce(F.col("d2") < F.col("d1"), F.lit(False))
+    return x.select(search, "pattern", "pred", F.when(nearer, 2).otherwise(1).alias("group"), F.when(nearer, F.col("d2")).otherwise(F.col("d1")).alias("distance"))
+
+
+def group_distances(grouped: DataFrame, search: str) -> DataFrame:
+    """(search, group, n, min, mean, max) of the distances to the prototype."""
+    d = "distance"
+    return grouped.groupBy(search, "group").agg(F.count("*").alias("n"), F.min(d).alias("min_distance"), F.avg(d).alias("mean_distance"), F.max(d).alias("max_distance"))
 
 
 def variant_corpus(parents: DataFrame, known: DataFrame, n: int, seed: int, oversample: int = 3, rounds: int = 6) -> DataFrame:
     """(pattern, sequence): n different new variants: a parent by hash, each site changed with probability one half, known ones excluded.
 
-    What a round of draws leaves open the next one draws, twice as many; after the rounds fewer
-    than n stand only if new variants are rarer than some one in sixty draws.
+    What a round of draws leaves open the next one draws, twice as many; fewer than n after all
+    rounds, when new variants are rarer than some one in sixty draws, are an error.
     """
     spark = parents.sparkSession
     ordered = numbered(parents.select("pattern").distinct().withColumn("_o", seeded_order(F.lit(seed), F.col("pattern"))), ["_o", "pattern"], "_p").drop("_o")
@@ -206,7 +247,9 @@ def variant_corpus(parents: DataFrame, known: DataFrame, n: int, seed: int, over
         if kept.count() >= n:
             break
         first, oversample = first + n * oversample, 2 * oversample
-    if kept is None:
+    else:
+        if n:
+            raise ValueError(f"{kept.count() if kept is not None else 0} new variants of {n} found")
         return parents.select("pattern", sequence_of(F.col("pattern")).alias("sequence")).limit(0)
     return kept.orderBy("id").limit(n).select("pattern", sequence_of(F.col("pattern")).alias("sequence"))
 

@@ -16,6 +16,7 @@ from seqsieve.functions import structure as T
 from seqsieve.operators import generate as C
 from seqsieve.operators import metrics as A
 from seqsieve.operators import screen as M
+from seqsieve.operators import search as B
 from seqsieve.operators import splits as K
 from seqsieve.operators.ranking import top_k, with_ranks
 from seqsieve.operators.space import neighbour_information
@@ -85,12 +86,18 @@ def c6(known):
     return C.spread_best(known, "y", 6, 3, 200).select("cand_id", "pattern", "pick")
 
 
+@query("c6_all_seeds", "labelled")
+def c6_all(known):
+    """The measured seeds and random ones; tests hold both."""
+    return C.initial_seeds(known, "y", 6, 3, 10, 5)
+
+
 @query("c7_score_new", "pool", "labelled", oracle=f"""
 WITH w AS (SELECT DISTINCT pattern FROM pool), c AS (SELECT DISTINCT pattern FROM labelled), o AS (SELECT pattern, {PREFERENCE.format('pattern')} AS pred, true AS cached FROM w SEMI JOIN c USING (pattern)),
-n AS (SELECT pattern, {PREFERENCE.format('pattern')} AS pred, false AS cached FROM w ANTI JOIN c USING (pattern) ORDER BY pattern LIMIT 300) SELECT * FROM o UNION ALL SELECT * FROM n""")
+n AS (SELECT pattern, {PREFERENCE.format('pattern')} AS pred, false AS cached FROM w ANTI JOIN c USING (pattern)) SELECT * FROM o UNION ALL SELECT * FROM n""")
 def c7(p, known):
     cache = known.select("pattern").distinct().withColumn("pred", score()).withColumn("snapshot", F.lit("s1"))
-    return C.score_new(p, cache, 300, score(), "s1").select("pattern", "pred", "cached")
+    return C.score_new(p, cache, 4 ** len(S.WILD_PATTERN), score(), "s1").select("pattern", "pred", "cached")
 
 
 def _searches(known):
@@ -114,6 +121,14 @@ def c10(known):
     return scored.select("search_id", "pattern", "parent", "pred")
 
 
+@query("c10_search", "labelled")
+def c10_search(known):
+    """Three whole searches of many generations, all that they scored; tests hold them against a loop over each search."""
+    seeds = known.select((F.col("cand_id") % 3).alias("search"), "pattern")
+    rules = B.Rules(width=8, offspring=24, max_generations=6, max_stagnant=3, budget=100_000, seed=5, elites=1)
+    return B.run(seeds, score(), rules, forbidden=known.where("y > 1500")).archive.withColumnRenamed("search", "search_id")
+
+
 @query("c11_best_neighbour", "labelled", oracle=f"""
 WITH {SEARCH_HOPS.replace('BETWEEN 1 AND 5', 'BETWEEN 0 AND 13')}, s AS (SELECT search_id, parent, arg_min(pattern, ({PREFERENCE.format('pattern')}, pattern)) AS best, min({PREFERENCE.format('pattern')}) AS pred FROM hops GROUP BY 1, 2)
 SELECT search_id, parent AS from_pattern, CASE WHEN pred < {PREFERENCE.format('parent')} THEN best ELSE parent END AS pattern, least(pred, {PREFERENCE.format('parent')}) AS pred, pred >= {PREFERENCE.format('parent')} AS ended FROM s""")
@@ -139,6 +154,16 @@ def c13(known):
     return C.prototype_groups(x, "search_id", 40, 5).select("search_id", "pattern", "group")
 
 
+@query("c13_group_distances", "labelled", oracle=f"""
+WITH x AS (SELECT DISTINCT cand_id % 3 AS search_id, pattern, {PREFERENCE.format('pattern')} AS pred FROM labelled), r AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY pred, pattern) AS rn FROM x), a AS (SELECT search_id, pattern AS p1 FROM r WHERE rn = 1),
+b AS (SELECT r.search_id, arg_min(pattern, (pred, pattern)) AS p2 FROM r JOIN a ON r.search_id = a.search_id WHERE rn <= 40 AND hamming(pattern, p1) >= 5 GROUP BY 1),
+d AS (SELECT r.search_id, hamming(pattern, p1) AS d1, CASE WHEN p2 IS NOT NULL THEN hamming(pattern, p2) ELSE 99 END AS d2 FROM r JOIN a ON r.search_id = a.search_id LEFT JOIN b ON r.search_id = b.search_id)
+SELECT search_id, CASE WHEN d2 < d1 THEN 2 ELSE 1 END AS "group", count(*) AS n, min(least(d1, d2)) AS min_distance, round(avg(least(d1, d2)), 6) AS mean_distance, max(least(d1, d2)) AS max_distance FROM d GROUP BY 1, 2""")
+def c13_distances(known):
+    x = known.select((F.col("cand_id") % 3).alias("search_id"), "pattern").distinct().withColumn("pred", score())
+    return rounded(C.group_distances(C.prototype_groups(x, "search_id", 40, 5), "search_id"))
+
+
 @query("c14_allotment", "pool", oracle="""
 WITH g AS (SELECT cand_id, cand_id % 10 = 0 AS small, y FROM pool), n AS (SELECT count(*) FILTER (small) AS a FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY small ORDER BY y, cand_id) AS rn FROM g)
 SELECT cand_id FROM r, n WHERE CASE WHEN small THEN rn <= least(a, 150) ELSE rn <= 300 - least(a, 150) END""")
