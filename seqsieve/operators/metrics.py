@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,32 +144,105 @@ def error_by_decile(df: DataFrame, groups: Sequence[str], spread: str, error: Co
     return cut.groupBy(*groups, "decile").agg(F.count("*").alias("n"), F.avg(error).alias("error"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well mixed hash of 64-bit integers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draws(seed: int, places: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """(resample, place) hashes."""
+    return _mixed(_mixed(places.astype(np.uint64) + _mixed(np.array([seed], np.uint64))) + (resamples.astype(np.uint64) << np.uint64(32))[:, None])
+
+
+#: Numbers drawn at once, and the distribution function of the Poisson law with mean 1.
+DRAWN = 1 << 20
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def _small_means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Means of resamples of values, each of as many draws."""
+    n, out = len(values), np.empty(resamples)
+    places, size = np.arange(n), max(1, DRAWN // max(1, len(values)))
+    for at in range(0, resamples, size):
+        some = np.arange(at, min(at + size, resamples))
+        out[some] = values[(_draws(seed, places, some) % np.uint64(n)).astype(np.int64)].mean(axis=1)
+    return out
+
+
+def _weighted_sums(values: np.ndarray, places: np.ndarray, resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of values, sums of weights) of each resample, in which each value has a Poisson weight of its own."""
+    sums, weights, every = np.zeros(resamples), np.zeros(resamples), np.arange(resamples)
+    size = max(1, DRAWN // resamples)
+    for at in range(0, len(values), size):
+        u = (_draws(seed, places[at : at + size], every) >> np.uint64(11)) * 2.0**-53
+        w = np.searchsorted(POISSON, u, side="right").astype(np.float64)
+        sums += w @ values[at : at + size]
+        weights += w.sum(axis=1)
+    return sums, weights
+
+
 def bootstrap_ci(df: DataFrame, groups: Sequence[str], value: str, resamples: int = 1000, seed: int = 0, packed: int = 10_000) -> DataFrame:
     """Mean and 95 % bootstrap interval of the mean per group; null and non-finite values are left out.
 
-    Draw b of place i takes value number hash(seed, b, i) mod n in ascending order, so runs
-    repeat. A group of at most packed rows is one array, from which each resample draws. For a
-    larger one each draw is a row that joins the value with its number: the same draws, and no
-    group in one row or task, at n * resamples shuffled numbers.
+    A group of at most packed rows is resampled whole in one task, n draws each time. A larger
+    one is never gathered: each task adds up, for every resample, its rows weighted by Poisson
+    numbers, and only these sums, two per resample, task and group, are shuffled and added.
+    That is the bootstrap with a random size of mean n, whose interval differs by less than
+    the resampling itself from 10,000 rows on. Draws are hashes of the row's number in its
+    group by value, so runs repeat.
     """
+    groups = list(groups)
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf"))))
-    rows = fine.select(*groups, F.col(value).alias("_v"), F.xxhash64(*df.columns).alias("_salt"))  # equal values lie in many ranges
+    rows = fine.select(*groups, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_salt"))  # equal values lie in many ranges
     ranked = materialise(numbered(rows, ["_v", "_salt"], "_i", groups, total="_n").select(*groups, "_i", "_n", "_v"))
-    draws = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")
-
-    def number(place: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), place.cast("long")), F.col("_n"))
-
-    small = ranked.where(F.col("_n") <= packed).groupBy(*groups, "_n").agg(F.array_sort(F.collect_list("_v")).alias("_all")).select(*groups, "_n", "_all", draws).repartition(*groups, "_b")
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda i: F.get("_all", number(i).cast("int")))
-    means = small.select(*groups, "_b", "_n", (F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.col("_n")).alias("_m"))
-    large = ranked.where(F.col("_n") > packed)
-    places = large.select(*groups, "_i", "_n", draws).select(*groups, "_b", (number(F.col("_i")) + 1).alias("_i"))
-    joined = join_null_safe(places, large.drop("_n"), [*groups, "_i"]).groupBy(*groups, "_b").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
-    cut = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    bounds = means.unionByName(joined).groupBy(*groups).agg(F.first("_n").alias("n"), F.get(cut, 0).alias("ci_low"), F.get(cut, 1).alias("ci_high"))
+    named = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in ranked.select(*groups).schema)
+    names = [*groups, "n", "ci_low", "ci_high"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group and place; a group may run over batches."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            values = np.concatenate([b["_v"].to_numpy() for b in held])
+            low, high = np.percentile(_small_means(values, resamples, seed), [2.5, 97.5])
+            return pa.RecordBatch.from_arrays([*[held[0][g].slice(0, 1) for g in groups], *map(pa.array, ([len(values)], [low], [high]))], names)
+
+        for batch in batches:
+            first = batch["_i"].to_numpy() == 1
+            cuts = [*np.flatnonzero(first).tolist(), batch.num_rows]
+            if cuts[0] and held:
+                held.append(batch.slice(0, cuts[0]))
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held:
+                    yield done()
+                held = [batch.slice(x, y - x)]
+        if held:
+            yield done()
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # numbers of the groups in the batch, whatever their types
+            kinds = pa.Table.from_batches([batch]).select(groups).append_column("_row", pa.array(np.arange(batch.num_rows)))
+            firsts = kinds.group_by(groups).aggregate([("_row", "list")])["_row_list"].to_pylist() if groups else [list(range(batch.num_rows))] if batch.num_rows else []
+            for at in firsts:
+                own = batch.take(pa.array(at))
+                sums, weights = _weighted_sums(own["_v"].to_numpy(), own["_i"].to_numpy(), resamples, seed)
+                yield pa.RecordBatch.from_arrays([*[own[g].slice(0, 1) for g in groups], own["_n"].slice(0, 1), pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([weights.tolist()], pa.list_(pa.float64()))], [*groups, "n", "sums", "weights"])
+
+    small = ranked.where(F.col("_n") <= packed)
+    small = (small.repartition(*groups) if groups else small.coalesce(1)).sortWithinPartitions(*groups, "_i")  # packed rows at most
+    bounds = small.mapInArrow(whole, f"{named}n long, ci_low double, ci_high double")
+    parts = ranked.where(F.col("_n") > packed).mapInArrow(partly, f"{named}n long, sums array<double>, weights array<double>")
+    each = parts.select(*groups, "n", F.posexplode(F.arrays_zip("sums", "weights")).alias("_b", "_s")).groupBy(*groups, "n", "_b").agg((F.sum("_s.sums") / F.sum("_s.weights")).alias("_m"))
+    cut = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))  # of as many rows as resamples
+    large = each.groupBy(*groups, "n").agg(F.get(cut, 0).alias("ci_low"), F.get(cut, 1).alias("ci_high"))
     centre = fine.groupBy(*groups).agg(F.avg(value).alias("mean"))
-    return join_null_safe(bounds, centre, groups).select(*groups, "n", "mean", "ci_low", "ci_high")
+    if not groups:  # one row each, or none
+        return bounds.unionByName(large).crossJoin(F.broadcast(centre)).select("n", "mean", "ci_low", "ci_high")
+    return join_null_safe(bounds.unionByName(large), centre, groups).select(*groups, "n", "mean", "ci_low", "ci_high")
 
 
 def paired_deltas(df: DataFrame, keys: Sequence[str], variant: str, control: str, value: str = "value") -> DataFrame:
@@ -176,8 +251,8 @@ def paired_deltas(df: DataFrame, keys: Sequence[str], variant: str, control: str
     return df.where(F.col(variant) != control).join(base, list(keys)).withColumn("delta", F.col(value) - F.col("control_value"))
 
 
-def paired_summary(deltas: DataFrame, groups: Sequence[str], tolerance: float = 1e-12, exclusive: bool = True) -> DataFrame:
-    """n, mean, median, quartiles, wins (delta < 0), ties and losses. exclusive keeps deltas inside the tolerance out of wins and losses."""
+def paired_summary(deltas: DataFrame, groups: Sequence[str], tolerance: float = 1e-12, exclusive: bool = True, resamples: int = 0, seed: int = 0) -> DataFrame:
+    """n, mean, median, quartiles, wins (delta < 0), ties and losses; with resamples the bootstrap interval of the mean, ci_low and ci_high. exclusive keeps deltas inside the tolerance out of wins and losses."""
     d = F.col("delta")
     tie = F.abs(d) <= tolerance
     one = lambda c: F.sum(c.cast("int"))
@@ -185,7 +260,17 @@ def paired_summary(deltas: DataFrame, groups: Sequence[str], tolerance: float =
         F.count("*").alias("n"), F.avg(d).alias("mean_delta"),
         one((d < 0) & ~tie if exclusive else d < 0).alias("wins"), one(tie).alias("ties"), one((d > 0) & ~tie if exclusive else d > 0).alias("losses"),
     )
-    return join_null_safe(sums, quantiles(deltas, "delta", {"median_delta": 0.5, "q25": 0.25, "q75": 0.75}, groups), groups, "left")
+    out = join_null_safe(sums, quantiles(deltas, "delta", {"median_delta": 0.5, "q25": 0.25, "q75": 0.75}, groups), groups, "left")
+    if resamples:
+        out = join_null_safe(out, bootstrap_ci(deltas, groups, "delta", resamples, seed).select(*groups, "ci_low", "ci_high"), groups, "left")
+    return out
+
+
+def gates(summary: DataFrame, max_drop: float, control_bound: float | None = None) -> DataFrame:
+    """summary (mean_delta, ci_low, ci_high, smaller deltas being better) with flags: better (the interval lies below zero), worse (above), holds (the mean is at most max_drop above zero), and with a control_bound also quiet (no end of the interval is farther than it from zero, as of a negative control). A null interval sets none but holds."""
+    one = lambda c: F.coalesce(c, F.lit(False))
+    out = summary.withColumns({"better": one(F.col("ci_high") < 0), "worse": one(F.col("ci_low") > 0), "holds": one(F.col("mean_delta") <= max_drop)})
+    return out if control_bound is None else out.withColumn("quiet", one(F.greatest(F.abs("ci_low"), F.abs("ci_high")) < control_bound))
 
 
 def tail_stats(deltas: DataFrame, groups: Sequence[str], key: str, share: float = 0.1) -> DataFrame:

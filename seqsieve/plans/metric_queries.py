@@ -232,7 +232,13 @@ def a16(p):
 @query("a17_bootstrap", "metrics")
 def a17(m):
     """Resampled: held against the mean and against normal intervals in tests."""
-    return M.bootstrap_ci(m, ["method", "model"], "value", 1000)
+    return M.bootstrap_ci(m, ["method", "model"], "value", 10_000)
+
+
+@query("a17_large_groups", "preds")
+def a17_large(p):
+    """Groups too large for one task: held against small groups' intervals and a loop in tests."""
+    return M.bootstrap_ci(p.withColumn("error", F.abs(F.col("truth") - 1000 * F.col("pred"))), ["model"], "error", 2000)
 
 
 DELTAS = "deltas AS (SELECT m.seed, m.method, m.model, m.value - c.value AS delta FROM metrics m JOIN metrics c ON m.seed = c.seed AND m.model = c.model AND c.method = 'N' WHERE m.method <> 'N')"
@@ -254,6 +260,12 @@ def a18(m):
     return rounded(M.paired_summary(_deltas(m), ["method", "model"]))
 
 
+@query("a18_intervals", "metrics")
+def a18_intervals(m):
+    """The summary with bootstrap intervals of the mean deltas: held against a loop in tests."""
+    return M.paired_summary(_deltas(m), ["method", "model"], resamples=10_000, seed=1)
+
+
 @query("a19_tails", "metrics", oracle=f"""
 WITH {DELTAS}, x AS (SELECT *, greatest(1, round_even(count(*) OVER (PARTITION BY method, model) * 0.1, 0))::BIGINT AS k, row_number() OVER (PARTITION BY method, model ORDER BY delta, seed) AS up, row_number() OVER (PARTITION BY method, model ORDER BY delta DESC, seed DESC) AS down FROM deltas)
 SELECT method, model, max(k) AS k, round(avg(delta) FILTER (up <= k), 6) AS best_mean, round(avg(delta) FILTER (down <= k), 6) AS worst_mean, round(sum(delta) FILTER (up <= k) / sum(delta), 3) AS best_share, round(sum(delta) FILTER (down <= k) / sum(delta), 3) AS worst_share FROM x GROUP BY method, model""")
@@ -370,6 +382,13 @@ def a36(m):
     return _deltas(m).groupBy("method", "model").agg((mean >= -0.01).alias("holds"), (mean + 2 * F.stddev_samp("delta") / F.sqrt(F.count("*")) < 0).alias("better"))
 
 
+@query("a36_interval_gates", "metrics")
+def a36_intervals(m):
+    """Gates by the bootstrap intervals of A18."""
+    summary = M.paired_summary(_deltas(m), ["method", "model"], resamples=10_000, seed=1)
+    return M.gates(summary, 0.01, 0.1).select("method", "model", "n", "better", "worse", "holds", "quiet")
+
+
 @query("a37_partition", "labelled", "pool", "patterned", oracle="SELECT 0 AS n_overlapping, 0 AS n_uncovered, 0 AS n_foreign")
 def a37(a, b, full):
     parts = a.select("cand_id", F.lit("labelled").alias("split")).unionByName(b.select("cand_id", F.lit("pool").alias("split")))

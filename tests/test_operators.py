@@ -220,6 +220,39 @@ def test_bootstrap_holds_the_mean(spark):
     assert again["a"] == got["a"]
 
 
+def test_bootstrap_equals_a_loop(spark):
+    """Both ways against plain loops over the same draws, and with the interval that the normal law gives."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    values = np.sort(r.exponential(size=700))
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", 1.0), ("h", float("nan")), ("none", None)], "g string, v double")
+    n, b, seed = len(values), 300, 11
+    draws = metrics._draws(seed, np.arange(n), np.arange(b))
+    whole = np.percentile([np.mean([values[int(d) % n] for d in row]) for row in draws], [2.5, 97.5])
+    got = {x["g"]: x for x in metrics.bootstrap_ci(df, ["g"], "v", b, seed).collect()}
+    assert [got["g"]["ci_low"], got["g"]["ci_high"]] == pytest.approx(list(whole)) and set(got) == {"g", "h"}
+    draws = metrics._draws(seed, np.arange(1, n + 1), np.arange(b))
+    weights = [[sum(u >= c for c in metrics.POISSON) for u in (row >> np.uint64(11)) * 2.0**-53] for row in draws]
+    parts = np.percentile([np.dot(w, values) / sum(w) for w in weights], [2.5, 97.5])
+    large = {x["g"]: x for x in metrics.bootstrap_ci(df.repartition(6), ["g"], "v", b, seed, packed=10).collect()}
+    assert [large["g"]["ci_low"], large["g"]["ci_high"]] == pytest.approx(list(parts)) and large["h"]["n"] == 1
+    error = values.std() / n**0.5
+    fine = metrics.bootstrap_ci(df.where("g = 'g'").select("v"), [], "v", 5000, packed=10).first()
+    assert [fine["ci_low"], fine["ci_high"]] == pytest.approx([values.mean() - 1.96 * error, values.mean() + 1.96 * error], abs=0.15 * error)
+
+
+def test_intervals_of_deltas_and_gates(spark):
+    r = random.Random(4)
+    rows = [(s, m, "x", {"base": 0.0, "good": -1.0, "bad": 1.0, "same": 0.0}[m] + r.gauss(0, 0.5)) for s in range(80) for m in ("base", "good", "bad", "same")]
+    deltas = metrics.paired_deltas(spark.createDataFrame(rows, "seed int, method string, model string, value double"), ["seed", "model"], "method", "base")
+    got = {x["method"]: x for x in metrics.gates(metrics.paired_summary(deltas, ["method"], resamples=2000), 0.3, 0.5).collect()}
+    plain = {x["method"]: x for x in metrics.paired_summary(deltas, ["method"]).collect()}
+    for m, x in got.items():
+        assert x["ci_low"] < x["mean_delta"] < x["ci_high"] and x["mean_delta"] == plain[m]["mean_delta"]
+    assert [got[m][c] for m in ("good", "bad", "same") for c in ("better", "worse", "holds", "quiet")] == [True, False, True, False, False, True, False, False, False, False, True, True]
+
+
 def test_degenerate_groups(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 2, 1.0, 3.0), ("b", 1, 5.0, 5.0)], "g string, id long, truth double, pred double")
     got = {x["g"]: x["spearman"] for x in metrics.spearman(df, ["g"]).collect()}
@@ -341,8 +374,10 @@ def test_metrics_of_groups_equal_loops(spark):
 def test_bootstrap_keeps_null_groups(spark):
     rows, df = rank_rows(spark)
     got = {x["g"]: x for x in metrics.bootstrap_ci(df, ["g"], "truth", 400).collect()}
-    for x in metrics.bootstrap_ci(df, ["g"], "truth", 400, packed=100).collect():  # the larger group by its draws' rows
-        assert tuple(x)[:2] == tuple(got[x["g"]])[:2] and tuple(x)[2:] == pytest.approx(tuple(got[x["g"]])[2:])
+    by_weights = {x["g"]: x for x in metrics.bootstrap_ci(df, ["g"], "truth", 4000, packed=100).collect()}  # the larger group by weighted sums
+    for g, x in by_weights.items():
+        assert tuple(x)[:3] == pytest.approx(tuple(got[g])[:3]) if g is not None else x["n"] == got[g]["n"]
+        assert [x["ci_low"], x["ci_high"]] == pytest.approx([got[g]["ci_low"], got[g]["ci_high"]], abs=0.3 * (got[g]["ci_high"] - got[g]["ci_low"]) + 1e-9)
     for g in ("a", "b", None):
         values = [t for h, t, _ in rows if h == g and t is not None]
         mean = sum(values) / len(values)
