@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product
@@ -35,6 +36,54 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     return unpivot(one, features, ["_n"]).select("feature", F.try_divide((F.col("_n") - 2) * r2, 1 - r2).alias("score"))
 
 
+def half_step(a: Column) -> Column:
+    """log gamma(a + 1/2) - log gamma(a) of a positive number, by its asymptotic series at a + 12."""
+    x = a + 12
+    # The series in odd powers of 1 / x.
+    tail = sum(c / F.pow(x, F.lit(float(k))) for k, c in ((1, -1 / 8), (3, 1 / 192), (5, -1 / 640), (7, 17 / 14336), (9, -31 / 18432)))
+    return 0.5 * F.log(x) + tail - sum(F.log1p(0.5 / (a + i)) for i in range(12))
+
+
+def f_tail_log(r2: Column, freedom: Column) -> Column:
+    """log p of the F statistic freedom * r2 / (1 - r2) with 1 and freedom degrees, the share r2 being explained: minus infinity for r2 = 1, null without freedom.
+
+    p is the regularised incomplete beta function of 1 - r2 with a = freedom / 2 and 1/2, from
+    its continued fraction in logarithms, so nothing underflows; where r2 is small it is 1 less
+    the same function of r2 with the parameters changed. The fraction takes some sqrt(a) steps.
+    """
+    a, half = freedom / 2.0, F.lit(0.5)
+    front = half_step(a) - 0.5 * math.log(math.pi)  # minus log of the beta function
+
+    def fraction(x: Column, p: Column, q: Column, steps: Column) -> Column:
+        """Lentz's product for the function of x with parameters p and q."""
+        start = 1 / (1 - (p + q) * x / (p + 1))
+
+        def turn(s: Column, m: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                d, c = 1 / (1 + k * s["d"]), 1 + k / s["c"]
+                return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+            even = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+            return one(one(s, even), odd)
+
+        return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("h")), turn, lambda s: s["h"])
+
+    steps = (60 + 4 * F.sqrt(a)).cast("int")
+    x = 1 - r2
+    tail = a * F.log1p(-r2) + 0.5 * F.log(r2) + front - F.log(a) + F.log(fraction(x, a, half, steps))
+    body = F.exp(0.5 * F.log(r2) + a * F.log1p(-r2) + front + math.log(2.0)) * fraction(r2, half, a, steps)
+    log_p = F.when(x < (a + 1) / (a + 2.5), tail).otherwise(F.log1p(-body))
+    return F.when(freedom > 0, F.when(r2 >= 1, float("-inf")).when(r2 <= 0, 0.0).otherwise(log_p))
+
+
+def f_log_p(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """(feature, f, score): the F statistic of a simple regression and -log10 of its p; null without variance, and no p is too small to rank."""
+    one = df.agg(F.count("*").alias("_n"), *[correlation(c, target).alias(c) for c in features])
+    long = unpivot(one, features, ["_n"]).select("feature", (F.col("value") * F.col("value")).alias("_r2"), (F.col("_n") - 2).cast("double").alias("_free"))
+    return long.select("feature", F.try_divide(F.col("_free") * F.col("_r2"), 1 - F.col("_r2")).alias("f"), (-f_tail_log(F.col("_r2"), F.col("_free")) / math.log(10)).alias("score"))
+
+
 def spearman_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, score): absolute rank correlation with the target; 0 without variance."""
     long = unpivot(df, features, [target])

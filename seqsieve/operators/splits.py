@@ -51,7 +51,7 @@ def k_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
     return by_order(df, key).withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(folds)).cast("int")).drop("rn", "n")
 
 
-def group_folds(groups: DataFrame, group: str, folds: int) -> DataFrame:
+def serpentine_folds(groups: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, size, fold): groups by size, dealt out in serpentine order, so that no group straddles folds and fold sizes stay within one group's size."""
     sizes = groups.groupBy(group).agg(F.count("*").alias("size"))
     place = F.col("_place") - 1
@@ -60,6 +60,54 @@ def group_folds(groups: DataFrame, group: str, folds: int) -> DataFrame:
     return placed.select(group, "size", F.when(lap % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"))
 
 
+def greedy_plan(classes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, fold, groups, loads before the size) for (size, groups) by falling size, each group going to the emptiest fold, the first of equal ones.
+
+    The emptiest fold is picked over and over, so the picks of one size are the least of the
+    numbers load + i * size of all folds, in order; how many of them are a fold's is counted.
+    """
+    loads, plan = [0] * folds, []
+    for size, n in classes:
+        upto = lambda top: [max(0, -(-(top - x) // size)) for x in loads]  # noqa: B023,E731  picks below top
+        low, high = min(loads), max(loads) + size * n + 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if sum(upto(mid)) <= n else (low, mid)
+        given = upto(low)
+        left = n - sum(given)
+        for f in range(folds):  # what is left are picks at exactly low, by number of fold
+            if left and loads[f] <= low and (low - loads[f]) % size == 0:
+                given[f], left = given[f] + 1, left - 1
+        plan += [(size, f, k, list(loads)) for f, k in enumerate(given) if k]
+        loads = [x + k * size for x, k in zip(loads, given, strict=True)]
+    return plan
+
+
+def group_folds(groups: DataFrame, group: str, folds: int) -> DataFrame:
+    """(group, size, fold): the largest group goes to the emptiest fold, and so on, equal sizes by name, the first of equally empty folds; no group straddles folds.
+
+    The driver takes in the histogram of sizes, of which there are at most sqrt(2 rows), and
+    works out how many groups of each size a fold gets. When a fold takes its i-th group of a
+    size follows from the loads alone, so groups meet their folds in one join, by size and
+    place. A null group is one like the others; an empty table gives an empty result.
+    """
+    sizes = materialise(groups.groupBy(group).agg(F.count("*").alias("size")))
+    classes = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]
+    plan = groups.sparkSession.createDataFrame(greedy_plan(classes, folds), "size long, fold int, n long, loads array<long>")
+    picks = plan.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = F.get("loads", F.col("fold")) + F.col("i") * F.col("size")
+
+    def before(load: Column, f: Column) -> Column:
+        """Picks of fold f that come before the one at this place."""
+        gap = at - load
+        tie = (gap >= 0) & (gap % F.col("size") == 0) & (f < F.col("fold"))
+        return F.when(gap > 0, F.floor((gap + F.col("size") - 1) / F.col("size"))).otherwise(0) + tie.cast("long")
+
+    place = F.aggregate(F.transform("loads", before), F.lit(0).cast("long"), lambda a, x: a + x)
+    picks = picks.select("size", "fold", (place + 1).alias("_place"))
+    return numbered(sizes, [group], "_place", ["size"]).join(picks, ["size", "_place"]).select(group, "size", "fold")
+
+
 def stratified_subset(df: DataFrame, value: str, key: str, seed: int, per_bin: int, edges: DataFrame, bin_of: Column) -> DataFrame:
     """Up to per_bin rows of each value bin, by the seed's order."""
     binned = df.join(F.broadcast(edges)).withColumn("bin", bin_of)

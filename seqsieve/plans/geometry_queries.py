@@ -109,12 +109,21 @@ def _by_prefix(v):
 
 
 @query("k5_group_folds", "patterned", oracle="""
-WITH s AS (SELECT substr(pattern, 1, 4) AS grp, count(*) AS size FROM patterned GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) - 1 AS i FROM s)
-SELECT grp, size, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold FROM p""")
+WITH RECURSIVE s AS (SELECT substr(pattern, 1, 4) AS grp, count(*) AS size FROM patterned GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) AS i FROM s),
+r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS fold
+ UNION ALL SELECT p.i, list_transform(r.loads, lambda x, k: x + CASE WHEN k = list_position(r.loads, list_min(r.loads)) THEN p.size ELSE 0 END), list_position(r.loads, list_min(r.loads)) - 1 FROM r JOIN p ON p.i = r.i + 1)
+SELECT grp, size, fold::INTEGER AS fold FROM p JOIN r USING (i)""")
 def k5(v):
     return K.group_folds(_by_prefix(v), "grp", 5)
 
 
+@query("k5_serpentine_folds", "patterned", oracle="""
+WITH s AS (SELECT substr(pattern, 1, 4) AS grp, count(*) AS size FROM patterned GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) - 1 AS i FROM s)
+SELECT grp, size, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold FROM p""")
+def k5_serpentine(v):
+    return K.serpentine_folds(_by_prefix(v), "grp", 5)
+
+
 @query("k6_split_report", "patterned", oracle="""
 WITH s AS (SELECT substr(pattern, 1, 4) AS grp, count(*) AS size FROM patterned GROUP BY 1) SELECT count(*) AS n_groups, count(*) FILTER (size = 1) AS n_isolated, sum(size) FILTER (size > 1)::BIGINT AS n_clustered, max(size) AS max_size FROM s""")
 def k6(v):

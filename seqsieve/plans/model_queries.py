@@ -251,6 +251,13 @@ def m2(f):
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, y FROM features" for c in FEATURES) + ")"
 
 
+@query("m2_log_p", "features", oracle="WITH fs AS (SELECT feature, score FROM (UNPIVOT (SELECT " + ", ".join(f"(count(*) - 2) * corr({c}, y) * corr({c}, y) / (1 - corr({c}, y) * corr({c}, y)) AS {c}" for c in FEATURES) + " FROM features) ON COLUMNS(*) INTO NAME feature VALUE score)) SELECT feature, round(score, 4) AS f, row_number() OVER (ORDER BY score DESC, feature)::INTEGER AS rank FROM fs")
+def m2_log_p(f):
+    """Ranked by -log10 p, whose values tests hold against exact sums."""
+    scores = M.f_log_p(f, FEATURES, "y")
+    return rounded(top_k(scores, len(FEATURES), [F.desc("score"), F.col("feature")]).select("feature", "f", "rank"), 4)
+
+
 @query("m3_spearman_filter", "features", oracle=f"WITH {LONG}, r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS b FROM long) SELECT feature, round(abs(corr(a, b)), 6) AS score FROM r GROUP BY 1")
 def m3(f):
     return rounded(M.spearman_scores(f, FEATURES, "y"))
@@ -501,7 +508,7 @@ GROUPED = "gs AS (SELECT f_supplier AS grp, count(*) AS size FROM features GROUP
 def m25(f):
     """Folds by supplier, which therefore is no feature."""
     d = f.withColumn("grp", F.col("f_supplier"))
-    d = materialise(d.join(K.group_folds(d, "grp", 3).select("grp", "fold"), "grp"))
+    d = materialise(d.join(K.serpentine_folds(d, "grp", 3).select("grp", "fold"), "grp"))
     p = M.out_of_fold(d, FEATURES[:4], "y", "linear", 3, ["id", "y", "grp", "fold"])
     e = F.col("y") - F.col("pred")
     return p.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("n_groups"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"))
