@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 from math import comb
 
@@ -20,14 +20,14 @@ def stratum_capacity(k: int) -> int:
     return comb(len(SITES), k) * (len(BASES) - 1) ** k if 0 <= k <= len(SITES) else 0
 
 
-def waterfill(strata: Sequence[int], total: int) -> dict[int, int]:
-    """Quota of each stratum: equal shares in turn, what a full stratum can't take goes round again."""
-    room = {k: stratum_capacity(k) for k in strata}
+def waterfill(strata: Sequence[int] | Mapping[int, int], total: int) -> dict[int, int]:
+    """Quota of each stratum: equal shares in turn, what a full stratum can't take goes round again. strata maps them to their room, or names some that are empty."""
+    room = dict(strata) if isinstance(strata, Mapping) else {k: stratum_capacity(k) for k in strata}
     if total > sum(room.values()):
         raise ValueError(f"{total} candidates asked for, {sum(room.values())} are possible")
-    plan = dict.fromkeys(strata, 0)
+    plan = dict.fromkeys(room, 0)
     while total:
-        open_ = [k for k in strata if plan[k] < room[k]]
+        open_ = [k for k in room if plan[k] < room[k]]
         share = max(1, total // len(open_))
         for k in open_:
             give = min(share, room[k] - plan[k], total)
@@ -35,6 +35,14 @@ def waterfill(strata: Sequence[int], total: int) -> dict[int, int]:
     return plan
 
 
+def stratum_plan(known: DataFrame, strata: Sequence[int], total: int) -> DataFrame:
+    """(k, capacity, known, quota): how total new candidates are dealt over strata of exactly k changes, what known.pattern holds already being no room. The counts, one a stratum, come to the driver."""
+    n = hamming(F.col("pattern"), F.lit(WILD_PATTERN)).alias("k")
+    held = {r["k"]: r["n"] for r in known.select("pattern").distinct().groupBy(n).agg(F.count("*").alias("n")).collect()}
+    plan = waterfill({k: stratum_capacity(k) - held.get(k, 0) for k in strata}, total)
+    return known.sparkSession.createDataFrame([(k, stratum_capacity(k), held.get(k, 0), q) for k, q in plan.items()], "k int, capacity long, known long, quota long")
+
+
 def sequence_of(pattern: Column) -> Column:
     """The wild type with the 13 bases of a pattern at the sites."""
     parts, at, taken = [], 1, 0

@@ -389,7 +389,9 @@ def a36_intervals(m):
     return M.gates(summary, 0.01, 0.1).select("method", "model", "n", "better", "worse", "holds", "quiet")
 
 
-@query("a37_partition", "labelled", "pool", "patterned", oracle="SELECT 0 AS n_overlapping, 0 AS n_uncovered, 0 AS n_foreign")
+@query("a37_partition", "labelled", "pool", "patterned", oracle="""
+WITH parts AS (SELECT cand_id, 'labelled' AS split FROM labelled UNION ALL SELECT cand_id, 'pool' FROM pool), n AS (SELECT cand_id, count(DISTINCT split) AS splits FROM parts GROUP BY 1)
+SELECT count(*) FILTER (n.splits > 1) AS n_overlapping, count(*) FILTER (n.cand_id IS NULL) AS n_uncovered, count(*) FILTER (p.cand_id IS NULL) AS n_foreign FROM n FULL JOIN (SELECT DISTINCT cand_id FROM patterned) p ON n.cand_id = p.cand_id""")
 def a37(a, b, full):
     parts = a.select("cand_id", F.lit("labelled").alias("split")).unionByName(b.select("cand_id", F.lit("pool").alias("split")))
     return C.partition_check(parts, full, "cand_id", "split")

@@ -35,11 +35,16 @@ def score(c: str = "pattern"):
     return F.conv(F.substring(F.md5(F.concat(F.lit("m"), F.col(c)).cast("binary")), 1, 6), 16, 10).cast("long")
 
 
-@query("c1_waterfill", "part", oracle="SELECT * FROM (VALUES (1, 39::BIGINT, 39::BIGINT), (2, 702, 702), (3, 7722, 1130), (4, 57915, 1129)) v(k, capacity, quota)")
-def c1(p):
-    plan = C.waterfill([1, 2, 3, 4], 3000)
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(C.stratum_capacity(k)).cast("long").alias("capacity"), F.lit(q).cast("long").alias("quota")) for k, q in plan.items()])
-    return p.limit(1).select(F.explode(rows).alias("r")).select("r.*")
+@query("c1_waterfill", "patterned", oracle=f"""
+WITH RECURSIVE h AS (SELECT hamming(pattern, '{S.WILD_PATTERN}') AS k, count(*) AS known FROM (SELECT DISTINCT pattern FROM patterned) q GROUP BY 1),
+s AS (SELECT v.k, v.capacity, coalesce(h.known, 0) AS known FROM (VALUES (1, 39), (2, 702), (3, 7722), (4, 57915), (5, 312741)) v(k, capacity) LEFT JOIN h ON v.k = h.k),
+r AS (SELECT list(capacity - known ORDER BY k)::BIGINT[] AS room, list(0 ORDER BY k)::BIGINT[] AS plan, 3000::BIGINT AS total FROM s
+ UNION ALL SELECT room, new, total - list_sum(new)::BIGINT + list_sum(plan)::BIGINT FROM (
+  SELECT *, list_transform(plan, lambda x, i: x + CASE WHEN free[i] = 0 THEN 0 WHEN total >= list_sum(free) THEN least(total // list_sum(free), room[i] - x) WHEN list_sum(free[1:i]) <= total THEN 1 ELSE 0 END)::BIGINT[] AS new FROM (
+   SELECT *, list_transform(plan, lambda x, i: (x < room[i])::INT) AS free FROM r WHERE total > 0)))
+SELECT s.k, s.capacity::BIGINT AS capacity, s.known::BIGINT AS known, plan[s.k] AS quota FROM s, r WHERE r.total = 0""")
+def c1(v):
+    return C.stratum_plan(v, [1, 2, 3, 4, 5], 3000)
 
 
 @query("c2_stratified", "patterned", oracle="SELECT * FROM (VALUES (2, 200::BIGINT, 200::BIGINT, true), (3, 300, 300, true), (4, 300, 300, true)) v(n_changed, n, n_distinct, fine)")
