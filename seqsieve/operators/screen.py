@@ -134,6 +134,33 @@ def predict(model: Model, df: DataFrame, features: Sequence[str], name: str = "p
     return model.transform(made).withColumnRenamed("prediction", name).drop("_x")
 
 
+def _with_members(models: Sequence[Model], df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, Column]:
+    """df with a prediction of each model, all in one pass over its rows, and the array of them."""
+    made = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
+    for i, model in enumerate(models):
+        made = model.copy().setFeaturesCol("_x").setPredictionCol(f"_m{i}").transform(made)
+    return made, F.array(*[F.col(f"_m{i}") for i in range(len(models))])
+
+
+def ensemble_spread(models: Sequence[Model], df: DataFrame, features: Sequence[str], mean: str = "pred", sigma: str = "sigma") -> DataFrame:
+    """df with the mean and the deviation (ddof 0) of the models' predictions; nothing is shuffled, and a row with a null feature is an error, as in a single prediction."""
+    made, values = _with_members(models, df, features)
+    centre = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / len(models)
+    gaps = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - F.col(mean)) * (x - F.col(mean)))
+    out = made.withColumn(mean, centre).withColumn(sigma, F.sqrt(gaps / len(models)))
+    return out.drop("_x", *[f"_m{i}" for i in range(len(models))])
+
+
+def forest_spread(model: Model, df: DataFrame, features: Sequence[str], mean: str = "pred", sigma: str = "sigma") -> DataFrame:
+    """df with a fitted forest's prediction and the deviation of its trees' predictions, tree by tree in one pass."""
+    return ensemble_spread(model.trees, df, features, mean, sigma)
+
+
+def bagged_models(bag: DataFrame, features: Sequence[str], target: str, learner: str, members: int, weight: str = "weight", seed: int = 0) -> list[Model]:
+    """A model for each member from 0 on of a bag (member, weight, ...), fitted with its weights and a seed of its own."""
+    return [fit(bag.where(F.col("member") == m), features, target, learner, seed + m, weight) for m in range(members)]
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], target: str, learner: str, folds: int, keep: Sequence[str]) -> DataFrame:
     """(keep, pred): each row scored by the model of the other folds (df has fold)."""
     parts = [predict(fit(df.where(F.col("fold") != k), features, target, learner), df.where(F.col("fold") == k), features).select(*keep, "pred") for k in range(folds)]

@@ -195,12 +195,17 @@ def even_quotas(sizes: Mapping[str, int], budget: int) -> dict[str, int]:
 
 
 def grouped_batch(pool: DataFrame, group: str, budget: int, score: str, key: str = "cand_id") -> DataFrame:
-    """Greedy within each group, by even quotas over the (few) groups."""
-    sizes = {r[group]: r["n"] for r in pool.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    """Greedy within each group, by even quotas over the (few) groups.
+
+    Only the first rows of a group, as many as the largest quota, are ranked; they are cut off
+    before the shuffle, so a group may hold most of the pool.
+    """
+    sizes = {r[group]: r["n"] for r in pool.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).collect()}
     quotas = even_quotas(sizes, budget)
-    table = F.create_map(*[x for g, q in quotas.items() for x in (F.lit(g), F.lit(q))])
+    table = pool.sparkSession.createDataFrame(list(quotas.items()), f"{group} {dict(pool.dtypes)[group]}, _quota int")
     pick = F.row_number().over(Window.partitionBy(group).orderBy(score, key))
-    return pool.withColumn("pick", pick).where(F.col("pick") <= F.element_at(table, F.col(group)))
+    head = pool.withColumn("pick", pick).where(F.col("pick") <= max(quotas.values(), default=0))
+    return head.join(F.broadcast(table), group).where(F.col("pick") <= F.col("_quota")).select(*pool.columns, "pick")  # a row per group
 
 
 def replica_allocation(df: DataFrame, score: str, variance: str, budget: int, key: str = "cand_id") -> DataFrame:

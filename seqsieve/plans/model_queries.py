@@ -422,6 +422,20 @@ def m14(f):
     return spread.agg(F.count("*").alias("n"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"), F.round(F.avg("sigma"), 3).alias("mean_sigma"), F.round(F.max("sigma"), 3).alias("max_sigma"))
 
 
+@query("m14_boosted_spread", "features")
+def m14_boosted(f):
+    """Boosted members on bagged rows: mean and spread of each row; tests hold both against the members one by one."""
+    d = materialise(f.withColumn("seed", F.lit(1)))
+    models = M.bagged_models(materialise(K.bagged(d, "id", 3)), FEATURES, "y", "gbt", 3)
+    return rounded(M.ensemble_spread(models, d, FEATURES).select("id", "pred", "sigma"), 3)
+
+
+@query("m14_forest_spread", "features")
+def m14_forest(f):
+    """A forest's prediction and the spread of its trees for each row; tests hold both against the forest and a loop over trees."""
+    return rounded(M.forest_spread(M.fit(f, FEATURES, "y", "rf"), f, FEATURES).select("id", "pred", "sigma"), 3)
+
+
 @query("m15_mean_fusion", "features", oracle=f"WITH src AS (SELECT 0 AS g, 1 AS w, * FROM features), {residuals('src', FEATURES)} SELECT count(*) AS n, {R2}, true AS between FROM res")
 def m15(f):
     """The mean of three learners' predictions lies between their least and largest; r2 is that of least squares."""
