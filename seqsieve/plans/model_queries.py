@@ -18,6 +18,7 @@ from seqsieve.operators import metrics as A
 from seqsieve.operators import screen as M
 from seqsieve.operators import search as B
 from seqsieve.operators import splits as K
+from seqsieve.operators import wrappers
 from seqsieve.operators.ranking import top_k, with_ranks
 from seqsieve.operators.space import neighbour_information
 from seqsieve.plans.materialise import materialise, shared_dir
@@ -370,6 +371,43 @@ def m9_rfe(f):
     return _listed(f, M.recursive_elimination(d, FEATURES, "y", 1)).select("feature")
 
 
+def _subset_ranks(sizes) -> str:
+    """CTEs that end with sc(names, score): the mean over three folds of the rank correlation of the held-out target with least squares of the other folds, for every subset of FEATURES of the given sizes."""
+    subsets = [c for n in sizes for c in combinations(sorted(FEATURES), n)]
+    part = lambda c: f"SELECT '{'|'.join(c)}' AS names, (WITH {residuals('src', c, 'q')}, p AS (SELECT g, y, round(y - r, 6) AS p FROM q WHERE w = 0), k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0 AS b FROM p), s AS (SELECT g, CASE WHEN min(b) < max(b) THEN corr(a, b) ELSE 0 END AS s FROM k GROUP BY 1) SELECT round(avg(s), 9) FROM s) AS score"
+    return f"{OTHER_FOLDS}, sc AS ({' UNION ALL '.join(map(part, subsets))})"
+
+
+def _stepwise(f, steps):
+    return rounded(f.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(steps, 1)], "place int, feature string, score double"), 6)
+
+
+def _moments(f):
+    return wrappers.fold_moments(materialise(_folds(f)), FEATURES, "y")
+
+
+@query("m9_forward_ranked", "features", oracle=f"""
+WITH {_subset_ranks((1, 2))}, a AS (SELECT names, score FROM sc WHERE NOT contains(names, '|') ORDER BY score DESC, names LIMIT 1), b AS (SELECT sc.names AS x, sc.score FROM sc, a WHERE contains(sc.names, '|') AND list_contains(string_split(sc.names, '|'), a.names) ORDER BY sc.score DESC, sc.names LIMIT 1)
+SELECT 1 AS place, names AS feature, round(score, 6) AS score FROM a UNION ALL SELECT 2, CASE WHEN split_part(x, '|', 1) = names THEN split_part(x, '|', 2) ELSE split_part(x, '|', 1) END, round(b.score, 6) FROM a, b WHERE b.score > a.score""")
+def m9_forward_ranked(f):
+    """By the rank correlation of inner folds, each round's subsets ranked together."""
+    return _stepwise(f, wrappers.forward(_moments(f), 2, 0.0))
+
+
+@query("m9_backward_ranked", "features", oracle=f"""
+WITH {_subset_ranks((4, 3))}, every AS (SELECT {sorted(FEATURES)} AS v), a AS (SELECT string_split(names, '|') AS x, score FROM sc WHERE len(string_split(names, '|')) = 4 ORDER BY score DESC, names DESC LIMIT 1), b AS (SELECT string_split(names, '|') AS z, sc.score FROM sc, a WHERE len(string_split(names, '|')) = 3 AND list_has_all(x, string_split(names, '|')) ORDER BY sc.score DESC, names DESC LIMIT 1)
+SELECT 1 AS place, list_filter(v, lambda e: NOT list_contains(x, e))[1] AS feature, round(score, 6) AS score FROM every, a UNION ALL SELECT 2, list_filter(x, lambda e: NOT list_contains(z, e))[1], round(b.score, 6) FROM a, b""")
+def m9_backward_ranked(f):
+    """The two that go, in order, and how the others then score."""
+    return _stepwise(f, wrappers.backward(_moments(f), 3))
+
+
+@query("m9_elimination", "features")
+def m9_elimination(f):
+    """All but the last feature in the order of leaving, with the size of the coefficient; tests hold it against a loop that refits."""
+    return _stepwise(f, wrappers.elimination(_moments(f), 1))
+
+
 @query("m10_force_keep", "features", oracle=f"WITH {F_SCORES} SELECT 'f_tax' AS feature UNION ALL (SELECT feature FROM fs WHERE feature <> 'f_tax' ORDER BY score DESC, feature LIMIT 1)")
 def m10(f):
     return M.top_features(M.f_scores(f, FEATURES, "y"), 2, forced=["f_tax"]).select("feature")
