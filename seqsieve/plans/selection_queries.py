@@ -170,11 +170,33 @@ def l3_stream(spark, sf_dir):
     return read_judged(spark, f"{at}/out").where("outcome = 'accepted'").select("candidate_id").distinct()
 
 
+def l3_keyed_state(spark, sf_dir):
+    """The same halves judged by state keyed by candidate, the outcome of every row; nobody waits long enough to be told."""
+    import uuid
+
+    from seqsieve.streaming.keyed import ingest_keyed
+
+    at = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    r, b = view(spark, sf_dir, "returns"), view(spark, sf_dir, "batches")
+    b.select("batch_id", "candidate_id").write.parquet(f"{at}/batches")
+    r = materialise(r.select(F.col("ord").cast("long").alias("ord"), "batch_id", "candidate_id", "sequence", F.col("measured").cast("double").alias("measured"), "status", "protocol_id"))
+    cut = r.agg(F.percentile_approx("ord", 0.5)).first()[0] or 0
+    for part in (r.where(F.col("ord") <= cut), r.where(F.col("ord") > cut)):
+        part.write.mode("append").parquet(f"{at}/in")
+        run = ingest_keyed(spark, f"{at}/in", f"{at}/batches", f"{at}/out", f"{at}/checkpoint", "p1", 10**12)
+        run.awaitTermination()
+        if run.exception():
+            raise run.exception()
+    return spark.read.schema("ord long, outcome string").parquet(f"{at}/out")
+
+
 QUERIES["l3_stream"] = l3_stream
+QUERIES["l3_keyed_state"] = l3_keyed_state
 from seqsieve.plans.registry import ORACLES  # noqa: E402
 from seqsieve.sources.views import with_views  # noqa: E402
 
 ORACLES["l3_stream"] = with_views(f"WITH {JUDGED} SELECT DISTINCT candidate_id FROM judged WHERE outcome = 'accepted'")
+ORACLES["l3_keyed_state"] = with_views(f"WITH {JUDGED} SELECT ord, outcome FROM judged")
 
 LEDGER = f"""{JUDGED}, best AS (SELECT batch_id, candidate_id, max(measured) FILTER (outcome = 'accepted') AS measured, max((outcome = 'accepted')::INT) AS k FROM judged WHERE outcome IN ('accepted', 'failed') GROUP BY 1, 2),
 ledger AS (SELECT m.batch_id, m.candidate_id, best.measured, CASE WHEN k = 1 THEN 'labelled' WHEN k = 0 THEN 'failed' ELSE 'awaiting' END AS state FROM mem m LEFT JOIN best ON m.batch_id = best.batch_id AND m.candidate_id = best.candidate_id)"""
