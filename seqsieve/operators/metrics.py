@@ -294,6 +294,16 @@ def completeness(observed: DataFrame, dimensions: Sequence[DataFrame], keys: Seq
     return missing.unionByName(extra).unionByName(again)
 
 
+def column_gaps(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, column_name, n, n_missing, all_missing) for each key and column with a null or NaN: n rows of the key, those without a value, and whether the column has none in the whole table."""
+    gone = lambda c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False))
+    kinds = dict(df.dtypes)
+    each = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(gone(c)).alias(c) for c in columns])
+    long = each.unpivot([F.col(k) for k in [*keys, "n"]], [F.col(c) for c in columns], "column_name", "n_missing")
+    whole = long.groupBy("column_name").agg((F.sum("n") == F.sum("n_missing")).alias("all_missing"))  # a row for each column
+    return long.where("n_missing > 0").join(F.broadcast(whole), "column_name").select(*keys, "column_name", "n", "n_missing", "all_missing")
+
+
 def jaccard(df: DataFrame, groups: Sequence[str], side: str, left: str, right: str, item: str) -> DataFrame:
     """Jaccard index of the item sets of two sides in each group; null if both are empty."""
     flags = df.where(F.col(side).isin(left, right)).groupBy(*groups, item).agg(F.max((F.col(side) == left).cast("int")).alias("_l"), F.max((F.col(side) == right).cast("int")).alias("_r"))
@@ -315,3 +325,12 @@ def aligned_best(archive: DataFrame, group: Sequence[str], search: str, call: st
     common = counts.groupBy(*group).agg(F.min("_calls").alias("common_calls"))
     cut = archive.join(common, list(group)).where(F.col(call) <= F.col("common_calls"))
     return cut.groupBy(*group, search).agg(F.max("common_calls").alias("common_calls"), F.min(pred).alias("best"), F.min_by(call, F.struct(pred, call)).alias("best_call"))
+
+
+def unequal_starts(archive: DataFrame, group: Sequence[str], search: str, call: str, key: str, model: str, is_start: Column) -> DataFrame:
+    """(group, n_searches, n_unshared, n_models) of groups whose searches may not be compared: n_unshared starts (call, key) that not all searches have, or n_models fitted models other than one. Nulls are values."""
+    sizes = archive.groupBy(*group).agg(F.countDistinct(search).alias("n_searches"), (F.countDistinct(model) + F.max(F.col(model).isNull().cast("int"))).alias("n_models"))
+    shared = archive.where(is_start).groupBy(*group, call, key).agg(F.countDistinct(search).alias("_n"))
+    found = join_null_safe(shared, sizes.select(*group, "n_searches"), group).groupBy(*group).agg(F.count_if(F.col("_n") < F.col("n_searches")).alias("n_unshared"))
+    both = join_null_safe(sizes, found, group, "left").withColumn("n_unshared", F.coalesce("n_unshared", F.lit(0)))
+    return both.where("n_unshared > 0 OR n_models <> 1").select(*group, "n_searches", "n_unshared", "n_models")

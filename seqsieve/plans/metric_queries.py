@@ -281,6 +281,16 @@ def a20(a):
     return M.aligned_best(a.withColumn("grp", F.col("search_id") % 5), ["grp"], "search_id", "call_no", "pred")
 
 
+@query("a20_starts", "archive", oracle="""
+WITH g AS (SELECT *, search_id % 5 AS grp, id % 3 AS key, CASE WHEN search_id % 5 < 3 THEN 1 ELSE search_id % 2 END AS model FROM archive), z AS (SELECT grp, count(DISTINCT search_id) AS n_searches, count(DISTINCT model) AS n_models FROM g GROUP BY 1),
+s AS (SELECT grp, call_no, key, count(DISTINCT search_id) AS c FROM g WHERE call_no <= 3 GROUP BY 1, 2, 3) SELECT z.grp, n_searches, count(*) FILTER (c < n_searches) AS n_unshared, n_models FROM z JOIN s ON z.grp = s.grp GROUP BY z.grp, n_searches, n_models HAVING count(*) FILTER (c < n_searches) > 0 OR n_models <> 1""")
+def a20_starts(a):
+    """Groups whose searches start from other rows or used other models; the first three calls count as starts."""
+    model = F.when(F.col("search_id") % 5 < 3, 1).otherwise(F.col("search_id") % 2)
+    d = a.withColumns({"grp": F.col("search_id") % 5, "key": F.col("id") % 3, "model": model})
+    return M.unequal_starts(d, ["grp"], "search_id", "call_no", "key", "model", F.col("call_no") <= 3)
+
+
 @query("a21_diversity", "patterned", oracle="""
 WITH t AS (SELECT *, cand_id % 4 AS grp, row_number() OVER (PARTITION BY cand_id % 4 ORDER BY y, cand_id) AS rn FROM patterned), top AS (SELECT * FROM t WHERE rn <= 50)
 SELECT a.grp, round(sum(hamming(a.pattern, b.pattern)) / (50 * 49)::DOUBLE, 6) AS diversity FROM top a JOIN top b ON a.grp = b.grp AND a.cand_id <> b.cand_id GROUP BY a.grp""")
@@ -304,10 +314,20 @@ UNION ALL SELECT n.seed, n.method, n.model, 'extra', n.n FROM n ANTI JOIN e USIN
 UNION ALL SELECT seed, method, model, 'repeated', n FROM n WHERE n > 1""")
 def a23(m):
     seen = m.where(~((F.col("seed") % 13 == 0) & (F.col("method") == "A")))
-    one = lambda name, values: m.limit(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+    one = lambda name, values: m.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
     return M.completeness(seen, [seen.select("seed").distinct(), one("method", "ANX"), one("model", "OF")], ["seed", "method", "model"])
 
 
+GAPS = ["sequence", "measured", "status", "protocol_id", "note"]
+
+
+@query("a23_gaps", "returns", oracle="WITH r AS (SELECT *, CAST(NULL AS VARCHAR) AS note FROM returns), l AS (" + " UNION ALL ".join(f"SELECT batch_id, '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_missing FROM r GROUP BY 1" for c in GAPS) + """), w AS (SELECT column_name, sum(n) = sum(n_missing) AS all_missing FROM l GROUP BY 1)
+SELECT l.batch_id, l.column_name, l.n, l.n_missing, w.all_missing FROM l JOIN w ON l.column_name = w.column_name WHERE n_missing > 0""")
+def a23_gaps(r):
+    """A column that nobody fills stands beside those with gaps."""
+    return M.column_gaps(r.withColumn("note", F.lit(None).cast("string")), ["batch_id"], GAPS)
+
+
 @query("a24_stability", "selected", oracle="WITH s AS (SELECT count(DISTINCT seed) AS n FROM selected) SELECT method, feature, round(count(DISTINCT seed) / max(n)::DOUBLE, 6) AS frequency, count(DISTINCT seed) / max(n)::DOUBLE >= 0.5 AS stable FROM selected, s GROUP BY method, feature")
 def a24(s):
     seeds = s.agg(F.countDistinct("seed").alias("n"))
