@@ -115,8 +115,8 @@ def ingest_keyed(spark: SparkSession, files: str, exported: str, out: str, check
     after its last export a row with outcome overdue, reason no_label and no ord; a label that
     comes later is judged as any other. Both are written once each: the sink's log and the
     state's checkpoint bring a restarted query back to the last finished micro-batch. State
-    grows with the candidates, never with the rows. A timer rings in the first micro-batch after
-    its time. Rows that fail without any state, such as a third of all rows without an id, are
+    grows with the candidates, never with the rows. A timer rings in the first micro-batch with
+    data after its time. Rows that fail without any state, such as a third of all rows without an id, are
     spread over SPREAD keys.
     """
     read = lambda schema, at: spark.readStream.schema(schema).format(file_format).option("maxFilesPerTrigger", files_per_trigger).load(at)
