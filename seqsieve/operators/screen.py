@@ -286,3 +286,11 @@ def residual_ridge(df: DataFrame, groups: Sequence[str], base: str, second: str,
     n, sx, sr = F.count("*"), F.sum(s), F.sum(r)
     slope = (F.sum(s * r) - sx * sr / n) / (F.sum(s * s) - sx * sx / n + alpha)
     return df.groupBy(*groups).agg(slope.alias("slope"), (sr / n - slope * sx / n).alias("intercept"))
+
+
+def overlap(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """One row (n, n_distinct, n_shared): candidates, their different keys, and how many of those are known; null keys count as rows only."""
+    keys = candidates.groupBy(key).agg(F.count("*").alias("_n"))
+    held = known.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_held", F.lit(True))
+    sums = keys.join(held, key, "left").agg(F.sum("_n").alias("n"), F.count(key).alias("n_distinct"), F.count("_held").alias("n_shared"))
+    return sums.select(F.coalesce("n", F.lit(0)).alias("n"), "n_distinct", "n_shared")

@@ -527,6 +527,12 @@ def m20(s):
     return top_k(ranked.select("seed", "id", F.expr("_a + _b + _c").alias("total")), 200, [F.col("total"), F.col("id")], ["seed"])
 
 
+@query("m20_overlap", "pool", "labelled", oracle="SELECT count(*) AS n, count(DISTINCT pattern) AS n_distinct, count(DISTINCT pattern) FILTER (pattern IN (SELECT pattern FROM labelled)) AS n_shared FROM pool")
+def m20_overlap(pool, labelled):
+    """How far the candidates that are ranked overlap with the training rows."""
+    return M.overlap(pool, labelled, "pattern")
+
+
 BASE, BLOCK = ["f_tax", "f_line"], ["f_tax", "f_line", "f_quantity"]
 
 

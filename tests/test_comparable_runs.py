@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seqsieve.operators import metrics
+from seqsieve.operators import metrics, screen
 
 
 def test_column_gaps(spark):
@@ -22,3 +22,9 @@ def test_unequal_starts(spark):
     got = {r["g"]: (r["n_searches"], r["n_unshared"], r["n_models"]) for r in metrics.unequal_starts(t, ["g"], "s", "c", "k", "m", F.col("c") <= 2).collect()}
     assert got == {"order": (2, 4, 1), "model": (2, 0, 2), None: (2, 2, 1)}
     assert metrics.unequal_starts(t.limit(0), ["g"], "s", "c", "k", "m", F.col("c") <= 2).count() == 0
+
+
+def test_overlap(spark):
+    a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "k string")
+    b = spark.createDataFrame([("x",), ("x",), (None,), ("z",)], "k string")
+    assert tuple(screen.overlap(a, b, "k").first()) == (4, 2, 1) and tuple(screen.overlap(a.limit(0), b, "k").first()) == (0, 0, 0)
