@@ -30,12 +30,24 @@ def masked(patterns: DataFrame, column: str, distance: int, length: int = LENGTH
     return hidden.withColumn("key", key).drop("_hide")
 
 
+def _spread(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column, over enough tasks for the work that each of them makes; small shuffles would be drawn together to one."""
+    return df.select(column).distinct().repartition(2 * df.sparkSession.sparkContext.defaultParallelism, column)
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a and b that share a masked key. Keys are far more than their source's bytes tell, so neither side may be broadcast."""
+    return a.join(b.hint("merge"), "key")
+
+
 def similar_patterns(left: DataFrame, right: DataFrame, distance: int, length: int = LENGTH, once: bool = False) -> DataFrame:
-    """(a, b, distance) of distinct patterns of left.pattern and right.pattern within a distance, which should be small: rows meet in masked keys, of which each has length over distance. Candidates are verified and each pair stands once; with once, only with a < b."""
-    a = masked(left.select(F.col("pattern").alias("a")).distinct(), "a", distance, length)
-    b = masked(right.select(F.col("pattern").alias("b")).distinct(), "b", distance, length)
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) if once else a["key"] == b["key"]).select("a", "b").distinct()
-    return met.withColumn("distance", hamming(F.col("a"), F.col("b"), length))
+    """(a, b, distance) of distinct patterns of left.pattern and right.pattern within a distance, which should be small: rows meet in masked keys, of which each has length over distance. A pair is taken from one key only, that whose other hidden places are the first on which both agree, so each stands once; with once, only with a < b."""
+    a = masked(_spread(left.select(F.col("pattern").alias("a")), "a"), "a", distance, length)
+    b = masked(_spread(right.select(F.col("pattern").alias("b")), "b"), "b", distance, length)
+    at = lambda c, i: F.substring(c, i, 1)
+    agreed = F.concat(*[F.when(at("a", i) != at("b", i), "").when(at("key", i) == "*", "h").otherwise("v") for i in range(1, length + 1)])
+    met = _met(a, b).where(F.instr(agreed, "vh") == 0)
+    return (met.where("a < b") if once else met).select("a", "b", hamming(F.col("a"), F.col("b"), length).alias("distance"))
 
 
 def similar_pairs(df: DataFrame, distance: int, length: int = LENGTH) -> DataFrame:
