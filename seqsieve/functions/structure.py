@@ -21,15 +21,15 @@ def partners(df: DataFrame, key: str, structure: str) -> DataFrame:
     numbered = deep.withColumn("k", F.row_number().over(order))
     opens = numbered.where("c = '('").select(key, "level", "k", F.col("i").alias("a"))
     closes = numbered.where("c = ')'").select(key, "level", "k", F.col("i").alias("b"))
-    pairs = opens.join(closes, [key, "level", "k"])
+    pairs = opens.join(closes.hint("merge"), [key, "level", "k"])  # exploded rows are far more than their source's bytes tell: none is broadcast
     both = pairs.select(key, F.col("a").alias("i"), F.col("b").alias("j")).unionByName(pairs.select(key, F.col("b").alias("i"), F.col("a").alias("j")))
-    return chars.select(key, "i").join(both, [key, "i"], "left").select(key, "i", F.coalesce("j", F.lit(-1)).alias("j"))
+    return chars.select(key, "i").join(both.hint("merge"), [key, "i"], "left").select(key, "i", F.coalesce("j", F.lit(-1)).alias("j"))
 
 
 def ensemble_defect(target: DataFrame, probabilities: DataFrame, key: str) -> DataFrame:
     """(key, n, defect): n less the sum of the target pairs' probabilities, cut to 0..1. probabilities (key, i, j, p) hold the unpaired probability at j = i."""
     wanted = target.withColumn("j", F.when(F.col("j") < 0, F.col("i")).otherwise(F.col("j")))
-    p = wanted.join(probabilities, [key, "i", "j"], "left").withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("p", F.lit(0.0)))))
+    p = wanted.join(probabilities.hint("merge"), [key, "i", "j"], "left").withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("p", F.lit(0.0)))))
     return p.groupBy(key).agg(F.count("*").alias("n"), (F.count("*") - F.sum("p")).alias("defect"))
 
 
