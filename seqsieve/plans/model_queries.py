@@ -50,7 +50,10 @@ def c1(v):
 
 @query("c2_stratified", "patterned", oracle="SELECT * FROM (VALUES (2, 200::BIGINT, 200::BIGINT, true), (3, 300, 300, true), (4, 300, 300, true)) v(n_changed, n, n_distinct, fine)")
 def c2(v):
-    made = C.stratified_candidates(v.sparkSession, {2: 200, 3: 300, 4: 300}, v.select("pattern").distinct(), 11)
+    """Of a stratum that has less room than its quota, all that is left: on six times sf0.1 the table holds each of the 702 patterns with two changes, so there is no new one, and the SQL's fixed counts can't be met."""
+    wanted = {2: 200, 3: 300, 4: 300}
+    rooms = C.stratum_rooms(v, list(wanted))
+    made = C.stratified_candidates(v.sparkSession, {k: min(n, rooms[k]) for k, n in wanted.items() if rooms[k]}, v.select("pattern").distinct(), 11)
     excluded = v.select("pattern").distinct().withColumn("bad", F.lit(True))
     x = made.join(excluded, "pattern", "left")
     fine = F.bool_and(F.col("bad").isNull() & (S.changed_count(F.col("sequence")) == F.col("n_changed")) & S.contract_reason(F.col("sequence")).isNull())
