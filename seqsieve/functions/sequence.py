@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Sequence
+from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,27 +164,60 @@ def local_windows(s: Column) -> dict[str, Column]:
 
 
 def kmer_deltas(s: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:
-    """84 columns: share of each k-mer less its share in the wild type; 0 for k-mers that either sequence lacks."""
-    out = {}
+    """84 columns: share of each k-mer less its share in the wild type; 0 for k-mers that either sequence lacks. A row's k-mers are counted once for all columns."""
+    counts, out = F.arrow_udf(lambda texts: _lists(texts, mer_counts(texts, sizes)), "array<int>")(s), {}
     for k in sizes:
         n = len(WILD_TYPE) - k + 1
-        mers = _windows(s, k)
-        names = [""]
-        for _ in range(k):
-            names = [x + b for x in names for b in BASES]
-        for m in names:
+        for m in map("".join, product(BASES, repeat=k)):
             wild = sum(WILD_TYPE[i : i + k] == m for i in range(n))
-            here = _times(mers, m)
+            here = F.get(counts, len(out))
             out[f"kmer_{m}"] = F.when(here > 0, here / F.lit(float(n)) - wild / n).otherwise(F.lit(0.0)) if wild else F.lit(0.0)
     return out
 
 
-def _windows(s: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
-
-
-def _times(items: Column, value: str) -> Column:
-    return F.size(F.filter(items, lambda x: x == value))
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts): the places in BASES of all texts' characters one after another, 4 for another character; and where each text starts, the end included. A null is an empty text."""
+    whole = texts.cast(pa.large_string())
+    if whole.null_count:
+        whole = whole.fill_null("")
+    _, offsets, data = whole.buffers()
+    starts = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
+    first = (raw & 0xC0) != 0x80  # the first byte of a character
+    table = np.full(256, len(BASES), np.uint8)
+    table[list(BASES.encode())] = np.arange(len(BASES))
+    return table[raw[first]], np.concatenate([[0], np.cumsum(first)])[starts - starts[0]]
+
+
+def mer_counts(texts: pa.Array, sizes: Sequence[int]) -> np.ndarray:
+    """Overlapping occurrences of every k-mer of the sizes in each text, by rows; k-mers in the order of BASES."""
+    codes, starts = _letters(texts)
+    row, out = np.repeat(np.arange(len(texts)), np.diff(starts)), []
+    for k in sizes:
+        ends, total = max(0, len(codes) - k + 1), len(BASES) ** k
+        number, fine = np.zeros(ends, np.int64), row[:ends] == row[k - 1 :][:ends]
+        for i in range(k):
+            number, fine = number * len(BASES) + codes[i : i + ends], fine & (codes[i : i + ends] < len(BASES))
+        out.append(np.bincount(row[:ends][fine] * total + number[fine], minlength=len(texts) * total).reshape(len(texts), total))
+    return np.hstack(out)
+
+
+def dimer_counts(texts: pa.Array, spans: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Occurrences of every dimer at the places from first to before last (from 1) of each span in each text, by rows."""
+    codes, starts = _letters(texts)
+    width = max(last for _, last in spans)
+    at = starts[:-1, None] + np.arange(width)
+    padded = np.append(codes, np.uint8(len(BASES)))
+    letters = padded[np.where(at < starts[1:, None], at, len(codes))].astype(np.int16)
+    known = (letters[:, :-1] < len(BASES)) & (letters[:, 1:] < len(BASES))
+    dimers = np.where(known, letters[:, :-1] * len(BASES) + letters[:, 1:], -1)
+    return np.hstack([np.stack([(dimers[:, first - 1 : last - 1] == d).sum(axis=1) for d in range(len(DIMERS))], axis=1) for first, last in spans])
+
+
+def _lists(texts: pa.Array, counts: np.ndarray) -> pa.Array:
+    """A list of the counts of each text, null for a null."""
+    n, each = counts.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * each, pa.int32()), pa.array(counts.ravel(), pa.int32()), mask=texts.is_null())
 
 
 def pair_indices(s: Column) -> Column:
