@@ -260,17 +260,19 @@ SPECIAL_TOKENS = ("[PAD]", "[CLS]", "[SEP]", "[MASK]", "[UNK]")
 VOCABULARY = {t: i for i, t in enumerate([*SPECIAL_TOKENS, *[a + b + c for a in BASES for b in BASES for c in BASES]])}
 
 
+#: The 64 words, each with a comma after it, so that a word's place tells its number.
+_WORDS = "".join(a + b + c + "," for a in BASES for b in BASES for c in BASES)
+
+
 def tokens(s: Column, special: bool = True) -> Column:
     """Ids of the overlapping 3-mers of the normalised sequence, between [CLS] and [SEP]."""
-    n = normalise(s)
-    code = lambda c: F.instr(F.lit(BASES), c) - 1
 
-    def one(i: Column) -> Column:
-        a, b, c = (F.substring(n, i + k, F.lit(1)) for k in range(3))
-        known = (code(a) >= 0) & (code(b) >= 0) & (code(c) >= 0)
-        return F.when(known, code(a) * 16 + code(b) * 4 + code(c) + len(SPECIAL_TOKENS)).otherwise(VOCABULARY["[UNK]"]).cast("int")
+    def words(n: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.instr(F.lit(_WORDS), F.substring(n, i, F.lit(3))))
+        ids = F.transform(at, lambda a: F.when(a % 4 == 1, (a / 4).cast("int") + len(SPECIAL_TOKENS)).otherwise(VOCABULARY["[UNK]"]))
+        return F.when(F.length(n) >= 3, ids).otherwise(F.array().cast("array<int>"))
 
-    ids = F.when(F.length(n) >= 3, F.transform(F.sequence(F.lit(1), F.length(n) - 2), one)).otherwise(F.array().cast("array<int>"))
+    ids = F.get(F.transform(F.array(normalise(s)), words), 0)  # an argument of a lambda is normalised once, not at each place
     return F.concat(F.array(F.lit(VOCABULARY["[CLS]"])), ids, F.array(F.lit(VOCABULARY["[SEP]"]))) if special else ids
 
 
