@@ -159,12 +159,12 @@ def permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> Data
     return train.select(df.columns).unionByName(rest)
 
 
-def bagged(df: DataFrame, key: str, members: int, rate: float = 0.8) -> DataFrame:
-    """(member, weight) of each row: a Poisson(rate) number of draws from the row's hash; rows without a draw are left out."""
+def bagged(df: DataFrame, key: str, members: int, rate: float = 0.8, most: int = 8) -> DataFrame:
+    """(member, weight) of each row: a Poisson(rate) number of draws from the row's hash, most at most; rows without a draw are left out."""
     drawn = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
     u = F.conv(F.substring(seeded_order(F.concat_ws("-", F.col("seed").cast("string"), F.col("member").cast("string")), F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     upto, weight = 0.0, F.lit(0)
-    for k in range(8):
+    for k in range(most):
         upto += math.exp(-rate) * rate**k / math.factorial(k)
         weight = weight + (u >= upto).cast("int")
     return drawn.withColumn("weight", weight).where("weight > 0")
