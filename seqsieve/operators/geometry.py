@@ -141,13 +141,30 @@ def clusters(df: DataFrame, distance: int, key: str = "cand_id") -> DataFrame:
 
 
 def neighbours(df: DataFrame, k: int, radius: int, key: str = "cand_id", value: str = "y") -> DataFrame:
-    """(key, other, distance, value, rn) of the k nearest other rows within a radius, ties by key. Rows with fewer neighbours in the radius have fewer."""
-    pairs = similar_patterns(df, df, radius).unionByName(df.select(F.col("pattern").alias("a"), F.col("pattern").alias("b"), F.lit(0).alias("distance")).distinct()).distinct()
-    best = df.select(F.col("pattern").alias("b"), F.col(key).alias("other"), F.col(value).alias("value"))
-    # of each neighbouring pattern only its first k + 1 rows can matter
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy("other"))).where(F.col("_r") <= k + 1).drop("_r")
-    joined = df.select(key, F.col("pattern").alias("a")).join(pairs, "a").join(best, "b").where(F.col(key) != F.col("other"))
-    return joined.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other"))).where(F.col("rn") <= k).select(key, "other", "distance", "value", "rn")
+    """(key, other, distance, value, rn) of the k nearest other rows within a radius, ties by key. Rows with fewer neighbours in the radius have fewer.
+
+    The k + 1 nearest rows are found for each distinct pattern, distance by distance: only
+    patterns that still lack some go on to the next, and of a neighbouring pattern only its
+    first k + 1 rows can matter. So neither rows nor copies are multiplied by neighbours.
+    """
+    first = F.row_number().over(Window.partitionBy("pattern").orderBy(key))
+    heads = df.select("pattern", key, F.col(value).alias("value")).withColumn("_r", first).where(F.col("_r") <= k + 1)
+    own = materialise(heads.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("other"), "value"))).alias("rows")))
+    at = lambda d: lambda r: F.struct(F.lit(d).alias("distance"), r["other"].alias("other"), r["value"].alias("value"))
+    found = own.select("pattern", F.transform("rows", at(0)).alias("found"))
+    for d in range(1, radius + 1):
+        found = materialise(found)
+        asking = found.where(F.size("found") <= k)
+        a, b = (masked(_spread(x.select(F.col("pattern").alias(c)), c), c, d) for x, c in ((asking, "a"), (own, "b")))
+        ring = _met(a, b).where(hamming(F.col("a"), F.col("b")) == d)  # a pair at d meets in one key, which hides what differs
+        met = ring.select("a", "b").join(own.select(F.col("pattern").alias("b"), "rows"), "b").select("a", F.explode("rows").alias("r")).select("a", "r.other", "r.value")
+        near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("other"))).where(F.col("_r") <= k + 1)
+        near = near.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("other", "value"))).alias("_more"))
+        more = F.coalesce(F.transform("_more", at(d)), F.slice("found", 1, 0))
+        found = found.join(near, F.col("pattern") == F.col("a"), "left").select("pattern", F.slice(F.concat("found", more), 1, k + 1).alias("found"))
+    others = F.slice(F.filter("found", lambda r: r["other"] != F.col(key)), 1, k)
+    joined = df.select(key, "pattern").join(materialise(found), "pattern").select(key, F.posexplode(others).alias("rn", "r"))
+    return joined.select(key, "r.other", "r.distance", "r.value", (F.col("rn") + 1).alias("rn"))
 
 
 def smooth(df: DataFrame, k: int, alpha: float, radius: int, key: str = "cand_id", value: str = "y") -> DataFrame:
