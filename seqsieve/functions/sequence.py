@@ -95,13 +95,11 @@ def window_at(s: Column, site: int, reach: int) -> tuple[Column, int]:
 
 
 def dimers_around(s: Column, reach: int = 5) -> dict[str, Column]:
-    """208 columns wd_p<site>_<dimer>: share of each dimer among the overlapping dimers around a site."""
-    out = {}
-    for p in SITES:
-        w, n = window_at(s, p, reach)
-        for d in DIMERS:
-            out[f"wd_p{p}_{d}"] = sum((F.substring(w, i, 2) == d).cast("int") for i in range(1, n)) / F.lit(float(max(1, n - 1)))
-    return out
+    """208 columns wd_p<site>_<dimer>: share of each dimer among the overlapping dimers around a site. A row's dimers are counted once for all columns."""
+    spans = [(max(1, p - reach), min(len(WILD_TYPE), p + reach)) for p in SITES]
+    counts = F.arrow_udf(lambda texts: _lists(texts, dimer_counts(texts, spans)), "array<int>")(s)
+    columns = [(p, span, d) for p, span in zip(SITES, spans, strict=True) for d in DIMERS]
+    return {f"wd_p{p}_{d}": F.get(counts, i) / F.lit(float(max(1, last - first))) for i, (p, (first, last), d) in enumerate(columns)}
 
 
 def structure(s: Column) -> dict[str, Column]:
