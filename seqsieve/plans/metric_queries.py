@@ -214,9 +214,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY seed, fraction ORDER BY b, id) A
 t AS (SELECT *, row_number() OVER (PARTITION BY seed, fraction ORDER BY a, id) AS ra FROM k WHERE rb <= round_even(n * fraction, 0))
 SELECT seed, fraction::DOUBLE AS fraction, min(c) AS best_c, count(*) AS n_top FROM t WHERE ra <= 20 GROUP BY seed, fraction""")
 def a15(sc):
-    cut = sc.withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    by = Window.partitionBy("seed", "fraction")
-    kept = cut.withColumn("rb", F.row_number().over(by.orderBy("b", "id"))).withColumn("n", F.count("*").over(by)).where(F.col("rb") <= F.bround(F.col("n") * F.col("fraction"), 0))
+    """Rows are numbered once a seed by a range shuffle, and meet the fractions only then; of each group 20 rows are ranked."""
+    placed = R.numbered(sc.select("seed", "id", "a", "b", "c"), ["b", "id"], "rb", ["seed"], total="n")
+    cut = placed.withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    kept = cut.where(F.col("rb") <= F.bround(F.col("n") * F.col("fraction"), 0))
     top = R.top_k(kept, 20, [F.col("a"), F.col("id")], ["seed", "fraction"])
     return top.groupBy("seed", "fraction").agg(F.min("c").alias("best_c"), F.count("*").alias("n_top"))
 
