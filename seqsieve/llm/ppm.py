@@ -15,6 +15,8 @@ score, take the same way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BLOCK_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Cells of a table of runs by next byte, beyond which runs are sorted instead.
 TABLE_CELLS = 1 << 26
+#: Cells of a table that has a place of each: it is faster than bits, and takes five bytes a cell.
+PLACE_CELLS = 1 << 24
 
 
 def normal(text: bytes | None) -> bytes:
@@ -48,6 +52,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+def places(cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different numbers of cell, ascending, the place of each cell among them), by a table of all numbers below cells; of many, by a bit each and a count every eight."""
+    mark = np.zeros(cells, bool)
+    mark[cell] = True
+    found = np.flatnonzero(mark)
+    if cells <= PLACE_CELLS:
+        place = np.zeros(cells, np.int32)
+        place[found] = np.arange(len(found), dtype=np.int32)
+        return found, place[cell]
+    bits = np.packbits(mark, bitorder="little")
+    del mark
+    ones = np.bitwise_count(bits)
+    before = np.cumsum(ones, dtype=np.int32)
+    before -= ones
+    eight = cell >> 3
+    lower = bits[eight] & ((np.uint8(1) << (cell & 7).astype(np.uint8)) - np.uint8(1))
+    return found, before[eight] + np.bitwise_count(lower)
+
+
 def runs(raw: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the run of order + 1 bytes that ends at each byte from the order-th on, the different runs as numbers, ascending)."""
     used = np.flatnonzero(np.bincount(raw, minlength=256))
@@ -59,13 +82,7 @@ def runs(raw: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         last = last[1:]
         cells = len(code) * width
         if cells <= TABLE_CELLS:
-            cell = index[:-1] * np.int32(width) + last
-            mark = np.zeros(cells, bool)
-            mark[cell] = True
-            found = np.flatnonzero(mark)
-            place = np.zeros(cells, np.int32)
-            place[found] = np.arange(len(found), dtype=np.int32)
-            index = place[cell]
+            found, index = places(index[:-1] * np.int32(width) + last, cells)
         else:
             found, index = np.unique(index[:-1].astype(np.int64) * width + last, return_inverse=True)
             index = index.astype(np.int32)
@@ -157,7 +174,6 @@ class Block:
 
 OWN = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("meta", pa.binary()), ("texts", pa.binary())])
 OWN_DDL = "block long, key long, word binary, n long, meta binary, texts binary"
-KNOWN = "block long, key long, value double"
 DONE = "doc_id long, held boolean, n_tokens long, n_known long, gain double, score double, v_part long"
 
 
@@ -242,6 +258,61 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return seen.unionByName(todo.select("run", F.coalesce("logp", F.col("spent") - F.log10(F.greatest(F.lit(1), 256 - F.size("gone")).cast("double"))).alias("logp")))
 
 
+def block_scores(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """DONE of whole blocks (block, key, value, pack): rows sorted by block, of which those without a key have pack (n, meta, texts)."""
+    at, packs, keys, values = None, [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if packs:
+            key = np.concatenate(keys)
+            keys.clear()
+            value = np.concatenate(values)
+            values.clear()
+            by = np.argsort(key, kind="stable")
+            key[:] = key[by]
+            value[:] = value[by]
+            del by
+            yield score(packs, key, value, order)
+            packs.clear()
+            release_memory()
+
+    for batch in batches:
+        block = batch["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in pairwise(cuts):
+            if a == b:
+                continue
+            if block[a] != at:
+                yield from close()
+                at = block[a]
+            piece = batch.slice(a, b - a)
+            packs += piece["pack"].drop_null().to_pylist()
+            piece = piece.select(["key", "value"]).filter(piece["key"].is_valid())
+            keys.append(piece["key"].to_numpy(zero_copy_only=False).astype(np.int64))  # copies, so the batch can go
+            values.append(piece["value"].to_numpy(zero_copy_only=False).astype(float))
+    yield from close()
+
+
+def score(packs: list[dict], key: np.ndarray, value: np.ndarray, order: int) -> pa.RecordBatch:
+    """DONE of a block's packed texts, whose runs and words have values by ascending key."""
+    c_end = abs(value[0])  # the end's is the least key
+    unpack, out = zstandard.ZstdDecompressor(), []
+    for pack in packs:
+        rows = np.frombuffer(pack["meta"], np.int64).reshape(-1, 3)
+        raw, ends = unpack.decompress(pack["texts"]), np.cumsum(rows[:, 2]).tolist()
+        part = Slice([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], order)
+        logp = value[np.minimum(np.searchsorted(key, part.code), len(key) - 1)]  # codes across gaps are looked up in vain, and unused
+        own = np.abs(value[np.searchsorted(key, word_keys(part.words.to_pylist(), pack["n"]))]) if len(part.words) else np.zeros(0)
+        each, n = own[part.word], len(rows)
+        in_text = lambda x: np.bincount(part.text_of_word, x, n) if len(x) else np.zeros(n)  # noqa: B023,E731
+        out.append((rows, in_text(np.ones(len(each))) + 1, in_text(each > 0) + (c_end > 0), in_text(np.log10(each + 1)) + np.log10(c_end + 1), np.add.reduceat(logp[part.index], part.first)))
+    rows, n, n_known, gain, logp = (np.concatenate(x) for x in zip(*out, strict=True))
+    v_part = np.zeros(len(rows), np.int64)
+    v_part[0] = int((value[: np.searchsorted(key, 0)] > 0).sum())
+    columns = [pa.array(rows[:, 0], mask=rows[:, 1] >= 2), pa.array((rows[:, 1] & 1).astype(bool)), *map(pa.array, (n.astype(np.int64), n_known.astype(np.int64), gain, logp, v_part))]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DONE.split(", ")])
+
+
 def score_documents(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -265,29 +336,10 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_i
     words = own.where("key < 0").selectExpr("block", "key", "sum(n) OVER (PARTITION BY word) AS c", "min(block) OVER (PARTITION BY word) = block AS first")
     of_words = words.select("block", "key", F.when(F.col("first"), F.col("c")).otherwise(-F.col("c")).cast("double").alias("value"))
 
-    def score(packed: pa.Table, known: pa.Table) -> pa.Table:
-        key, value = known["key"].to_numpy(), known["value"].to_numpy()
-        by = np.argsort(key, kind="stable")
-        key, value = key[by], value[by]
-        c_end = abs(value[0])  # the end's is the least key
-        unpack, out = zstandard.ZstdDecompressor(), []
-        for meta, texts, seed in zip(packed["meta"].to_pylist(), packed["texts"].to_pylist(), packed["n"].to_pylist(), strict=True):
-            rows = np.frombuffer(meta, np.int64).reshape(-1, 3)
-            raw, ends = unpack.decompress(texts), np.cumsum(rows[:, 2]).tolist()
-            part = Slice([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], order)
-            logp = value[np.minimum(np.searchsorted(key, part.code), len(key) - 1)]  # codes across gaps are looked up in vain, and unused
-            own = np.abs(value[np.searchsorted(key, word_keys(part.words.to_pylist(), seed))]) if len(part.words) else np.zeros(0)
-            each, n = own[part.word], len(rows)
-            in_text = lambda x: np.bincount(part.text_of_word, x, n) if len(x) else np.zeros(n)  # noqa: B023,E731
-            out.append((rows, in_text(np.ones(len(each))) + 1, in_text(each > 0) + (c_end > 0), in_text(np.log10(each + 1)) + np.log10(c_end + 1), np.add.reduceat(logp[part.index], part.first)))
-        rows, n, n_known, gain, logp = (np.concatenate(x) for x in zip(*out, strict=True))
-        v_part = np.zeros(len(rows), np.int64)
-        v_part[0] = int((value[: np.searchsorted(key, 0)] > 0).sum())
-        release_memory()
-        return pa.table({"doc_id": pa.array(rows[:, 0], mask=rows[:, 1] >= 2), "held": (rows[:, 1] & 1).astype(bool), "n_tokens": n.astype(np.int64), "n_known": n_known.astype(np.int64), "gain": gain, "score": logp, "v_part": v_part})
-
-    packed = own.where("key IS NULL").select(F.col("block").alias("part"), "n", "meta", "texts")
-    done = materialise(packed.groupBy("part").cogroup(of_runs.unionByName(of_words).groupBy("block")).applyInArrow(score, DONE))
+    # blocks come one after the other, so a task holds no more than one block's keys and values; sorting keys there would take Spark longer
+    packed = own.where("key IS NULL").select("block", "key", F.lit(None).cast("double").alias("value"), F.struct("n", "meta", "texts").alias("pack"))
+    known = of_runs.unionByName(of_words).withColumn("pack", F.lit(None).cast(packed.schema["pack"].dataType))
+    done = materialise(packed.unionByName(known).repartition("block").sortWithinPartitions("block").mapInArrow(partial(block_scores, order), DONE))
     n = own.where("key < 0").agg(F.sum("n")).first()[0] or 0
     v = done.agg(F.sum("v_part")).first()[0] or 0
     return done.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")

@@ -1,6 +1,7 @@
 """PPM scores against a textbook recursion over counts of bytes, from end to end."""
 
 import math
+import tracemalloc
 import random
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 pytest.importorskip("seqsieve.llm")
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 
 from seqsieve.llm import ppm  # noqa: E402
 
@@ -102,3 +104,30 @@ def test_order_of_known_words_matters(spark):
     rows = [(k, " ".join(words)) for k in range(40)] + [(1000, " ".join(words)), (1001, "gamma alpha zeta beta epsilon delta")]
     got = {r["doc_id"]: r for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1000]["n_known"] == got[1001]["n_known"] == 7 and got[1000]["score"] - got[1001]["score"] > 1
+
+
+def test_places_of_a_large_table_take_two_bytes_a_cell_at_most(monkeypatch):
+    """op8 of round 3: a whole table of places took five."""
+    monkeypatch.setattr(ppm, "PLACE_CELLS", 10)
+    cell = np.random.default_rng(1).integers(0, 1 << 22, 5_000).astype(np.int32)
+    tracemalloc.start()
+    found, index = ppm.places(cell, 1 << 22)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 22 and (found == np.unique(cell)).all() and (found[index] == cell).all()
+
+
+def test_blocks_are_scored_as_their_rows_come():
+    """op8 of round 3: a task holds one block's keys and values, however its rows fall into batches."""
+    blocks = []
+    for name, text in ((3, b"one two one"), (8, b"three three")):
+        block, part = ppm.Block(name), ppm.Slice([ppm.normal(text)], 2)
+        block.add(part, np.ones(1, bool))
+        keys = sorted(k for b in block.vocabulary() for k in b["key"].to_pylist())
+        pack = {"n": block.seed, "meta": np.array([(name, 0, len(text) + 1)], np.int64).tobytes(), "texts": ppm.zstandard.compress(ppm.normal(text))}
+        blocks += [*[(name, k, -1.0 if k >= 0 else 2.0, None) for k in keys[::-1]], (name, None, None, pack)]
+    kinds = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("value", pa.float64()), ("pack", pa.struct([("n", pa.int64()), ("meta", pa.binary()), ("texts", pa.binary())]))])
+    for size in (1, 4, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in blocks[i : i + size]], kinds) for i in range(0, len(blocks), size)]
+        got = [r for b in ppm.block_scores(2, iter(batches)) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["n_tokens"], r["n_known"], r["score"], r["v_part"]) for r in got] == [(3, 4, 4, -12.0, 3), (8, 3, 3, -12.0, 2)]
