@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.operators.ranking import decile, join_null_safe, numbered, quantiles, value_ranks
+from seqsieve.operators.ranking import decile, join_null_safe, join_sized, numbered, quantiles, value_ranks
 from seqsieve.plans.materialise import materialise
 
 
@@ -47,21 +47,31 @@ def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 def spearman(df: DataFrame, groups: Sequence[str], truth: str = "truth", pred: str = "pred", degenerate: float | None = None, name: str = "spearman") -> DataFrame:
     """Rank correlation per group with average ranks; groups without variance or with fewer than 2 rows give degenerate.
 
-    Ranks are of distinct values, so a group may be larger than a task and a value may be most of it.
+    Ranks are of distinct values, so a group may be larger than a task and a value may be most of it:
+    only the ranks of truth meet the rows, whose weights and ranks are then summed for each value of pred.
     """
     cells = materialise(df.select(*groups, F.col(truth).alias("_x"), F.col(pred).alias("_y")).groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w")))
-    ranked = cells
-    for value, rank in (("_x", "_t"), ("_y", "_p")):
-        sizes = cells.groupBy(*groups, value).agg(F.sum("_w").alias("_size"))
-        ranked = join_null_safe(ranked, value_ranks(sizes, value, groups, name=rank), [*groups, value])
-    w, t, p = F.col("_w"), F.col("_t"), F.col("_p")
-
-    def product(a: Column, b: Column) -> Column:
-        return F.sum(w * a * b) / F.sum(w) - (F.sum(w * a) / F.sum(w)) * (F.sum(w * b) / F.sum(w))
-
-    varied = (F.min(t) < F.max(t)) & (F.min(p) < F.max(p))
-    found = F.when(varied, F.try_divide(product(t, p), F.sqrt(product(t, t)) * F.sqrt(product(p, p))))
-    return ranked.groupBy(*groups).agg(F.coalesce(found, F.lit(degenerate).cast("double")).alias(name))
+    truths = value_ranks(cells.groupBy(*groups, "_x").agg(F.sum("_w").alias("_size")), "_x", groups, name="_t", keep=["_size"])
+    return rank_correlation(truths, join_sized(cells, truths, [*groups, "_x"]), groups, degenerate, name)
+
+
+def rank_correlation(truths: DataFrame, rows: DataFrame, groups: Sequence[str], degenerate: float | None, name: str) -> DataFrame:
+    """(groups, name) of rows (groups, _t, _y, _w), the rank of the truth, the prediction and a weight, and of truths (groups, _t, _size), a row for each value of the truth."""
+    preds = value_ranks(rows.groupBy(*groups, "_y").agg(F.sum("_w").alias("_size"), F.sum(F.col("_w") * F.col("_t")).alias("_wt")), "_y", groups, name="_p", keep=["_size", "_wt"])
+
+    def sums(ranked: DataFrame, rank: str, *more: Column) -> DataFrame:
+        r, n = F.col(rank), F.col("_size")
+        return ranked.groupBy(*groups).agg(F.sum(n).alias(f"_n{rank}"), F.sum(n * r).alias(f"_1{rank}"), F.sum(n * r * r).alias(f"_2{rank}"), (F.min(r) < F.max(r)).alias(f"_varied{rank}"), *more)
+
+    both = sums(preds, "_p", F.sum(F.col("_wt") * F.col("_p")).alias("_tp"))
+    both = join_null_safe(both, sums(truths, "_t"), groups)
+    n = F.col("_n_t")
+
+    def product(ab: str, a: str, b: str) -> Column:
+        return F.col(ab) / n - (F.col(a) / n) * (F.col(b) / n)
+
+    found = F.when(F.col("_varied_t") & F.col("_varied_p"), F.try_divide(product("_tp", "_1_t", "_1_p"), F.sqrt(product("_2_t", "_1_t", "_1_t")) * F.sqrt(product("_2_p", "_1_p", "_1_p"))))
+    return both.select(*groups, F.coalesce(found, F.lit(degenerate).cast("double")).alias(name))
 
 
 def weighted_inversions(values: np.ndarray, weights: np.ndarray) -> float:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.plans.materialise import materialise
+from seqsieve.plans.materialise import HOT_SHARE, materialise
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -43,18 +43,18 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", groups: Sequ
     return placed.withColumnRenamed("_total", total) if total else placed.drop("_total")
 
 
-def value_ranks(sizes: DataFrame, value: str, groups: Sequence[str] = (), size: str = "_size", name: str = "rank", first: str | None = None, total: str | None = None) -> DataFrame:
-    """(groups, value, rank): average ranks of distinct values, of which sizes has one row with the number of its rows. No group is sorted in one task; nulls come first.
+def value_ranks(sizes: DataFrame, value: str, groups: Sequence[str] = (), size: str = "_size", name: str = "rank", first: str | None = None, total: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(groups, value, rank, keep): average ranks of distinct values, of which sizes has one row with the number of its rows. No group is sorted in one task; nulls come first.
 
-    first names a column for the least rank of the value's rows, total one for the rows of the group.
+    first names a column for the least rank of the value's rows, total one for the rows of the group; keep names columns of sizes that stay, or _size.
     """
     by = [*groups, value]
-    ranged = sizes.select(*by, F.col(size).alias("_size")).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    ranged = sizes.select(*by, F.col(size).alias("_size"), *[c for c in keep if c != "_size"]).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
     upto = F.sum("_size").over(Window.partitionBy("_part", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     placed = _with_heads(materialise(ranged.withColumn("_upto", upto)), groups, F.col("_size"))
     last = F.col("_head") + F.col("_upto")
     more = [(last - F.col("_size") + 1).alias(first)] if first else []
-    return placed.select(*by, (last - (F.col("_size") - 1) / F.lit(2.0)).alias(name), *more, *([F.col("_total").alias(total)] if total else []))
+    return placed.select(*by, (last - (F.col("_size") - 1) / F.lit(2.0)).alias(name), *more, *([F.col("_total").alias(total)] if total else []), *keep)
 
 
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "rank", first: str | None = None, total: str | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def with_ranks(df: DataFrame, ranks: Mapping[str, str], groups: Sequence[str] =
     for i, (name, value) in enumerate(ranks.items()):
         sizes = df.groupBy(*groups, value).agg(F.count("*").alias("_size"))
         least = first and (first + name if len(ranks) > 1 else first)
-        out = join_null_safe(out, value_ranks(sizes, value, groups, name=name, first=least, total=None if i else total), [*groups, value])
+        out = join_sized(out, value_ranks(sizes, value, groups, name=name, first=least, total=None if i else total, keep=["_size"]), [*groups, value])
     return out
 
 
@@ -102,6 +102,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def join_sized(rows: DataFrame, sized: DataFrame, keys: Sequence[str], size: str = "_size") -> DataFrame:
+    """Inner null-safe join of rows to the one row of sized for their keys, which counts them as size; size goes.
+
+    Keys of more than 1 / HOT_SHARE of all rows, fewer than HOT_SHARE, are broadcast, so a value
+    that many rows share is no task of its own. sized is read again, and rows too if there are such keys.
+    """
+    bar = (sized.agg(F.sum(size)).first()[0] or 0) / HOT_SHARE
+    hot, cold = sized.where(F.col(size) > bar).drop(size), sized.where(F.col(size) <= bar).drop(size)
+    if hot.isEmpty():
+        return join_null_safe(rows, cold, keys)
+    rest = join_null_safe(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return join_null_safe(rows, F.broadcast(hot), keys).unionByName(join_null_safe(rest, cold, keys))
+
+
 def seeded_order(seed: Column, key: Column) -> Column:
     """A pseudo-random order that any engine reproduces: md5 of 'seed:key'."""
     return F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string")).cast("binary"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.operators.metrics import spearman
+from seqsieve.operators.metrics import rank_correlation
+from seqsieve.operators.ranking import join_sized, value_ranks
+from seqsieve.plans.materialise import materialise
 
 #: Decimals of a score that count in a comparison, so that sums in another order choose the same.
 DIGITS = 9
@@ -36,6 +39,13 @@ class FoldMoments:
             return np.zeros(len(at))
         return np.linalg.lstsq(total[np.ix_(at, at)], total[at, -1], rcond=1e-12)[0]
 
+    @cached_property
+    def ranked(self) -> tuple[DataFrame, DataFrame]:
+        """((fold, _y, _t, _size): the rank of each value of the target in its fold, the rows with it), both written."""
+        sizes = self.rows.groupBy(self.fold, "_y").agg(F.count("*").alias("_size"))
+        truths = materialise(value_ranks(sizes, "_y", [self.fold], name="_t", keep=["_size"]))
+        return truths, materialise(join_sized(self.rows, truths, [self.fold, "_y"]))
+
 
 def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str = "fold") -> FoldMoments:
     """The moments of df by its integer fold column, in two passes; only sums leave a task. Rows with a null or non-finite feature, target or fold are left out.
@@ -74,7 +84,7 @@ def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str
 def cv_spearman(moments: FoldMoments, subsets: Sequence[Sequence[str]]) -> list[float]:
     """For each subset the mean over folds of the rank correlation of the held-out target with the prediction of the other folds' least squares; a fold without variance on a side counts 0.
 
-    The rows are read and ranked once for all subsets. What is broadcast has a number for every
+    The target is ranked once for all subsets and rounds. What is broadcast has a number for every
     subset, fold and feature.
     """
     spark = moments.rows.sparkSession
@@ -91,9 +101,11 @@ def cv_spearman(moments: FoldMoments, subsets: Sequence[Sequence[str]]) -> list[
         return [0.0] * len(subsets)
     table = spark.createDataFrame(plans, f"`{moments.fold}` int, _plans array<array<double>>")
     x = F.array(*[(F.col(f) - F.lit(float(c))) / F.lit(float(s)) for f, c, s in zip(moments.features, moments.centre, moments.scale, strict=False)])
-    scored = moments.rows.select(moments.fold, "_y", x.alias("_x")).join(F.broadcast(table), moments.fold).select(moments.fold, "_y", "_x", F.posexplode("_plans").alias("_subset", "_w"))
+    truths, ranked = moments.ranked
+    scored = ranked.select(moments.fold, "_t", x.alias("_x")).join(F.broadcast(table), moments.fold).select(moments.fold, "_t", "_x", F.posexplode("_plans").alias("_subset", "_w"))
     pred = F.aggregate(F.zip_with("_x", F.slice("_w", 2, len(moments.features)), lambda a, b: a * b), F.get("_w", 0), lambda a, v: a + v)
-    found = spearman(scored.select("_subset", moments.fold, "_y", pred.alias("_pred")), ["_subset", moments.fold], "_y", "_pred", degenerate=0.0)
+    every = truths.join(F.broadcast(spark.range(len(subsets)).select(F.col("id").cast("int").alias("_subset"))))  # a copy of each value's rank for a subset, summed at once
+    found = rank_correlation(every, scored.select("_subset", moments.fold, "_t", pred.alias("_y"), F.lit(1).cast("long").alias("_w")), ["_subset", moments.fold], 0.0, "spearman")
     means = {r["_subset"]: r["m"] for r in found.groupBy("_subset").agg(F.avg("spearman").alias("m")).collect()}  # one number a subset
     return [round(means[i], DIGITS) for i in range(len(subsets))]
 
