@@ -81,6 +81,17 @@ def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str
     return FoldMoments(rows, features, target, fold, centre, scale, {k: m.reshape(side, side) for k, m in products.items()})
 
 
+def held_out_r2(moments: FoldMoments, subset: Sequence[str], held: int = 0) -> float:
+    """1 - mean squared error / variance of the target on the held fold, of least squares of the other folds; minus infinity without rows or variance. No pass over the rows."""
+    m = moments.products.get(held)
+    if m is None or len(moments.products) < 2:
+        return float("-inf")
+    at = [0, *[1 + moments.features.index(f) for f in subset], len(m) - 1]
+    v = np.append(-moments.weights(subset, without=held), 1.0)
+    n, variance = m[0, 0], m[-1, -1] / m[0, 0] - (m[0, -1] / m[0, 0]) ** 2
+    return float(1 - v @ m[np.ix_(at, at)] @ v / n / variance) if variance > 0 else float("-inf")
+
+
 def cv_spearman(moments: FoldMoments, subsets: Sequence[Sequence[str]]) -> list[float]:
     """For each subset the mean over folds of the rank correlation of the held-out target with the prediction of the other folds' least squares; a fold without variance on a side counts 0.
 

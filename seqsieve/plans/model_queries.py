@@ -347,8 +347,8 @@ def _subset_scores(sizes) -> str:
 
 
 def _scored(f):
-    d = materialise(_folds(f))
-    return lambda names: M.held_out_score(d, names, "y", "linear")
+    moments = _moments(f)
+    return lambda names: wrappers.held_out_r2(moments, names)
 
 
 def _listed(f, names):
@@ -458,8 +458,7 @@ BAG = "bag AS (SELECT m.g, f.*, CAST(concat('0x', substr(md5(concat('1-', m.g, '
 def m14(f):
     d = materialise(f.withColumn("seed", F.lit(1)))
     bag = materialise(K.bagged(d, "id", 3))
-    parts = [M.predict(M.fit(bag.where(F.col("member") == m), FEATURES, "y", "linear", weight="weight"), d, FEATURES).select("id", "y", F.lit(m).alias("member"), "pred") for m in range(3)]
-    spread = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("y").alias("y"), F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("sigma"))
+    spread = M.ensemble_spread(M.bagged_models(bag, FEATURES, "y", "linear", 3), d, FEATURES, "mean", "sigma")
     e = F.col("y") - F.col("mean")
     return spread.agg(F.count("*").alias("n"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"), F.round(F.avg("sigma"), 3).alias("mean_sigma"), F.round(F.max("sigma"), 3).alias("max_sigma"))
 
