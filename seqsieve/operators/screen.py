@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -14,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.operators.metrics import correlation, spearman
-from seqsieve.operators.ranking import numbered, seeded_order, with_ranks
-from seqsieve.plans.materialise import materialise
+from seqsieve.operators.ranking import seeded_order, with_ranks
+from seqsieve.plans.materialise import free_name, materialise
 
 
 def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -122,9 +124,26 @@ def estimator(name: str, seed: int = 0):
     }[name]()
 
 
+#: Rows of a task that fits trees; MLlib holds some 300 bytes a row of them.
+FIT_ROWS = 500_000
+
+
+def _for_trees(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of df as a written table, as trees are fitted in many passes, in tasks of some FIT_ROWS rows."""
+    rows = materialise(df.select(*dict.fromkeys(columns)))
+    parts = -(-rows.count() // FIT_ROWS)
+    if parts < 2:
+        return rows
+    at = free_name(rows, "_spread")
+    return rows.withColumn(at, F.monotonically_increasing_id()).repartition(parts, at).drop(at)
+
+
 def fit(df: DataFrame, features: Sequence[str], target: str, learner: str, seed: int = 0, weight: str | None = None) -> Model:
     """A model fitted to all rows of df."""
-    made = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.withColumn("_y", F.col(target).cast("double")))
+    df = df.withColumn("_y", F.col(target).cast("double"))
+    if learner in ("rf", "gbt"):
+        df = _for_trees(df, [*features, "_y", *([weight] if weight else [])])
+    made = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
     e = estimator(learner, seed)
     return (e.setWeightCol(weight) if weight else e).fit(made)
 
@@ -181,37 +200,62 @@ def lasso_selection(df: DataFrame, features: Sequence[str], target: str, fallbac
     return df.sparkSession.createDataFrame(found, "feature string, score double") if found else top_features(f_scores(df, features, target), fallback)
 
 
-def _placed(df: DataFrame, tag: str, key: str) -> DataFrame:
-    """df with _at, its row number in the hash order of a tag, from a range shuffle."""
-    return numbered(df.withColumn("_order", seeded_order(F.lit(tag), F.col(key))), ["_order", key], "_at").drop("_order")
+def permuted(df: DataFrame, features: Sequence[str], keep: Sequence[str], key: str, copies: int, block: int = 1 << 15) -> DataFrame:
+    """The features and keep of df with permuted copies of each feature, p{copy}_{number of the feature}, as a written table.
+
+    One shuffle makes random blocks of about block rows by the hash of the key, which tells rows
+    apart; each block's values change places at random, for every copy and feature anew. Which
+    they are depends on keys alone. So all rows stand in every copy, and none is sorted or
+    joined over the whole table.
+    """
+    features, keep = list(features), [c for c in dict.fromkeys(keep) if c not in features]
+    rows = materialise(df.select(*dict.fromkeys([key, *features, *keep])))
+    blocks = max(1, -(-rows.count() // block))
+    place = free_name(rows, "_block")
+    made = [(r, i, f"p{r}_{i}") for r in range(copies) for i in range(len(features))]
+    out = rows.select(*features, *keep, *[F.col(features[i]).alias(name) for _, i, name in made]).schema
+    names = out.names
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows[place][0].as_py()
+        rows = rows.drop_columns([place]).combine_chunks().sort_by(key)
+        columns = [rows[c] for c in (*features, *keep)]
+        for r, i, _ in made:
+            columns.append(rows[features[i]].take(pa.array(np.random.default_rng([r, i, at]).permutation(len(rows)))))
+        return pa.Table.from_arrays(columns, names=names)
+
+    dealt = rows.withColumn(place, F.pmod(F.conv(F.substring(seeded_order(F.lit("block"), F.col(key)), 1, 15), 16, 10).cast("long"), F.lit(blocks)))
+    return materialise(dealt.groupBy(place).applyInArrow(run, out))
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, learner: str, repeats: int, key: str) -> DataFrame:
-    """(feature, score): mean rise of the squared error when a column is permuted by pairing two hash orders."""
-    model = fit(df, features, target, learner)
-    error = lambda d: predict(model, d, features).agg(F.avg((F.col("pred") - F.col(target)) * (F.col("pred") - F.col(target))).alias("e"))
-    base, out = error(df), []
-    for f, r in product(features, range(repeats)):
-        a = _placed(df.drop(f) if f != key else df, f"a{r}", key).drop(f)
-        b = _placed(df.select(key, f) if f != key else df.select(f), f"b{r}", key).select(f, "_at")
-        out.append(error(a.join(b, "_at").drop("_at")).select(F.lit(f).alias("feature"), "e"))
-    return reduce(DataFrame.unionByName, out).join(F.broadcast(base.select(F.col("e").alias("_base")))).groupBy("feature").agg(F.avg(F.col("e") - F.col("_base")).alias("score"))
+    """(feature, score): mean rise of the squared error when a column is permuted, all columns and repeats in one pass."""
+    features = list(features)
+    rows = permuted(df, features, [target], key, repeats)
+    model = fit(rows, features, target, learner)
+    made, errors = rows, []
+    for i, r in [(None, 0), *product(range(len(features)), range(repeats))]:
+        x, name = f"_x{i}_{r}", f"_e{i}_{r}"
+        inputs = [f"p{r}_{i}" if i == j else f for j, f in enumerate(features)]
+        made = model.copy().setFeaturesCol(x).setPredictionCol(name).transform(VectorAssembler(inputCols=inputs, outputCol=x).transform(made)).drop(x)
+        errors.append(F.avg((F.col(name) - F.col(target)) * (F.col(name) - F.col(target))).alias(name))
+    one = made.agg(*errors)
+    rises = [F.struct(F.lit(f).alias("feature"), (sum(F.col(f"_e{i}_{r}") for r in range(repeats)) / F.lit(float(repeats)) - F.col("_eNone_0")).alias("score")) for i, f in enumerate(features)]
+    return one.select(F.inline(F.array(*rises)))
 
 
 def shadow_selection(df: DataFrame, features: Sequence[str], target: str, key: str, rounds: int = 5, level: float = 0.05) -> list[str]:
     """Features whose importance beats the best shadow (permuted copy) often enough: binomial tail below level."""
     from math import comb
 
+    features = list(features)
     hits = dict.fromkeys(features, 0)
+    rows = permuted(df, features, [target], key, rounds)
     for r in range(rounds):
-        d = df
-        for f in features:
-            values = _placed(df.select(key, F.col(f).alias(f"s_{f}")), f"b{r}{f}", key).select(f"s_{f}", "_at")
-            d = _placed(d, f"a{r}{f}", key).join(values, "_at").drop("_at")
-        d = materialise(d)
-        both = [*features, *[f"s_{f}" for f in features]]
-        found = dict(zip(both, fit(d, both, target, "rf", seed=r).featureImportances.toArray().tolist(), strict=True))
-        bar = max(found[f"s_{f}"] for f in features)
+        shadows = [f"p{r}_{i}" for i in range(len(features))]
+        both = [*features, *shadows]
+        found = dict(zip(both, fit(rows, both, target, "rf", seed=r).featureImportances.toArray().tolist(), strict=True))
+        bar = max(found[c] for c in shadows)
         for f in features:
             hits[f] += found[f] > bar
     tail = lambda h: sum(comb(rounds, i) for i in range(h, rounds + 1)) / 2**rounds
