@@ -10,8 +10,10 @@ of similarity s share at least one with probability 1 - (1 - s^ROWS)^BANDS, whic
 All pairs of fingerprints at 2 or fewer bits are candidates, whatever the size of their keys.
 A band that many sets share is cut into blocks of bounded size, each searched whole in a task
 of its own; a few members of each component found stand for it in the next round's blocks,
-until the band is one block. So a pair of sets in different blocks counts through what stands
-for them, and through their other bands.
+until the band is one block. That leaves few components, not all links: at last all pairs of a
+large band whose ends are still in different components are compared, a pair of blocks in a
+task, but for sets that the whole of the other components can't bring to the least similarity.
+So no band loses a link, whatever its size.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from seqsieve.llm.simhash_golay import ball_pairs, majority, shared_keys, small_links
 from seqsieve.operators.components import connected_components
 from seqsieve.operators.ranking import numbered
-from seqsieve.plans.materialise import materialise
+from seqsieve.plans.materialise import join_groups, materialise
 from seqsieve.plans.workers import release_memory
 
 BANDS, ROWS = 20, 5
@@ -190,8 +192,93 @@ def block_links(large: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFr
     return links if links is not None else large.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")).limit(0)
 
 
+def links_between(sets: list[np.ndarray], roots: list, left: list[bool], right: list[bool]) -> list[tuple[int, int]]:
+    """Links of sets on the left with sets on the right whose roots differ, as many as join all that have one."""
+    up, down = SIMILAR
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    root = np.unique(np.array(roots, object), return_inverse=True)[1]
+    others = np.flatnonzero(right)
+    flat = np.concatenate([parts[i] for i in others])
+    starts = np.cumsum(sizes[others]) - sizes[others]
+    mark, links = np.zeros(len(ids), bool), []
+    for x in np.flatnonzero(left):
+        fits = (root[others] != root[x]) & (down * np.minimum(sizes[x], sizes[others]) >= up * np.maximum(sizes[x], sizes[others]))
+        if not fits.any():
+            continue
+        mark[parts[x]] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[parts[x]] = False
+        for y in others[fits & (down * both >= up * (sizes[x] + sizes[others] - both))]:
+            if root[y] != root[x]:
+                links.append((x, y))
+                root[root == root[y]] = root[x]
+    return links
+
+
+def _cross_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links (a, b) of each pair of blocks, of rows (band, i, j, block, set_key, component, shingles) that come sorted by the first three."""
+    at, rows = None, []
+
+    def out() -> pd.DataFrame:
+        names, roots, blocks, sets = zip(*rows, strict=True) if rows else ((), (), (), ())
+        links = links_between(list(sets), list(roots), [b == at[1] for b in blocks], [b == at[2] for b in blocks]) if rows else []
+        return pd.DataFrame({"a": [names[x] for x, _ in links], "b": [names[y] for _, y in links]})
+
+    for pdf in batches:
+        for band, i, j, block, name, component, s in zip(*(pdf[c] for c in ("band", "i", "j", "block", "set_key", "component", "shingles")), strict=True):
+            if (band, i, j) != at:
+                yield out()
+                at, rows = (band, i, j), []
+            rows.append((name, component, block, np.asarray(s, np.int64)))
+    yield out()
+    release_memory()
+
+
+def of_several(rows: DataFrame) -> DataFrame:
+    """The rows (band, component, ...) of bands with more than one component."""
+    kinds = rows.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("band")
+    return rows.join(kinds, "band", "left_semi")
+
+
+def may_link(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """The set keys of named (set_key, component) that aren't ruled out: sets of which so many shingles are in sets of other components, all taken together, as a link to one would need."""
+    up, down = SIMILAR
+    # two hashes stand for the component, as its bytes have no place in a hash aggregate
+    marks = {"c": F.xxhash64("component"), "d": F.xxhash64(F.lit(1), "component")}
+    tokens = materialise(named.withColumns(marks).drop("component").join(sets, "set_key").select("set_key", "c", "d", F.size("shingles").alias("size"), F.explode("shingles").alias("token")))
+    ends = [f(m).alias(f"{n}{m}") for m in marks for n, f in (("low_", F.min), ("high_", F.max))]
+    common = materialise(tokens.groupBy("token").agg(F.count("*").alias("n"), *ends).where("low_c <> high_c OR low_d <> high_d").select("token", "n"))
+    met = join_groups(tokens.select("set_key", "size", "token"), common, "token", "n", tokens.count())
+    return met.groupBy("set_key").agg(F.first("size").alias("size"), F.count("*").alias("met")).where(down * F.col("met") >= up * F.col("size")).select("set_key")
+
+
+def cross_links(large: DataFrame, sets: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the components found (id, component) of the sets of large bands (band, set_key): any two that a pair of a band links get one, directly or through others.
+
+    The sets of a band with several components stand in order of component, in blocks. Each pair
+    of blocks is compared whole in one group of rows, but those of one and the same component.
+    """
+    named = large.select("band", "set_key").join(found.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    several = materialise(of_several(named))
+    if several.isEmpty():
+        return several.select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))
+    left = of_several(several.join(may_link(several.select("set_key", "component").distinct(), sets), "set_key", "left_semi"))
+    placed = numbered(left, ["component", "set_key"], "_rn", ["band"], "_all").withColumn("_last", F.floor((F.col("_all") - 1) / block))
+    placed = materialise(placed.select("band", "set_key", "component", "_last", F.floor((F.col("_rn") - 1) / block).alias("block")))
+    blocks = placed.groupBy("band", "block", "_last").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    whole = blocks.where("_low = _high").groupBy("band", F.col("_low").alias("_one")).agg(F.max("block").alias("_end"))  # blocks of one component stand in a row
+    first = F.when(F.col("_low") == F.col("_high"), F.col("_end") + 1).otherwise(F.col("block"))
+    jobs = blocks.join(whole.withColumnRenamed("band", "_band"), (F.col("band") == F.col("_band")) & (F.col("_low") == F.col("_one")), "left").withColumn("_first", first)
+    jobs = materialise(jobs.where("_first <= _last").select("band", F.col("block").alias("i"), F.explode(F.sequence("_first", "_last")).alias("j")))
+    ends = jobs.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = ends.join(placed.select("band", "block", "set_key", "component"), ["band", "block"]).join(sets, "set_key")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_cross_links, "a binary, b binary")
+
+
 def similar_links(docs: DataFrame, distinct: DataFrame, key_col: str, text_col: str, shingle: int, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between set keys whose sets share a band or a Golay key and have the least similarity or more; of a large band, edges that give the same components."""
+    """Edges (a, b) between set keys that give the same components as all pairs whose sets share a band or a Golay key and have the least similarity or more; without a large band, these pairs."""
     up, down = SIMILAR
     keys = distinct.select("set_key", "size", "bands", F.posexplode("bands").alias("pos", "band"))
     sizes = materialise(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
@@ -208,7 +295,10 @@ def similar_links(docs: DataFrame, distinct: DataFrame, key_col: str, text_col:
     both = F.size(F.array_intersect("sa", "sb"))
     links = sided.where(down * both >= up * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     large = shared.where(F.col("n") > bucket).select("band", "pos", "set_key").join(distinct.select("set_key", "bands"), "set_key")
-    return links.unionByName(block_links(large, sets))
+    if large.isEmpty():
+        return links
+    found = connected_components(materialise(links.unionByName(block_links(large, sets))))
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(cross_links(large, sets, found))
 
 
 def first_of_similar(docs: DataFrame, *, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
