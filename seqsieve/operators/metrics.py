@@ -182,16 +182,48 @@ def _small_means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return out
 
 
+def _weight_table() -> tuple[np.ndarray, np.ndarray]:
+    """(least 53-bit draw of each weight from 1, weight of each value of the highest 16 bits, 255 where the bits below decide)."""
+    least = np.ceil(POISSON * 2.0**53).astype(np.uint64)
+    low = np.arange(1 << 16).astype(np.uint64) << np.uint64(37)
+    first, last = (np.searchsorted(least, x, side="right") for x in (low, low + np.uint64((1 << 37) - 1)))
+    return least, np.where(first == last, first, 255).astype(np.uint8)
+
+
+LEAST, WEIGHTS = _weight_table()
+#: Draws held at once by weighted sums, so that they stay in a core's cache.
+CACHED = 1 << 17
+
+
 def _weighted_sums(values: np.ndarray, places: np.ndarray, resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of values, sums of weights) of each resample, in which each value has a Poisson weight of its own."""
-    sums, weights, every = np.zeros(resamples), np.zeros(resamples), np.arange(resamples)
-    size = max(1, DRAWN // resamples)
+    """(sums of values, sums of weights) of each resample, in which each value has a Poisson weight of its own.
+
+    The draws are those of _draws, made in place; the highest 16 bits, which its last step
+    leaves alone, give nearly all weights by a table, and the rest is drawn whole.
+    """
+    heads = _mixed(places.astype(np.uint64) + _mixed(np.array([seed], np.uint64))) + np.uint64(0x9E3779B97F4A7C15)
+    steps = (np.arange(resamples).astype(np.uint64) << np.uint64(32))[:, None]
+    both = np.column_stack([values, np.ones(len(values))])
+    out, size = np.zeros((resamples, 2)), max(1, CACHED // resamples)
     for at in range(0, len(values), size):
-        u = (_draws(seed, places[at : at + size], every) >> np.uint64(11)) * 2.0**-53
-        w = np.searchsorted(POISSON, u, side="right").astype(np.float64)
-        sums += w @ values[at : at + size]
-        weights += w.sum(axis=1)
-    return sums, weights
+        x = steps + heads[at : at + size]
+        t = x >> np.uint64(30)
+        x ^= t
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.right_shift(x, np.uint64(27), out=t)
+        x ^= t
+        x *= np.uint64(0x94D049BB133111EB)
+        np.right_shift(x, np.uint64(48), out=t)
+        w = WEIGHTS.take(t.view(np.int64))
+        open_ = np.flatnonzero(w == 255)
+        y = x.reshape(-1)[open_]
+        w.reshape(-1)[open_] = np.searchsorted(LEAST, (y ^ (y >> np.uint64(31))) >> np.uint64(11), side="right")
+        out += w.astype(np.float64) @ both[at : at + size]
+    return out[:, 0], out[:, 1]
+
+
+#: Rows of a group of which one task draws the weights.
+WEIGHED = 250_000
 
 
 def bootstrap_ci(df: DataFrame, groups: Sequence[str], value: str, resamples: int = 1000, seed: int = 0, packed: int = 10_000) -> DataFrame:
@@ -233,19 +265,29 @@ def bootstrap_ci(df: DataFrame, groups: Sequence[str], value: str, resamples: in
             yield done()
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each group of a task, which has few, as rows come by range."""
+        held: dict[tuple, list] = {}
         for batch in batches:
             # numbers of the groups in the batch, whatever their types
             kinds = pa.Table.from_batches([batch]).select(groups).append_column("_row", pa.array(np.arange(batch.num_rows)))
             firsts = kinds.group_by(groups).aggregate([("_row", "list")])["_row_list"].to_pylist() if groups else [list(range(batch.num_rows))] if batch.num_rows else []
             for at in firsts:
                 own = batch.take(pa.array(at))
-                sums, weights = _weighted_sums(own["_v"].to_numpy(), own["_i"].to_numpy(), resamples, seed)
-                yield pa.RecordBatch.from_arrays([*[own[g].slice(0, 1) for g in groups], own["_n"].slice(0, 1), pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([weights.tolist()], pa.list_(pa.float64()))], [*groups, "n", "sums", "weights"])
+                found = _weighted_sums(own["_v"].to_numpy(), own["_i"].to_numpy(), resamples, seed)
+                name = tuple(str(own[g][0]) if own[g][0].is_valid else None for g in groups)
+                known = held.setdefault(name, [own.slice(0, 1), np.zeros(resamples), np.zeros(resamples)])
+                known[1] += found[0]
+                known[2] += found[1]
+        for own, sums, weights in held.values():
+            yield pa.RecordBatch.from_arrays([*[own[g] for g in groups], own["_n"], pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([weights.tolist()], pa.list_(pa.float64()))], [*groups, "n", "sums", "weights"])
 
     small = ranked.where(F.col("_n") <= packed)
     small = (small.repartition(*groups) if groups else small.coalesce(1)).sortWithinPartitions(*groups, "_i")  # packed rows at most
     bounds = small.mapInArrow(whole, f"{named}n long, ci_low double, ci_high double")
-    parts = ranked.where(F.col("_n") > packed).mapInArrow(partly, f"{named}n long, sums array<double>, weights array<double>")
+    more = ranked.where(F.col("_n") > packed)
+    # a row costs as many draws as there are resamples, whatever its bytes
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, more.count() // WEIGHED)
+    parts = more.repartitionByRange(tasks, *groups, "_i").mapInArrow(partly, f"{named}n long, sums array<double>, weights array<double>")
     each = parts.select(*groups, "n", F.posexplode(F.arrays_zip("sums", "weights")).alias("_b", "_s")).groupBy(*groups, "n", "_b").agg((F.sum("_s.sums") / F.sum("_s.weights")).alias("_m"))
     cut = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))  # of as many rows as resamples
     large = each.groupBy(*groups, "n").agg(F.get(cut, 0).alias("ci_low"), F.get(cut, 1).alias("ci_high"))
