@@ -120,6 +120,7 @@ def test_links_of_large_bands_between_blocks(spark, monkeypatch):
     """150 texts near a centre, each with a text near it alone, in bands of many blocks: no link between blocks is lost, whatever stands for a component."""
     monkeypatch.setattr(S.similar_links, "__defaults__", (2,))
     monkeypatch.setattr(S.block_links, "__defaults__", (16,))
+    monkeypatch.setattr(S.cross_links, "__defaults__", (8,))
     base = " ".join(f"w{random.Random(i).randrange(5000)}" for i in range(200))
     near = [edited(7 * e + 1, base, 3) for e in range(150)]
     texts = [base, *near, *(edited(7 * e + 2, t, 3) for e, t in enumerate(near))]
