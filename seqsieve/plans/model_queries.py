@@ -467,7 +467,7 @@ def m14(f):
 def m14_boosted(f):
     """Boosted members on bagged rows: mean and spread of each row; tests hold both against the members one by one."""
     d = materialise(f.withColumn("seed", F.lit(1)))
-    models = M.bagged_models(materialise(K.bagged(d, "id", 3)), FEATURES, "y", "gbt", 3)
+    models = M.bagged_models(K.bagged(d, "id", 3), FEATURES, "y", "gbt", 3)
     return rounded(M.ensemble_spread(models, d, FEATURES).select("id", "pred", "sigma"), 3)
 
 
