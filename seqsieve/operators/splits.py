@@ -27,8 +27,27 @@ def by_order(df: DataFrame, key: str) -> DataFrame:
 
 
 def train_test(df: DataFrame, key: str, share: float) -> DataFrame:
-    """role is test for the first ceil(share n) rows of each seed's order, else train."""
-    return by_order(df, key).withColumn("role", F.when(F.col("rn") <= F.ceil(F.col("n") * F.lit(share)), "test").otherwise("train")).drop("rn", "n")
+    """role is test for the first ceil(share n) rows of each seed's order, else train.
+
+    Counts of the order's first four digits tell where each seed's last test row lies; only the
+    keys with its digits are sorted, and no row moves. df is read three times, the first two its
+    seed and key alone. Keys should tell a seed's rows apart; if the last one doesn't, rows are numbered.
+    """
+    order, digits = seeded_order(F.col("seed"), F.col(key)), F.col("_digits")
+    keys = df.select(F.col("seed").alias("_seed"), F.col(key).alias("_key"), order.alias("_order")).withColumn("_digits", F.substring("_order", 1, 4))
+    sizes = keys.groupBy("_seed", "_digits").agg(F.count("*").alias("_n"))  # 65,536 a seed at most
+    by = Window.partitionBy("_seed")
+    upto = sizes.withColumn("_upto", F.sum("_n").over(by.orderBy("_digits"))).withColumn("_wanted", F.ceil(F.sum("_n").over(by) * F.lit(share)))
+    edges = upto.where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
+    edges = edges.select(F.col("_seed").alias("_at"), digits.alias("_edge"), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_wanted"))
+    near = keys.join(F.broadcast(edges), F.col("_seed").eqNullSafe(F.col("_at")) & (digits == F.col("_edge"))).groupBy("_seed", "_order", "_key", "_wanted").agg(F.count("*").alias("_n"))
+    last = near.withColumn("_upto", F.sum("_n").over(by.orderBy("_order", "_key"))).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
+    cuts = last.select(F.col("_seed").alias("_at"), F.struct("_order", "_key").alias("_cut"), (F.col("_upto") > F.col("_wanted")).alias("_shared")).collect()  # a row a seed
+    if any(r["_shared"] for r in cuts):
+        return by_order(df, key).withColumn("role", F.when(F.col("rn") <= F.ceil(F.col("n") * F.lit(share)), "test").otherwise("train")).drop("rn", "n")
+    known = df.sparkSession.createDataFrame([(r["_at"], r["_cut"]) for r in cuts], last.select(F.col("_seed").alias("_at"), F.struct("_order", "_key").alias("_cut")).schema)
+    upto_cut = F.struct(order.alias("_order"), F.col(key).alias("_key")) <= F.col("_cut")
+    return df.join(F.broadcast(known), F.col("seed").eqNullSafe(F.col("_at")), "left").withColumn("role", F.when(upto_cut, "test").otherwise("train")).drop("_at", "_cut")
 
 
 def train_test_by_threshold(df: DataFrame, key: str, share: float) -> DataFrame:

@@ -541,11 +541,15 @@ BASE, BLOCK = ["f_tax", "f_line"], ["f_tax", "f_line", "f_quantity"]
 
 @query("m21_block_gain", "features", oracle=f"WITH {SPLIT}, {residuals('src', BASE, 'ra')}, {residuals('src', BLOCK, 'rb')}, a AS (SELECT g, avg(abs(r)) AS v FROM ra WHERE w = 0 GROUP BY 1), b AS (SELECT g, avg(abs(r)) AS v FROM rb WHERE w = 0 GROUP BY 1) SELECT a.g AS seed, round(b.v - a.v, 4) AS delta FROM a JOIN b ON a.g = b.g")
 def m21(f):
-    d = materialise(K.train_test(K.with_seeds(f, [1, 2]), "id", 0.3))
+    d = K.train_test(K.with_seeds(materialise(f.select("id", *BLOCK, "y")), [1, 2]), "id", 0.3)
+    train = materialise(M.merged(d.where("role = 'train'"), BLOCK, "y", keys=["seed"]))
     parts = []
-    for seed, (name, cols) in product((1, 2), (("base", BASE), ("block", BLOCK))):
-        one = d.where(F.col("seed") == seed)
-        parts.append(M.predict(M.fit(one.where("role = 'train'"), cols, "y", "linear"), one.where("role = 'test'"), cols).select("seed", F.lit(name).alias("method"), F.lit("linear").alias("model"), F.abs(F.col("y") - F.col("pred")).alias("e")))
+    for seed in (1, 2):
+        out = d.where((F.col("seed") == seed) & (F.col("role") == "test"))
+        for name, cols in (("base", BASE), ("block", BLOCK)):
+            out = M.predict(M.fit(train.where(F.col("seed") == seed), cols, "y", "linear", weight="weight"), out, cols, f"p_{name}")
+        error = lambda name: F.struct(F.lit(name).alias("method"), F.abs(F.col("y") - F.col(f"p_{name}")).alias("e"))
+        parts.append(out.select("seed", F.lit("linear").alias("model"), F.explode(F.array(error("base"), error("block"))).alias("_e")).select("seed", "model", "_e.*"))
     table = reduce(DataFrame.unionByName, parts).groupBy("seed", "method", "model").agg(F.avg("e").alias("value"))
     return A.paired_deltas(table, ["seed", "model"], "method", "base").select("seed", F.round("delta", 4).alias("delta"))
 
