@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqsieve.operators.forest import bin_edges, binned, forest_importances
 from seqsieve.operators.metrics import correlation, spearman
 from seqsieve.operators.ranking import seeded_order, with_ranks
 from seqsieve.plans.materialise import free_name, materialise
@@ -263,19 +264,21 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
 
 
 def shadow_selection(df: DataFrame, features: Sequence[str], target: str, key: str, rounds: int = 5, level: float = 0.05) -> list[str]:
-    """Features whose importance beats the best shadow (permuted copy) often enough: binomial tail below level."""
+    """Features whose importance beats the best shadow (permuted copy) often enough: binomial tail below level. Features are binned before they are copied, and the forests of all rounds grow together."""
     from math import comb
 
     features = list(features)
     hits = dict.fromkeys(features, 0)
-    rows = permuted(df, features, [target], key, rounds)
-    for r in range(rounds):
-        shadows = [f"p{r}_{i}" for i in range(len(features))]
-        both = [*features, *shadows]
-        found = dict(zip(both, fit(rows, both, target, "rf", seed=r).featureImportances.toArray().tolist(), strict=True))
-        bar = max(found[c] for c in shadows)
-        for f in features:
-            hits[f] += found[f] > bar
+    read = materialise(df.select(*dict.fromkeys([key, *features, target])))
+    edges = bin_edges(read, features)
+    names = [f"_b{i}" for i in range(len(features))]
+    bins = read.select(F.col(key).alias("_key"), F.col(target).cast("double").alias("_y"), F.xxhash64(key).alias("_row"), *[binned(F.col(f), edges[f]).alias(b) for f, b in zip(features, names, strict=True)])
+    rows = permuted(bins, names, ["_y", "_row"], "_key", rounds)
+    inputs = [[*names, *[f"p{r}_{i}" for i in range(len(features))]] for r in range(rounds)]
+    for found in forest_importances(rows, inputs, "_y", "_row"):
+        bar = max(found[len(features) :])
+        for f, x in zip(features, found, strict=False):
+            hits[f] += bool(x > bar)
     tail = lambda h: sum(comb(rounds, i) for i in range(h, rounds + 1)) / 2**rounds
     chosen = [f for f in features if tail(hits[f]) < level]
     return chosen or sorted(features, key=lambda f: (-hits[f], f))[:3]
