@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bins of a feature, trees of a forest and levels of a tree, as in screen.estimator's forest.
@@ -27,13 +27,19 @@ def bin_edges(df: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
     return edges
 
 
-def binned(value: Column, edges: Sequence[float]) -> Column:
-    """The bin of a value as a byte; null for null and NaN."""
-    v = value.cast("double")
-    inside = F.lit(0)
-    for e in edges:
-        inside = inside + (v > F.lit(float(e))).cast("int")
-    return F.when(v.isNotNull() & ~F.isnan(v), inside).cast("byte")
+def binned(df: DataFrame, edges: Mapping[str, Sequence[float]], names: Mapping[str, str], keep: str) -> DataFrame:
+    """df's columns of the schema keep, and for each feature its bin as a byte by a new name; null for null and NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = batch.select([c for c in batch.schema.names if c not in names])
+            for f, name in names.items():
+                v = batch[f].to_numpy(zero_copy_only=False)
+                made = made.append_column(name, pa.array(np.searchsorted(edges[f], v, "left").astype(np.int8), mask=np.isnan(v)))
+            yield made
+
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, *[F.col(f).cast("double").alias(f) for f in names]).mapInArrow(run, keep + "".join(f", {n} byte" for n in names.values()))
 
 
 def _poisson_table() -> np.ndarray:

@@ -272,7 +272,9 @@ def shadow_selection(df: DataFrame, features: Sequence[str], target: str, key: s
     read = materialise(df.select(*dict.fromkeys([key, *features, target])))
     edges = bin_edges(read, features)
     names = [f"_b{i}" for i in range(len(features))]
-    bins = read.select(F.col(key).alias("_key"), F.col(target).cast("double").alias("_y"), F.xxhash64(key).alias("_row"), *[binned(F.col(f), edges[f]).alias(b) for f, b in zip(features, names, strict=True)])
+    given = read.select(F.col(key).alias("_key"), F.col(target).cast("double").alias("_y"), F.xxhash64(key).alias("_row"), *[F.col(f).alias(f"_v{i}") for i, f in enumerate(features)])
+    by = {f"_v{i}": edges[f] for i, f in enumerate(features)}
+    bins = binned(given, by, dict(zip(by, names, strict=True)), f"_key {dict(given.dtypes)['_key']}, _y double, _row long")
     rows = permuted(bins, names, ["_y", "_row"], "_key", rounds)
     inputs = [[*names, *[f"p{r}_{i}" for i in range(len(features))]] for r in range(rounds)]
     for found in forest_importances(rows, inputs, "_y", "_row"):

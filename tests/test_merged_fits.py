@@ -96,7 +96,7 @@ def test_forests_grow_together(spark, monkeypatch):
     names = list("abcd")
     edges = forest.bin_edges(df, names)
     assert edges["d"] == [0.0, 1.0] and all(len(e) <= 31 for e in edges.values())
-    bins = df.select("y", F.xxhash64("id").alias("u"), *[forest.binned(F.col(f), edges[f]).alias(f) for f in names])
+    bins = forest.binned(df.select("y", F.xxhash64("id").alias("u"), *names), edges, {f: f"bin_{f}" for f in names}, "y double, u long").withColumnsRenamed({f"bin_{f}": f for f in names})
     first, again, part = forest.forest_importances(bins.repartition(3), [names, names, ["c", "d"]], "y", "u")
     want = screen.tree_importance(df, names, "y").collect()
     for i, x in enumerate(want):
